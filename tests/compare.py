@@ -34,7 +34,9 @@ def compare(spark, con, query, sql, folder) -> tuple[str, int]:
     """('', rows) when equal, else a description of the first difference."""
     got = query(spark, folder)
     columns = sorted(got.columns)
+    start = time.time()
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    compare.spark_seconds = time.time() - start
     if sql is None:
         return "", len(rows)
     result = con.execute(sql)
@@ -70,7 +72,7 @@ def main() -> None:
         except Exception as error:  # noqa: BLE001
             problem, n = f"{type(error).__name__}: {str(error)[:1500]}", 0
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name} rows={n} {time.time() - start:.1f}s {'' if name in ORACLES else '(no sql)'} {problem[:1800]}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} rows={n} {time.time() - start:.1f}s collect={getattr(compare, 'spark_seconds', 0):.1f}s {'' if name in ORACLES else '(no sql)'} {problem[:1800]}", flush=True)
     print("failures:", bad)
 
 

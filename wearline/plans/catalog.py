@@ -41,4 +41,5 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql.strip()
     parts = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
-    return f"WITH {parts}\n{sql.strip()}"
+    body = sql.strip()
+    return f"WITH {parts},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {parts}\n{body}"

@@ -27,7 +27,7 @@ def remaining_life(spark, sf):
 
 @register(
     "c2_build_manifest",
-    """SELECT CAST(condition_id AS BIGINT) AS condition_id, CAST(unit_id AS VARCHAR) AS unit_id, concat_ws('/', condition_id, unit_id, acquisition_number) AS file_path,
+    """SELECT CAST(condition_id AS BIGINT) AS condition_id, unit_id, concat_ws('/', condition_id, unit_id, acquisition_number) AS file_path,
        acquisition_number || '.csv' AS file_name, acquisition_number, sequence_index, elapsed_minutes, total_acquisitions, rul_minutes,
        CAST(1950.0 + 150 * condition_id AS DOUBLE) AS rotation_rpm, CAST(13.0 - condition_id AS DOUBLE) AS radial_load_kn, CAST(25600 AS DOUBLE) AS sampling_frequency_hz,
        coalesce(CASE WHEN event_type <> 'error' THEN CAST(vertical AS BIGINT) END, 0) AS sample_count,
