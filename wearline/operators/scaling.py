@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wearline.operators.folds import UNIT
 from wearline.operators.scale import average_ranks, percentiles
 from wearline.operators.trajectory import correlation, resample
+from wearline.session import parameter_table
 
 #: Name parts of heavy-tailed features. Fixed values.
 LOG_TOKENS = (
@@ -117,7 +118,7 @@ def fit_pca(balanced: DataFrame, features: Sequence[str], components: int) -> Da
         values, vectors = np.linalg.eigh(m[1:, 1:] / n - np.outer(mean, mean))
         order = values.argsort()[::-1][:components]
         rows += [(int(r["fold"]), i, float(values[c] / values.sum()), mean.tolist(), vectors[:, c].tolist()) for i, c in enumerate(order)]
-    table = spark.createDataFrame(rows, "fold int, component int, explained double, mean array<double>, loading array<double>")
+    table = parameter_table(spark, rows, "fold int, component int, explained double, mean array<double>, loading array<double>")
     first = project(balanced, table.where("component = 0"))
     ranked = average_ranks(first, ["fold", *UNIT], "score", "_rank", split=False)  # a unit has a fixed number of grid rows
     per_unit = ranked.groupBy("fold", *UNIT).agg(correlation("_rank", "grid").alias("rho"))

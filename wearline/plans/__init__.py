@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the catalog."""
 
-from wearline.plans import audit, health, manifest, signals, trajectory  # noqa: F401
+from wearline.plans import audit, health, manifest, rul, signals, trajectory  # noqa: F401
 from wearline.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Inputs up to this many bytes let one task hold the largest possible group.
 TASK_BYTES_KEY = "spark.wearline.taskBytes"
@@ -55,3 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later uses read the same written rows, also after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few fitted numbers as a local relation, whose exact size the optimizer knows."""
+    kind = T.StructType.fromDDL(schema)
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(kind.fields)}
+    return spark.createDataFrame(pa.table(columns), schema=kind)
