@@ -29,16 +29,20 @@ def running(
     order: Sequence[str | Column],
     totals: Mapping[str, tuple[str, Column]],
     split: bool | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates; `totals` maps a new column to (``sum``|``min``|``max``, expression).
 
+    With `exclusive` the row itself is left out, so the first row of a group gets NULL (0 when split sums).
+
     `order` must be unique inside a group. The split plan range-partitions on keys + order, so a hot
     group is spread over many blocks, and adds to each block the combined totals of its earlier blocks.
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    last = -1 if exclusive else 0
     if _is_small(df, split):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.select("*", *[fold[kind](expr).over(w).alias(name) for name, (kind, expr) in totals.items()])
 
     blocks = cut(
@@ -53,7 +57,7 @@ def running(
         .agg(*[fold[kind](f"_v_{name}").alias(f"_b_{name}") for name, (kind, _) in totals.items()])
         .select(*block_keys, *[fold[kind](f"_b_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in totals.items()])
     )
-    inside = Window.partitionBy(*block_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*block_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     return blocks.join(carried, block_keys).select(
         *df.columns,
         *[join[kind](F.col(f"_c_{name}"), fold[kind](f"_v_{name}").over(inside)).alias(name) for name, (kind, _) in totals.items()],

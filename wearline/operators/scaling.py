@@ -101,23 +101,33 @@ def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"fold": [fold], "m": [(ones.T @ ones).ravel()]})
 
 
+def moments_by_fold(rows: DataFrame, width: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Row count, mean vector and covariance matrix of the array column `x` per fold, in one pass.
+
+    Tasks add up product matrices; only those (width + 1)^2 numbers per fold reach the driver.
+    """
+    parts = rows.select("fold", "x").mapInPandas(_gram, "fold int, m array<double>").select("fold", F.posexplode("m").alias("cell", "v"))
+    summed = parts.groupBy("fold", "cell").agg(F.sum("v").alias("v")).groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    found = {}
+    for r in summed.orderBy("fold").collect():
+        m = np.array([c["v"] for c in r["m"]]).reshape(width + 1, -1)
+        n, mean = float(m[0, 0]), m[0, 1:] / m[0, 0]
+        found[int(r["fold"])] = (n, mean, m[1:, 1:] / n - np.outer(mean, mean))
+    return found
+
+
 def fit_pca(balanced: DataFrame, features: Sequence[str], components: int) -> DataFrame:
     """Component table per fold: fold, component, explained ratio, means, loadings and orientation.
 
-    `balanced` has fold, condition_id, unit_id, grid, x. One pass adds up the product matrices of all folds
-    inside the tasks; only those (features + 1)^2 numbers per fold reach the driver. The orientation is the
-    sign of the median over units of the rank correlation of the first component with life.
+    `balanced` has fold, condition_id, unit_id, grid, x. The orientation is the sign of the median over units
+    of the rank correlation of the first component with life.
     """
     spark = balanced.sparkSession
-    parts = balanced.select("fold", "x").mapInPandas(_gram, "fold int, m array<double>").select("fold", F.posexplode("m").alias("cell", "v"))
-    summed = parts.groupBy("fold", "cell").agg(F.sum("v").alias("v")).groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("m"))
     rows = []
-    for r in summed.orderBy("fold").collect():
-        m = np.array([c["v"] for c in r["m"]]).reshape(len(features) + 1, -1)
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        values, vectors = np.linalg.eigh(m[1:, 1:] / n - np.outer(mean, mean))
+    for fold, (_, mean, covariance) in moments_by_fold(balanced, len(features)).items():
+        values, vectors = np.linalg.eigh(covariance)
         order = values.argsort()[::-1][:components]
-        rows += [(int(r["fold"]), i, float(values[c] / values.sum()), mean.tolist(), vectors[:, c].tolist()) for i, c in enumerate(order)]
+        rows += [(fold, i, float(values[c] / values.sum()), mean.tolist(), vectors[:, c].tolist()) for i, c in enumerate(order)]
     table = parameter_table(spark, rows, "fold int, component int, explained double, mean array<double>, loading array<double>")
     first = project(balanced, table.where("component = 0"))
     ranked = average_ranks(first, ["fold", *UNIT], "score", "_rank", split=False)  # a unit has a fixed number of grid rows
