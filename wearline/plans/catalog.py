@@ -30,6 +30,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def with_views(sql: str) -> str:
     """Put the WITH list of every named sub-query the statement needs in front of it."""
+    if re.search(r"\bv_\w+ AS \(", sql):  # already expanded
+        return sql
     needed: set[str] = set()
 
     def visit(text: str) -> None:

@@ -124,8 +124,8 @@ def json_manifest(spark: SparkSession, path: str, rows: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.inline(rows))
 
 
-def folds_from_json(spark: SparkSession, path: str) -> DataFrame:
+def folds_from_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Fold plan stored as `{"folds": [{"fold": n, "train": [...], "validation": [...], "test": [...]}]}`."""
     schema = "folds array<struct<fold:int,train:array<string>,validation:array<string>,test:array<string>>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("folds"))
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path).select(F.inline("folds"))
     return raw.unpivot(["fold"], ["train", "validation", "test"], "subset", "units").select("fold", "subset", F.explode("units").alias("unit_id"))
