@@ -114,7 +114,7 @@ def percentiles(
             ]
         picked = placed.groupBy(*spots).agg(*picks).select(
             *spots,
-            *[(F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in probs],
+            *[((1 - F.col(f"_f_{n}")) * F.col(f"_lo_{n}") + F.col(f"_f_{n}") * F.col(f"_hi_{n}")).alias(n) for n in probs],
         )
         result = result.join(picked, spots, "left")
     return result.select(*keys, *aggregates, *wanted)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wearline.functions.rounding import settle_halves
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = query
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = with_views(settle_halves(sql))
         return query
 
     return keep
@@ -31,7 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def with_views(sql: str) -> str:
     """Put the WITH list of every named sub-query the statement needs in front of it."""
     if re.search(r"\bv_\w+ AS \(", sql):  # already expanded
-        return sql
+        return sql.strip()
     needed: set[str] = set()
 
     def visit(text: str) -> None:
@@ -42,6 +44,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql.strip()
+    head = "WITH RECURSIVE " if sql.strip().startswith("WITH RECURSIVE ") else "WITH "
     parts = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
     body = sql.strip()
-    return f"WITH {parts},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {parts}\n{body}"
+    return f"{head}{parts},\n{body[len(head):]}" if body.startswith("WITH ") else f"{head}{parts}\n{body}"

@@ -265,11 +265,11 @@ def trailing_smooth(spark, sf):
 
 @register(
     "h3_robust_scale",
-    """SELECT unit_id, round(CASE WHEN mad(smoothed) = 0 THEN greatest(stddev_pop(smoothed), 2.220446049250313e-16) ELSE 1.4826 * mad(smoothed) END, 6) AS robust_scale FROM v_smooth WHERE sequence_index < b GROUP BY 1""",
+    """SELECT unit_id, round(CASE WHEN mad(smoothed) = 0 THEN greatest(stddev_pop(smoothed), 2.220446049250313e-16) ELSE 1.4826 * mad(smoothed) END, 9) AS robust_scale FROM v_smooth WHERE sequence_index < b GROUP BY 1""",
 )
 def robust_scale(spark, sf):
     value = F.when(F.col("sequence_index") < F.col("baseline_acquisitions"), F.col("smoothed"))
-    return he.robust_scale(health_rows(spark, sf), UNIT, value).select("unit_id", r6("robust_scale").alias("robust_scale"))
+    return he.robust_scale(health_rows(spark, sf), UNIT, value).select("unit_id", r6("robust_scale", 9).alias("robust_scale"))
 
 
 def _settings(rows, cost="l2", penalty=2000.0):
