@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.operators.scale import percentiles, rows_back, trailing
+from wearline.operators.scale import middle, percentiles, rolling_median, rows_back, trailing
 
 EPSILON = 1e-12
 #: Detector grid. Fixed values.
@@ -52,68 +52,80 @@ def causal_aggregate(df: DataFrame, unit: Sequence[str], value: str, window: int
     """Trailing median or mean of `window` rows (fewer at the start), or the EWMA of that span."""
     if method == "ewma":
         return ewma(df, unit, value, window, name)
-    make = {"median": lambda w: F.percentile(value, F.lit(0.5)).over(rows_back(w, window)), "mean": lambda w: F.avg(value).over(rows_back(w, window))}
+    make = {"median": lambda w: rolling_median(value, w, window), "mean": lambda w: F.avg(value).over(rows_back(w, window))}
     return trailing(df, unit, max(window - 1, 1), {name: make[method]})
 
 
-def baseline_statistics(df: DataFrame, unit: Sequence[str], value: str, baseline: int) -> DataFrame:
-    """Median and raw MAD of each unit's first `baseline` rows, a bounded number per unit."""
-    early = df.where(F.col("sequence_index") < baseline).select(*unit, F.col(value).cast("double").alias("_v"))
-    middle = percentiles(early, unit, {"baseline_median": (F.col("_v"), 0.5)})
-    spread = percentiles(early.join(middle, list(unit)), unit, {"baseline_mad": (F.abs(F.col("_v") - F.col("baseline_median")), 0.5)})
-    return middle.join(spread, list(unit))
+def baseline_statistics(df: DataFrame, unit: Sequence[str], value: str, baselines: Sequence[int]) -> DataFrame:
+    """Median and raw MAD of each unit's first rows, one row per unit and baseline length.
+
+    Only the longest baseline's rows are read, a bounded number per unit.
+    """
+    i, v = F.col("sequence_index"), F.col("_v")
+    early = df.where(i < max(baselines)).select(*unit, i, F.col(value).cast("double").alias("_v"))
+    centers = percentiles(early, unit, {f"_c{b}": (F.when(i < b, v), 0.5) for b in baselines})
+    spreads = percentiles(early.join(centers, list(unit)), unit, {f"_m{b}": (F.when(i < b, F.abs(v - F.col(f"_c{b}"))), 0.5) for b in baselines})
+    listed = F.array(*[F.struct(F.lit(b).alias("baseline_acquisitions"), F.col(f"_c{b}").alias("baseline_median"), F.col(f"_m{b}").alias("baseline_mad")) for b in baselines])
+    return centers.join(spreads, list(unit)).select(*unit, F.inline(listed))
 
 
-def robust_normalize(df: DataFrame, unit: Sequence[str], value: str, baseline: int, name: str = "normalized") -> DataFrame:
-    joined = df.join(baseline_statistics(df, unit, value, baseline), list(unit))
+def robust_normalize(df: DataFrame, unit: Sequence[str], value: str, baselines: Sequence[int], name: str = "normalized") -> DataFrame:
+    """Rows repeated per baseline length, centred and scaled by that baseline."""
+    joined = df.join(baseline_statistics(df, unit, value, baselines), list(unit))
     return joined.withColumn(name, (F.col(value) - F.col("baseline_median")) / F.greatest(F.col("baseline_mad"), F.lit(EPSILON)))
 
 
 def trajectory(df: DataFrame, unit: Sequence[str], combined: str, baseline: int, window: int) -> DataFrame:
     """Aggregated and normalised series with the effective window and the calibration flag."""
     smooth = causal_aggregate(df, unit, combined, window, "median", "aggregated")
-    return robust_normalize(smooth, unit, "aggregated", baseline).withColumns(
+    return robust_normalize(smooth, unit, "aggregated", [baseline]).withColumns(
         {
             "effective_window": F.least(F.col("sequence_index") + 1, F.lit(window).cast("bigint")),
             "calibration_interval": F.col("sequence_index") < baseline,
-            "baseline_acquisitions": F.lit(baseline),
             "causal_window": F.lit(window),
         }
     )
 
 
-def with_settings(df: DataFrame, thresholds: Sequence[float], persistences: Sequence[int]) -> DataFrame:
-    """Rows repeated for every threshold and persistence; everything upstream is computed once."""
-    options = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(int(p)).alias("persistence")) for t in thresholds for p in persistences])
-    return df.select("*", F.inline(options))
+def grid_trajectories(df: DataFrame, unit: Sequence[str], families: Mapping[str, Column], baselines: Sequence[int], windows: Sequence[int]) -> DataFrame:
+    """Normalised series of every family, window and baseline. Smoothing and baselines run once per series."""
+    listed = F.array(*[F.struct(F.lit(name).alias("detector_family"), value.alias("combined")) for name, value in families.items()])
+    series = df.select("*", F.inline(listed))
+    keys = [*unit, "detector_family"]
+    smooth = trailing(series, keys, max(max(windows) - 1, 1), {f"_w{k}": lambda w, k=k: rolling_median("combined", w, k) for k in windows})
+    levels = F.array(*[F.struct(F.lit(k).alias("causal_window"), F.col(f"_w{k}").alias("aggregated")) for k in windows])
+    many = smooth.select("*", F.inline(levels)).drop(*[f"_w{k}" for k in windows])
+    return robust_normalize(many, [*keys, "causal_window"], "aggregated", baselines)
 
 
 def persistent_alarm(
-    df: DataFrame, keys: Sequence[str], persistences: Sequence[int], gap: int = MAXIMUM_GAP, minimum_post: int = MINIMUM_POST, effect: float = MINIMUM_EFFECT
+    df: DataFrame, keys: Sequence[str], settings: Sequence[tuple[float, int]], gap: int = MAXIMUM_GAP, minimum_post: int = MINIMUM_POST, effect: float = MINIMUM_EFFECT
 ) -> DataFrame:
-    """First confirmed alarm per key, with the first crossing and the number of hits behind the alarm.
+    """First confirmed alarm per key and (threshold, persistence) setting, with the first crossing and its hits.
 
-    `df` carries sequence_index, total_acquisitions, baseline_acquisitions, normalized, threshold and
-    persistence. A row confirms when its trailing persistence + gap rows after the baseline hold enough
-    crossings with a large enough median, and enough rows follow.
+    `df` carries sequence_index, total_acquisitions, baseline_acquisitions and normalized. A row confirms when
+    its trailing persistence + gap rows after the baseline hold enough crossings with a large enough median,
+    and enough rows follow. All settings read the same few lagged values, so rows are not repeated per setting.
     """
     i, x = F.col("sequence_index"), F.col("normalized")
-    hit = (i >= F.col("baseline_acquisitions")) & (x > F.col("threshold"))
-    wanted = {}
-    for p in persistences:
-        wanted[f"_hits_{p}"] = lambda w, k=p + gap: F.count_if(hit).over(rows_back(w, k))
-        wanted[f"_level_{p}"] = lambda w, k=p + gap: F.percentile(F.when(hit, x), F.lit(0.5)).over(rows_back(w, k))
-    rows = trailing(df, keys, max(persistences) + gap, wanted)
-    confirmed = F.lit(False)
-    for p in persistences:
-        confirmed = confirmed | ((F.col("persistence") == p) & (F.col(f"_hits_{p}") >= p) & (F.col(f"_level_{p}") >= effect))
-    hits = F.coalesce(*[F.when(F.col("persistence") == p, F.col(f"_hits_{p}")) for p in persistences])
-    ok = confirmed & (i >= F.col("baseline_acquisitions")) & (F.col("total_acquisitions") - 1 - i >= minimum_post)
-    out = rows.groupBy(*keys).agg(
-        F.min(F.when(hit, i)).alias("first_threshold_crossing_index"),
-        F.min(F.when(ok, i)).alias("alarm_confirmation_index"),
-        F.coalesce(F.min_by(F.when(ok, hits), F.when(ok, i)), F.lit(0).cast("bigint")).alias("persistence_duration"),
-    )
+    reach = max(p for _, p in settings) + gap
+    live = df.withColumn("_x", F.when(i >= F.col("baseline_acquisitions"), x))
+    rows = trailing(live, keys, reach, {f"_x{j}": lambda w, j=j: F.lag("_x", j).over(w) for j in range(1, reach)})
+    ready = (i >= F.col("baseline_acquisitions")) & (F.col("total_acquisitions") - 1 - i >= minimum_post)
+    judged, aggregates, listed = {}, [], []
+    for n, (threshold, persistence) in enumerate(settings):
+        frame = [F.col("_x"), *[F.col(f"_x{j}") for j in range(1, persistence + gap)]]
+        hits = sum((F.when(v > threshold, 1).otherwise(0) for v in frame), F.lit(0))
+        level = middle([F.when(v > threshold, v) for v in frame])
+        judged[f"_ok{n}"] = F.when(ready & (hits >= persistence) & (level >= effect), F.struct(i.alias("at"), hits.alias("hits")))
+        aggregates += [F.min(F.when(F.col("_x") > threshold, i)).alias(f"_first{n}"), F.min(f"_ok{n}").alias(f"_ok{n}")]
+        listed.append(
+            F.struct(
+                F.lit(float(threshold)).alias("threshold"), F.lit(int(persistence)).alias("persistence"), F.col(f"_first{n}").alias("first_threshold_crossing_index"),
+                F.col(f"_ok{n}.at").alias("alarm_confirmation_index"), F.coalesce(F.col(f"_ok{n}.hits"), F.lit(0)).cast("bigint").alias("persistence_duration"),
+            )
+        )
+    out = rows.withColumns(judged).groupBy(*keys).agg(*aggregates).select(*keys, F.inline(F.array(*listed)))
     found = F.col("alarm_confirmation_index").isNotNull()
     return out.withColumns(
         {
@@ -206,13 +218,13 @@ def trend_features(df: DataFrame, unit: Sequence[str], feature: str, baseline: i
     for k in windows:
         prefix = f"{feature}__w{k}"
         wanted[f"{prefix}_mean"] = lambda w, k=k: F.avg(feature).over(rows_back(w, k))
-        wanted[f"{prefix}_median"] = lambda w, k=k: F.percentile(feature, F.lit(0.5)).over(rows_back(w, k))
+        wanted[f"{prefix}_median"] = lambda w, k=k: rolling_median(feature, w, k)
         wanted[f"{prefix}_std"] = lambda w, k=k: F.coalesce(F.stddev_pop(feature).over(rows_back(w, k)), F.lit(0.0))
         wanted[f"{prefix}_slope"] = lambda w, k=k: F.coalesce(F.regr_slope(F.col(feature), F.col("sequence_index").cast("double")).over(rows_back(w, k)), F.lit(0.0))
     rows = trailing(df, unit, max(max(windows) - 1, 1), wanted)
     for k in windows:
         rows = ewma(rows, unit, feature, k, f"{feature}__w{k}_ewma")
-    joined = rows.join(baseline_statistics(df, unit, feature, baseline), list(unit))
+    joined = rows.join(baseline_statistics(df, unit, feature, [baseline]), list(unit))
     known = F.col("sequence_index") >= baseline - 1 if strict_causal else F.lit(True)
     off = F.col(feature) - F.col("baseline_median")
     return joined.withColumns(
@@ -220,7 +232,7 @@ def trend_features(df: DataFrame, unit: Sequence[str], feature: str, baseline: i
             f"{feature}__baseline_difference": F.when(known, off),
             f"{feature}__baseline_robust_ratio": F.when(known, off / F.greatest(F.col("baseline_mad"), F.lit(EPSILON))),
         }
-    ).drop("baseline_median", "baseline_mad")
+    ).drop("baseline_median", "baseline_mad", "baseline_acquisitions")
 
 
 #: Column roles of the model tables. Fixed values.

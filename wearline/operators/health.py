@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearline.operators.scale import percentiles, rows_back, trailing
+from wearline.operators.scale import percentiles, rolling_median, rows_back, trailing
+from wearline.session import cut
 
 #: Change-point grid. Fixed values.
 GRID = {
@@ -34,7 +35,7 @@ def smoothed(df: DataFrame, unit: Sequence[str], value: str, window: int, method
         raise ValueError("smoothing is by median or mean")
 
     def frame(w: Window) -> Column:
-        return F.percentile(value, F.lit(0.5)).over(rows_back(w, window)) if method == "median" else F.avg(value).over(rows_back(w, window))
+        return rolling_median(value, w, window) if method == "median" else F.avg(value).over(rows_back(w, window))
 
     return trailing(df, unit, window - 1, {name: frame})
 
@@ -130,23 +131,27 @@ class _Segmenter:
 def _l2_partition(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Segment sorted block summaries; a unit may span any number of batches."""
     current, machine = None, None
-
-    def finish() -> pd.DataFrame:
-        found = machine.boundaries()
-        return pd.DataFrame([(*current, b) for b in found], columns=[*keys, "boundary"])
-
+    columns = [*keys, "boundary"]
     for pdf in batches:
-        for spot, part in pdf.groupby(keys, sort=False):
+        names = [pdf[k].to_numpy() for k in keys]
+        fresh = np.ones(len(pdf), dtype=bool)
+        fresh[1:] = np.logical_or.reduce([n[1:] != n[:-1] for n in names])
+        starts = np.flatnonzero(fresh).tolist()
+        settings = [pdf[c].to_numpy() for c in ("penalty", "minimum_segment_size", "jump")]
+        blocks = [pdf[c].tolist() for c in ("_n", "_s1", "_s2")]
+        found: list[tuple] = []
+        for start, stop in zip(starts, [*starts[1:], len(pdf)]):
+            spot = tuple(n[start] for n in names)
             if spot != current:
                 if machine is not None:
-                    yield finish()
-                current = spot
-                first = part.iloc[0]
-                machine = _Segmenter(float(first["penalty"]), int(first["minimum_segment_size"]), int(first["jump"]))
-            for count, total, square in zip(part["_n"], part["_s1"], part["_s2"]):
-                machine.feed(int(count), float(total), float(square))
-    if machine is not None:
-        yield finish()
+                    found += [(*current, b) for b in machine.boundaries()]
+                current, machine = spot, _Segmenter(*(s[start].item() for s in settings))
+            for count, total, square in zip(*(b[start:stop] for b in blocks)):
+                machine.feed(count, total, square)
+        if found:
+            yield pd.DataFrame(found, columns=columns)
+    if machine is not None and (rest := machine.boundaries()):
+        yield pd.DataFrame([(*current, b) for b in rest], columns=columns)
 
 
 def _rbf_segments(x: np.ndarray, penalty: float, least: int, jump: int) -> list[int]:
@@ -216,6 +221,7 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
     minimum_effect_size. Only rows inside a boundary's two windows are joined to it, by index equality.
     """
     keys = list(keys)
+    boundaries = cut(boundaries)  # few rows, read three times below
     heads = rows.where("sequence_index = 0").select(
         *keys, "total_acquisitions", "baseline_acquisitions", "persistence_window", "minimum_effect_size", "minimum_segment_size"
     )
@@ -234,36 +240,36 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
     offsets = judged.where(F.size("early_reasons") == 0).select(
         *keys, "boundary", F.explode(F.sequence((-p).cast("bigint"), (p - 1).cast("bigint"))).alias("_at")
     ).withColumn("sequence_index", c + F.col("_at"))
-    near = offsets.join(rows.select(*keys, "sequence_index", F.col(value).alias("_v")), [*keys, "sequence_index"])
+    near = offsets.join(rows.select(*keys, "sequence_index", "elapsed_minutes", "rul_minutes", F.col(value).alias("_v")), [*keys, "sequence_index"])
+    here = F.col("_at") == 0
     # a window holds at most persistence_window rows per side
     sides = near.groupBy(*keys, "boundary").agg(
         F.percentile(F.when(F.col("_at") < 0, F.col("_v")), F.lit(0.5)).alias("pre_change_median"),
         F.percentile(F.when(F.col("_at") >= 0, F.col("_v")), F.lit(0.5)).alias("post_change_median"),
         F.collect_list(F.when(F.col("_at") >= 0, F.col("_v"))).alias("_post"),
+        *[F.max(F.when(here, F.col(c))).alias(c) for c in ("elapsed_minutes", "rul_minutes")],
     )
-    scale = robust_scale(rows, keys, F.when(F.col("sequence_index") < F.col("baseline_acquisitions"), F.col(value)), split)
+    scale = robust_scale(rows.where("sequence_index < baseline_acquisitions"), keys, F.col(value), split)
     share = F.size(F.filter("_post", lambda v: v > F.col("pre_change_median"))) / F.size("_post")
     effect = F.try_divide(F.col("post_change_median") - F.col("pre_change_median"), F.col("robust_scale"))
-    scored = judged.join(sides, [*keys, "boundary"], "left").join(scale, keys).withColumn("robust_effect_size", effect).withColumn(
+    scored = cut(judged.join(sides, [*keys, "boundary"], "left").join(scale, keys).withColumn("robust_effect_size", effect).withColumn(
         "reasons",
         F.when(F.size("early_reasons") > 0, F.col("early_reasons"))
         .when(F.col("robust_effect_size") < F.col("minimum_effect_size"), F.array(F.lit("minimum_effect_size")))
         .when(share < PERSISTENT_SHARE, F.array(F.lit("persistence")))
         .otherwise(F.array().cast("array<string>")),
-    )
+    ).drop("_post"))
     accepted = scored.where(F.size("reasons") == 0).groupBy(*keys).agg(
-        *[F.min_by(x, "boundary").alias(x) for x in ("pre_change_median", "post_change_median", "robust_effect_size")], F.min("boundary").alias("onset_index")
+        *[F.min_by(x, "boundary").alias(x) for x in ("elapsed_minutes", "rul_minutes", "pre_change_median", "post_change_median", "robust_effect_size")], F.min("boundary").alias("onset_index")
     )
     rejected = scored.where(F.size("reasons") > 0).select(*keys, "boundary", F.explode("reasons").alias("reason"))
     listed = rejected.join(accepted.select(*keys, "onset_index"), keys, "left").where("onset_index IS NULL OR boundary < onset_index").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rejections"), F.min(F.struct("boundary", "reason")).alias("_first")
     )
-    row_at = rows.select(*keys, F.col("sequence_index").alias("onset_index"), "elapsed_minutes", "rul_minutes")
     detected = F.col("onset_index").isNotNull()
     any_boundary = boundaries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_boundaries"))
     return (
         heads.join(accepted, keys, "left")
-        .join(row_at, [*keys, "onset_index"], "left")
         .join(listed, keys, "left")
         .join(any_boundary, keys, "left")
         .select(

@@ -168,6 +168,26 @@ def rows_back(w: Window, k: int) -> Window:
     return w.rowsBetween(-(k - 1), 0)
 
 
+#: Longest frame whose median is taken from single lagged values instead of a percentile per row.
+LAG_FRAME = 32
+
+
+def middle(values: Sequence[Column]) -> Column:
+    """Median of the non-NULL ones among a few columns."""
+    ordered = F.sort_array(F.array(*values))  # NULLs first
+    n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in values), F.lit(0))
+    skipped = F.lit(len(values)) - n
+    return F.when(n > 0, (F.get(ordered, skipped + ((n - 1) / 2).cast("int")) + F.get(ordered, skipped + (n / 2).cast("int"))) / 2)
+
+
+def rolling_median(value: str | Column, w: Window, k: int) -> Column:
+    """Median of the trailing `k` rows: lagged values for short frames, an ordinary percentile for long ones."""
+    x = F.col(value) if isinstance(value, str) else value
+    if k > LAG_FRAME:
+        return F.percentile(x, F.lit(0.5)).over(rows_back(w, k))
+    return middle([x, *[F.lag(x, j).over(w) for j in range(1, k)]])
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Long form, one row per (id, feature), with DOUBLE values."""
     return df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(list(ids), list(features), name, value)

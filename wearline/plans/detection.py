@@ -19,8 +19,8 @@ def series(spark, sf, how="maximum"):
 
 def primary(spark, sf):
     """Trajectories and alarms of the flagship detector."""
-    rows = de.with_settings(de.trajectory(series(spark, sf), UNIT, "combined", BASELINE, WINDOW), [THRESHOLD], [PERSISTENCE])
-    return rows, de.persistent_alarm(rows, UNIT, [PERSISTENCE], GAP, POST, EFFECT)
+    rows = de.trajectory(series(spark, sf), UNIT, "combined", BASELINE, WINDOW)
+    return rows, de.persistent_alarm(rows, UNIT, [(THRESHOLD, PERSISTENCE)], GAP, POST, EFFECT)
 
 
 VIEWS["v_series"] = "SELECT *, greatest(horizontal, vertical) AS combined FROM v_readings"
@@ -53,10 +53,12 @@ def causal_aggregate(spark, sf):
 
 @register(
     "m8_robust_normalize",
-    "SELECT unit_id, sequence_index, round(normalized, 6) + 0.0 AS normalized, round(center, 6) + 0.0 AS baseline_median, round(mad, 6) AS baseline_mad FROM v_normal",
+    "SELECT unit_id, sequence_index, round(least(greatest(normalized, -1e6), 1e6), 6) + 0.0 AS normalized, round(center, 6) + 0.0 AS baseline_median, round(mad, 6) AS baseline_mad FROM v_normal",
 )
 def robust_normalize(spark, sf):
-    return rounded(de.trajectory(series(spark, sf), UNIT, "combined", BASELINE, WINDOW), ["unit_id", "sequence_index"], ["normalized", "baseline_median", "baseline_mad"])
+    rows = de.trajectory(series(spark, sf), UNIT, "combined", BASELINE, WINDOW)
+    bounded = F.least(F.greatest("normalized", F.lit(-1e6)), F.lit(1e6))  # a flat baseline divides by epsilon
+    return rounded(rows.withColumn("normalized", bounded), ["unit_id", "sequence_index"], ["normalized", "baseline_median", "baseline_mad"])
 
 
 @register(
@@ -94,16 +96,10 @@ GRID_BASELINES, GRID_WINDOWS, GRID_THRESHOLDS, GRID_PERSISTENCES = (5, 10), (1,
 
 def grid_detections(spark, sf):
     """Every detector setting on every unit: two families, shared series computed once per baseline and window."""
-    merged = None
-    for family, how in (("mean_level", "mean"), ("maximum_level", "maximum")):
-        rows = series(spark, sf, how)
-        for baseline in GRID_BASELINES:
-            for window in GRID_WINDOWS:
-                part = de.trajectory(rows, UNIT, "combined", baseline, window).withColumn("detector_family", F.lit(family))
-                merged = part if merged is None else merged.unionByName(part)
-    every = de.with_settings(merged, GRID_THRESHOLDS, GRID_PERSISTENCES)
-    keys = [*UNIT, "detector_family", "baseline_acquisitions", "causal_window", "threshold", "persistence"]
-    alarms = de.persistent_alarm(every, keys, GRID_PERSISTENCES, GAP, POST, 0.5)
+    families = {how: de.combine(F.col("horizontal"), F.col("vertical"), how.removesuffix("_level")) for how in ("mean_level", "maximum_level")}
+    every = de.grid_trajectories(readings(spark, sf), UNIT, families, GRID_BASELINES, GRID_WINDOWS)
+    keys = [*UNIT, "detector_family", "baseline_acquisitions", "causal_window"]
+    alarms = de.persistent_alarm(every, keys, [(t, p) for t in GRID_THRESHOLDS for p in GRID_PERSISTENCES], GAP, POST, 0.5)
     ends = readings(spark, sf).groupBy(*UNIT).agg(F.max("rul_minutes").alias("_last"))
     out = alarms.join(ends, UNIT)
     share = F.try_divide(F.col("alarm_confirmation_index").cast("double"), F.col("_last"))

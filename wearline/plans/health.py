@@ -279,8 +279,8 @@ def _settings(rows, cost="l2", penalty=2000.0):
 
 @register("h4_change_points")
 def change_points(spark, sf):
-    rows = _settings(health_rows(spark, sf))
-    both = rows.unionByName(_settings(health_rows(spark, sf), "rbf", 3.0))
+    smooth = cut(health_rows(spark, sf))
+    both = _settings(smooth).unionByName(_settings(smooth, "rbf", 3.0))
     return he.change_points(both, [*UNIT, "cost_model"]).select(*UNIT, "cost_model", "boundary")
 
 
@@ -301,7 +301,7 @@ _PRE = "SELECT median(s.smoothed) FROM v_smooth s WHERE s.unit_id = c.unit_id AN
        FROM v_units u LEFT JOIN best USING (unit_id)""",
 )
 def onset_rule(spark, sf):
-    rows = _settings(health_rows(spark, sf))
+    rows = _settings(cut(health_rows(spark, sf)))
     fixed = rows.where("sequence_index = 0").select(*UNIT, F.explode(F.array(*[F.lit(b).cast("bigint") for b in (10, 20, 30, 40)])).alias("boundary"))
     found = he.onsets(rows, fixed, UNIT)
     return found.select("unit_id", "onset_status", "onset_index", "rul_at_onset", *[r6(c).alias(c) for c in ("pre_change_median", "post_change_median", "robust_effect_size")])
@@ -325,6 +325,7 @@ def sensitivity_rows(spark, sf):
     base = he.centred(readings(spark, sf), UNIT, "horizontal")
     for window in SMALL_GRID["smoothing_window"]:
         base = he.smoothed(base, UNIT, "centered", window, name=f"smooth_{window}")
+    base = cut(base.select(*UNIT, "sequence_index", "total_acquisitions", "baseline_acquisitions", "elapsed_minutes", "rul_minutes", *[f"smooth_{w}" for w in SMALL_GRID["smoothing_window"]]))
     settings = he.parameter_grid(spark, SMALL_GRID, effect=0.25)
     rows = he.with_parameters(base, settings).withColumn("smoothed", F.when(F.col("smoothing_window") == 5, F.col("smooth_5")).otherwise(F.col("smooth_7")))
     keys = [*UNIT, "parameter_id"]

@@ -262,7 +262,7 @@ def fold_metrics(spark, sf):
         LEFT JOIN (SELECT experiment, condition_id, avg(mae) AS macro_mae, avg(rmse) AS macro_rmse FROM v_unit_metrics GROUP BY 1, 2) USING (experiment, condition_id)""",
 )
 def condition_metrics(spark, sf):
-    rows = predictions(spark, sf)
+    rows = cut(predictions(spark, sf))
     out = me.condition_metrics(rows, me.unit_metrics(rows))
     return rounded(out, ["experiment", "condition_id"], ["mae", "rmse", "macro_mae", "macro_rmse"], ["unit_count"])
 
@@ -277,7 +277,7 @@ _COMPARED = ["global_mae", "global_rmse", "global_signed_error", "macro_mae", "m
         JOIN (SELECT experiment, avg(macro_mae) AS fold_macro_mae_mean, stddev_samp(macro_mae) AS fold_macro_mae_std FROM ({_FOLD}) GROUP BY 1) USING (experiment) ORDER BY macro_mae""",
 )
 def model_comparison(spark, sf):
-    rows = predictions(spark, sf)
+    rows = cut(predictions(spark, sf))  # read by the row, unit and fold summaries
     units = me.unit_metrics(rows)
     return rounded(me.model_comparison(rows, units, me.fold_metrics(units)), ["experiment"], _COMPARED)
 

@@ -11,6 +11,7 @@ from wearline.plans.detection import BASELINE, EFFECT, GAP, PERSISTENCE, THRESHO
 from wearline.plans.health import folds
 from wearline.plans.rul import rounded
 from wearline.plans.signals import BANDS, FS, OVERLAP, SEGMENT
+from wearline.session import scratch
 from wearline.sources import files, incremental
 from wearline.sources.tables import UNIT, raw_readings, readings, signals, table
 from wearline.streaming import online
@@ -27,7 +28,7 @@ def stream_features(spark, sf):
 
 def replay(spark, sf, columns):
     """Readings written in hash order over several files, replayed one file per micro-batch."""
-    out = online.scratch(spark, "replay")
+    out = scratch(spark, "replay")
     rows = series(spark, sf).select(*UNIT, "acquisition_number", "sequence_index", *columns)
     rows.repartition(4, "acquisition_number").write.parquet(out)
     return online.table_stream(spark, out, "part-", rows.schema)
@@ -61,7 +62,7 @@ def online_trends(spark, sf):
 @register("r4_deduplicated_stream", "SELECT unit_id, count(*) AS acquisitions, CAST(sum(acquisition_number) AS BIGINT) AS number_sum FROM v_readings GROUP BY 1")
 def deduplicated_stream(spark, sf):
     """Every acquisition sent twice, in different micro-batches."""
-    out = online.scratch(spark, "twice")
+    out = scratch(spark, "twice")
     rows = raw_readings(spark, sf).select("unit_id", "acquisition_number", F.col("ts").cast("timestamp").alias("ts"))
     for _ in range(2):
         rows.write.mode("append").parquet(out)
@@ -106,7 +107,7 @@ def session_windows(spark, sf):
 
 def acquisition_files(spark, sf):
     """Signals written as headered two-channel CSV text below <condition>/<unit>/, one file per unit and task."""
-    out = online.scratch(spark, "raw")
+    out = scratch(spark, "raw")
     pairs = signals(spark, sf).select(*UNIT, "acquisition_number", F.posexplode(F.arrays_zip("horizontal", "vertical")).alias("i", "z"))
     lines = pairs.select(*UNIT, F.col("z.horizontal").alias(files.CHANNELS[0]), F.col("z.vertical").alias(files.CHANNELS[1]))
     lines.repartition("unit_id").write.partitionBy(*UNIT).option("header", True).csv(out)
@@ -140,7 +141,7 @@ def csv_inspection(spark, sf):
 @register("a7_json_manifest", "SELECT fold, subset, CAST(unit_id AS VARCHAR) AS unit_id FROM v_folds")
 def json_manifest(spark, sf):
     """Fold plan written as JSON lines per fold and condition with nested unit lists, read back and exploded."""
-    out = online.scratch(spark, "folds")
+    out = scratch(spark, "folds")
     lists = [F.collect_list(F.when(F.col("subset") == s, F.col("unit_id").cast("string"))).alias(s) for s in ("train", "validation", "test")]
     part = F.pmod(F.xxhash64("unit_id"), F.lit(64)).alias("_part")  # bounded lists however many units there are
     folds(spark, sf).groupBy("fold", "condition_id", part).agg(*lists).select(F.array(F.struct("fold", "train", "validation", "test")).alias("folds")).write.json(out)
@@ -153,7 +154,7 @@ def gated_publish(spark, sf):
     rows = readings(spark, sf).groupBy("unit_id").agg(F.count("*").alias("n"))
     clean = q.expect(rows, [("empty_unit", q.ERROR, F.col("n") < 1)])
     broken = q.expect(rows, [("short_unit", q.ERROR, F.col("n") < 1_000_000)])
-    good, bad = online.scratch(spark, "good"), online.scratch(spark, "bad")
+    good, bad = scratch(spark, "good"), scratch(spark, "bad")
     if not incremental.publish(rows, clean, good) or incremental.publish(rows, broken, bad):
         raise AssertionError("the publishing gate decided wrongly")
     return spark.read.schema(rows.schema).parquet(good).unionByName(spark.read.schema(rows.schema).parquet(bad))
@@ -161,7 +162,7 @@ def gated_publish(spark, sf):
 
 @register("a9_multi_format_sink", "SELECT kind, fold, count(*) AS n, CAST(sum(unit_id) AS BIGINT) AS unit_sum FROM v_folds, (VALUES ('parquet'), ('csv')) k(kind) GROUP BY 1, 2")
 def multi_format_sink(spark, sf):
-    out = online.scratch(spark, "sink")
+    out = scratch(spark, "sink")
     rows = folds(spark, sf)
     incremental.write_tables(rows, out, ["fold"])
     a = spark.read.schema(rows.schema).parquet(f"{out}/parquet").withColumn("kind", F.lit("parquet"))

@@ -28,8 +28,8 @@ def marks(spark, sf):
 
 
 def cohort(spark, sf):
-    """Landmarks censored where the reading is an error event, so censoring times vary."""
-    return marks(spark, sf).withColumn("event_observed", F.when(F.col("event_type") == "error", 0).otherwise(1))
+    """Landmarks censored where the reading is an error event; a written table that later steps read repeatedly."""
+    return cut(marks(spark, sf).withColumn("event_observed", F.when(F.col("event_type") == "error", 0).otherwise(1)))
 
 
 def subset_of(df, name):
@@ -306,7 +306,7 @@ def supported_grid(spark, sf):
 
 
 def scored(spark, sf):
-    rows = cut(cohort(spark, sf))  # landmarks, read by both risk tables, the support and the curves
+    rows = cohort(spark, sf)
     grid = times(spark, sf, rows)
     lines = curves(spark, sf, rows)
     support = su.supported_grid(subset_of(rows, "train"), subset_of(rows, "test"), grid, ["fold"], ["fold", "unit_id"])

@@ -1,4 +1,4 @@
-"""Session helpers: builder defaults and the lineage cut every hot-group operator relies on."""
+"""Session helpers: builder defaults, size checks and the written tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import shutil
 import tempfile
 from collections.abc import Sequence
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ def build_session(app: str = "wearline", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -69,10 +71,20 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the one all executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later uses read the same written rows, also after executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Later uses see the same rows, also after executors are lost, read only the columns they need and know the
+    table's true size.
+    """
+    folder = scratch(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

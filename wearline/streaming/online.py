@@ -8,7 +8,6 @@ has no look-ahead, so it equals the batch alarm with `minimum_post = 0`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wearline.operators.detect import EPSILON
-from wearline.session import shared_folder
+from wearline.session import scratch
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -28,11 +27,6 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
     )
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below the one all executors share."""
-    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
-
-
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process what the source holds now into a Parquet table with its own checkpoint, and read it back."""
     spark = stream.sparkSession
