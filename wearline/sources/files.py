@@ -15,7 +15,10 @@ CONDITION_PATTERN = r"([0-9.]+)Hz([0-9.]+)kN"
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """Every file with its size and modification time; contents are never read."""
+    """Every file with its size and modification time; contents are never read.
+
+    Spark's file sources skip zero-byte files, so an empty acquisition is found as a missing number.
+    """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
         .select("path", "length", "modificationTime")
