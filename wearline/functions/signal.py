@@ -23,6 +23,9 @@ SPECTRAL_FEATURES = (
     "rms_frequency_hz", "spectral_entropy", "total_spectral_power",
 )
 
+#: Samples worked on at once inside a batch, so long signals do not multiply in memory.
+CHUNK_SAMPLES = 1 << 21
+
 Band = tuple[str, float, float]
 
 
@@ -108,11 +111,13 @@ def _by_length(signals: pd.Series):
     """Positions and stacked DOUBLE rows for every distinct usable signal length of the batch."""
     sizes = signals.map(lambda s: -1 if s is None else len(s)).to_numpy()
     for size in np.unique(sizes[sizes >= 2]):
-        spots = np.flatnonzero(sizes == size)
-        rows = np.stack([signals.iloc[i] for i in spots]).astype(np.float64)
-        good = np.isfinite(rows).all(axis=1)
-        if good.any():
-            yield spots[good], rows[good]
+        every = np.flatnonzero(sizes == size)
+        step = max(1, CHUNK_SAMPLES // int(size))
+        for spots in (every[k : k + step] for k in range(0, len(every), step)):
+            rows = np.stack([signals.iloc[i] for i in spots]).astype(np.float64)
+            good = np.isfinite(rows).all(axis=1)
+            if good.any():
+                yield spots[good], rows[good]
 
 
 def welch_psd(signal: Column, fs: float, nperseg: int, overlap: int) -> Column:

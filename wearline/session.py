@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Inputs up to this many bytes let one task hold the largest possible group.
 TASK_BYTES_KEY = "spark.wearline.taskBytes"
-TASK_BYTES = 256 * 1024 * 1024
+TASK_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "wearline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -26,6 +26,7 @@ def build_session(app: str = "wearline", master: str | None = None, shuffle_part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     )
     if master:
         builder = builder.master(master)
