@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearline.operators.scale import any_of, running, trailing, with_totals
+from wearline.session import cut
 
 ERROR, WARNING = "error", "warning"
 
@@ -187,24 +188,26 @@ def manifest_issues(manifest: DataFrame, unit: Sequence[str], interval: float, t
 def duplicate_stages(content: DataFrame, key: str, body: str, size: str | None = None) -> dict[str, DataFrame]:
     """Exact duplicates in three stages; each stage only keeps rows the next, dearer hash must see.
 
-    Returns the candidate tables ``sized``, ``boundary`` and ``full``. Digest and row stay in long form:
-    a group of copies may be any size, so its members are never gathered.
+    Returns the candidate tables ``sized``, ``boundary`` and ``full``. Every hash is taken once and written
+    without its content. Digest and row stay in long form: a group of copies may be any size, so its members
+    are never gathered.
     """
 
     def repeated(df: DataFrame, column: str) -> DataFrame:
         return df.join(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(column), column, "left_semi")
 
     measured = content.select(key, body, (F.col(size) if size else F.octet_length(body)).alias("size_bytes"))
-    sized = repeated(measured, "size_bytes")
+    shared = measured.select(key, "size_bytes").groupBy("size_bytes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("size_bytes")
     edges = F.concat(
         F.col("size_bytes").cast("string"),
         F.substring(body, 1, BOUNDARY_CHARS),
         F.lit(BOUNDARY_TAG),
         F.expr(f"right({body}, {BOUNDARY_CHARS})"),
     )
-    boundary = repeated(sized.withColumn("boundary_digest", F.sha2(edges, 256)), "boundary_digest")
-    full = repeated(boundary.withColumn("digest", F.sha2(F.col(body), 256)), "digest")
-    return {"sized": sized, "boundary": boundary, "full": full}
+    sized = cut(measured.join(shared, "size_bytes", "left_semi").select(key, "size_bytes", F.sha2(edges, 256).alias("boundary_digest")))
+    boundary = repeated(sized, "boundary_digest")
+    hashed = cut(measured.join(boundary.select(key), key, "left_semi").select(key, "size_bytes", F.sha2(F.col(body), 256).alias("digest")))
+    return {"sized": sized, "boundary": boundary, "full": repeated(hashed, "digest")}
 
 
 def duplicate_content(content: DataFrame, key: str, body: str) -> DataFrame:
