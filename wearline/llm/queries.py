@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wearline.llm import exact_dedup, license_scan
-from wearline.llm.common import documents
+from wearline.llm import exact_dedup, license_scan, packing, token_files
+from wearline.llm.common import cut, documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    token_files.write(documents(spark, sf_dir), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
 
@@ -20,5 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_scan, op4_exact_dedup)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = packing.pieces(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(cut(cut_up))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
