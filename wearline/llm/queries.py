@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import exact_dedup, license_scan, packing, token_files
+from wearline.llm import exact_dedup, imatch, license_scan, packing, secret_scan, token_files, word_bpe
 from wearline.llm.common import cut, documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan(documents(spark, sf_dir)))
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir)))
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.placed(cut(cut_up))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op9_best_fit_packing)}
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op9_best_fit_packing, op10_imatch_fingerprints)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
