@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import exact_dedup, imatch, license_scan, packing, secret_scan, token_files, word_bpe
+from wearline.llm import exact_dedup, imatch, language_id, license_scan, packing, secret_scan, token_files, toxicity, word_bpe
 from wearline.llm.common import cut, documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,16 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.placed(cut(cut_up))
@@ -46,5 +56,5 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op9_best_fit_packing, op10_imatch_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op7_toxicity, op8_language_id, op9_best_fit_packing, op10_imatch_fingerprints)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
