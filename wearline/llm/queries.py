@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import exact_dedup, imatch, language_id, license_scan, packing, secret_scan, token_files, toxicity, word_bpe
+from wearline.llm import exact_dedup, imatch, language_id, license_scan, ngram_join, packing, secret_scan, token_files, toxicity, word_bpe
 from wearline.llm.common import cut, documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
 
@@ -56,5 +60,5 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op7_toxicity, op8_language_id, op9_best_fit_packing, op10_imatch_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op7_toxicity, op8_language_id, op9_best_fit_packing, op10_imatch_fingerprints)}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
