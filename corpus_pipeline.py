@@ -1,11 +1,22 @@
-"""The corpus pipeline: toxicity, exact copies, near copies, secrets, packing."""
+"""The corpus pipeline: toxicity, exact copies, near copies, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wearline.llm import exact_dedup, ngram_join, packing, secret_scan, toxicity
+from wearline.llm.common import cut
+from wearline.session import ship_package
 
-from wearline.llm import exact_dedup
-from wearline.session import cut, ship_package
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator, learned from these documents and `labels`, does not reject."""
+    ship_package(spark)
+    return toxicity.without_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,16 +24,42 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every class of near copies."""
+    ship_package(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets that belong to someone are overwritten with asterisks, copied examples stay."""
+    ship_package(spark)
+    return secret_scan.masked(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents with their sequence and their place in it."""
+    ship_package(spark)
+    cut_up = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.placed(cut(cut_up))
 
-#: Several stages are trained or packed, which SQL cannot express.
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scan", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Learned scores, signatures and a fitted plan have no SQL twin; tests compare every stage with a plain version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again by the next one."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs

@@ -125,7 +125,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     Spans travel to their text by (id, text hash); only documents with live spans change.
     """
-    rows = cut(docs.withColumn("_key", F.xxhash64(F.col(id_col), whole_text(text_col))))
+    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), whole_text(text_col)))
     live = F.filter("spans", lambda s: s["live"])
     scanned = scan(rows, "_key", text_col, repository_col, owner_col)
     hits = scanned.select(F.col("doc_id").alias("_key"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_hits")).where(F.size("_hits") > 0).dropDuplicates(["_key"])

@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import Memo, arrow_map, crc_bucket, whole_text
@@ -209,18 +209,18 @@ def _ordinary(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     return frozenset(r["word"] for r in arrow_map(sample.where("toxic = 0").select("text"), near, "word string").distinct().collect())
 
 
-def numbers(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of `texts` with `x`, what the regression sees, in place of `text`."""
+def numbers(texts: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows of `texts` with `x`, what the regression sees, in place of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(lexicon)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            at = batch.schema.get_field_index(text_col)
             kept = [i for i in range(batch.num_columns) if i != at]
             found = [trie.numbers(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(found, pa.list_(pa.float64()))], names=[*[batch.schema.names[i] for i in kept], "x"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != text_col)
     return arrow_map(texts, rows, f"{fields}, x array<double>")
 
 
@@ -255,9 +255,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
     seen = numbers(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), whole_text(text_col).alias("text")), model.lexicon)
+    return seen.select("doc_id", "held_out", _score(model).alias("score")).select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _score(model: Model) -> Column:
     *weights, bias = model.weights
     if bias == -math.inf:
-        score = F.lit(0.0)
-    else:
-        score = 1 / (1 + F.exp(-sum((F.get("x", i) * w for i, w in enumerate(weights)), F.lit(bias))))
-    return seen.select("doc_id", "held_out", score.alias("score")).select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        return F.lit(0.0)
+    return 1 / (1 + F.exp(-sum((F.get("x", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(bias))))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose score is below the threshold, with all their columns; rows stay where they are."""
+    seen = numbers(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), whole_text(text_col).alias("text")), model.lexicon)
+    return seen.where(_score(model) < threshold).select("d.*")
