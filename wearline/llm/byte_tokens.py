@@ -8,63 +8,113 @@ the ids are told apart by the byte lengths of the tokens. The map of pieces is b
 from __future__ import annotations
 
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from wearline.llm.common import Memo
+
 BYTE_BPE = "byte_bpe_50k.json"
 _CUT = re.compile(r" (?=\S)")
 _OTHER_SPACE = re.compile(r" (?=\s|\Z)")
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return [chr(b) if b in set(plain) else chr(256 + others.index(b)) for b in range(256)]
+
+
 def default_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
+class _Known(dict):
+    """A bounded map; when it is full, what was met since the last renewal stays for one more round."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def renew(self) -> None:
+        """Makes room if need be; nothing leaves the map otherwise."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Those of `words` that were not met lately; the others are in the map now."""
+        found = []
+        for word in words:
+            if (value := self.older.get(word)) is not None:
+                self[word] = value
+            elif word not in self:
+                found.append(word)
+        return found
+
+
 class ByteEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Token ids of whole texts as little-endian unsigned 32-bit integers.
+
+    Most pieces are letters with signs behind them, which the pattern takes apart there; their letters are remembered apart
+    from the signs. All encoding is the library's.
+    """
 
-    def __init__(self, path: str, size: int = 600_000):
+    def __init__(self, path: str, size: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():  # one character of a byte-level token is one byte
             self.lengths[number] = len(token)
-        self.size = size
-        self.after_space: dict[str, bytes] = {}
+        self.pieces = _Known(size)
+        self.letters = _Known(size // 2)
+        self.signs = Memo(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes() if text else b""
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.after_space) + len(words) > self.size:
-            self.after_space.clear()
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of every word with a space before it, in one call."""
         if not words:
-            return
+            return []
         ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum([1 + len(w) if w.isascii() else 1 + len(w.encode()) for w in words])
-        stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        packed, start = ids.tobytes(), 0
-        for word, stop in zip(words, (stops * 4).tolist(), strict=True):
-            self.after_space[word] = packed[start:stop]
-            start = stop
+        ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+        stops = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
+        packed = ids.tobytes()
+        return [packed[start:stop] for start, stop in zip([0, *stops], stops)]
+
+    def _learn(self, words: list[str]) -> None:
+        split, others = [], []
+        for word in words:
+            stem = word.rstrip(string.punctuation)
+            if stem.isalpha():
+                split.append((word, stem))
+            else:
+                others.append(word)
+        self.letters.renew()
+        unknown = self.letters.unknown({stem for _, stem in split if stem not in self.letters})
+        self.letters.update(zip(unknown, self._after_space(unknown)))
+        for word, stem in split:
+            known = self.letters[stem]
+            self.pieces[word] = known if word is stem else known + self.signs[word[len(stem) :]]
+        self.pieces.update(zip(others, self._after_space(others)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text; the same as encoding it whole."""
         found = []
         for text in texts:
             head, *words = text.split(" ") if _OTHER_SPACE.search(text) is None else _CUT.split(text)
-            memo = self.after_space
-            missing = [w for w in set(words) if w not in memo]
-            if missing:
-                self._learn(missing)
-                if len(missing) > self.size or len(memo) < len(missing):  # more words than the map may hold
-                    raise RuntimeError("the map of words lost entries")
-                if len(memo) == len(missing):  # the map was cleared
-                    self._learn([w for w in set(words) if w not in memo])
-            found.append(b"".join([self._whole(head), *[memo[w] for w in words]]))
+            pieces = self.pieces
+            pieces.renew()
+            ids = list(map(pieces.get, words))
+            if None in ids:
+                self._learn(pieces.unknown({w for w, known in zip(words, ids) if known is None}))
+                ids = [pieces[w] if known is None else known for w, known in zip(words, ids)]
+            found.append(self._whole(head) + b"".join(ids))
         return found
 
 

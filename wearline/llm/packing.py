@@ -31,7 +31,7 @@ END_ID = 0
 #: Widths of the length classes that are tried; the plan with the fewest sequences is used.
 CLASS_WIDTHS = (32, 64)
 #: Pieces of one length that one task ranks.
-BLOCK_PIECES = 200_000
+BLOCK_PIECES = 1_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 

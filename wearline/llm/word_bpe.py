@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearline.llm.byte_tokens import byte_symbols
 from wearline.llm.common import Memo, arrow_map, whole_text
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,13 +45,6 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + others.index(b)) for b in range(256)]
-
-
 class WordEncoder:
     """Encodes and decodes with a vocabulary whose words carry an end sign and whose pieces stand for bytes."""
 
