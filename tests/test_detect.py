@@ -16,15 +16,15 @@ def alarm(spark, values, post=2):
 
 
 def test_alarm_needs_persistence(spark):
-    assert alarm(spark, [0, 0, 0, 5, 5, 5, 0, 0, 0, 0])["alarm_confirmation_index"] == 5
-    single = alarm(spark, [0, 0, 0, 9, 0, 0, 0, 0])
-    assert single["detection_status"] == "not_detected" and single["first_threshold_crossing_index"] == 3
+    assert alarm(spark, [1, -1, 0, 2, 7, 6.5, 8, 1, 0, 2, 1])["alarm_confirmation_index"] == 6
+    single = alarm(spark, [1, 0, -1, 2, 4.5, 1, 3, 2, 0, 1])
+    assert single["detection_status"] == "not_detected" and single["first_threshold_crossing_index"] == 4
 
 
 def test_alarm_ignores_the_future(spark):
-    for tail in ([0, 0, 0], [50, 50, 50]):
-        assert alarm(spark, [0, 0, 0, 5, 5, 5, *tail])["alarm_confirmation_index"] == 5
-    assert alarm(spark, [0, 0, 0, 5, 5, 5, 0])["detection_status"] == "not_detected"
+    for tail in ([1, 2, 0, 3], [400, -9, 31, 60]):
+        assert alarm(spark, [2, 1, 0, 3, 6, 9, 4.25, *tail])["alarm_confirmation_index"] == 6
+    assert alarm(spark, [2, 1, 0, 3, 6, 9, 4.25, 1])["detection_status"] == "not_detected"
 
 
 @pytest.mark.parametrize("span", [1, 2, 3, 9, 20])
@@ -36,10 +36,10 @@ def test_ewma_over_segments(spark, span):
 
 
 def test_trailing_median_and_trends(spark):
-    rows = de.causal_aggregate(frame(spark, [1, 2, 100, 4]), ["unit_id"], "normalized", 3, "median", "m").orderBy("sequence_index").toPandas()
-    assert list(rows["m"]) == [1, 1.5, 2, 4]
-    trend = de.trend_features(frame(spark, [1, 3, 5, 7, 9]).withColumnRenamed("normalized", "f"), ["unit_id"], "f", 3, (3,)).orderBy("sequence_index").toPandas()
-    assert np.allclose(trend["f__w3_slope"], [0, 2, 2, 2, 2]) and list(trend["f__first_difference"]) == [0, 2, 2, 2, 2] and list(trend["f__baseline_difference"]) == [-2, 0, 2, 4, 6]
+    rows = de.causal_aggregate(frame(spark, [7, 3, 250, 8, 5]), ["unit_id"], "normalized", 3, "median", "m").orderBy("sequence_index").toPandas()
+    assert list(rows["m"]) == [7, 5, 7, 8, 8]
+    trend = de.trend_features(frame(spark, [10, 7, 4, 1, -2]).withColumnRenamed("normalized", "f"), ["unit_id"], "f", 3, (3,)).orderBy("sequence_index").toPandas()
+    assert np.allclose(trend["f__w3_slope"], [0, -3, -3, -3, -3]) and list(trend["f__first_difference"]) == [0, -3, -3, -3, -3] and list(trend["f__baseline_difference"]) == [3, 0, -3, -6, -9]
 
 
 def test_sequences(spark):

@@ -51,3 +51,43 @@ def test_trailing_frames_cross_segments(hot, segment):
 def test_middle_ignores_nulls(spark):
     row = spark.range(1).select(sc.middle([F.lit(None).cast("double"), F.lit(3.0), F.lit(1.0), F.lit(2.0), F.lit(10.0)]).alias("m"), sc.middle([F.lit(None).cast("double")]).alias("n")).first()
     assert row["m"] == 2.5 and row["n"] is None
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """NULL keys, NULL values, a group of NULLs only, ties."""
+    rows = [(None, 1, 2.0), (None, 2, None), (None, 3, 1.0), (1, 1, None), (1, 2, None), (2, 1, None), (2, 2, 5.0), (2, 3, 5.0), (2, 4, 1.0), (3, 1, 0.0)]
+    return spark.createDataFrame(rows, "unit int, at int, v double")
+
+
+def both_plans(make, *columns):
+    out = [sorted(make(split).select(*columns).collect(), key=str) for split in (False, True)]
+    assert out[0] == out[1]
+    return out[1]
+
+
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_running_keeps_nulls_in_both_plans(holes, exclusive):
+    totals = {"s": ("sum", F.col("v")), "m": ("min", F.col("v")), "x": ("max", F.col("v"))}
+    rows = both_plans(lambda split: sc.running(holes, ["unit"], ["at"], totals, split, exclusive), "unit", "at", "s", "m", "x")
+    by = {(r["unit"], r["at"]): r["s"] for r in rows}
+    assert len(rows) == 10 and by[1, 2] is None and by[None, 3] == (2.0 if exclusive else 3.0)
+    assert by[3, 1] == (None if exclusive else 0.0)
+
+
+def test_totals_percentiles_and_ranks_keep_nulls_in_both_plans(holes):
+    totals = both_plans(lambda split: sc.with_totals(holes, ["unit"], {"n": F.count("v"), "t": F.sum("v")}, split), "unit", "at", "n", "t")
+    assert len(totals) == 10 and {r["n"] for r in totals if r["unit"] is None} == {2}
+    middles = both_plans(lambda split: sc.percentiles(holes, ["unit"], {"p": (F.col("v"), 0.5)}, {"n": F.count(F.lit(1))}, split), "unit", "p", "n")
+    assert {r["unit"]: (r["p"], r["n"]) for r in middles} == {None: (1.5, 3), 1: (None, 2), 2: (5.0, 4), 3: (0.0, 1)}
+    ranks = both_plans(lambda split: sc.average_ranks(holes, ["unit"], "v", "r", split), "unit", "at", "v", "r")
+    assert {(r["unit"], r["at"]): r["r"] for r in ranks if r["unit"] in (1, 2)} == {(1, 1): 1.5, (1, 2): 1.5, (2, 1): 1.0, (2, 4): 2.0, (2, 2): 3.5, (2, 3): 3.5}
+
+
+def test_percentiles_of_long_expressions_stay_apart(hot):
+    df, _ = hot
+    many = [F.when(F.col("v") == i, i) for i in range(60)]
+    one, two = (F.coalesce(*many, F.col("v") * k) for k in (1, 2))
+    row = sc.percentiles(df, [], {"a": (one, 0.9), "b": (two, 0.9)}, split=True).first()
+    same = sc.percentiles(df, [], {"a": (one, 0.9), "b": (two, 0.9)}, split=False).first()
+    assert (row["a"], row["b"]) == (same["a"], same["b"])

@@ -70,8 +70,9 @@ def time_feature_columns(x: str, n: Column, s: str, c: str) -> dict[str, Column]
     """The fifteen statistics from the columns prepared by `moments` (`s`) and `centred` (`c`)."""
     a, b = F.col(s), F.col(c)
     rms, mean_abs, mean_root = F.sqrt(a["s2"] / n), a["sa"] / n, a["sr"] / n
-    variance = b["m2"] / n
     low, high = F.array_min(x), F.array_max(x)
+    # a constant signal has no spread, whatever its mean's rounding leaves; its shape statistics are undefined
+    variance = F.when(low == high, 0.0).otherwise(b["m2"] / n)
     return {
         "mean": a["s1"] / n,
         "std": F.sqrt(variance),

@@ -188,8 +188,8 @@ def manifest_issues(manifest: DataFrame, unit: Sequence[str], interval: float, t
 def duplicate_stages(content: DataFrame, key: str, body: str, size: str | None = None) -> dict[str, DataFrame]:
     """Exact duplicates in three stages; each stage only keeps rows the next, dearer hash must see.
 
-    Returns the candidate tables ``sized``, ``boundary`` and ``full``. Every hash is taken once and written
-    without its content. Digest and row stay in long form: a group of copies may be any size, so its members
+    Returns the candidate tables ``sized``, ``boundary`` and ``full``. Every hash is taken once, in the
+    scan, and written without its content. Digest and row stay in long form: a group of copies may be any size, so its members
     are never gathered.
     """
 
@@ -204,9 +204,11 @@ def duplicate_stages(content: DataFrame, key: str, body: str, size: str | None =
         F.lit(BOUNDARY_TAG),
         F.expr(f"right({body}, {BOUNDARY_CHARS})"),
     )
-    sized = cut(measured.join(shared, "size_bytes", "left_semi").select(key, "size_bytes", F.sha2(edges, 256).alias("boundary_digest")))
+    # sizes and digests are taken where the rows are read, so that no exchange carries content
+    prints = measured.select(key, "size_bytes", F.sha2(edges, 256).alias("boundary_digest"), F.sha2(F.col(body), 256).alias("digest"))
+    sized = cut(prints.join(shared, "size_bytes", "left_semi"))
     boundary = repeated(sized, "boundary_digest")
-    hashed = cut(measured.join(boundary.select(key), key, "left_semi").select(key, "size_bytes", F.sha2(F.col(body), 256).alias("digest")))
+    hashed = boundary.select(key, "size_bytes", "digest")
     return {"sized": sized, "boundary": boundary, "full": repeated(hashed, "digest")}
 
 

@@ -23,6 +23,13 @@ def _is_small(df: DataFrame, split: bool | None) -> bool:
     return fits_one_task(df) if split is None else not split
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys equal each other; the key columns come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys] or [F.lit(True)]
+    return left.join(renamed, reduce(lambda a, b: a & b, condition), how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,13 +40,14 @@ def running(
 ) -> DataFrame:
     """Add running aggregates; `totals` maps a new column to (``sum``|``min``|``max``, expression).
 
-    With `exclusive` the row itself is left out, so the first row of a group gets NULL (0 when split sums).
+    With `exclusive` the row itself is left out, so the first row of a group gets NULL; so does one with only NULLs so far.
+    NULL keys form a group of their own.
 
     `order` must be unique inside a group. The split plan range-partitions on keys + order, so a hot
     group is spread over many blocks, and adds to each block the combined totals of its earlier blocks.
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
-    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
     last = -1 if exclusive else 0
     if _is_small(df, split):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
@@ -58,7 +66,7 @@ def running(
         .select(*block_keys, *[fold[kind](f"_b_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in totals.items()])
     )
     inside = Window.partitionBy(*block_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    return blocks.join(carried, block_keys).select(
+    return same_keys(blocks, carried, block_keys).select(
         *df.columns,
         *[join[kind](F.col(f"_c_{name}"), fold[kind](f"_v_{name}").over(inside)).alias(name) for name, (kind, _) in totals.items()],
     )
@@ -74,7 +82,7 @@ def with_totals(
     spots = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     grouped = rows.groupBy(*spots).agg(*[agg.alias(name) for name, agg in totals.items()])
-    return rows.join(grouped, list(spots)).select(*df.columns, *totals)
+    return same_keys(rows, grouped, spots, "left").select(*df.columns, *totals)
 
 
 def percentiles(
@@ -95,15 +103,16 @@ def percentiles(
         return df.groupBy(*keys).agg(*plain, *[F.percentile(v, F.lit(p)).alias(n) for n, (v, p) in wanted.items()])
 
     values: dict[str, tuple[Column, dict[str, float]]] = {}
-    for name, (value, p) in wanted.items():
-        values.setdefault(str(value), (value, {}))[1][name] = p
+    for name, (value, p) in wanted.items():  # a long expression's text may be shortened, so it is not a key
+        text = str(value)
+        values.setdefault(name if "more fields" in text or len(text) > 500 else text, (value, {}))[1][name] = p
     spots = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     result = rows.groupBy(*spots).agg(*plain, F.count(F.lit(1)).alias("_rows"))
     for value, probs in values.values():
         counts = rows.select(*spots, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*spots, "_x").agg(F.count(F.lit(1)).alias("_n"))
         ranked = running(counts, spots, ["_x"], {"_upto": ("sum", F.col("_n"))}, split=True)
-        placed = ranked.join(ranked.groupBy(*spots).agg(F.max("_upto").alias("_size")), spots)
+        placed = same_keys(ranked, ranked.groupBy(*spots).agg(F.max("_upto").alias("_size")), spots)
         picks = []
         for name, p in probs.items():
             spot = F.lit(p) * (F.col("_size") - 1)
@@ -116,21 +125,20 @@ def percentiles(
             *spots,
             *[((1 - F.col(f"_f_{n}")) * F.col(f"_lo_{n}") + F.col(f"_f_{n}") * F.col(f"_hi_{n}")).alias(n) for n in probs],
         )
-        result = result.join(picked, spots, "left")
+        result = same_keys(result, picked, spots, "left")
     return result.select(*keys, *aggregates, *wanted)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str, split: bool | None = None) -> DataFrame:
-    """Add the 1-based average rank of `value` inside its group (ties share their mean position)."""
+    """Add the 1-based average rank of `value` inside its group (ties share their mean position; NULLs come first and tie)."""
     if _is_small(df, split):
         below = F.rank().over(Window.partitionBy(*keys).orderBy(value))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         return df.withColumn(rank, below + (ties - 1) / 2.0)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     upto = running(counts, keys, [value], {"_upto": ("sum", F.col("_ties"))}, split=True)
-    return df.join(
-        upto.select(*keys, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(rank)), [*keys, value]
-    ).select(*df.columns, rank)
+    ranks = upto.select(*keys, value, (F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias(rank))
+    return same_keys(df, ranks, [*keys, value]).select(*df.columns, rank)
 
 
 def index_units(df: DataFrame, unit: Sequence[str], order: Sequence[str], split: bool | None = None) -> DataFrame:

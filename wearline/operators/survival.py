@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.operators.rul import rank_candidates
-from wearline.operators.scale import average_ranks, index_units, percentiles, running, trailing, with_totals
+from wearline.operators.scale import average_ranks, index_units, percentiles, running, same_keys, trailing, with_totals
 from wearline.operators.scaling import moments_by_fold
 from wearline.operators.stats import holm, wilcoxon
 from wearline.operators.trajectory import correlation
@@ -105,10 +105,13 @@ def split_truth(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Truth joined back to frozen predictions; a landmark without truth is an error."""
-    joined = predictions.join(truth.select("landmark_id", "true_time_to_failure_minutes"), "landmark_id", "left")
+    """Truth joined back to frozen predictions; a landmark without truth, or with two, is an error."""
+    known = truth.groupBy("landmark_id").agg(F.count(F.lit(1)).alias("_truths"), F.first("true_time_to_failure_minutes").alias("true_time_to_failure_minutes"))
+    joined = predictions.join(known, "landmark_id", "left")
     missing = F.raise_error(F.lit("prediction without evaluation truth")).cast("double")
-    return joined.withColumn("true_time_to_failure_minutes", F.coalesce("true_time_to_failure_minutes", missing))
+    repeated = F.raise_error(F.lit("landmark with more than one evaluation truth")).cast("double")
+    checked = F.when(F.col("_truths") > 1, repeated).otherwise(F.coalesce("true_time_to_failure_minutes", missing))
+    return joined.withColumn("true_time_to_failure_minutes", checked).drop("_truths")
 
 
 def scenario_rows(cohorts: DataFrame, scenario: str) -> DataFrame:
@@ -504,8 +507,13 @@ def _linear(features: Sequence[str], weights: str = "_beta") -> Column:
 
 
 def _risk_sums(rows: DataFrame, fold: str, features: Sequence[str], second: bool, split: bool | None) -> DataFrame:
-    """Sums of e^eta, x e^eta (and x x' e^eta) over each distinct time's risk set, plus its event sums."""
-    eta = F.greatest(F.least(_linear(features), F.lit(50.0)), F.lit(-50.0))
+    """Sums of e^eta, x e^eta (and x x' e^eta) over each distinct time's risk set, plus its event sums.
+
+    The fold's largest eta (`shift`) is taken off first, so nothing overflows and no covariate's origin matters; the ratios of the
+    sums and the likelihood do not depend on it.
+    """
+    rows = same_keys(rows, rows.groupBy(fold).agg(F.max(_linear(features)).alias("_shift")), [fold])
+    eta = _linear(features) - F.col("_shift")
     e = F.exp(eta)
     cells = {"s0": e, **{f"s1_{i}": e * F.col(f) for i, f in enumerate(features)}}
     if second:
@@ -513,7 +521,7 @@ def _risk_sums(rows: DataFrame, fold: str, features: Sequence[str], second: bool
     d = F.col("event_observed")
     per_time = rows.groupBy(fold, F.col("duration_minutes").alias("time")).agg(
         *[F.sum(c).alias(f"_{n}") for n, c in cells.items()], F.sum(d).alias("events"), F.sum(d * eta).alias("eta_events"),
-        *[F.sum(d * F.col(f)).alias(f"x_events_{i}") for i, f in enumerate(features)],
+        *[F.sum(d * F.col(f)).alias(f"x_events_{i}") for i, f in enumerate(features)], F.max("_shift").alias("shift"),
     )
     return running(per_time.withColumn("_late", -F.col("time")), [fold], ["_late"], {n: ("sum", F.col(f"_{n}")) for n in cells}, split)
 
@@ -567,7 +575,7 @@ def _packed(coefficients: DataFrame, features: Sequence[str], fold: str) -> Data
 def baseline_hazard(rows: DataFrame, coefficients: DataFrame, features: Sequence[str], fold: str = "fold", split: bool | None = None) -> DataFrame:
     """Breslow cumulative baseline hazard as `survival` = exp(-H0) steps."""
     sums = _risk_sums(rows.join(_packed(coefficients, features, fold), fold), fold, features, False, split)
-    steps = sums.select(fold, "time", (F.col("events") / F.col("s0")).alias("_h"))
+    steps = sums.select(fold, "time", (F.col("events") / F.col("s0") * F.exp(-F.col("shift"))).alias("_h"))
     return running(steps, [fold], ["time"], {"_total": ("sum", F.col("_h"))}, split).select(fold, "time", F.exp(-F.col("_total")).alias("survival"))
 
 

@@ -13,14 +13,14 @@ from wearline.plans.rul import rounded
 from wearline.plans.signals import BANDS, FS, OVERLAP, SEGMENT
 from wearline.session import scratch
 from wearline.sources import files, incremental
-from wearline.sources.tables import UNIT, raw_readings, readings, signals, table
+from wearline.sources.tables import UNIT, halves, raw_readings, readings, signals, table
 from wearline.streaming import online
 
 
 @register("r1_stream_features", ORACLES["e10_feature_rows"])
 def stream_features(spark, sf):
     raw = online.table_stream(spark, sf, "embeddings", table(spark, sf, "embeddings").schema)
-    rows = raw.select(F.col("vec_id").alias("acquisition_number"), F.slice("embedding", 1, 32).alias("horizontal"), F.slice("embedding", 33, 32).alias("vertical"))
+    rows = raw.select(F.col("vec_id").alias("acquisition_number"), *halves("embedding"))
     done = online.run_available(so.feature_rows(rows, ["acquisition_number"], ["horizontal", "vertical"], FS, SEGMENT, OVERLAP, BANDS), "features")
     names = [f"{c}_{n}" for c in ("horizontal", "vertical") for n in sg.feature_names(BANDS)]
     return rounded(done, ["acquisition_number"], names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.operators.manifest import add_life_targets
@@ -34,6 +34,12 @@ def readings(spark: SparkSession, folder: str, split: bool | None = None) -> Dat
     return add_life_targets(ordered, UNIT, interval=1.0, split=split)
 
 
+def halves(vector: str) -> list[Column]:
+    """The two channels of a vector: its first half and the rest."""
+    half = F.floor(F.size(vector) / 2).cast("int")
+    return [F.slice(vector, F.lit(1), half).alias("horizontal"), F.slice(vector, half + 1, F.size(vector) - half).alias("vertical")]
+
+
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     """Vector rows as raw two-channel acquisitions: label = unit, halves of the vector = channels."""
     raw = table(spark, folder, "embeddings").select(
@@ -41,7 +47,6 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("label").cast("bigint").alias("unit_id"),
         F.col("vec_id").alias("acquisition_number"),
         F.col("embedding").alias("signal"),
-        F.slice("embedding", 1, 32).alias("horizontal"),
-        F.slice("embedding", 33, 32).alias("vertical"),
+        *halves("embedding"),
     )
     return add_life_targets(index_units(raw, UNIT, ["acquisition_number"]), UNIT, interval=1.0)
