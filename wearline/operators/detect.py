@@ -245,8 +245,11 @@ ROLE_NAMES = {
 
 
 def column_roles(df: DataFrame) -> DataFrame:
-    """Registry of every column with its role; whatever is not listed is a causal feature."""
+    """Registry of every column with its role and how many rows hold a value; whatever is not listed is a causal feature."""
     named = {c: role for role, columns in ROLE_NAMES.items() for c in columns}
-    cells = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(named.get(f.name, "causal_feature")).alias("role")) for f in df.schema.fields]
-    registry = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
-    return registry.withColumn("forbidden", F.col("role").isin("target", "identifier", "future_derived"))
+    counted = df.agg(*[F.count(f"`{c}`").alias(c) for c in df.columns])
+    cells = [
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(named.get(f.name, "causal_feature")).alias("role"), F.col(f"`{f.name}`").alias("rows"))
+        for f in df.schema.fields
+    ]
+    return counted.select(F.inline(F.array(*cells))).withColumn("forbidden", F.col("role").isin("target", "identifier", "future_derived"))

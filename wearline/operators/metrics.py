@@ -135,9 +135,10 @@ def onset_coverage_issues(onsets: DataFrame, folds: DataFrame) -> DataFrame:
     return tested.join(counted, ["fold", "unit_id"], "left").where(rows != 1).select("fold", "unit_id", rows.alias("onset_rows"))
 
 
-def input_column_issues(columns: Sequence[str], roles: DataFrame) -> DataFrame:
-    """Model inputs whose registered role is target, identifier or future-derived, or that have no role."""
-    names = roles.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    joined = names.join(roles, "column", "left")
+def input_column_issues(table: DataFrame, columns: Sequence[str], roles: DataFrame) -> DataFrame:
+    """Model inputs that hold values in `table` although their role is target, identifier or future-derived, or that have no role."""
+    counted = table.agg(*[F.count(c).alias(c) for c in columns])
+    names = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rows")) for c in columns])))
+    joined = names.where("rows > 0").join(roles, "column", "left")
     bad = F.col("role").isNull() | F.col("role").isin("target", "identifier", "future_derived")
-    return joined.where(bad).select("column", F.coalesce("role", F.lit("unregistered")).alias("role"))
+    return joined.where(bad).select("column", F.coalesce("role", F.lit("unregistered")).alias("role"), "rows")

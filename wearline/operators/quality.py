@@ -16,7 +16,6 @@ ERROR, WARNING = "error", "warning"
 #: Boundary digest layout. Fixed values.
 BOUNDARY_CHARS = 65_536
 BOUNDARY_TAG = "|tail|"
-GAP_LISTING_CAP = 1_000
 
 Rule = tuple[str, str, Column]  # (code, severity, condition that marks a violation)
 
@@ -72,8 +71,8 @@ def drop_duplicate_numbers(inventory: DataFrame, unit: Sequence[str], number: st
     return inventory.join(duplicate_numbers(inventory, unit, number), [*unit, number], "left_anti")
 
 
-def number_gaps(inventory: DataFrame, unit: Sequence[str], number: str, cap: int = GAP_LISTING_CAP, split: bool | None = None) -> DataFrame:
-    """Numbers missing between observed ones: the full count and a listing of the first `cap` of them."""
+def number_gaps(inventory: DataFrame, unit: Sequence[str], number: str, cap: int | None = None, split: bool | None = None) -> DataFrame:
+    """Numbers missing between observed ones: their count and a listing, of all or of the first `cap` of them."""
     seen = inventory.select(*unit, number).distinct()
     placed = running(seen, unit, [number], {"_nth": ("sum", F.lit(1).cast("bigint"))}, split).withColumn("sequence_index", F.col("_nth") - 1)
     stepped = trailing(placed, unit, 1, {"_before": lambda w: F.lag(number).over(w)}).where(F.col(number) - F.col("_before") > 1)
@@ -84,14 +83,15 @@ def number_gaps(inventory: DataFrame, unit: Sequence[str], number: str, cap: int
         (F.col(number) - 1).cast("bigint").alias("_to"),
     )
     counted = running(gaps, unit, ["_from"], {"_upto": ("sum", F.col("_to") - F.col("_from") + 1)}, split)
-    first = F.lit(cap) - (F.col("_upto") - (F.col("_to") - F.col("_from") + 1))
-    listed = F.when(first > 0, F.sequence("_from", F.least(F.col("_to"), F.col("_from") + first - 1)))
+    listed = F.sequence("_from", "_to")
+    if cap is not None:
+        first = F.lit(cap) - (F.col("_upto") - (F.col("_to") - F.col("_from") + 1))
+        listed = F.when(first > 0, F.sequence("_from", F.least(F.col("_to"), F.col("_from") + first - 1)))
     return (
         counted.withColumn("_list", listed)
         .groupBy(*unit)
         .agg(
             F.sum(F.col("_to") - F.col("_from") + 1).alias("missing_count"),
-            # at most `cap` numbers are listed, so the collected arrays are bounded
             F.sort_array(F.flatten(F.collect_list("_list"))).alias("missing_numbers"),
         )
     )

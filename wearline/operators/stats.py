@@ -99,20 +99,25 @@ def summarize_differences(table: DataFrame, by: Sequence[str], split: bool | Non
     return out.withColumn("iqr_delta_mae", F.col("_q75") - F.col("_q25")).drop("_q25", "_q75")
 
 
+#: Bootstrap replicates. Fixed value.
+REPLICATES = 10_000
+
+
 def resample_units(units: DataFrame, strata: Sequence[str], replicates: int, seed: int, key: str = "unit_id", split: bool | None = None) -> DataFrame:
     """Bootstrap draws: every replicate picks, per stratum, as many units as it has, with replacement.
 
-    Slot j of replicate b takes the unit at position hash(seed, b, stratum, j) mod n: an equi-join on position,
-    spread over all positions, with no random state to lose.
+    Slot j of replicate b takes the unit at position h mod n, h being the first 48 bits of the MD5 of `seed|b|stratum|j`: an
+    equi-join on position, spread over all positions, with no random state to lose and the same in every engine.
     """
     distinct = units.select(*strata, key).distinct()
     placed = with_totals(index_units(distinct, strata, [key], split), strata, {"_n": F.count(F.lit(1))}, split)
     slots = placed.select(*strata, "_n", F.col("sequence_index").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = slots.withColumn("sequence_index", F.pmod(F.xxhash64(F.lit(seed), "replicate", *strata, "_slot"), F.col("_n")))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "replicate", *strata, "_slot"))
+    drawn = slots.withColumn("sequence_index", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.col("_n"))
     return drawn.join(placed.select(*strata, "sequence_index", key), [*strata, "sequence_index"]).select("replicate", *strata, key)
 
 
-def bootstrap_difference(table: DataFrame, replicates: int, seed: int = 42, confidence: float = 0.95, strata: Sequence[str] = ("condition_id",), split: bool | None = None) -> DataFrame:
+def bootstrap_difference(table: DataFrame, replicates: int = REPLICATES, seed: int = 42, confidence: float = 0.95, strata: Sequence[str] = ("condition_id",), split: bool | None = None) -> DataFrame:
     """Percentile intervals of the mean, median and win rate of the paired differences."""
     base = table if strata else table.withColumn("_one", F.lit(0))
     strata = list(strata) or ["_one"]
@@ -124,7 +129,7 @@ def bootstrap_difference(table: DataFrame, replicates: int, seed: int = 42, conf
     return percentiles(stats, [], wanted, {"effective_replicates": F.count("mean"), "failed_replicates": F.count_if(F.col("mean").isNull())}, split)
 
 
-def bootstrap_ranks(units: DataFrame, replicates: int, seed: int = 42, split: bool | None = None) -> DataFrame:
+def bootstrap_ranks(units: DataFrame, replicates: int = REPLICATES, seed: int = 42, split: bool | None = None) -> DataFrame:
     """Share of replicates in which each model has the smallest mean error; ties go to the first name."""
     draws = resample_units(units, ["condition_id"], replicates, seed, split=split)
     scores = draws.join(units.select("condition_id", "unit_id", "experiment", "mae"), ["condition_id", "unit_id"]).groupBy("replicate", "experiment").agg(F.round(F.avg("mae"), 9).alias("score"))
@@ -133,7 +138,7 @@ def bootstrap_ranks(units: DataFrame, replicates: int, seed: int = 42, split: bo
     return units.select("experiment").distinct().join(firsts, "experiment", "left").select("experiment", F.coalesce("_p", F.lit(0.0)).alias("bootstrap_rank_first_probability"))
 
 
-def bootstrap_metrics(units: DataFrame, metrics: Sequence[str], replicates: int, seed: int = 42, confidence: float = 0.95, split: bool | None = None) -> DataFrame:
+def bootstrap_metrics(units: DataFrame, metrics: Sequence[str], replicates: int = REPLICATES, seed: int = 42, confidence: float = 0.95, split: bool | None = None) -> DataFrame:
     """Percentile intervals of each model's mean errors; a failed replicate is NULL and counted."""
     draws = resample_units(units, ["condition_id"], replicates, seed, split=split)
     joined = draws.join(units.select("condition_id", "unit_id", "experiment", *metrics), ["condition_id", "unit_id"])

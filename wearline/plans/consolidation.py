@@ -104,20 +104,46 @@ def difference_summary(spark, sf):
     return rounded(out, ["condition_id"], ["mean_delta_mae", "median_delta_mae", "std_delta_mae", "iqr_delta_mae", "minimum_delta_mae", "maximum_delta_mae"], ["wins", "ties", "losses"])
 
 
-@register("l7_bootstrap_difference")
+VIEWS["v_draws"] = f"""
+SELECT d.replicate, d.condition_id, p.unit_id
+FROM (SELECT condition_id, replicate, ('0x' || substr(md5(concat_ws('|', 42, replicate, condition_id, slot)), 1, 12))::BIGINT % n AS pick
+      FROM (SELECT condition_id, row_number() OVER (PARTITION BY condition_id ORDER BY unit_id) - 1 AS slot, count(*) OVER (PARTITION BY condition_id) AS n FROM (SELECT DISTINCT condition_id, unit_id FROM v_unit_metrics)),
+           range({st.REPLICATES}) t(replicate)) d
+JOIN (SELECT condition_id, unit_id, row_number() OVER (PARTITION BY condition_id ORDER BY unit_id) - 1 AS pick FROM (SELECT DISTINCT condition_id, unit_id FROM v_unit_metrics)) p USING (condition_id, pick)
+"""
+
+
+def _interval(column):
+    return ", ".join(f"round(quantile_cont({column}, {p}), 6) + 0.0 AS {column}_ci_{side}" for side, p in (("lower", 0.025), ("upper", 0.975)))
+
+
+@register(
+    "l7_bootstrap_difference",
+    f"""SELECT {_interval('mean')}, {_interval('median')}, {_interval('win')}, count(mean)::DOUBLE AS effective_replicates, 0.0::DOUBLE AS failed_replicates
+        FROM (SELECT replicate, avg(delta_mae) AS mean, median(delta_mae) AS median, avg(CAST(delta_mae < 0 AS INTEGER)) AS win FROM v_draws JOIN v_delta USING (condition_id, unit_id) GROUP BY 1)""",
+)
 def bootstrap_difference(spark, sf):
-    out = st.bootstrap_difference(differences(spark, sf), 500)
+    out = st.bootstrap_difference(differences(spark, sf))
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-@register("l8_bootstrap_ranks")
+@register(
+    "l8_bootstrap_ranks",
+    f"""WITH scores AS (SELECT replicate, experiment, round(avg(mae), 9) AS score FROM v_draws JOIN v_unit_metrics USING (condition_id, unit_id) GROUP BY 1, 2),
+          firsts AS (SELECT experiment FROM (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY score, experiment) AS nth FROM scores) WHERE nth = 1)
+        SELECT experiment, (SELECT count(*) FROM firsts f WHERE f.experiment = e.experiment) / {st.REPLICATES}::DOUBLE AS bootstrap_rank_first_probability FROM (SELECT DISTINCT experiment FROM v_unit_metrics) e""",
+)
 def bootstrap_ranks(spark, sf):
-    return st.bootstrap_ranks(units(spark, sf).select("condition_id", "unit_id", "experiment", "mae"), 500)
+    return st.bootstrap_ranks(units(spark, sf).select("condition_id", "unit_id", "experiment", "mae"))
 
 
-@register("l9_bootstrap_metrics")
+@register(
+    "l9_bootstrap_metrics",
+    f"""SELECT experiment, {_interval('mae')}, {_interval('rmse')}, 0.0::DOUBLE AS mae_failed_replicates, 0.0::DOUBLE AS rmse_failed_replicates
+        FROM (SELECT experiment, replicate, avg(mae) AS mae, avg(rmse) AS rmse FROM v_draws JOIN v_unit_metrics USING (condition_id, unit_id) GROUP BY 1, 2) GROUP BY 1""",
+)
 def bootstrap_metrics(spark, sf):
-    out = st.bootstrap_metrics(units(spark, sf), ["mae", "rmse"], 500)
+    out = st.bootstrap_metrics(units(spark, sf), ["mae", "rmse"])
     return out.select("experiment", *[r6(c).alias(c) for c in out.columns[1:]])
 
 

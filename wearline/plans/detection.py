@@ -213,8 +213,17 @@ def trend_features(spark, sf):
     return rows.select("unit_id", "sequence_index", *named, *[r6(c).alias(c) for c in _TREND_NAMES])
 
 
-@register("m18_column_roles", """SELECT unnest(['condition_id', 'unit_id', 'acquisition_number', 'ts', 'event_type', 'horizontal', 'vertical', 'sequence_index', 'total_acquisitions', 'elapsed_minutes', 'rul_minutes']) AS "column",
-       unnest(['context', 'identifier', 'identifier', 'context', 'context', 'causal_feature', 'causal_feature', 'context', 'future_derived', 'context', 'target']) AS role,
-       unnest([false, true, true, false, false, false, false, false, true, false, true]) AS forbidden""")
+_ROLES = {
+    "condition_id": "context", "unit_id": "identifier", "acquisition_number": "identifier", "ts": "context", "event_type": "context", "horizontal": "causal_feature", "vertical": "causal_feature",
+    "sequence_index": "context", "total_acquisitions": "future_derived", "elapsed_minutes": "context", "rul_minutes": "target",
+}
+
+
+@register(
+    "m18_column_roles",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{role}' AS role, {str(role in ('identifier', 'future_derived', 'target')).lower()} AS forbidden, count({c}) AS rows FROM v_readings""" for c, role in _ROLES.items()
+    ),
+)
 def column_roles(spark, sf):
-    return de.column_roles(readings(spark, sf)).select("column", "role", "forbidden")
+    return de.column_roles(readings(spark, sf)).select("column", "role", "forbidden", "rows")

@@ -355,11 +355,14 @@ def onset_coverage(spark, sf):
 ROLES = [("rul_minutes", "target"), ("unit_id", "identifier"), ("total_acquisitions", "future_derived"), ("elapsed_minutes", "context"), ("horizontal", "feature"), ("vertical", "feature")]
 
 
-@register("j13_input_columns", "SELECT unnest(['rul_minutes', 'total_acquisitions', 'acquisition_number']) AS \"column\", unnest(['target', 'future_derived', 'unregistered']) AS role")
+@register(
+    "j13_input_columns",
+    """SELECT 'rul_minutes' AS "column", 'target' AS role, count(rul_minutes) AS rows FROM v_readings UNION ALL SELECT 'total_acquisitions', 'future_derived', count(total_acquisitions) FROM v_readings
+       UNION ALL SELECT 'acquisition_number', 'unregistered', count(acquisition_number) FROM v_readings""",
+)
 def input_columns(spark, sf):
     roles = parameter_table(spark, ROLES, "column string, role string")
-    numeric = [f.name for f in readings(spark, sf).schema.fields if f.name in {"horizontal", "vertical", "elapsed_minutes", "rul_minutes", "total_acquisitions", "acquisition_number"}]
-    return me.input_column_issues(numeric, roles)
+    return me.input_column_issues(readings(spark, sf), ["horizontal", "vertical", "elapsed_minutes", "rul_minutes", "total_acquisitions", "acquisition_number"], roles)
 
 
 @register(

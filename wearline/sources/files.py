@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Channel names, size cap and the condition folder pattern of the raw dataset.
+#: Channel names, the size beyond which inspection reports a file unread, and the condition folder pattern of the raw dataset.
 CHANNELS = ("Horizontal_vibration_signals", "Vertical_vibration_signals")
 MAX_FILE_BYTES = 16 * 1024 * 1024
 CONDITION_PATTERN = r"([0-9.]+)Hz([0-9.]+)kN"
@@ -58,18 +58,17 @@ def samples(spark: SparkSession, root: str, channels: Sequence[str] = CHANNELS)
     )
 
 
-def _lines(spark: SparkSession, root: str) -> DataFrame:
-    """Whole files as lines, split inside the task that reads them: files are capped at 16 MiB."""
-    small = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-    )
+def _lines(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """Whole files as lines, split inside the task that reads them; `most` leaves out files with more bytes."""
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+    if most is not None:
+        small = small.where(F.col("length") <= most)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     return small.select("path", "length", F.split(F.regexp_replace(text, "\n$", ""), "\n").alias("lines"))
 
 
 def signals_from_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per acquisition with both channels as FLOAT arrays; the header line is skipped."""
+    """One row per acquisition of any size with both channels as FLOAT arrays; the header line is skipped."""
     body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     pairs = F.transform(body, lambda line: F.split(line, ","))
     return path_keys(_lines(spark, root)).select(
@@ -88,7 +87,7 @@ def inspect_files(spark: SparkSession, root: str, channels: Sequence[str] = CHAN
     width = len(channels)
     body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     cells = F.flatten(F.transform(body, lambda line: F.split(line, ",")))
-    read = _lines(spark, root).select(
+    read = _lines(spark, root, MAX_FILE_BYTES).select(
         "path",
         F.transform(F.split(F.element_at("lines", 1), ","), lambda h: F.trim(h)).alias("header"),
         F.size(body).alias("_rows"),

@@ -1,7 +1,8 @@
 """Streaming forms of the trailing operators: features, alarms, trends, late and duplicate acquisitions.
 
-Per-unit state is bounded: a few trailing values and the acquisitions still waiting for an earlier number.
-A unit's rows may arrive in any order and in any micro-batch; they are handled in number order. The alarm
+Between micro-batches a unit's state is bounded: a few trailing values and at most `WAITING` acquisitions that wait for an earlier number.
+A unit's rows may arrive in any order and in any micro-batch; they are handled in number order. An acquisition that is still
+missing when `WAITING` later ones have come is given up: the unit goes on behind it, and should it come after all it is too late. The alarm
 has no look-ahead, so it equals the batch alarm with `minimum_post = 0`.
 """
 
@@ -20,11 +21,14 @@ from wearline.operators.detect import EPSILON
 from wearline.session import scratch
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
+#: Acquisitions of a unit that may wait for one that is missing.
+WAITING = 10_000
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A growing folder of Parquet files as a stream; only files of the named table are read."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -56,19 +60,25 @@ def sessions(df: DataFrame, unit: Sequence[str], time: str, value: str, gap: str
 
 
 class _InOrder:
-    """Releases acquisitions by consecutive index; early ones wait, repeated ones are ignored."""
+    """Releases acquisitions by index; early ones wait, repeated ones and those given up are ignored."""
 
-    def __init__(self, following: int, waiting: dict[int, float]) -> None:
-        self.following, self.waiting = following, waiting
+    def __init__(self, following: int, waiting: dict[int, float], limit: int = WAITING) -> None:
+        self.following, self.waiting, self.limit = following, waiting, limit
 
     def release(self, batches: Iterator[pd.DataFrame], value: str) -> Iterator[tuple[int, float]]:
         for pdf in batches:
             for i, v in zip(pdf["sequence_index"].to_numpy(), pdf[value].to_numpy(float)):
                 if i >= self.following:
                     self.waiting.setdefault(int(i), float(v))
-            while self.following in self.waiting:
-                yield self.following, self.waiting.pop(self.following)
-                self.following += 1
+            yield from self._consecutive()
+        while len(self.waiting) > self.limit:  # a whole micro-batch is in: what is still missing is given up
+            self.following = min(self.waiting)
+            yield from self._consecutive()
+
+    def _consecutive(self) -> Iterator[tuple[int, float]]:
+        while self.following in self.waiting:
+            yield self.following, self.waiting.pop(self.following)
+            self.following += 1
 
     def state(self) -> tuple[int, list[int], list[float]]:
         return self.following, list(self.waiting), list(self.waiting.values())
@@ -79,7 +89,7 @@ _QUEUE = "following bigint, waiting array<bigint>, waiting_values array<double>"
 
 def _alarm_step(value: str, baseline: int, window: int, threshold: float, persistence: int, gap: int, effect: float) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, waiting, values, raw, early, tail, done = state.get if state.exists else (0, [], [], [], [], [], False)
+        following, waiting, values, raw, early, center, spread, tail, done = state.get if state.exists else (0, [], [], [], [], None, None, [], False)
         queue = _InOrder(following, dict(zip(waiting, values)))
         raw, early, tail = list(raw), list(early), list(tail)
         found: list[tuple] = []
@@ -89,14 +99,16 @@ def _alarm_step(value: str, baseline: int, window: int, threshold: float, persis
             if i < baseline:
                 early.append(level)
             elif not done:
-                center = float(np.median(early))
-                spread = max(float(np.median(np.abs(np.array(early) - center))), EPSILON)
+                if center is None:  # the baseline is complete: only its centre and spread stay
+                    base = np.array(early or [level])
+                    center = float(np.median(base))
+                    spread, early = max(float(np.median(np.abs(base - center))), EPSILON), []
                 tail = [*tail, (level - center) / spread][-(persistence + gap):]
                 hits = [x for x in tail if x > threshold]
                 if len(hits) >= persistence and float(np.median(hits)) >= effect:
                     done = True
                     found.append((*key, i, len(hits), tail[-1]))
-        state.update((*queue.state(), raw, early, tail, done))
+        state.update((*queue.state(), raw, early, center, spread, tail, done))
         if found:
             yield pd.DataFrame(found, columns=["condition_id", "unit_id", "alarm_confirmation_index", "persistence_duration", "normalized"])
 
@@ -110,7 +122,7 @@ def online_alarms(
     return stream.groupBy("condition_id", "unit_id").applyInPandasWithState(
         _alarm_step(value, baseline, window, threshold, persistence, gap, effect),
         "condition_id bigint, unit_id bigint, alarm_confirmation_index bigint, persistence_duration bigint, normalized double",
-        f"{_QUEUE}, raw array<double>, early array<double>, tail array<double>, done boolean",
+        f"{_QUEUE}, raw array<double>, early array<double>, center double, spread double, tail array<double>, done boolean",
         "append",
         GroupStateTimeout.NoTimeout,
     )
