@@ -43,7 +43,8 @@ class _Known(dict):
     def renew(self) -> None:
         """Makes room if need be; nothing leaves the map otherwise."""
         if len(self) > self.size:
-            self.older = dict(self)
+            self.older.clear()
+            self.older.update(self)
             self.clear()
 
     def unknown(self, words: set[str]) -> list[str]:
@@ -64,14 +65,14 @@ class ByteEncoder:
     from the signs. All encoding is the library's.
     """
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():  # one character of a byte-level token is one byte
             self.lengths[number] = len(token)
         self.pieces = _Known(size)
-        self.letters = _Known(size // 2)
+        self.letters = _Known(size)
         self.signs = Memo(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
