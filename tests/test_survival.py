@@ -45,6 +45,14 @@ def test_cox_maximises_the_penalised_likelihood(spark):
     assert all(value(b) >= value(b + d) for d in np.vstack([np.eye(2), -np.eye(2)]) * 1e-3) and beta["x"] > 0.3
 
 
+def test_cox_does_not_depend_on_a_covariate_s_origin(spark):
+    df, _ = cohort(spark)
+    here, there = (
+        {r["feature"]: r["standardized_coefficient"] for r in su.fit_cox(df.withColumn("x", F.col("x") * 30 + shift), ["x", "z"], 1.0).collect()} for shift in (0.0, 5000.0)
+    )
+    assert here == pytest.approx(there, rel=1e-6)
+
+
 def test_cox_curves_fall_within_bounds(spark):
     df, _ = cohort(spark)
     beta = su.fit_cox(df, ["x", "z"], 1.0)
