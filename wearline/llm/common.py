@@ -68,16 +68,23 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[dic
 
 
 class Memo(dict):
-    """A bounded map from words to what a function makes of them; a full map starts anew."""
+    """A bounded map from words to what a function makes of them.
 
-    def __init__(self, function: Callable, size: int = 400_000):
+    A full map starts anew, but what was met since the last start is still taken from the older map.
+    """
+
+    def __init__(self, function: Callable, size: int = 150_000):
         super().__init__()
-        self.function, self.size = function, size
+        self.function, self.size, self.older = function, size, {}
 
     def __missing__(self, key):
         if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
 

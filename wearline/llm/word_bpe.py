@@ -67,10 +67,10 @@ class WordEncoder:
                 marked = token.removesuffix(self.end) + _END if token.endswith(self.end) else token
                 self.automaton.add_word(marked, (len(marked), number))
         self.automaton.make_automaton()
-        self.parts = Memo(self._parts)
-        self.fits = Memo(self._fits, 1_000_000)
-        self.pieces = Memo(self._encode_piece, 500_000)
-        self.chunks = Memo(self._encode_chunk, 500_000)
+        self.parts = Memo(self._parts, 50_000)
+        self.fits = Memo(self._fits, 150_000)
+        self.pieces = Memo(self._encode_piece, 100_000)
+        self.chunks = Memo(self._encode_chunk, 120_000)
 
     def _parts(self, number: int) -> tuple[str, ...]:
         """The symbols of a token: characters, the last one with the end sign."""
