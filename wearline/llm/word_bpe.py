@@ -16,6 +16,7 @@ Defined results: NULL text counts as empty, which has no ids and decodes to ''.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -68,9 +69,9 @@ class WordEncoder:
                 self.automaton.add_word(marked, (len(marked), number))
         self.automaton.make_automaton()
         self.parts = Memo(self._parts, 50_000)
-        self.fits = Memo(self._fits, 150_000)
-        self.pieces = Memo(self._encode_piece, 100_000)
-        self.chunks = Memo(self._encode_chunk, 120_000)
+        self.fits = Memo(self._fits, 200_000)
+        self.pieces = Memo(self._encode_piece, 150_000)
+        self.chunks = Memo(self._encode_chunk, 150_000)
 
     def _parts(self, number: int) -> tuple[str, ...]:
         """The symbols of a token: characters, the last one with the end sign."""
@@ -87,13 +88,13 @@ class WordEncoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens can stand side by side; -1 is the start of a word."""
-        left, right = pair
+    def _fits(self, pair: int) -> bool:
+        """Whether two tokens, `(left + 1) << 20 | right`, can stand side by side; a left of -1 is the start of a word."""
+        left, right = (pair >> 20) - 1, pair & 0xFFFFF
         numbers = [right] if left < 0 else [left, right]
         return self._merged([s for n in numbers for s in self.parts[n]]) == [self.tokens[n] for n in numbers]
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+    def _encode_piece(self, piece: str) -> bytes:
         """The ids of one word by the last tokens of its prefixes."""
         text = "".join([self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")])
         n = len(text)
@@ -103,7 +104,7 @@ class WordEncoder:
         fits = self.fits
         for stop, (length, number) in self.automaton.iter(text + _END):
             end, start = stop + 1, stop + 1 - length
-            if not known[end] and known[start] and fits[(last[start], number)]:
+            if not known[end] and known[start] and fits[(last[start] + 1) << 20 | number]:
                 known[end], last[end], came[end] = True, number, start
         if not known[n + 1]:
             raise ValueError(f"no encoding of {piece!r}")
@@ -111,11 +112,14 @@ class WordEncoder:
         while at > 0:
             found.append(last[at])
             at = came[at]
-        return tuple(reversed(found))
+        return struct.pack(f"<{len(found)}I", *reversed(found))
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        ids = [i for piece in _WORDS.findall(chunk) for i in self.pieces[piece]]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """The ids of what stands between white space; letters with signs behind them are two words."""
+        stem = chunk.rstrip(string.punctuation)
+        if stem.isalpha():
+            return self.pieces[stem] if stem is chunk else self.pieces[stem] + self.pieces[chunk[len(stem) :]]
+        return b"".join([self.pieces[piece] for piece in _WORDS.findall(chunk)])
 
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
