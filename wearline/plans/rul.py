@@ -67,7 +67,26 @@ def _r(*names):
     return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
-@register("i1_experiment_matrix")
+_GRIDS = {
+    "ridge": ["alpha=0.01", "alpha=0.1", "alpha=1.0", "alpha=10.0", "alpha=100.0", "alpha=1000.0"],
+    "forest": [
+        "featureSubsetStrategy=sqrt,maxDepth=30,minInstancesPerNode=1,numTrees=200", "featureSubsetStrategy=0.7,maxDepth=12,minInstancesPerNode=3,numTrees=250",
+        "featureSubsetStrategy=all,maxDepth=20,minInstancesPerNode=5,numTrees=250",
+    ],
+    "boosting": ["maxDepth=5,maxIter=200,minInstancesPerNode=20,stepSize=0.05", "maxDepth=4,maxIter=300,minInstancesPerNode=30,stepSize=0.05", "maxDepth=5,maxIter=150,minInstancesPerNode=20,stepSize=0.1"],
+    "countdown": [""], "median": [""],
+}
+
+
+@register(
+    "i1_experiment_matrix",
+    f"""WITH e(experiment, inputs, family, complexity_order) AS (VALUES ('condition_countdown', 'context', 'countdown', 0), ('median_baseline', 'none', 'median', 0), ('time_only_ridge', 'time', 'ridge', 1),
+            ('selected_ridge', 'selected', 'ridge', 2), ('selected_time_ridge', 'selected+time', 'ridge', 3), ('all_ridge', 'all', 'ridge', 4), ('selected_forest', 'selected', 'forest', 5),
+            ('selected_time_forest', 'selected+time', 'forest', 6), ('selected_boosting', 'selected', 'boosting', 7), ('selected_time_boosting', 'selected+time', 'boosting', 8)),
+          g(family, candidate_id, parameters) AS (VALUES {', '.join(f"('{f}', {i}, '{c}')" for f, grid in _GRIDS.items() for i, c in enumerate(grid))}),
+          n AS (SELECT fold, count(*) AS training_rows FROM v_readings JOIN v_folds USING (unit_id) WHERE subset = 'train' GROUP BY 1)
+        SELECT experiment, inputs, family, complexity_order, candidate_id, parameters, fold, training_rows FROM e JOIN g USING (family), n""",
+)
 def experiment_matrix(spark, sf):
     """Candidates per experiment with the training rows each of them would read in every fold."""
     rows = by_subset(spark, sf, "train").groupBy("fold").agg(F.count("*").alias("training_rows"))
