@@ -24,12 +24,12 @@ def test_step_is_found(spark, model):
 
 def test_no_onset_without_a_persistent_shift(spark):
     flat = onset(spark, [0] * 60)
-    assert flat["onset_status"] == "not_detected" and flat["first_reason"] == "no_internal_breakpoint"
+    assert flat["onset_status"] == "not_detected" and flat["rejection_reasons"] == "no_internal_breakpoint"
     assert onset(spark, [0] * 30 + [20] + [0] * 29)["onset_status"] == "not_detected"
     assert onset(spark, [0] * 20 + [2] * 20 + [5] * 20)["onset_index"] <= 25
     early = onset(spark, [0] * 5 + [4] * 55)
     assert early["onset_status"] == "not_detected"
-    assert onset(spark, [0] * 8)["first_reason"] == "trajectory_too_short"
+    assert onset(spark, [0] * 8)["rejection_reasons"] == "trajectory_too_short"
 
 
 @pytest.mark.parametrize("jump", [1, 3])

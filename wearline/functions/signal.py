@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Feature names. Fixed values.
 TIME_FEATURES = (
     "mean", "std", "variance", "rms", "minimum", "maximum", "max_abs", "peak_to_peak", "skewness", "kurtosis",
     "energy", "crest_factor", "shape_factor", "impulse_factor", "clearance_factor",

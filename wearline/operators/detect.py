@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from wearline.operators.scale import middle, percentiles, rolling_median, rows_back, trailing
 
+#: Reason of a unit without an alarm. Fixed value.
+REJECTED = "persistence/effect/follow-up criteria not satisfied"
 EPSILON = 1e-12
 #: Detector grid. Fixed values.
 BASELINES = (5, 10, 15)
@@ -130,7 +132,7 @@ def persistent_alarm(
     return out.withColumns(
         {
             "detection_status": F.when(found, "detected").otherwise("not_detected"),
-            "rejection_reasons": F.when(found, "").otherwise("persistence/effect/follow-up criteria not satisfied"),
+            "rejection_reasons": F.when(found, "").otherwise(REJECTED),
         }
     )
 

@@ -214,6 +214,11 @@ def change_points(rows: DataFrame, keys: Sequence[str], value: str = "smoothed")
     return flat.unionByName(curved)
 
 
+#: Reasons against a boundary, before and after its windows are read. Fixed values.
+EARLY = ("inside_initial_calibration_interval", "insufficient_pre_change_window", "insufficient_persistent_post_change_window")
+LATE = ("minimum_effect_size", "persistence")
+
+
 def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: str = "smoothed", split: bool | None = None) -> DataFrame:
     """First boundary that is a persistent upward shift, else `not_detected` with the reasons.
 
@@ -231,9 +236,9 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
         "early_reasons",
         F.array_compact(
             F.array(
-                F.when(c < b, F.lit("inside_initial_calibration_interval")),
-                F.when(c < p, F.lit("insufficient_pre_change_window")),
-                F.when(n - c < p, F.lit("insufficient_persistent_post_change_window")),
+                F.when(c < b, F.lit(EARLY[0])),
+                F.when(c < p, F.lit(EARLY[1])),
+                F.when(n - c < p, F.lit(EARLY[2])),
             )
         ),
     )
@@ -255,16 +260,17 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
     scored = cut(judged.join(sides, [*keys, "boundary"], "left").join(scale, keys).withColumn("robust_effect_size", effect).withColumn(
         "reasons",
         F.when(F.size("early_reasons") > 0, F.col("early_reasons"))
-        .when(F.col("robust_effect_size") < F.col("minimum_effect_size"), F.array(F.lit("minimum_effect_size")))
-        .when(share < PERSISTENT_SHARE, F.array(F.lit("persistence")))
+        .when(F.col("robust_effect_size") < F.col("minimum_effect_size"), F.array(F.lit(LATE[0])))
+        .when(share < PERSISTENT_SHARE, F.array(F.lit(LATE[1])))
         .otherwise(F.array().cast("array<string>")),
     ).drop("_post"))
     accepted = scored.where(F.size("reasons") == 0).groupBy(*keys).agg(
         *[F.min_by(x, "boundary").alias(x) for x in ("elapsed_minutes", "rul_minutes", "pre_change_median", "post_change_median", "robust_effect_size")], F.min("boundary").alias("onset_index")
     )
     rejected = scored.where(F.size("reasons") > 0).select(*keys, "boundary", F.explode("reasons").alias("reason"))
+    # a unit has few boundaries, at most one per minimum segment
     listed = rejected.join(accepted.select(*keys, "onset_index"), keys, "left").where("onset_index IS NULL OR boundary < onset_index").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rejections"), F.min(F.struct("boundary", "reason")).alias("_first")
+        F.count(F.lit(1)).alias("rejections"), F.sort_array(F.collect_list(F.struct("boundary", "reason"))).alias("_listed")
     )
     detected = F.col("onset_index").isNotNull()
     any_boundary = boundaries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_boundaries"))
@@ -284,8 +290,8 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
             F.coalesce("rejections", F.lit(0)).alias("rejections"),
             F.when(too_short, "trajectory_too_short")
             .when(F.col("_boundaries").isNull(), "no_internal_breakpoint")
-            .when(F.col("_first").isNotNull(), F.concat(F.lit("candidate_"), F.col("_first.boundary").cast("string"), F.lit(":"), F.col("_first.reason")))
-            .alias("first_reason"),
+            .otherwise(F.array_join(F.transform("_listed", lambda r: F.concat(F.lit("candidate_"), r["boundary"].cast("string"), F.lit(":"), r["reason"])), ";"))
+            .alias("rejection_reasons"),
         )
     )
 

@@ -104,13 +104,17 @@ def model_comparison(predictions: DataFrame, units: DataFrame, folds: DataFrame,
     return grouped_metrics(predictions, MODEL).withColumnsRenamed(rename).join(macro, MODEL).join(by_fold, MODEL).orderBy("macro_mae", *MODEL)
 
 
+#: Regions of a prediction: no onset, before it, after it. Fixed values.
+REGIONS = ("estimated onset not detected", "before estimated onset", "after estimated onset")
+
+
 def annotate_posthoc(predictions: DataFrame, onsets: DataFrame) -> DataFrame:
     """Add the life stage and the region relative to the unit's retrospective onset."""
     joined = predictions.join(onsets.select("fold", "unit_id", "onset_status", "onset_index"), ["fold", "unit_id"], "left")
     region = (
-        F.when(F.coalesce(F.col("onset_status"), F.lit("")) != "detected", "estimated onset not detected")
-        .when(F.col("sequence_index") < F.col("onset_index"), "before estimated onset")
-        .otherwise("after estimated onset")
+        F.when(F.coalesce(F.col("onset_status"), F.lit("")) != "detected", REGIONS[0])
+        .when(F.col("sequence_index") < F.col("onset_index"), REGIONS[1])
+        .otherwise(REGIONS[2])
     )
     return joined.withColumns(
         {"estimated_onset_region": region, "life_stage": life_stage(life_position(F.col("sequence_index"), F.col("total_acquisitions")))}

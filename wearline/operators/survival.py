@@ -55,8 +55,12 @@ def landmarks(rows: DataFrame, onsets: DataFrame, stride: int = 5, follow_up: in
     return chosen.join(weights, [*scope, "unit_id"])
 
 
+#: Reason of an excluded unit. Fixed value.
+NOT_DETECTED = "causal onset not detected"
+
+
 def excluded_units(onsets: DataFrame) -> DataFrame:
-    return onsets.where("detection_status <> 'detected'").select("fold", "subset", "unit_id", F.lit("causal onset not detected").alias("reason"))
+    return onsets.where("detection_status <> 'detected'").select("fold", "subset", "unit_id", F.lit(NOT_DETECTED).alias("reason"))
 
 
 def onset_cohort(marks: DataFrame) -> DataFrame:
