@@ -37,8 +37,10 @@ _SMOOTH = 0.5
 
 class Model(NamedTuple):
     languages: list[str]
-    #: size (0: words) -> gram -> log frequency per language, less the mean over languages
-    tables: dict[int, dict[str, np.ndarray]]
+    #: size (0: words) -> gram -> its row
+    tables: dict[int, dict[str, int]]
+    #: size -> log frequency of every gram per language, less the mean over languages
+    logs: dict[int, np.ndarray]
 
 
 def words(text: str) -> list[str]:
@@ -80,19 +82,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kept = counts.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN).toPandas()  # bounded by the sample
     languages = sorted(kept["lang"].unique())
     column = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {size: {} for size in range(LONGEST + 1)}
-    for size, part in kept.groupby("size"):
-        table = tables[int(size)]
-        totals = np.zeros(len(languages))
-        for gram, lang, n in zip(part["gram"], part["lang"], part["n"]):
-            if gram not in table:
-                table[gram] = np.full(len(languages), _SMOOTH)
-            table[gram][column[lang]] += n
-            totals[column[lang]] += n
-        for gram, n in table.items():
-            logs = np.log(n / (totals + _SMOOTH * len(table)))
-            table[gram] = (logs - logs.mean()).astype(np.float32)
-    return Model(languages, tables)
+    tables: dict[int, dict[str, int]] = {}
+    logs: dict[int, np.ndarray] = {}
+    for size in range(LONGEST + 1):
+        part = kept[kept["size"] == size]
+        table = tables[size] = {gram: i for i, gram in enumerate(sorted(part["gram"].unique()))}
+        counts = np.full((len(table), len(languages)), _SMOOTH)
+        np.add.at(counts, (part["gram"].map(table).to_numpy(dtype=np.int64), part["lang"].map(column).to_numpy(dtype=np.int64)), part["n"].to_numpy())
+        shares = np.log(counts / np.maximum(counts.sum(axis=0), _SMOOTH))
+        logs[size] = (shares - shares.mean(axis=1, keepdims=True)).astype(np.float32) if languages else shares
+    return Model(languages, tables, logs)
 
 
 class Classifier:
@@ -105,12 +104,12 @@ class Classifier:
 
     def word(self, word: str) -> np.ndarray:
         """What one word adds per language: its own entry, else the mean over its longest known n-grams."""
-        tables = self.model.tables
+        tables, logs = self.model.tables, self.model.logs
         if (known := tables[0].get(word)) is not None:
-            return known
+            return logs[0][known]
         for size in range(LONGEST, 0, -1):
             if found := [tables[size][g] for g in grams(word, size) if g in tables[size]]:
-                return np.mean(found, axis=0)
+                return logs[size][found].mean(axis=0)
         return np.zeros(len(self.model.languages), dtype=np.float32)
 
     def __call__(self, text: str) -> tuple[str, float]:
