@@ -65,14 +65,14 @@ class ByteEncoder:
     from the signs. All encoding is the library's.
     """
 
-    def __init__(self, path: str, size: int = 150_000):
+    def __init__(self, path: str, size: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():  # one character of a byte-level token is one byte
             self.lengths[number] = len(token)
         self.pieces = _Known(size)
-        self.letters = _Known(size)
+        self.letters = _Known(150_000)
         self.signs = Memo(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
@@ -106,18 +106,29 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text; the same as encoding it whole."""
-        found = []
-        for text in texts:
-            head, *words = text.split(" ") if _OTHER_SPACE.search(text) is None else _CUT.split(text)
-            pieces = self.pieces
-            pieces.renew()
-            ids = list(map(pieces.get, words))
-            if None in ids:
-                self._learn(pieces.unknown({w for w, known in zip(words, ids) if known is None}))
-                ids = [pieces[w] if known is None else known for w, known in zip(words, ids)]
-            found.append(self._whole(head) + b"".join(ids))
+        found: list[bytes] = []
+        start = 0
+        while start < len(texts):  # some texts at once, so that the library is called less often
+            stop, letters = start + 1, len(texts[start])
+            while stop < len(texts) and letters < 200_000:
+                letters += len(texts[stop])
+                stop += 1
+            found += self._encode_some(texts[start:stop])
+            start = stop
         return found
 
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        pieces = self.pieces
+        pieces.renew()
+        parts = [t.split(" ") if _OTHER_SPACE.search(t) is None else _CUT.split(t) for t in texts]
+        heads = self.tokenizer.encode_batch_fast([p.pop(0) for p in parts], add_special_tokens=False)
+        ids = [list(map(pieces.get, p)) for p in parts]
+        missing = {w for p, known in zip(parts, ids) if None in known for w, k in zip(p, known) if k is None}
+        if missing:
+            self._learn(pieces.unknown(missing))
+            ids = [[pieces[w] if k is None else k for w, k in zip(p, known)] if None in known else known for p, known in zip(parts, ids)]
+        return [np.asarray(h.ids, dtype="<u4").tobytes() + b"".join(known) for h, known in zip(heads, ids)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
