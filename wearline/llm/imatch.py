@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import Memo, arrow_map, whole_text, word_hashes
+from wearline.llm.common import arrow_map, whole_text, word_hashes
 
 LEAST, MOST = 0.0002, 0.2
 SUBSETS = 48
@@ -67,17 +67,23 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
 class Fingerprinter:
     """Fingerprints of texts under one lexicon."""
 
-    def __init__(self, band: np.ndarray):
-        self.band = band
-        self.known = Memo(self._known)
+    def __init__(self, band: np.ndarray, size: int = 200_000):
+        self.band, self.size = band, size
+        self.known: dict[str, bool] = {}
 
-    def _known(self, word: str) -> bool:
-        value = word_hashes([word])[0]
-        spot = int(np.searchsorted(self.band, value))
-        return spot < len(self.band) and self.band[spot] == value
+    def _look_up(self, words: set[str]) -> None:
+        """Remembers which of some words the lexicon holds."""
+        if len(self.known) > self.size:
+            self.known.clear()
+        if unknown := [w for w in words if w not in self.known]:
+            values = word_hashes(unknown)
+            spots = np.minimum(np.searchsorted(self.band, values), max(0, len(self.band) - 1))
+            held = self.band[spots] == values if len(self.band) else np.zeros(len(values), dtype=bool)
+            self.known.update(zip(unknown, held.tolist()))
 
     def __call__(self, text: str) -> str:
         words = terms(text)
+        self._look_up(words)
         known = self.known
         chosen = sorted([w for w in words if known[w]] or words)
         if not chosen:
@@ -88,7 +94,7 @@ class Fingerprinter:
         step = max(1, 500_000 // len(chosen))  # subsets at once, so that very long texts need little memory
         for salts in (_SALTS[i : i + step] for i in range(0, SUBSETS, step)):
             # a term is in a subset down to the density that the low zero bits of its salted hash allow
-            mixed = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(29))) * salts[None, :]
+            mixed = (hashes ^ (hashes >> np.uint64(29)))[None, :] * salts[:, None]
             mixed ^= mixed >> np.uint64(32)
             mixed *= _MIX
             mixed ^= mixed >> np.uint64(29)
@@ -99,15 +105,19 @@ class Fingerprinter:
 
 def _subset_hashes(hashes: np.ndarray, inside: np.ndarray) -> list[str]:
     """One hash per subset over its terms in sorted order."""
-    subset, term = np.nonzero(inside.T)
-    sizes = np.bincount(subset, minlength=inside.shape[1])
-    nth = np.arange(len(subset)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    subset, term = np.nonzero(inside)
+    sizes = np.bincount(subset, minlength=len(inside))
+    starts = np.cumsum(sizes) - sizes
+    nth = np.arange(len(subset)) - np.repeat(starts, sizes)
     parts = (hashes[term] + nth.astype(np.uint64) * _MIX) * np.uint64(0xD6E8FEB86659FD93)
     parts ^= parts >> np.uint64(32)
     parts *= _MIX
-    sums = np.zeros(inside.shape[1], dtype=np.uint64)
-    np.add.at(sums, subset, parts)
-    return [f"{int(s) >> 32:x}" if n else "-" for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
+    full = np.flatnonzero(sizes)
+    found = ["-"] * len(inside)
+    if len(full):
+        for i, value in zip(full.tolist(), (np.add.reduceat(parts, starts[full]) >> np.uint64(32)).tolist()):
+            found[i] = f"{value:x}"
+    return found
 
 
 def likeness(one: str, other: str) -> float:
