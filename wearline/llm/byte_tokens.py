@@ -61,18 +61,17 @@ class _Known(dict):
 class ByteEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Most pieces are letters with signs behind them, which the pattern takes apart there; their letters are remembered apart
-    from the signs. All encoding is the library's.
+    Most pieces are letters with signs behind them, which the pattern takes apart there; their letters are remembered as pieces of
+    their own. All encoding is the library's.
     """
 
-    def __init__(self, path: str, size: int = 250_000):
+    def __init__(self, path: str, size: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():  # one character of a byte-level token is one byte
             self.lengths[number] = len(token)
         self.pieces = _Known(size)
-        self.letters = _Known(150_000)
         self.signs = Memo(self._whole, 10_000)
 
     def _whole(self, text: str) -> bytes:
@@ -96,13 +95,13 @@ class ByteEncoder:
                 split.append((word, stem))
             else:
                 others.append(word)
-        self.letters.renew()
-        unknown = self.letters.unknown({stem for _, stem in split if stem not in self.letters})
-        self.letters.update(zip(unknown, self._after_space(unknown)))
+        pieces = self.pieces
+        unknown = pieces.unknown({stem for _, stem in split if stem not in pieces})
+        pieces.update(zip(unknown, self._after_space(unknown)))
         for word, stem in split:
-            known = self.letters[stem]
-            self.pieces[word] = known if word is stem else known + self.signs[word[len(stem) :]]
-        self.pieces.update(zip(others, self._after_space(others)))
+            if word is not stem:
+                pieces[word] = pieces[stem] + self.signs[word[len(stem) :]]
+        pieces.update(zip(others, self._after_space(others)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text; the same as encoding it whole."""
