@@ -67,6 +67,23 @@ def test_licence_rules_match_their_keyword_and_trigger():
         assert any(t.split()[0] in words for t in TRIGGERS), rule
 
 
+#: Every licence line of the given documents and the Creative Commons names, with their labels.
+LICENCE_LINES = [
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"), ("Released under the MIT License.", "mit"),
+    ("Licensed under the Apache License, Version 2.0.", "apache,apache-2.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+    ("Photo: CC BY 2.5", "cc-by-2.5"), ("text CC-BY-SA 3.0 Unported, mostly", "cc-by-sa-3.0"), ("(CC BY-ND 4.0 International)", "cc-by-nd-4.0"),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa-4.0"), ("released under the CC BY-NC-ND licence", "cc-by-nc-nd"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd-4.0"),
+    ("under a Creative Commons Attribution-NoDerivs 1.0 license", "cc-by-nd-1.0"), ("send it to me, cc by mail", ""),
+]
+
+
+def test_licence_lines_of_the_documents_and_creative_commons_names(table):
+    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(table([(i, f"some words\n{t}\nmore words") for i, (t, _) in enumerate(LICENCE_LINES)]))).collect()}
+    assert [got[i].labels for i in range(len(LICENCE_LINES))] == [want for _, want in LICENCE_LINES]
+    assert got[3].score == 0.95 and got[len(LICENCE_LINES) - 1].score == 0
+
+
 def test_licences_of_an_empty_table(table):
     assert license_scan.summary(license_scan.scan(table(ODD).limit(0))).count() == 0
 

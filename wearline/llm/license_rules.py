@@ -37,9 +37,18 @@ FAMILIES = (
     ("epl", "eclipse", r"eclipse public", (("1 0", "epl-1.0"), ("2 0", "epl-2.0"))),
     ("cddl", "common development", r"common development and distribution", (("1 0", "cddl-1.0"), ("1 1", "cddl-1.1"))),
     ("cpl", "common public", r"common public", (("1 0", "cpl-1.0"),)),
-    ("cc-by", "creative commons", r"creative commons attribution", (("3 0", "cc-by-3.0"), ("4 0", "cc-by-4.0"))),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike", (("3 0", "cc-by-sa-3.0"), ("4 0", "cc-by-sa-4.0"))),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial", (("3 0", "cc-by-nc-3.0"), ("4 0", "cc-by-nc-4.0"))),
+    *(
+        (label, keyword, name, tuple((f"{v}(?: (?:international|unported|generic))?", f"{label}-{v.replace(' ', '.')}") for v in ("1 0", "2 0", "2 5", "3 0", "4 0")))
+        for label, long, short in (
+            ("cc-by", r"", r""),
+            ("cc-by-sa", r" (?:share ?alike|sa)", r" sa"),
+            ("cc-by-nc", r" (?:non ?commercial|nc)", r" nc"),
+            ("cc-by-nd", r" (?:no ?deriv(?:ative)?s|nd)", r" nd"),
+            ("cc-by-nc-sa", r" (?:non ?commercial|nc) (?:share ?alike|sa)", r" nc sa"),
+            ("cc-by-nc-nd", r" (?:(?:non ?commercial|nc) (?:no ?deriv(?:ative)?s|nd)|(?:no ?deriv(?:ative)?s|nd) (?:non ?commercial|nc))", r" (?:nc nd|nd nc)"),
+        )
+        for keyword, name in (("creative commons", f"creative commons (?:attribution|by){long}"), ("cc by", f"cc by{short}"))
+    ),
     ("cc0", "cc0", r"cc0", (("1 0", "cc0-1.0"),)),
     ("isc", "isc", r"isc", ()),
     ("zlib", "zlib", r"zlib(?: libpng)?", ()),
@@ -86,7 +95,7 @@ SENTENCES = (
 #: Words one of which stands in every text a rule can match.
 TRIGGERS = (
     "licen", "spdx", "gpl", "permission", "redistribut", "warrant", "later version", "public domain", "altered source",
-    "derivative works", "all rights reserved", "apache", "bsd", "mozilla", "mpl", "cc0", "wtfpl", "creative commons",
+    "derivative works", "all rights reserved", "apache", "bsd", "mozilla", "mpl", "cc", "wtfpl", "creative commons",
 )
 
 #: What stands around a family's name, the weight of a match and its priority (0 goes first).
