@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
-from wearline.llm import language_id, license_scan, secret_scan, toxicity
+from wearline.llm import language_id, license_rules, license_scan, secret_scan, toxicity
 from wearline.llm.license_rules import BASE, TRIGGERS, rules
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -84,6 +84,26 @@ def test_licence_lines_of_the_documents_and_creative_commons_names(table):
     assert got[3].score == 0.95 and got[len(LICENCE_LINES) - 1].score == 0
 
 
+#: Names without the word licence, after "under" and bare.
+SHORT_LICENCES = [
+    ("Licensed under MIT", "mit"), ("licensed under the ISC", "isc"), ("Licensed under the Eclipse Public 2.0", "epl-2.0"), ("Released under zlib.", "zlib"),
+    ("made available under the terms of the Boost Software 1.0", "bsl-1.0"), ("see Eclipse Public 2.0", "epl-2.0"), ("Artistic 2.0", "artistic-2.0"),
+    ("GNU General Public 3", "gpl-3.0"), ("provided under the SIL Open Font 1.1", "ofl-1.1"), ("distributed under EUPL, European Union Public 1.2", "eupl-1.2"), ("mit, eclipse public", ""),
+]
+
+
+def test_licences_without_the_word_licence(table):
+    got = {r.doc_id: r.labels for r in license_scan.summary(license_scan.scan(table(list(enumerate(t for t, _ in SHORT_LICENCES))))).collect()}
+    assert [got[i] for i in range(len(SHORT_LICENCES))] == [want for _, want in SHORT_LICENCES]
+
+
+def test_the_gate_follows_the_rules():
+    own = [license_rules.Rule("own", "house rules", r" house rules(?= )", 0.5, 3)]
+    assert "house" in license_rules.triggers(own)
+    for rule in rules():
+        assert any(t in rule.keyword for t in TRIGGERS), rule
+
+
 def test_licences_of_an_empty_table(table):
     assert license_scan.summary(license_scan.scan(table(ODD).limit(0))).count() == 0
 

@@ -92,19 +92,13 @@ SENTENCES = (
     ("proprietary", "all rights reserved", r" all rights reserved"),
 )
 
-#: Words one of which stands in every text a rule can match.
-TRIGGERS = (
-    "licen", "spdx", "gpl", "permission", "redistribut", "warrant", "later version", "public domain", "altered source",
-    "derivative works", "all rights reserved", "apache", "bsd", "mozilla", "mpl", "cc", "wtfpl", "creative commons",
-)
-
 #: What stands around a family's name, the weight of a match and its priority (0 goes first).
 TEMPLATES = (
     (r" spdx license identifier {name}{version}", 1.0, 0),
-    (r" (?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{name}{licence}(?: version)?{version}", 0.95, 1),
+    (r" (?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?{version}", 0.95, 1),
     (r" (?:the )?{name} licen[sc]e(?: version)?{version}", 0.8, 2),
 )
-#: A bare name counts with a version only, and only where the name is a trigger itself; other names need the word licence.
+#: A bare name counts with a version only.
 BARE = (r" {name}{version}", 0.5, 3)
 LEVELS = 4
 
@@ -113,10 +107,16 @@ def rules() -> list[Rule]:
     """All rules in their order."""
     found = [Rule(label, keyword, f"{regex}(?= )", 0.9, 1) for label, keyword, regex in SENTENCES]
     for label, keyword, name, versions in FAMILIES:
-        speaks = any(t in keyword for t in TRIGGERS)
-        licence = "(?: licen[sc]e)?" if speaks else " licen[sc]e"
         for words, own in (*versions, ("", label)):
-            for template, weight, priority in (*TEMPLATES, *([BARE] if words and speaks else [])):
-                regex = template.format(name=name, licence=licence, version=f" {words}" if words else "")
-                found.append(Rule(own, keyword, f"{regex}(?= )", weight, priority))
+            for template, weight, priority in (*TEMPLATES, *([BARE] if words else [])):
+                found.append(Rule(own, keyword, template.format(name=name, version=f" {words}" if words else "") + "(?= )", weight, priority))
     return found
+
+
+def triggers(table: list[Rule]) -> tuple[str, ...]:
+    """Words one of which stands in every text that holds a base phrase or a rule's keyword: the longest word of each."""
+    words = {max(phrase.split(), key=len) for phrase in (*[p for p, _ in BASE], *[r.keyword for r in table])}
+    return tuple(sorted(w for w in words if not any(o != w and o in w for o in words)))
+
+
+TRIGGERS = triggers(rules())

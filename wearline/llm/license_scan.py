@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import whole_text
-from wearline.llm.license_rules import BASE, LEVELS, TRIGGERS, Rule, rules
+from wearline.llm.license_rules import BASE, LEVELS, Rule, rules, triggers
 
 #: ASCII without letters and digits. Listed one by one, as the regex engine looks single characters up in a bit set but walks through ranges.
 OTHERS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
@@ -102,8 +102,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     lowered = F.lower("text")
     gate = F.lit(False)
-    for trigger in TRIGGERS:  # single words, so that what stands between words does not matter
-        gate = gate | F.contains(lowered, F.lit(trigger.split()[0]))
+    for trigger in triggers(table):  # single words, so that what stands between words does not matter
+        gate = gate | F.contains(lowered, F.lit(trigger))
     rows = rows.select("doc_id", plain_words(F.col("text")).alias("plain"), gate.alias("gate"))
     n_words = F.when(F.col("plain") == "", 0).otherwise(_spaces(F.col("plain")) + 1)
     rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(F.col("gate"), word_text(F.col("plain"))).alias("words"))
