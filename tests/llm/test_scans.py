@@ -203,6 +203,42 @@ def test_toxicity_catches_misspellings_and_spares_quotations(toxic_model):
     assert trie.numbers('they said "grumblox" loudly')[1] > 0 == trie.numbers('they said "grumblox" loudly')[0]
 
 
+def test_toxicity_finds_masked_and_swapped_terms_in_texts(table, toxic_model):
+    terms = ("idiot", "stupid", "scum", "worthless", "ass")
+    trie = toxicity.Trie(toxicity.Lexicon(dict.fromkeys(terms, 2.0), {}, frozenset({"scam"})))
+    for word in ("id1ot", "st*pid", "sc_um", "sc.um", "idoit", "wrthles", "worhtlses", "scun", "a5s", "$tupid", "(st*pid),", "so:id1ot", "id1ot-like"):
+        assert trie.numbers(f"you {word} there")[2] > 0 == trie.numbers(f"you {word} there")[0], word
+    for word in ("scam", "as", "42", "3.14", "u.s.a.", "st**id1", "pidst", "stupid's", "###", "x" * 500 + "1"):
+        assert trie.numbers(f"you {word} there")[2] == 0, word
+    model = toxic_model[2]
+    rows = [(1, "grumblox nastyfoo vilebert"), (2, "gr*mblox nast1foo vilebetr"), (3, "gardens nearby bloom")]
+    got = {r.doc_id: r for r in toxicity.scores(table(rows), model).collect()}
+    clean, masked = (toxicity.Trie(model.lexicon).numbers(t) for t in (rows[2][1], rows[1][1]))
+    assert clean[2:] == [0, 0] and masked[2] > 0 and masked[3] == toxicity.Trie(model.lexicon).numbers(rows[0][1])[3]
+    assert got[2].score > got[3].score
+
+
+def test_toxicity_automaton_with_swaps_and_two_slips():
+    def distance(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                best = min(rows[i][-1] + 1, rows[i - 1][j] + 1, rows[i - 1][j - 1] + (x != y))
+                if i > 1 < j and x == b[j - 2] and y == a[i - 2]:
+                    best = min(best, rows[i - 2][j - 2] + 1)
+                rows[i].append(best)
+        return rows[-1][-1]
+
+    r = random.Random(10)
+    terms = {"".join(r.choice("abc") for _ in range(r.randrange(3, 9))): 1.0 for _ in range(12)}
+    trie = toxicity.Trie(toxicity.Lexicon(terms, {}, frozenset()))
+    for _ in range(1500):
+        word = "".join(r.choice("aabbcc1*") for _ in range(r.randrange(2, 11)))
+        near = [t for t in terms if t == word or (len(t) >= (4 if word.isalpha() else 3) and distance(word, t) <= (2 if len(t) >= 6 else 1))]
+        assert (trie.kinds[word][0] > 0) == bool(near), word
+
+
 def test_toxicity_scores_odd_rows_and_keeps_columns(table, toxic_model):
     model = toxic_model[2]
     docs = table([*ODD, (90, "grumblox nastyfoo vilebert grumblox")])

@@ -2,9 +2,10 @@
 
 1. The lexicon is learned from a bounded sample of labelled rows (`SAMPLE_LABELS`, chosen by a hash of the id): words, and stems that
    many words begin with, that far more toxic than clean documents hold than chance allows.
-2. The lexicon is a trie. A word matches a term exactly, begins with a stem, or is one edit away from a term of `FUZZY_LETTERS` or more
-   letters: the automaton's states are rows of edit distances, and branches of the trie with no distance of 1 or less are left. Words that
-   clean documents of the sample hold are ordinary words and not misspellings.
+2. The lexicon is a trie. A word matches a term exactly, begins with a stem, or is a misspelling: one edit or one swap of neighbours away
+   from a term, two from a term of `LONG_LETTERS` or more letters. The automaton's states are rows of edit distances, and branches of the
+   trie with no distance within the bound are left. Words are runs of letters; where none of a run's words is a hit, what stands between
+   spaces is tried as a whole, with its digits and signs. Words that clean documents of the sample hold are ordinary words and not misspellings.
 3. Each hit is weighed by its context window: inside quotation marks or after a word of speaking it counts as quoted, else as abuse.
 4. A logistic regression over a few numbers per document (abuse, quoted, misspelled hits and their rate) gives the score. It is fitted
    on a part of the sample that the lexicon for the fit was not learned from; the final lexicon then uses the whole sample.
@@ -32,9 +33,10 @@ SAMPLE_LABELS = 20_000
 THRESHOLD = 0.3
 #: Fixed by the contract: documents of this fold are never learned from.
 FOLDS, HELD_OUT = 4, 2
-#: Shortest and longest stem, fewest letters of a term that may be misspelled.
+#: Shortest and longest stem.
 STEMS = (4, 7)
-FUZZY_LETTERS = 5
+#: Fewest letters of a term that may be misspelled with letters, with digits or signs, and by two edits.
+FUZZY_LETTERS, MASKED_LETTERS, LONG_LETTERS = 4, 3, 6
 #: Fewest toxic documents that hold a term, smallest log odds, and the chance (per term) at which a term counts.
 SUPPORT, ODDS, CHANCE = 4, 2.5, 1e-6
 #: Terms kept, best first.
@@ -45,6 +47,12 @@ WINDOW = 4
 SPEAKING = frozenset("said says say saying called calls quote quoted quoting wrote word term sagte sagt nannte schrieb wort dit disait appelé écrit mot dijo dice llamó escribió palabra".split())
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
+#: What stands between spaces and quotation marks, and where it is parted if it is no term as a whole.
+_CHUNK = re.compile(r"[^\s\"“”„«»]+|[\"“”„«»]")
+_EDGE = ".,;:!?()[]{}<>/–—…-"
+_PARTED = re.compile(f"[{re.escape(_EDGE)}]+")
+#: Longest run that is remembered.
+_CHUNK_CHARS = 64
 
 
 class Lexicon(NamedTuple):
@@ -61,21 +69,29 @@ class Trie:
         self.lexicon = lexicon
         self.root: dict = {}
         self.near: set[str] = set()
+        self.far: dict[str, tuple[str, ...]] = {}  # terms by their spellings less one or two letters
+        self.longest = 0
         for term in lexicon.words:
-            if len(term) >= FUZZY_LETTERS:
+            if len(term) >= MASKED_LETTERS:
                 node = self.root
                 for letter in term:
                     node = node.setdefault(letter, {})
                 node[""] = term
+                self.longest = max(self.longest, len(term))
                 self.near |= {term, *_shortened(term)}
+                for v in _twice_shortened(term) if len(term) >= LONG_LETTERS else {term, *_shortened(term)}:
+                    self.far[v] = (*self.far.get(v, ()), term)
         self.classes = Memo(self._class)
+        self.kinds = Memo(self._kind)
+        self.parts = Memo(self._parts)
 
     def misspelled(self, word: str) -> str | None:
         """The first term (by name) within one edit of a word."""
         found: list[str] = []
+        fewest = _fewest(word)
 
         def walk(node: dict, row: list[int]) -> None:
-            if "" in node and row[-1] <= 1:
+            if "" in node and row[-1] <= 1 and len(node[""]) >= fewest:
                 found.append(node[""])
             for letter, below in node.items():
                 if letter:
@@ -88,8 +104,15 @@ class Trie:
         walk(self.root, list(range(len(word) + 1)))
         return min(found, default=None)
 
+    def slipped(self, word: str) -> str | None:
+        """The first term (by name) within one edit or swap of neighbours of a word, or two for long terms."""
+        # a swap shares a spelling less one letter, two edits share one less two letters
+        terms = {t for v in self.far.keys() & _twice_shortened(word) for t in self.far[v]}
+        fewest = _fewest(word)
+        return min((t for t in terms if len(t) >= fewest and _within(word, t, 2 if len(t) >= LONG_LETTERS else 1)), default=None)
+
     def _class(self, word: str) -> tuple[int, float]:
-        """(0 no hit, 1 word, 2 stem, 3 misspelled) and the weight of a word."""
+        """(0 no hit, 1 word, 2 stem, 3 misspelled by one edit) and the weight of a word."""
         lexicon = self.lexicon
         if word in lexicon.words:
             return 1, lexicon.words[word]
@@ -97,19 +120,46 @@ class Trie:
             if len(word) > size and word[:size] in lexicon.stems:
                 return 2, lexicon.stems[word[:size]]
         # only words that share a spelling less one letter with a term can be one edit away
-        if len(word) >= FUZZY_LETTERS - 1 and word not in lexicon.ordinary and (word in self.near or not self.near.isdisjoint(_shortened(word))):
+        if word not in lexicon.ordinary and (word in self.near or not self.near.isdisjoint(_shortened(word))):
             if term := self.misspelled(word):
                 return 3, lexicon.words[term]
         return 0, 0.0
 
+    def _kind(self, word: str) -> tuple[int, float]:
+        """The class of a word where swapped neighbours and two edits of a long term count as misspelled too."""
+        found = self.classes[word]
+        if found[0] or word in self.lexicon.ordinary or len(word) > self.longest + 2:
+            return found
+        term = self.slipped(word)
+        return (3, self.lexicon.words[term]) if term else found
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """The words of what stands between spaces; a whole with digits or signs where that is a misspelling and no word in it is a hit."""
+        words = _TOKEN.findall(chunk)
+        if chunk.isalpha() or not words or chunk in _QUOTES or any(self.kinds[w][0] for w in words):
+            return tuple(words)
+        for whole in dict.fromkeys((chunk.strip(_EDGE), _trimmed(chunk))):
+            # every digit or sign is an edit
+            if MASKED_LETTERS - 1 <= len(whole) <= self.longest + 2 and 0 < sum(not c.isalpha() for c in whole) <= 2 and self.kinds[whole][0]:
+                return (whole,)
+        pieces = [p for p in _PARTED.split(chunk) if p]
+        if len(pieces) > 1:
+            return tuple(w for p in pieces for w in self._parts(p))
+        return tuple(words)
+
+    def tokens(self, text: str) -> list[str]:
+        """The words and quotation marks of a text."""
+        parts = self.parts
+        return [t for c in _CHUNK.findall(text.lower()) for t in (parts[c] if len(c) <= _CHUNK_CHARS else self._parts(c))]
+
     def numbers(self, text: str) -> list[float]:
         """What the regression sees of a text."""
-        tokens = _TOKEN.findall(text.lower())
-        classes = self.classes
-        hits = [i for i, t in enumerate(tokens) if classes[t][0]]
+        tokens = self.tokens(text)
+        kinds = self.kinds
+        hits = [i for i, t in enumerate(tokens) if kinds[t][0]]
         sums = [0.0] * 4  # words and stems that abuse, quoted ones, misspelled ones, all hits
         for i in hits:
-            kind, weight = classes[tokens[i]]
+            kind, weight = kinds[tokens[i]]
             quoted = self._quoted(tokens, i)
             sums[1 if quoted else 2 if kind == 3 else 0] += weight
             sums[3] += 1
@@ -126,6 +176,40 @@ def _shortened(word: str) -> list[str]:
     return [word[:i] + word[i + 1 :] for i in range(len(word))]
 
 
+def _twice_shortened(word: str) -> set[str]:
+    """The word less none, one or two letters."""
+    places = range(len(word))
+    return {word, *_shortened(word), *[word[:i] + word[i + 1 : j] + word[j + 1 :] for i in places for j in places[i + 1 :]]}
+
+
+def _fewest(word: str) -> int:
+    return FUZZY_LETTERS if word.isalpha() else MASKED_LETTERS
+
+
+def _within(word: str, term: str, most: int) -> bool:
+    """Whether single edits and swaps of neighbours, `most` at most, turn a word into a term."""
+    if abs(len(word) - len(term)) > most:
+        return False
+    before, row = [], list(range(len(word) + 1))
+    for j, letter in enumerate(term):
+        new = [j + 1]
+        for i, other in enumerate(word):
+            cost = min(new[i] + 1, row[i + 1] + 1, row[i] + (other != letter))
+            if i and j and word[i - 1] == letter and term[j - 1] == other:
+                cost = min(cost, before[i - 1] + 1)
+            new.append(cost)
+        if min(new) > most and min(row) >= most:  # a swap goes on from the row before
+            return False
+        before, row = row, new
+    return row[-1] <= most
+
+
+def _trimmed(chunk: str) -> str:
+    """A chunk without what stands before its first and behind its last letter or digit."""
+    kept = [i for i, c in enumerate(chunk) if c.isalnum()]
+    return chunk[kept[0] : kept[-1] + 1]
+
+
 class Model(NamedTuple):
     lexicon: Lexicon
     weights: tuple[float, ...]
@@ -198,12 +282,12 @@ def _tail(n: int, least: int, share: float) -> float:
 
 
 def _ordinary(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words one edit away from a term that clean documents of the sample hold."""
+    """Misspellings of a term that clean documents of the sample hold."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(lexicon)
         for batch in batches:
-            found = {w for t in batch.column(0).to_pylist() for w in {*_TOKEN.findall(t.lower())} if trie.classes[w][0] == 3}
+            found = {w for t in batch.column(0).to_pylist() for w in {*trie.tokens(t)} if trie.kinds[w][0] == 3}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
     return frozenset(r["word"] for r in arrow_map(sample.where("toxic = 0").select("text"), near, "word string").distinct().collect())
