@@ -126,6 +126,22 @@ def test_one_of_each(table):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_judges_rows_with_null_or_repeated_ids_one_by_one(table):
+    r = random.Random(6)
+    text = lambda: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    edited = lambda words: " ".join([*words[:-1], "edited"])
+    near, alone, among_nulls = text(), text(), text()
+    rows = [
+        (1, " ".join(near)), (None, edited(near)), (None, " ".join(text())), (None, " ".join(text())),  # one NULL id is a near copy, two are not
+        (5, " ".join(alone)), (5, edited(near)),  # a repeated id whose second text is a near copy
+        (None, " ".join(among_nulls)), (None, edited(among_nulls)),  # a class of NULL ids only
+        (8, "twice the same row"), (8, "twice the same row"),
+    ]
+    left = [(x.doc_id, x.text) for x in ngram_join.one_of_each(table(rows)).collect()]
+    assert len(left) == len(set(left)) == 6
+    assert {rows[0], rows[2], rows[3], rows[4], rows[8]} <= set(left) and len({rows[6], rows[7]} & set(left)) == 1
+
+
 def test_prefixes_shorten_until_the_recall_is_reached():
     assert ngram_join.prefix_length(0.8, 0.5) > ngram_join.prefix_length(0.8, 0.99) >= ngram_join.prefix_length(0.8, 0.9999)
     for recall in (0.5, 0.9, 0.995):

@@ -234,6 +234,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their class, with all their columns; rows that repeat an id stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("first")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of every class of `docs`, with all its columns: the one with the smallest id (NULL last) and of its rows the first written."""
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")))
+    ids = rows.select("row", F.col(f"d.`{id_col}`").alias("id"))
+    found = near_duplicates(rows.select("row", F.col(f"d.`{text_col}`").alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "class_id")
+    keep = found.join(ids, "row").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select("d.*")
