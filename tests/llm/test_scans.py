@@ -152,6 +152,20 @@ def test_ownership_tells_examples_from_credentials(table):
     assert got[51].spans == [] and got[52].spans == []
 
 
+def test_many_repositories_of_one_owner_make_an_example(table):
+    rows = [(i, f"text {i} {SHARED}", None, "hot") for i in range(secret_scan.EXAMPLE_REPOSITORIES)] + [(1000 + i, f"{i} token = 'ccccccccdddddddd'", None, "hot") for i in range(20)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(table(rows)).collect()}
+    assert {s.live for i in range(100) for s in got[i]} == {False} and {s.live for i in range(20) for s in got[1000 + i]} == {True}
+    text = {r.doc_id: r.text for r in secret_scan.masked(table(rows)).collect()}
+    assert text[3] == rows[3][1] and "cccc" not in text[1003]
+
+
+def test_secrets_in_urls_of_any_length():
+    for user, password in (("", "hunter22"), ("u" * 80, "hunter22"), ("me", "p4" * 100)):
+        text = f"at redis://{user}:{password}@host/0"
+        assert [s[:3] for s in secret_scan.spans(text) if s[0] == 6] == [(6, 3, text.index("@") + 1)]
+
+
 def test_masking_keeps_examples_and_columns(table):
     docs = table(ownership_rows())
     got = secret_scan.masked(docs)

@@ -4,7 +4,8 @@
    (kind, place, hash of the secret value) are written to the shared folder; texts are not shuffled.
 2. Candidate hashes are aggregated over the corpus: in how many repositories and by how many owners does each one occur? Counting goes
    over (hash, owner, repository), then (hash, owner), then hash, so a value that a third of all rows repeat is combined early.
-3. A value that `EXAMPLE_OWNERS` or more owners share is an example, all others belong to someone. Base spans always stay and carry
+3. A value that `EXAMPLE_OWNERS` or more owners or `EXAMPLE_REPOSITORIES` or more repositories share is an example, whoever owns
+   those; all others belong to someone. Base spans always stay and carry
    the verdict; spans of further kinds are added where the value is owner-specific and not a placeholder.
 
 Kinds are listed in `KINDS`. Places are code points, end exclusive, over the whole match.
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "bearer", "url")
 BASE = 3
 #: A value with this many owners is a copied example.
 EXAMPLE_OWNERS = 10
+#: So is one that stands in this many repositories, whatever the owners.
+EXAMPLE_REPOSITORIES = 100
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,7 +40,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is found as a run of
 _PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _BEARER = re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@")
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]*:([^\s/:@]{6,})@")
 #: What stands in place of a secret.
 _PLACEHOLDER = re.compile(r"(?i)x{6,}|\*{4,}|example|changeme|your[_-]|placeholder|<|\$\{|0{12,}|123456")
 
@@ -91,12 +94,12 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """row, doc_id and spans (kind, start, end, owners, repositories, live) of every row, by start, then kind."""
     found = candidates(docs, id_col, text_col, repository_col, owner_col)
     counts = ownership(found)
     each = found.select("row", F.explode("found").alias("s")).select("row", "s.*")
-    live = F.col("owners") < example_owners
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
     judged = (
         each.join(counts, "value")
         .where((F.col("kind") < BASE) | live)
