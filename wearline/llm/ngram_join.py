@@ -2,8 +2,8 @@
 
 1. Every whole text becomes its set of five-word shingles (lower-cased words; shorter texts are one shingle) and a MinHash
    signature of `TREES` rows of `DEPTH` values. Texts with equal words are one content; a content's copies are joined through it.
-2. Each row of a signature is a path in one tree of the forest. Matching starts from whole paths and shortens them until two
-   contents at the threshold meet in some tree with probability `RECALL`; the trees are the sorted tables of these prefixes.
+2. Each row of a signature is a path in one tree of the forest. Contents meet on a fixed prefix of it: the longest at which two
+   contents at the threshold meet in some tree with probability `RECALL` by formula. There is no descent that adapts to the data.
 3. Contents below one prefix form a group; large groups are cut into blocks, and pairs of blocks are tasks of bounded size, so that no
    task and no row holds a group and no partner is left out. A pair is taken in the first tree in which it meets, and only if
    its signatures agree within `MARGIN` standard errors of the threshold.
