@@ -221,14 +221,14 @@ def test_toxicity_finds_masked_and_swapped_terms_in_texts(table, toxic_model):
     terms = ("idiot", "stupid", "scum", "worthless", "ass")
     trie = toxicity.Trie(toxicity.Lexicon(dict.fromkeys(terms, 2.0), {}, frozenset({"scam"})))
     for word in ("id1ot", "st*pid", "sc_um", "sc.um", "idoit", "wrthles", "worhtlses", "scun", "a5s", "$tupid", "(st*pid),", "so:id1ot", "id1ot-like"):
-        assert trie.numbers(f"you {word} there")[2] > 0 == trie.numbers(f"you {word} there")[0], word
+        assert sum(trie.numbers(f"you {word} there")[::2]) > 0, word
     for word in ("scam", "as", "42", "3.14", "u.s.a.", "st**id1", "pidst", "stupid's", "###", "x" * 500 + "1"):
         assert trie.numbers(f"you {word} there")[2] == 0, word
     model = toxic_model[2]
     rows = [(1, "grumblox nastyfoo vilebert"), (2, "gr*mblox nast1foo vilebetr"), (3, "gardens nearby bloom")]
     got = {r.doc_id: r for r in toxicity.scores(table(rows), model).collect()}
     clean, masked = (toxicity.Trie(model.lexicon).numbers(t) for t in (rows[2][1], rows[1][1]))
-    assert clean[2:] == [0, 0] and masked[2] > 0 and masked[3] == toxicity.Trie(model.lexicon).numbers(rows[0][1])[3]
+    assert clean[2:] == [0, 0] and masked[0] > 0 and masked[2] > 0 and masked[3] == toxicity.Trie(model.lexicon).numbers(rows[0][1])[3]
     assert got[2].score > got[3].score
 
 

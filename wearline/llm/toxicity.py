@@ -157,11 +157,11 @@ class Trie:
         tokens = self.tokens(text)
         kinds = self.kinds
         hits = [i for i, t in enumerate(tokens) if kinds[t][0]]
-        sums = [0.0] * 4  # words and stems that abuse, quoted ones, misspelled ones, all hits
+        sums = [0.0] * 4  # words, stems and masked words that abuse, quoted ones, misspelled ones, all hits
         for i in hits:
             kind, weight = kinds[tokens[i]]
             quoted = self._quoted(tokens, i)
-            sums[1 if quoted else 2 if kind == 3 else 0] += weight
+            sums[1 if quoted else 2 if kind == 3 and tokens[i].isalpha() else 0] += weight  # a term with digits or signs in it is meant
             sums[3] += 1
         return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), math.log1p(1000 * sums[3] / (len(tokens) + 50))]
 
