@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import exact_dedup, imatch, language_id, license_scan, ngram_join, packing, secret_scan, token_files, toxicity, word_bpe
+from wearline.llm import decontaminate, exact_dedup, imatch, language_id, license_scan, ngram_join, packing, periodic_runs, ranked_search, secret_scan, token_files, toxicity, word_bpe
 from wearline.llm.common import cut, documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,21 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_ngram_join, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op7_toxicity, op8_language_id, op9_best_fit_packing, op10_imatch_fingerprints)}
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summary(decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(periodic_runs.periodic_runs(periodic_runs.with_repeats(documents(spark, sf_dir))))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_ALL = (
+    op1_token_files, op2_ngram_join, op3_license_scan, op4_exact_dedup, op5_secret_scan, op6_word_bpe, op7_toxicity, op8_language_id, op9_best_fit_packing,
+    op10_imatch_fingerprints, op11_decontamination, op12_periodic_runs, op13_ranked_search,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op11_decontamination": decontaminate.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
