@@ -13,7 +13,9 @@ def onset(spark, signal, baseline=10, **changes):
     rows = spark.createDataFrame(pdf.assign(**(BASE | changes)))
     smooth = he.smoothed(rows, ["unit_id"], "x", 3)
     keys = ["condition_id", "unit_id"]
-    return he.onsets(smooth, he.change_points(smooth, keys), keys).first()
+    setting = BASE | changes
+    found = he.change_points(smooth, keys, [(setting["cost_model"], setting["penalty"], setting["minimum_segment_size"])], jump=setting["jump"])
+    return he.onsets(smooth, found, keys).first()
 
 
 @pytest.mark.parametrize("model", ["l2", "rbf"])
@@ -55,3 +57,55 @@ def test_parameter_grid_ids(spark):
     assert len(grid) == 96 and [r["parameter_id"] for r in grid] == list(range(96)) and grid[0]["cost_model"] == "rbf"
     out = he.with_parameters(spark.range(2), he.parameter_grid(spark))
     assert out.count() == 192
+
+
+def long_series(n=3000):
+    rng = np.random.default_rng(8)
+    parts = [rng.normal(m, s, k) for m, s, k in ((0, 1, 700), (3, 1, 300), (3, 4, 500), (-2, 0.3, 400), (5, 2, 1100))]
+    return np.round(np.concatenate(parts)[:n], 3)
+
+
+def kernel_reference(x, penalty, least, jump):
+    """Penalised optimal partitioning with pruning over the whole kernel matrix."""
+    n = len(x)
+    gaps = (x[:, None] - x[None, :]) ** 2
+    kernel = np.exp(-np.clip(gaps / np.median(gaps[np.triu_indices(n, 1)]), 1e-2, 1e2))
+    np.fill_diagonal(kernel, 1.0)
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = kernel.cumsum(axis=0).cumsum(axis=1)
+    best, live = {0: (0.0, [])}, []
+    for end in [e for e in range(0, n, jump) if e >= least] + [n]:
+        start = (end - least) // jump * jump
+        if start in best and start not in live:
+            live.append(start)
+        if not live:
+            continue
+        values = [best[t][0] + (end - t) - (area[end, end] - area[t, end] - area[end, t] + area[t, t]) / (end - t) + penalty for t in live]
+        top = int(np.argmin(values))
+        best[end] = (values[top], [*best[live[top]][1], end])
+        live = [t for t, v in zip(live, values) if v <= values[top] + penalty]
+    return best[n][1][:-1]
+
+
+def test_both_kernel_plans_reach_the_whole_matrix(spark):
+    x = long_series()
+    settings = [("rbf", 1.0, 5), ("rbf", 5.0, 10), ("l2", 40.0, 10), ("rbf", 8.0, 5)]
+    frames = [("long", x), ("short", x[:400]), (None, x[650:1400])]
+    pdf = pd.concat([pd.DataFrame({"unit_id": u, "sequence_index": np.arange(len(v)), "smoothed": v}) for u, v in frames])
+    rows = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "unit_id string, sequence_index bigint, smoothed double").repartition(5)
+    want = {(u, p, m): kernel_reference(v, p, m, 5) for u, v in frames for c, p, m in settings if c == "rbf"}
+    for cells in (128, 1000):  # tiles for the two longer series; one block for each
+        got = he.change_points(rows, ["unit_id"], settings, tile_cells=cells).collect()
+        found = {k: sorted(r.boundary for r in got if (r.unit_id, r.penalty, r.minimum_segment_size) == k and r.cost_model == "rbf") for k in want}
+        assert found == want
+        assert {r.cost_model for r in got} == {"l2", "rbf"}
+
+
+def test_median_gap_by_digits(spark):
+    rng = np.random.default_rng(3)
+    for x in (np.round(rng.normal(0, 2, 301), 2), np.zeros(40), rng.normal(0, 1e-9, 64)):
+        parts = [x[i : i + 50] for i in range(0, len(x), 50)]
+        rows = [("u", j, i, len(b), len(a), a.tolist(), b.tolist()) for j, b in enumerate(parts) for i, a in enumerate(parts[: j + 1])]
+        tiles = spark.createDataFrame(rows, "unit_id string, later bigint, earlier bigint, rows bigint, rows_before bigint, a array<double>, b array<double>")
+        gaps = ((x[:, None] - x[None, :]) ** 2)[np.triu_indices(len(x), 1)]
+        assert he._median_gaps(tiles, ["unit_id"]).first()["middle"] == np.median(gaps)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearline.functions import signal as sg
 from wearline.operators.scale import middle, percentiles, rolling_median, rows_back, trailing
+from wearline.session import parameter_table
 
 #: Reason of a unit without an alarm. Fixed value.
 REJECTED = "persistence/effect/follow-up criteria not satisfied"
@@ -20,6 +22,7 @@ THRESHOLDS = (4.0, 6.0, 8.0)
 PERSISTENCES = (3, 5)
 AGGREGATIONS = ("mean", "maximum")
 DIVERGENCES = ("symmetric_kl", "kl")
+TREND_WINDOWS = (5, 10, 20)
 MAXIMUM_GAP = 1
 MINIMUM_POST = 10
 MINIMUM_EFFECT = 4.0
@@ -89,15 +92,81 @@ def trajectory(df: DataFrame, unit: Sequence[str], combined: str, baseline: int,
     )
 
 
-def grid_trajectories(df: DataFrame, unit: Sequence[str], families: Mapping[str, Column], baselines: Sequence[int], windows: Sequence[int]) -> DataFrame:
-    """Normalised series of every family, window and baseline. Smoothing and baselines run once per series."""
-    listed = F.array(*[F.struct(F.lit(name).alias("detector_family"), value.alias("combined")) for name, value in families.items()])
-    series = df.select("*", F.inline(listed))
-    keys = [*unit, "detector_family"]
+def own_baseline(df: DataFrame, keys: Sequence[str], value: str, name: str = "normalized") -> DataFrame:
+    """Rows centred and scaled by the first `baseline_acquisitions` rows of their key, which holds one such number."""
+    v = F.col(value).cast("double")
+    early = df.where(F.col("sequence_index") < F.col("baseline_acquisitions")).select(*keys, v.alias("_v"))
+    centers = percentiles(early, keys, {"baseline_median": (F.col("_v"), 0.5)})
+    spreads = percentiles(early.join(centers, list(keys)), keys, {"baseline_mad": (F.abs(F.col("_v") - F.col("baseline_median")), 0.5)}, {"baseline_median": F.max("baseline_median")})
+    return df.join(spreads, list(keys)).withColumn(name, (v - F.col("baseline_median")) / F.greatest(F.col("baseline_mad"), F.lit(EPSILON)))
+
+
+def reference_vectors(df: DataFrame, unit: Sequence[str], vectors: Mapping[str, str], baselines: Sequence[int]) -> DataFrame:
+    """Element-wise medians of each unit's first rows, renormalised: one row per unit with a column `<name>_<baseline>` per vector.
+
+    Only the longest baseline's rows are read; all vectors and baselines share one pass.
+    """
+    i = F.col("sequence_index")
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.transform(c, lambda m: m.cast("double")).alias("vector")) for n, c in vectors.items()])
+    early = df.where(i < max(baselines)).select(*unit, i, F.inline(listed)).select(*unit, i, "name", F.posexplode("vector").alias("bin", "mass"))
+    keys = [*unit, "name"]
+    middle = percentiles(early, [*keys, "bin"], {f"m{b}": (F.when(i < b, F.col("mass")), 0.5) for b in baselines})
+    gathered = middle.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *[f"m{b}" for b in baselines]))).alias("_v"))  # one element per bin
+
+    def scaled(b: int) -> Column:
+        masses = F.transform("_v", lambda z: z[f"m{b}"])
+        return F.transform(masses, lambda m: (m / sg.array_sum(masses)).cast("float")).alias(f"r{b}")
+
+    rows = gathered.select(*keys, *[scaled(b) for b in baselines])
+    return rows.groupBy(*unit).agg(*[F.max(F.when(F.col("name") == n, F.col(f"r{b}"))).alias(f"{n}_{b}") for n in vectors for b in baselines])
+
+
+def detector_series(
+    df: DataFrame, unit: Sequence[str], levels: tuple[str, str], spectra: Mapping[str, tuple[str, str]], baselines: Sequence[int] = BASELINES, aggregations: Sequence[str] = AGGREGATIONS
+) -> DataFrame:
+    """The series detectors watch, one per (detector_family, channel_aggregation, baseline_acquisitions), in `combined`.
+
+    Family `rms` takes the greater of two level columns. A family of `spectra` names the probability vectors of both channels; each
+    acquisition diverges (symmetric) from its unit's own reference of every baseline, computed once and fed to all later settings.
+    """
+    vectors = {f"{family}_{c}": column for family, columns in spectra.items() for c, column in enumerate(columns)}
+    joined = df.join(reference_vectors(df, unit, vectors, baselines), list(unit))
+    staged = joined.withColumns({f"_{n}_{b}": sg.kl_divergence(F.col(c), F.col(f"{n}_{b}"), symmetric=True) for n, c in vectors.items() for b in baselines})
+    entry = lambda family, how, b, value: F.struct(F.lit(family).alias("detector_family"), F.lit(how).alias("channel_aggregation"), F.lit(b).alias("baseline_acquisitions"), value.alias("combined"))
+    listed = [entry("rms", "maximum", b, combine(F.col(levels[0]), F.col(levels[1]), "maximum")) for b in baselines]
+    listed += [entry(f, how, b, combine(F.col(f"_{f}_0_{b}"), F.col(f"_{f}_1_{b}"), how)) for f in spectra for b in baselines for how in aggregations]
+    return staged.select(*unit, "sequence_index", "total_acquisitions", "elapsed_minutes", "rul_minutes", F.inline(F.array(*listed)))
+
+
+SERIES = ["detector_family", "channel_aggregation", "baseline_acquisitions"]
+
+
+def grid_trajectories(series: DataFrame, unit: Sequence[str], windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """Normalised series of `detector_series` for every trailing window; all windows share one pass."""
+    keys = [*unit, *SERIES]
     smooth = trailing(series, keys, max(max(windows) - 1, 1), {f"_w{k}": lambda w, k=k: rolling_median("combined", w, k) for k in windows})
     levels = F.array(*[F.struct(F.lit(k).alias("causal_window"), F.col(f"_w{k}").alias("aggregated")) for k in windows])
-    many = smooth.select("*", F.inline(levels)).drop(*[f"_w{k}" for k in windows])
-    return robust_normalize(many, [*keys, "causal_window"], "aggregated", baselines)
+    return own_baseline(smooth.select("*", F.inline(levels)).drop(*[f"_w{k}" for k in windows]), [*keys, "causal_window"], "aggregated")
+
+
+def candidate_ids(spark: SparkSession, families: Sequence[str], baselines: Sequence[int] = BASELINES, aggregations: Sequence[str] = AGGREGATIONS, windows: Sequence[int] = WINDOWS, thresholds: Sequence[float] = THRESHOLDS, persistences: Sequence[int] = PERSISTENCES) -> DataFrame:
+    """Every detector setting with its number from 1; `families` are those besides `rms`, which knows one aggregation."""
+    names = [("rms", ("maximum",)), *[(f, aggregations) for f in families]]
+    rows = [(f, b, a, w, float(t), p) for f, channels in names for b in baselines for a in channels for w in windows for t in thresholds for p in persistences]
+    schema = "candidate_id int, detector_family string, baseline_acquisitions int, channel_aggregation string, causal_window int, threshold double, persistence int"
+    return parameter_table(spark, [(i, *row) for i, row in enumerate(rows, 1)], schema)
+
+
+def detector_grid(series: DataFrame, unit: Sequence[str], families: Sequence[str]) -> DataFrame:
+    """Alarm of every unit under every setting, with the life it leaves and the setting's number."""
+    keys = [*unit, *SERIES, "causal_window"]
+    alarms = persistent_alarm(grid_trajectories(series, unit), keys, [(t, p) for t in THRESHOLDS for p in PERSISTENCES])
+    ends = series.groupBy(*unit).agg(F.max("rul_minutes").alias("_last"))
+    share = F.try_divide(F.col("alarm_confirmation_index").cast("double"), F.col("_last"))
+    numbers = candidate_ids(series.sparkSession, families)
+    return alarms.join(ends, list(unit)).join(numbers, [*SERIES, "causal_window", "threshold", "persistence"]).withColumns(
+        {"consumed_life_fraction": share, "warning_fraction": F.coalesce(1 - share, F.lit(0.0)), "rul_at_alarm": F.col("_last") - F.col("alarm_confirmation_index")}
+    ).drop("_last")
 
 
 def persistent_alarm(

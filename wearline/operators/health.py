@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wearline.operators.scale import percentiles, rolling_median, rows_back, trailing
+from wearline.operators.scale import percentiles, rolling_median, rows_back, same_keys, trailing
 from wearline.session import cut
 
 #: Change-point grid. Fixed values.
@@ -23,8 +25,10 @@ GRID = {
 MINIMUM_EFFECT = 1.0
 PERSISTENT_SHARE = 0.7
 EPSILON = float(np.finfo(float).eps)
-#: The kernel cost compares all pairs of a unit's rows, so longer units are refused, not truncated.
-RBF_ROWS = 20_000
+#: Cells (of `jump` rows) of a block; the kernel cost compares a series block by block, a tile for every pair of blocks.
+TILE_CELLS = 128
+#: Bits of a squared distance that one pass of the median search fixes.
+DIGIT = 16
 
 
 def smoothed(df: DataFrame, unit: Sequence[str], value: str, window: int, method: str = "median", name: str = "smoothed") -> DataFrame:
@@ -121,97 +125,271 @@ class _Segmenter:
     def boundaries(self) -> list[int]:
         if self.seen >= self.least:
             self._close(self.seen)
-        path, node = [], self.closed.get(self.seen, (0, 0, 0, None))[3]
-        while node is not None:
-            path.append(node[0])
-            node = node[1]
-        return [b for b in reversed(path) if b < self.seen]
-
-
-def _l2_partition(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Segment sorted block summaries; a unit may span any number of batches."""
-    current, machine = None, None
-    columns = [*keys, "boundary"]
-    for pdf in batches:
-        names = [pdf[k].to_numpy() for k in keys]
-        fresh = np.ones(len(pdf), dtype=bool)
-        fresh[1:] = np.logical_or.reduce([n[1:] != n[:-1] for n in names])
-        starts = np.flatnonzero(fresh).tolist()
-        settings = [pdf[c].to_numpy() for c in ("penalty", "minimum_segment_size", "jump")]
-        blocks = [pdf[c].tolist() for c in ("_n", "_s1", "_s2")]
-        found: list[tuple] = []
-        for start, stop in zip(starts, [*starts[1:], len(pdf)]):
-            spot = tuple(n[start] for n in names)
-            if spot != current:
-                if machine is not None:
-                    found += [(*current, b) for b in machine.boundaries()]
-                current, machine = spot, _Segmenter(*(s[start].item() for s in settings))
-            for count, total, square in zip(*(b[start:stop] for b in blocks)):
-                machine.feed(count, total, square)
-        if found:
-            yield pd.DataFrame(found, columns=columns)
-    if machine is not None and (rest := machine.boundaries()):
-        yield pd.DataFrame([(*current, b) for b in rest], columns=columns)
-
-
-def _rbf_segments(x: np.ndarray, penalty: float, least: int, jump: int) -> list[int]:
-    n = len(x)
-    if n > RBF_ROWS:
-        raise ValueError(f"the rbf cost needs all pairs of a unit; {n} rows exceed {RBF_ROWS}, use the l2 cost")
-    gaps = (x[:, None] - x[None, :]) ** 2
-    middle = np.median(gaps[np.triu_indices(n, 1)]) if n > 1 else 0.0
-    kernel = np.exp(-np.clip(gaps * (1.0 / middle if middle else 1.0), 1e-2, 1e2))
-    np.fill_diagonal(kernel, 1.0)
-    area = np.zeros((n + 1, n + 1))
-    area[1:, 1:] = kernel.cumsum(axis=0).cumsum(axis=1)
-    best = {0: (0.0, None)}
-    live: list[int] = []
-    for end in [e for e in range(0, n, jump) if e >= least] + [n]:
-        start = (end - least) // jump * jump
-        if start in best and start not in live:
-            live.append(start)
-        if not live:
-            continue
-        t = np.array(live)
-        inside = area[end, end] - area[t, end] - area[end, t] + area[t, t]
-        values = np.array([best[i][0] for i in live]) + (end - t) - inside / (end - t) + penalty
-        top = int(values.argmin())
-        best[end] = (float(values[top]), (end, best[live[top]][1]))
-        live = [i for i, v in zip(live, values) if v <= best[end][0] + penalty]
-    path, node = [], best.get(n, (0, None))[1]
+        return [b for b in _path(self.closed.get(self.seen, (0, 0, 0, None))[3]) if b < self.seen]
+
+
+class _KernelSegmenter:
+    """The same partitioning under the kernel cost, for several (penalty, least) settings at once, fed with one cell of rows at a time.
+
+    Kept are, per start that some setting may still use, the kernel sums inside the stretch from there to the last row.
+    """
+
+    def __init__(self, settings: Sequence[tuple[float, int]], jump: int) -> None:
+        self.settings, self.jump = list(settings), jump
+        self.seen = 0
+        self.inside: dict[int, float] = {}
+        self.best: list[dict[int, tuple[float, tuple | None]]] = [{0: (0.0, None)} for _ in self.settings]
+        self.live: list[list[int]] = [[] for _ in self.settings]
+
+    def oldest(self) -> int:
+        """The first cell whose kernel sums are still of use."""
+        return min(self.inside, default=0) // self.jump
+
+    def feed(self, count: int, strip: np.ndarray, first: int, own: float) -> None:
+        """`strip` holds the kernel sums of the new cell with the cells from `first` up to it, `own` those inside it."""
+        if self.seen and self.seen % self.jump == 0:
+            self._close(self.seen, last=False)
+        self.inside[self.seen] = 0.0
+        starts = sorted(self.inside)
+        after = np.append(np.cumsum(strip[::-1])[::-1], 0.0)
+        for t, more in zip(starts, after[np.array(starts) // self.jump - first].tolist()):
+            self.inside[t] += 2 * more + own
+        self.seen += count
+
+    def _close(self, end: int, last: bool) -> None:
+        for i, (penalty, least) in enumerate(self.settings):
+            best, live = self.best[i], self.live[i]
+            if end < least:
+                continue
+            start = (end - least) // self.jump * self.jump
+            if start in best and start not in live:
+                live.append(start)
+            if not live:
+                continue
+            values = [best[t][0] + (end - t) - self.inside[t] / (end - t) + penalty for t in live]
+            top = min(range(len(values)), key=values.__getitem__)
+            best[end] = (values[top], (end, best[live[top]][1]))
+            self.live[i] = [t for t, v in zip(live, values) if v <= values[top] + penalty]
+        if not last:
+            recent = end - max(least for _, least in self.settings) - self.jump
+            needed = {t for live in self.live for t in live}
+            self.inside = {t: v for t, v in self.inside.items() if t in needed or t > recent}
+            for i, best in enumerate(self.best):
+                own = set(self.live[i])
+                self.best[i] = {t: v for t, v in best.items() if t in own or t > recent}
+
+    def boundaries(self) -> list[list[int]]:
+        """Per setting the boundaries found."""
+        self._close(self.seen, last=True)
+        return [[b for b in _path(best.get(self.seen, (0.0, None))[1]) if b < self.seen] for best in self.best]
+
+
+def _path(node: tuple | None) -> list[int]:
+    path = []
     while node is not None:
         path.append(node[0])
         node = node[1]
-    return [b for b in reversed(path) if b < n]
+    return path[::-1]
 
 
-def change_points(rows: DataFrame, keys: Sequence[str], value: str = "smoothed") -> DataFrame:
-    """Segment boundaries per key. `rows` carry sequence_index, the value and the penalty, minimum_segment_size,
-    jump and cost_model of their key.
+def _series(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[bool, tuple, dict[str, list]]]:
+    """Stretches of rows of one series (the first `width` columns): whether it starts here, its key, its columns.
 
-    The l2 cost only needs sums per `jump` rows, so rows are pre-aggregated before the shuffle and each
-    unit's blocks stream through one task in order with bounded state.
+    Input is sorted by series; one that spans several batches comes in several stretches.
     """
-    keys = list(keys)
-    settings = ["penalty", "minimum_segment_size", "jump"]
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields) + ", boundary bigint"
-    x = F.col(value)
-    blocks = (
-        rows.where("cost_model = 'l2'")
-        .groupBy(*keys, *settings, F.floor(F.col("sequence_index") / F.col("jump")).alias("_block"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"))
-    )
-    ordered = blocks.repartition(*keys).sortWithinPartitions(*keys, "_block")
-    flat = ordered.mapInPandas(lambda batches: _l2_partition(batches, keys), out)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_index")
-        first = pdf.iloc[0]
-        found = _rbf_segments(pdf[value].to_numpy(float), float(first["penalty"]), int(first["minimum_segment_size"]), int(first["jump"]))
-        return pd.DataFrame([(*first[keys], b) for b in found], columns=[*keys, "boundary"])
-
-    curved = rows.where("cost_model = 'rbf'").select(*keys, *settings, "sequence_index", value).groupBy(*keys).applyInPandas(kernel, out)
-    return flat.unionByName(curved)
+    current = None
+    for batch in batches:
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        marks = list(zip(*list(columns.values())[:width], strict=True))
+        start = 0
+        for stop in range(1, len(marks) + 1):
+            if stop < len(marks) and marks[stop] == marks[start]:
+                continue
+            yield marks[start] != current, marks[start], {n: v[start:stop] for n, v in columns.items()}
+            current, start = marks[start], stop
+
+
+def _found(schema: pa.Schema, settings: Sequence[tuple], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (key, setting, boundary) as a batch."""
+    table = [(*key, *settings[i], b) for key, i, b in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table), schema, strict=True)], schema=schema)
+
+
+def _level_partitions(batches: Iterator[pa.RecordBatch], width: int, settings: Sequence[tuple], jump: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Segments sorted block sums of every series under all settings; a series may span any number of batches."""
+    current, machines = None, []
+
+    def done() -> list[tuple]:
+        return [(current, i, b) for i, m in enumerate(machines) for b in m.boundaries()]
+
+    for fresh, key, part in _series(batches, width):
+        if fresh:
+            if rows := done():
+                yield _found(schema, settings, rows)
+            current, machines = key, [_Segmenter(penalty, least, jump) for _, penalty, least in settings]
+        for machine in machines:
+            for count, total, square in zip(part["_n"], part["_s1"], part["_s2"], strict=True):
+                machine.feed(count, total, square)
+    if rows := done():
+        yield _found(schema, settings, rows)
+
+
+def _cell_sums(a: np.ndarray, b: np.ndarray, gamma: float, jump: int, same: bool) -> np.ndarray:
+    """Kernel sums between the cells of two blocks (rows: cells of `b`); a row's kernel with itself is 1."""
+    kernel = np.exp(-np.clip((b[:, None] - a[None, :]) ** 2 * gamma, 1e-2, 1e2))
+    if same:
+        np.fill_diagonal(kernel, 1.0)
+    return np.add.reduceat(np.add.reduceat(kernel, np.arange(0, len(b), jump), axis=0), np.arange(0, len(a), jump), axis=1)
+
+
+def _gamma(middle: float) -> float:
+    return 1.0 / middle if middle else 1.0
+
+
+def _short_kernel_partitions(batches: Iterator[pa.RecordBatch], width: int, settings: Sequence[tuple], jump: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Segments series of a single block each."""
+    for batch in batches:
+        rows = []
+        keys = list(zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True))
+        for key, values in zip(keys, batch.column(width).to_pylist(), strict=True):
+            x = np.asarray(values, dtype=float)
+            gaps = (x[:, None] - x[None, :])[np.triu_indices(len(x), 1)] ** 2
+            sums = _cell_sums(x, x, _gamma(float(np.median(gaps)) if len(gaps) else 0.0), jump, True)
+            machine = _KernelSegmenter([s[1:] for s in settings], jump)
+            for c in range(len(sums)):
+                first = min(machine.oldest(), c)
+                machine.feed(min(jump, len(x) - c * jump), sums[c, first:c], first, float(sums[c, c]))
+            rows += [(key, i, b) for i, found in enumerate(machine.boundaries()) for b in found]
+        if rows:
+            yield _found(schema, settings, rows)
+
+
+def _tiled_kernel_partitions(batches: Iterator[pa.RecordBatch], width: int, settings: Sequence[tuple], jump: int, tile_cells: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Segments series from tiles sorted by series, later block, earlier block; tiles no start needs any more are dropped."""
+    current, machine, held, first = None, None, [], 0
+
+    def done() -> list[tuple]:
+        return [(current, i, b) for i, found in enumerate(machine.boundaries()) for b in found] if machine else []
+
+    for fresh, key, part in _series(batches, width):
+        if fresh:
+            if rows := done():
+                yield _found(schema, settings, rows)
+            current, machine, held, first = key, _KernelSegmenter([s[1:] for s in settings], jump), [], 0
+        for later, earlier, count, data in zip(part["later"], part["earlier"], part["rows"], part["sums"], strict=True):
+            cells = -(-count // jump)
+            tile = np.frombuffer(data, dtype=float).reshape(cells, -1)
+            if earlier < machine.oldest() // tile_cells and earlier < later:
+                continue
+            if not held:
+                first = earlier * tile_cells
+            held.append(tile)
+            if earlier == later:
+                row, before = np.concatenate(held, axis=1), later * tile_cells - first
+                for c in range(cells):
+                    machine.feed(min(jump, count - c * jump), row[c, : before + c], first, float(row[c, before + c]))
+                held = []
+    if rows := done():
+        yield _found(schema, settings, rows)
+
+
+def _digits(batches: Iterator[pa.RecordBatch], width: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the `DIGIT` bits from `shift` on, over the squared distances of every tile that start with a prefix."""
+    for batch in batches:
+        rows = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        keys = list(rows.values())[:width]
+        spots, prefixes, digits, counts = [], [], [], []
+        for i in range(batch.num_rows):
+            a, b = (np.asarray(rows[c][i].values.to_numpy(zero_copy_only=False), dtype=float) for c in ("a", "b"))
+            gaps = (b[:, None] - a[None, :])[np.triu_indices(len(b), 1)] if rows["earlier"][i] == rows["later"][i] else (b[:, None] - a[None, :]).ravel()
+            bits = (gaps * gaps).view(np.int64)
+            for prefix in rows["_prefixes"][i].as_py():
+                inside = bits if shift + DIGIT == 64 else bits[bits >> (shift + DIGIT) == prefix]
+                digit, n = np.unique((inside >> shift) & ((1 << DIGIT) - 1), return_counts=True)
+                spots.append(np.full(len(digit), i))
+                prefixes.append(np.full(len(digit), prefix))
+                digits.append(digit)
+                counts.append(n)
+        if spots:
+            at = pa.array(np.concatenate(spots))
+            yield pa.RecordBatch.from_arrays([*[k.take(at) for k in keys], *[pa.array(np.concatenate(c)) for c in (prefixes, digits, counts)]], names=[*batch.schema.names[:width], "_prefix", "_digit", "_n"])
+
+
+def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's bits as doubles."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column(batch.num_columns - 1).to_numpy().view(np.float64))], names=batch.schema.names)
+
+
+def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _median_gaps(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The median squared distance of two rows of every series: keys, `middle`.
+
+    Squared distances are not negative, so their bits order them: each pass counts, per series, the next `DIGIT` bits of the distances that agree
+    so far and keeps the digit that holds the middle (the two middles of an even number). Tasks emit counts of digits, never distances.
+    """
+    n = F.col("rows")
+    pairs = F.when(F.col("earlier") == F.col("later"), F.expr("rows * (rows - 1) div 2")).otherwise(n * F.col("rows_before"))
+    total = F.sum(pairs).alias("_pairs")
+    middles = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.expr(f"(_pairs - {1 - i}) div 2").alias("rank")) for i in (0, 1)]))
+    state = cut(tiles.groupBy(*keys).agg(total).select(*keys, middles.alias("m")).select(*keys, "m.*", F.lit(0).cast("bigint").alias("prefix")))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        wanted = state.groupBy(*keys).agg(F.collect_set("prefix").alias("_prefixes"))
+        spread = same_keys(tiles, wanted, keys).select(*keys, "a", "b", "earlier", "later", "_prefixes")
+        counts = spread.mapInArrow(lambda batches, shift=shift: _digits(batches, len(keys), shift), f"{_ddl(tiles, keys)}, _prefix bigint, _digit bigint, _n bigint")
+        digits = counts.groupBy(*keys, "_prefix", "_digit").agg(F.sum("_n").alias("_n"))  # at most 2**DIGIT rows per prefix
+        upto = digits.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_prefix").orderBy("_digit")))
+        met = same_keys(state, upto, keys).where("_prefix = prefix AND _upto > rank AND _upto - _n <= rank")
+        state = cut(met.select(*keys, "which", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"), (F.shiftleft("prefix", DIGIT) + F.col("_digit")).alias("prefix")))
+    return state.select(*keys, "prefix").mapInArrow(_doubles, f"{_ddl(tiles, keys)}, gap double").groupBy(*keys).agg(F.avg("gap").alias("middle"))
+
+
+def _tile_sums(batches: Iterator[pa.RecordBatch], width: int, jump: int) -> Iterator[pa.RecordBatch]:
+    """Tiles (keys, later, earlier, rows, a, b, middle) to their cell sums."""
+    for batch in batches:
+        later, earlier, _, a, b, middle = (batch.column(width + i) for i in range(6))
+        sums = []
+        for i in range(batch.num_rows):
+            left, right = (np.asarray(v[i].values.to_numpy(zero_copy_only=False), dtype=float) for v in (a, b))
+            sums.append(_cell_sums(left, right, _gamma(middle[i].as_py()), jump, later[i] == earlier[i]).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[: width + 3], pa.array(sums, pa.binary())], names=[*batch.schema.names[: width + 3], "sums"])
+
+
+def change_points(rows: DataFrame, keys: Sequence[str], settings: Sequence[tuple[str, float, int]], value: str = "smoothed", jump: int = 5, tile_cells: int = TILE_CELLS) -> DataFrame:
+    """Segment boundaries of every series (`keys`) under every (cost_model, penalty, minimum_segment_size) of `settings`.
+
+    All settings share one pass over a series. The l2 cost only needs sums per cell of `jump` rows, so rows are pre-aggregated and a series' cells
+    stream through one task in order with bounded state. The rbf cost compares all rows of a series with each other: series are packed into blocks
+    of `tile_cells` cells; one block is compared inside its task, longer series by a tile per pair of blocks, spread over all tasks, of which
+    only sums per pair of cells reach the segmenter. Work under rbf grows with the square of a series' length, memory does not.
+    """
+    keys, settings = list(keys), [(c, float(p), int(m)) for c, p, m in settings]
+    ddl = f"{_ddl(rows, keys)}, cost_model string, penalty double, minimum_segment_size int, boundary bigint"
+    schema = pa.schema([*[(k, to_arrow_type(rows.schema[k].dataType)) for k in keys], ("cost_model", pa.string()), ("penalty", pa.float64()), ("minimum_segment_size", pa.int32()), ("boundary", pa.int64())])
+    width, x = len(keys), F.col(value)
+    parts = []
+    if level := [s for s in settings if s[0] == "l2"]:
+        cells = rows.groupBy(*keys, F.floor(F.col("sequence_index") / jump).alias("_block")).agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"))
+        ordered = cells.repartition(*keys).sortWithinPartitions(*keys, "_block")
+        parts.append(ordered.mapInArrow(lambda batches: _level_partitions(batches, width, level, jump, schema), ddl))
+    if kernel := [s for s in settings if s[0] == "rbf"]:
+        packed = F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", x.cast("double").alias("x")))), lambda r: r["x"])  # tile_cells * jump rows at most
+        blocks = cut(rows.groupBy(*keys, F.floor(F.col("sequence_index") / (jump * tile_cells)).alias("later")).agg(packed.alias("b")))
+        sized = same_keys(blocks, blocks.groupBy(*keys).agg(F.max("later").alias("_last")), keys)
+        parts.append(sized.where("_last = 0").select(*keys, "b").mapInArrow(lambda batches: _short_kernel_partitions(batches, width, kernel, jump, schema), ddl))
+        if not blocks.where("later > 0").isEmpty():
+            long = sized.where("_last > 0")
+            earlier = long.select(*keys, F.col("later").alias("earlier"), F.col("b").alias("a"), F.size("b").cast("bigint").alias("rows_before"))
+            pairs = long.select(*keys, "later", "b", F.size("b").cast("bigint").alias("rows"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("later"))).alias("earlier"))
+            tiles = cut(same_keys(pairs, earlier, [*keys, "earlier"]))
+            scaled = same_keys(tiles, _median_gaps(tiles, keys), keys).select(*keys, "later", "earlier", "rows", "a", "b", "middle")
+            sums = scaled.mapInArrow(lambda batches: _tile_sums(batches, width, jump), f"{_ddl(rows, keys)}, later bigint, earlier bigint, rows bigint, sums binary")
+            ordered = sums.repartition(*keys).sortWithinPartitions(*keys, "later", "earlier")
+            parts.append(ordered.mapInArrow(lambda batches: _tiled_kernel_partitions(batches, width, kernel, jump, tile_cells, schema), ddl))
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: Reasons against a boundary, before and after its windows are read. Fixed values.
@@ -219,20 +397,30 @@ EARLY = ("inside_initial_calibration_interval", "insufficient_pre_change_window"
 LATE = ("minimum_effect_size", "persistence")
 
 
-def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: str = "smoothed", split: bool | None = None) -> DataFrame:
+def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: str = "smoothed", split: bool | None = None, settings: DataFrame | None = None) -> DataFrame:
     """First boundary that is a persistent upward shift, else `not_detected` with the reasons.
 
     `rows` carry baseline_acquisitions, total_acquisitions, persistence_window, minimum_segment_size and
     minimum_effect_size. Only rows inside a boundary's two windows are joined to it, by index equality.
+
+    With `settings` (rows of `parameter_grid`) the result has a row per series and parameter_id: `rows` then carry the series (`keys`) once per
+    smoothing_window, `boundaries` are those of `change_points`, and windows are read once per boundary and persistence, whatever setting found it.
     """
     keys = list(keys)
     boundaries = cut(boundaries)  # few rows, read three times below
-    heads = rows.where("sequence_index = 0").select(
-        *keys, "total_acquisitions", "baseline_acquisitions", "persistence_window", "minimum_effect_size", "minimum_segment_size"
-    )
+    life = ["total_acquisitions", "baseline_acquisitions"]
+    if settings is None:
+        series, shared = keys, keys
+        heads = rows.where("sequence_index = 0").select(*keys, *life, "persistence_window", "minimum_effect_size", "minimum_segment_size")
+    else:
+        series, shared = [*keys, "smoothing_window"], [*keys, "smoothing_window", "cost_model", "penalty", "minimum_segment_size"]
+        heads = with_parameters(rows.where("sequence_index = 0").select(*keys, *life, F.col("smoothing_window").alias("_window")), settings).where("_window = smoothing_window").drop("_window", "jump")
+        boundaries = boundaries.join(heads.select(*shared, "parameter_id"), shared)
+        keys = [*keys, "parameter_id"]
+        heads = cut(heads)
     n, b, p, c = (F.col(k) for k in ("total_acquisitions", "baseline_acquisitions", "persistence_window", "boundary"))
     too_short = n < F.greatest(2 * F.col("minimum_segment_size"), b + p)
-    judged = boundaries.join(heads.where(~too_short), keys).withColumn(
+    judged = boundaries.select(*keys, "boundary").join(heads.where(~too_short), keys).withColumn(
         "early_reasons",
         F.array_compact(
             F.array(
@@ -242,22 +430,25 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
             )
         ),
     )
-    offsets = judged.where(F.size("early_reasons") == 0).select(
-        *keys, "boundary", F.explode(F.sequence((-p).cast("bigint"), (p - 1).cast("bigint"))).alias("_at")
+    if settings is not None:
+        judged = cut(judged)
+    spot = [*series, "boundary", "persistence_window"]
+    offsets = judged.where(F.size("early_reasons") == 0).select(*spot).distinct().select(
+        *spot, F.explode(F.sequence((-p).cast("bigint"), (p - 1).cast("bigint"))).alias("_at")
     ).withColumn("sequence_index", c + F.col("_at"))
-    near = offsets.join(rows.select(*keys, "sequence_index", "elapsed_minutes", "rul_minutes", F.col(value).alias("_v")), [*keys, "sequence_index"])
+    near = offsets.join(rows.select(*series, "sequence_index", "elapsed_minutes", "rul_minutes", F.col(value).alias("_v")), [*series, "sequence_index"])
     here = F.col("_at") == 0
     # a window holds at most persistence_window rows per side
-    sides = near.groupBy(*keys, "boundary").agg(
+    sides = near.groupBy(*spot).agg(
         F.percentile(F.when(F.col("_at") < 0, F.col("_v")), F.lit(0.5)).alias("pre_change_median"),
         F.percentile(F.when(F.col("_at") >= 0, F.col("_v")), F.lit(0.5)).alias("post_change_median"),
         F.collect_list(F.when(F.col("_at") >= 0, F.col("_v"))).alias("_post"),
         *[F.max(F.when(here, F.col(c))).alias(c) for c in ("elapsed_minutes", "rul_minutes")],
     )
-    scale = robust_scale(rows.where("sequence_index < baseline_acquisitions"), keys, F.col(value), split)
+    scale = robust_scale(rows.where("sequence_index < baseline_acquisitions"), series, F.col(value), split)
     share = F.size(F.filter("_post", lambda v: v > F.col("pre_change_median"))) / F.size("_post")
     effect = F.try_divide(F.col("post_change_median") - F.col("pre_change_median"), F.col("robust_scale"))
-    scored = cut(judged.join(sides, [*keys, "boundary"], "left").join(scale, keys).withColumn("robust_effect_size", effect).withColumn(
+    scored = cut(judged.join(sides, spot, "left").join(scale, series).withColumn("robust_effect_size", effect).withColumn(
         "reasons",
         F.when(F.size("early_reasons") > 0, F.col("early_reasons"))
         .when(F.col("robust_effect_size") < F.col("minimum_effect_size"), F.array(F.lit(LATE[0])))

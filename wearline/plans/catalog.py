@@ -44,7 +44,9 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql.strip()
-    head = "WITH RECURSIVE " if sql.strip().startswith("WITH RECURSIVE ") else "WITH "
+    recursive = any(re.search(rf"\b{name}\b", VIEWS[name]) for name in needed)
+    head = "WITH RECURSIVE " if recursive or sql.strip().startswith("WITH RECURSIVE ") else "WITH "
     parts = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed)
     body = sql.strip()
-    return f"{head}{parts},\n{body[len(head):]}" if body.startswith("WITH ") else f"{head}{parts}\n{body}"
+    own = re.match(r"WITH (RECURSIVE )?", body)
+    return f"{head}{parts},\n{body[own.end():]}" if own else f"{head}{parts}\n{body}"

@@ -2,13 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from wearline.functions import signal as sg
 from wearline.functions.rounding import r6
 from wearline.operators import detect as de
+from wearline.operators import folds as fo
 from wearline.plans.catalog import VIEWS, register
-from wearline.plans.health import folds
-from wearline.plans.rul import rounded, toy_onsets
+from wearline.plans.health import chosen_onsets, folds
+from wearline.plans.rul import rounded
+from wearline.plans.signals import FS, OVERLAP, SEGMENT
 from wearline.session import cut
-from wearline.sources.tables import UNIT, readings
+from wearline.sources.tables import UNIT, readings, signals
 
 BASELINE, WINDOW, THRESHOLD, PERSISTENCE, GAP, POST, EFFECT = 10, 3, 1.0, 3, 1, 10, 1.0
 
@@ -91,49 +94,74 @@ def detection_trajectories(spark, sf):
     return rounded(rows, ["unit_id", "sequence_index"], ["combined", "aggregated"], ["effective_window", "calibration_interval"])
 
 
-GRID_BASELINES, GRID_WINDOWS, GRID_THRESHOLDS, GRID_PERSISTENCES = (5, 10), (1, 3), (0.5, 1.0), (2, 3)
+#: Families that compare spectra, and the vectors of the two channels each reads.
+SPECTRA = {"uniform_spectral_skl": ("horizontal_uniform", "vertical_uniform"), "mechanically_informed_spectral_skl": ("horizontal_shaft", "vertical_shaft")}
+
+
+def acquisitions(spark, sf):
+    """Signals with the level and both spectral distributions of each channel."""
+    rows, shaft_hz = signals(spark, sf), (F.col("condition_id") + 10).cast("double")
+    for c in ("horizontal", "vertical"):
+        squares = F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+        rows = rows.withColumns(
+            {
+                f"{c}_rms": F.sqrt(squares / F.size(c)),
+                f"{c}_uniform": sg.binned_distribution(F.col(c), F.lit(FS / 2), FS, SEGMENT, OVERLAP, 8),
+                f"{c}_shaft": sg.binned_distribution(F.col(c), shaft_hz * 2.0, FS, SEGMENT, OVERLAP, 8),
+            }
+        )
+    return rows.drop("signal", "horizontal", "vertical")
 
 
 def grid_detections(spark, sf):
-    """Every detector setting on every unit: two families, shared series computed once per baseline and window."""
-    families = {how: de.combine(F.col("horizontal"), F.col("vertical"), how.removesuffix("_level")) for how in ("mean_level", "maximum_level")}
-    every = de.grid_trajectories(readings(spark, sf), UNIT, families, GRID_BASELINES, GRID_WINDOWS)
-    keys = [*UNIT, "detector_family", "baseline_acquisitions", "causal_window"]
-    alarms = de.persistent_alarm(every, keys, [(t, p) for t in GRID_THRESHOLDS for p in GRID_PERSISTENCES], GAP, POST, 0.5)
-    ends = readings(spark, sf).groupBy(*UNIT).agg(F.max("rul_minutes").alias("_last"))
-    out = alarms.join(ends, UNIT)
-    share = F.try_divide(F.col("alarm_confirmation_index").cast("double"), F.col("_last"))
-    number = (
-        (F.col("detector_family") == "maximum_level").cast("int") * 16 + (F.col("baseline_acquisitions") == 10).cast("int") * 8
-        + (F.col("causal_window") == 3).cast("int") * 4 + (F.col("threshold") == 1.0).cast("int") * 2 + (F.col("persistence") == 3).cast("int")
-    )
-    return out.withColumns({"consumed_life_fraction": share, "warning_fraction": F.coalesce(1 - share, F.lit(0.0)), "rul_at_alarm": F.col("_last") - F.col("alarm_confirmation_index"), "candidate_id": number}).drop("_last")
-
-
-VIEWS["v_grid_rows"] = """
-SELECT r.*, family, b, w, CASE family WHEN 'mean_level' THEN (horizontal + vertical) / 2 ELSE greatest(horizontal, vertical) END AS combined FROM v_readings r, (VALUES ('mean_level'), ('maximum_level')) f(family), (VALUES (5), (10)) bs(b), (VALUES (1), (3)) ws(w)
+    """All 270 detectors on every unit: three families, series and baselines computed once for all settings."""
+    rows = cut(acquisitions(spark, sf))  # spectra are read for the references and for the divergences
+    return de.detector_grid(de.detector_series(rows, UNIT, ("horizontal_rms", "vertical_rms"), SPECTRA), UNIT, list(SPECTRA))
+
+
+VIEWS["v_references"] = """
+SELECT unit_id, channel, kind, base, k, CAST(CAST(m / sum(m) OVER (PARTITION BY unit_id, channel, kind, base) AS FLOAT) AS DOUBLE) AS q FROM (
+  SELECT unit_id, channel, kind, base, k, median(CAST(mass AS DOUBLE)) AS m FROM v_binned JOIN v_signals USING (acquisition_number), (VALUES (5), (10), (15)) t(base) WHERE channel <> 'signal' AND sequence_index < base GROUP BY ALL)
+"""
+VIEWS["v_divergences"] = """
+SELECT acquisition_number, channel, kind, base, (sum(a * ln(a / b)) + sum(b * ln(b / a))) / 2 AS d FROM (
+  SELECT acquisition_number, channel, kind, base, p / sum(p) OVER w AS a, q / sum(q) OVER w AS b FROM (
+    SELECT acquisition_number, channel, kind, base, greatest(CAST(mass AS DOUBLE), 1e-12) AS p, greatest(q, 1e-12) AS q FROM v_binned JOIN v_signals USING (acquisition_number) JOIN v_references USING (unit_id, channel, kind, k))
+  WINDOW w AS (PARTITION BY acquisition_number, channel, kind, base)) GROUP BY ALL
+"""
+VIEWS["v_watched"] = """
+SELECT condition_id, unit_id, sequence_index, total_acquisitions, s.* FROM v_signals JOIN (
+  SELECT acquisition_number, 0 AS f, 'rms' AS family, 1 AS a, base, max(rms) AS combined FROM v_time, (VALUES (5), (10), (15)) t(base) WHERE channel <> 'signal' GROUP BY acquisition_number, base
+  UNION ALL SELECT acquisition_number, CASE kind WHEN 'uniform' THEN 1 ELSE 2 END, CASE kind WHEN 'uniform' THEN 'uniform_spectral_skl' ELSE 'mechanically_informed_spectral_skl' END, a, base, CASE a WHEN 0 THEN avg(d) ELSE max(d) END
+  FROM v_divergences, (VALUES (0), (1)) t(a) GROUP BY acquisition_number, kind, a, base) s USING (acquisition_number)
 """
 VIEWS["v_grid_agg"] = """
-SELECT *, CASE WHEN w = 1 THEN combined ELSE median(combined) OVER (PARTITION BY unit_id, family, b, w ORDER BY sequence_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS aggregated FROM v_grid_rows
+SELECT * EXCLUDE (m3, m5), CASE w WHEN 1 THEN combined WHEN 3 THEN m3 ELSE m5 END AS aggregated FROM (
+  SELECT *, median(combined) OVER (PARTITION BY unit_id, family, a, base ORDER BY sequence_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m3,
+         median(combined) OVER (PARTITION BY unit_id, family, a, base ORDER BY sequence_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m5 FROM v_watched), (VALUES (1), (3), (5)) t(w)
 """
 VIEWS["v_grid_normal"] = """
-SELECT a.*, (aggregated - center) / greatest(mad, 1e-12) AS x FROM v_grid_agg a
-JOIN (SELECT unit_id, family, b, w, median(aggregated) FILTER (sequence_index < b) AS center, mad(aggregated) FILTER (sequence_index < b) AS mad FROM v_grid_agg GROUP BY ALL) USING (unit_id, family, b, w)
+SELECT g.*, (aggregated - center) / greatest(mad, 1e-12) AS x FROM v_grid_agg g
+JOIN (SELECT unit_id, family, a, base, w, median(aggregated) FILTER (sequence_index < base) AS center, mad(aggregated) FILTER (sequence_index < base) AS mad FROM v_grid_agg GROUP BY ALL) USING (unit_id, family, a, base, w)
 """
 VIEWS["v_grid_alarm"] = """
-SELECT unit_id, condition_id, family, b, w, thr, per, any_value(total_acquisitions) AS n, min(sequence_index) FILTER (ok) AS alarm,
-       CAST((CASE family WHEN 'maximum_level' THEN 16 ELSE 0 END) + (CASE b WHEN 10 THEN 8 ELSE 0 END) + (CASE w WHEN 3 THEN 4 ELSE 0 END) + (CASE thr WHEN 1 THEN 2 ELSE 0 END) + (CASE per WHEN 3 THEN 1 ELSE 0 END) AS INTEGER) AS candidate_id
-FROM (SELECT *, sequence_index >= b AND total_acquisitions - 1 - sequence_index >= 10 AND CASE per WHEN 2 THEN h2 >= 2 AND l2 >= 0.5 ELSE h3 >= 3 AND l3 >= 0.5 END AS ok FROM (
-  SELECT *, count(*) FILTER (hit) OVER w2 AS h2, median(CASE WHEN hit THEN x END) OVER w2 AS l2, count(*) FILTER (hit) OVER w3 AS h3, median(CASE WHEN hit THEN x END) OVER w3 AS l3
-  FROM (SELECT *, sequence_index >= b AND x > thr AS hit FROM v_grid_normal, (VALUES (0.5::DOUBLE), (1.0)) t(thr), (VALUES (2), (3)) p(per))
-  WINDOW w2 AS (PARTITION BY unit_id, family, b, w, thr, per ORDER BY sequence_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY unit_id, family, b, w, thr, per ORDER BY sequence_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)))
-GROUP BY unit_id, condition_id, family, b, w, thr, per
+SELECT unit_id, condition_id, family, base AS b, w, thr, per, any_value(total_acquisitions) AS n, min(sequence_index) FILTER (ok) AS alarm,
+       CAST(1 + CASE f WHEN 0 THEN 0 WHEN 1 THEN 54 ELSE 162 END + (((CASE f WHEN 0 THEN base // 5 - 1 ELSE (base // 5 - 1) * 2 + a END * 3 + (w - 1) // 2) * 3 + (thr - 4) // 2) * 2 + (per - 3) // 2) AS INTEGER) AS candidate_id
+FROM (SELECT *, sequence_index >= base AND total_acquisitions - 1 - sequence_index >= 10 AND CASE per WHEN 3 THEN h3 >= 3 AND l3 >= 4 ELSE h5 >= 5 AND l5 >= 4 END AS ok FROM (
+  SELECT *, count(*) FILTER (hit) OVER w3 AS h3, median(CASE WHEN hit THEN x END) OVER w3 AS l3, count(*) FILTER (hit) OVER w5 AS h5, median(CASE WHEN hit THEN x END) OVER w5 AS l5
+  FROM (SELECT *, sequence_index >= base AND x > thr AS hit FROM v_grid_normal, (VALUES (4), (6), (8)) t(thr), (VALUES (3), (5)) p(per))
+  WINDOW w3 AS (PARTITION BY unit_id, family, a, base, w, thr, per ORDER BY sequence_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY unit_id, family, a, base, w, thr, per ORDER BY sequence_index ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)))
+GROUP BY unit_id, condition_id, f, family, a, base, w, thr, per
+"""
+VIEWS["v_signal_folds"] = """
+SELECT CAST(f.fold AS INTEGER) AS fold, unit_id, CASE WHEN (pos - f.fold + 5) % 5 = 0 THEN 'test' WHEN (pos - f.fold + 5) % 5 = 1 THEN 'validation' ELSE 'train' END AS subset
+FROM (SELECT *, (row_number() OVER (PARTITION BY condition_id ORDER BY unit_id) - 1) % 5 AS pos FROM (SELECT DISTINCT condition_id, unit_id FROM v_signals)), range(5) f(fold)
 """
 VIEWS["v_grid_rank"] = """
 SELECT *, CAST(row_number() OVER (PARTITION BY fold ORDER BY score DESC, coverage DESC, w, candidate_id) AS INTEGER) AS overall_rank, CAST(row_number() OVER (PARTITION BY fold, family ORDER BY score DESC, coverage DESC, w, candidate_id) AS INTEGER) AS family_rank FROM (
   SELECT fold, family, w, candidate_id, avg((alarm IS NOT NULL)::INTEGER) AS coverage,
          round(avg((alarm IS NOT NULL)::INTEGER) - 0.4 * avg(coalesce(alarm / (v.n - 1)::DOUBLE < 0.1, false)::INTEGER) - 0.2 * avg(coalesce(alarm / (v.n - 1)::DOUBLE > 0.9, false)::INTEGER) - CASE WHEN w > 1 THEN 0.02 ELSE 0 END, 9) AS score
-  FROM v_grid_alarm v JOIN v_folds f USING (unit_id) WHERE subset = 'validation' GROUP BY 1, 2, 3, 4)
+  FROM v_grid_alarm v JOIN v_signal_folds f USING (unit_id) WHERE subset = 'validation' GROUP BY 1, 2, 3, 4)
 """
 
 
@@ -142,12 +170,12 @@ def detector_grid(spark, sf):
     return grid_detections(spark, sf).select("unit_id", "candidate_id", "alarm_confirmation_index")
 
 
-CANDIDATE = ["candidate_id", "detector_family", "baseline_acquisitions", "causal_window", "threshold", "persistence"]
+CANDIDATE = ["candidate_id", "detector_family", "baseline_acquisitions", "channel_aggregation", "causal_window", "threshold", "persistence"]
 
 
 def ranked(spark, sf):
     results = cut(grid_detections(spark, sf))  # one row per unit and setting, read again by the frozen application
-    plan = folds(spark, sf).select("fold", "subset", "unit_id")
+    plan = fo.rotate_folds(signals(spark, sf), 5).select("fold", "subset", "unit_id")
     return results.join(plan, "unit_id"), de.rank_detectors(results.join(plan, "unit_id"), CANDIDATE)
 
 
@@ -162,7 +190,7 @@ def rank_detectors(spark, sf):
 @register(
     "m14_family_summary",
     """SELECT family AS detector_family, count(*) AS test_units, round(avg((alarm IS NOT NULL)::INTEGER), 6) AS coverage, round(avg(v.n - 1 - alarm), 6) AS mean_rul_at_alarm, round(avg(coalesce(1 - alarm / (v.n - 1)::DOUBLE, 0)), 6) AS mean_warning_fraction
-       FROM v_grid_rank g JOIN v_grid_alarm v USING (candidate_id, family) JOIN v_folds f ON f.unit_id = v.unit_id AND f.fold = g.fold WHERE family_rank = 1 AND subset = 'test' GROUP BY 1""",
+       FROM v_grid_rank g JOIN v_grid_alarm v USING (candidate_id, family) JOIN v_signal_folds f ON f.unit_id = v.unit_id AND f.fold = g.fold WHERE family_rank = 1 AND subset = 'test' GROUP BY 1""",
 )
 def family_summary(spark, sf):
     results, ranks = ranked(spark, sf)
@@ -172,11 +200,11 @@ def family_summary(spark, sf):
 
 @register(
     "m15_causal_vs_retrospective",
-    "SELECT fold, a.unit_id, alarm AS alarm_confirmation_index, onset_index, alarm - onset_index AS causal_minus_retrospective FROM v_alarm a JOIN v_toy_onsets o ON o.unit_id = a.unit_id",
+    "SELECT fold, a.unit_id, alarm AS alarm_confirmation_index, CAST(hit_at AS BIGINT) AS onset_index, alarm - CAST(hit_at AS BIGINT) AS causal_minus_retrospective FROM v_alarm a JOIN v_onsets o ON o.unit_id = a.unit_id WHERE subset = 'test'",
 )
 def causal_vs_retrospective(spark, sf):
     tested = folds(spark, sf).where("subset = 'test'").select("fold", "unit_id")
-    out = de.compare_onsets(primary(spark, sf)[1].join(tested, "unit_id"), toy_onsets(spark, sf))
+    out = de.compare_onsets(primary(spark, sf)[1].join(tested, "unit_id"), chosen_onsets(spark, sf))
     return out.select("fold", "unit_id", "alarm_confirmation_index", "onset_index", "causal_minus_retrospective")
 
 
@@ -189,26 +217,26 @@ def alarm_sensitivity(spark, sf):
     return out.withColumn("detection_rate", r6("detection_rate"))
 
 
-_TREND_NAMES = [f"horizontal__w{k}_{s}" for k in (5, 10) for s in ("mean", "median", "std", "slope", "ewma")]
+_TREND_NAMES = [f"horizontal__w{k}_{s}" for k in de.TREND_WINDOWS for s in ("mean", "median", "std", "slope", "ewma")]
 
 
 def _trend_sql():
     parts = ["round(horizontal - c, 6) + 0.0 AS baseline_difference", "round((horizontal - c) / greatest(m, 1e-12), 6) + 0.0 AS baseline_robust_ratio", "round(coalesce(horizontal - lag(horizontal) OVER o, 0), 6) + 0.0 AS first_difference"]
-    for k in (5, 10):
+    for k in de.TREND_WINDOWS:
         a = 2.0 / (k + 1)
         parts += [
             f"round(avg(horizontal) OVER w{k}, 6) + 0.0 AS horizontal__w{k}_mean", f"round(median(horizontal) OVER w{k}, 6) + 0.0 AS horizontal__w{k}_median", f"round(stddev_pop(horizontal) OVER w{k}, 6) + 0.0 AS horizontal__w{k}_std",
             f"round(CASE WHEN sequence_index = 0 THEN 0 ELSE regr_slope(horizontal, sequence_index) OVER w{k} END, 6) + 0.0 AS horizontal__w{k}_slope",
             f"round(list_reduce(list(horizontal) OVER o, lambda s, x: s * {1 - a!r}::DOUBLE + x * {a!r}::DOUBLE), 6) + 0.0 AS horizontal__w{k}_ewma",
         ]
-    windows = ", ".join(f"w{k} AS (PARTITION BY unit_id ORDER BY sequence_index ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (5, 10))
+    windows = ", ".join(f"w{k} AS (PARTITION BY unit_id ORDER BY sequence_index ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in de.TREND_WINDOWS)
     return f"""SELECT unit_id, sequence_index, {', '.join(parts)} FROM v_readings JOIN (SELECT unit_id, median(horizontal) FILTER (sequence_index < 10) AS c, mad(horizontal) FILTER (sequence_index < 10) AS m FROM v_readings GROUP BY 1) USING (unit_id)
         WINDOW o AS (PARTITION BY unit_id ORDER BY sequence_index), {windows}"""
 
 
 @register("m17_trend_features", _trend_sql())
 def trend_features(spark, sf):
-    rows = de.trend_features(readings(spark, sf), UNIT, "horizontal", BASELINE, (5, 10))
+    rows = de.trend_features(readings(spark, sf), UNIT, "horizontal", BASELINE, de.TREND_WINDOWS)
     named = [r6(f"horizontal__{c}").alias(c) for c in ("baseline_difference", "baseline_robust_ratio", "first_difference")]
     return rows.select("unit_id", "sequence_index", *named, *[r6(c).alias(c) for c in _TREND_NAMES])
 

@@ -272,19 +272,62 @@ def robust_scale(spark, sf):
     return he.robust_scale(health_rows(spark, sf), UNIT, value).select("unit_id", r6("robust_scale", 9).alias("robust_scale"))
 
 
-def _settings(rows, cost="l2", penalty=2000.0):
-    values = {"cost_model": cost, "penalty": penalty, "minimum_segment_size": 5, "jump": 5, "persistence_window": 5, "minimum_effect_size": 0.25}
+def _settings(rows):
+    values = {"minimum_segment_size": 5, "persistence_window": 5, "minimum_effect_size": 0.25}
     return rows.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
-@register("h4_change_points")
-def change_points(spark, sf):
-    smooth = cut(health_rows(spark, sf))
-    both = _settings(smooth).unionByName(_settings(smooth, "rbf", 3.0))
-    return he.change_points(both, [*UNIT, "cost_model"]).select(*UNIT, "cost_model", "boundary")
+#: The settings of a series' segmentation; the grid shares them among persistence windows.
+PARTITIONS = [(c, p, m) for c in he.GRID["cost_model"] for p in he.GRID["penalty"] for m in he.GRID["minimum_segment_size"]]
 
+for _window in he.GRID["smoothing_window"]:
+    VIEWS[f"v_smooth_{_window}"] = f"""
+SELECT condition_id, unit_id, sequence_index, total_acquisitions AS n, b, {_window} AS w,
+       median(centered) OVER (PARTITION BY unit_id ORDER BY sequence_index ROWS BETWEEN {_window - 1} PRECEDING AND CURRENT ROW) AS smoothed FROM v_centered
+"""
+VIEWS["v_smooths"] = " UNION ALL ".join(f"SELECT * FROM v_smooth_{w}" for w in he.GRID["smoothing_window"])
+VIEWS["v_scales"] = """
+SELECT unit_id, w, greatest(CASE WHEN mad(smoothed) = 0 THEN stddev_pop(smoothed) ELSE 1.4826 * mad(smoothed) END, 2.220446049250313e-16) AS scale FROM v_smooths WHERE sequence_index < b GROUP BY 1, 2
+"""
+# costs of the stretches between two multiples of 5 (or the end); `a` and `e` count cells
+VIEWS["v_spans"] = """
+SELECT unit_id, w, n, a, e, least(5 * e, n) - 5 * a AS size FROM (SELECT DISTINCT unit_id, w, n FROM v_smooths), range(n) t(a), range(1, n + 1) u(e) WHERE a < e AND 5 * (e - 1) < n
+"""
+VIEWS["v_kernels"] = """
+SELECT i.unit_id, i.w, i.sequence_index // 5 AS c, j.sequence_index // 5 AS d, sum(CASE WHEN i.sequence_index = j.sequence_index THEN 1 ELSE exp(-least(greatest((i.smoothed - j.smoothed) ** 2 * gamma, 0.01), 100)) END) AS k
+FROM v_smooths i JOIN v_smooths j USING (unit_id, w)
+JOIN (SELECT i.unit_id, i.w, CASE WHEN median((i.smoothed - j.smoothed) ** 2) = 0 THEN 1 ELSE 1 / median((i.smoothed - j.smoothed) ** 2) END AS gamma FROM v_smooths i JOIN v_smooths j ON i.unit_id = j.unit_id AND i.w = j.w AND i.sequence_index < j.sequence_index GROUP BY 1, 2) USING (unit_id, w)
+GROUP BY ALL
+"""
+VIEWS["v_costs"] = """
+SELECT unit_id, w, cost_model, e, list(cost ORDER BY a) AS costs FROM (
+  SELECT unit_id, w, 'rbf' AS cost_model, a, e, size - sum(k) / size AS cost FROM v_spans s JOIN v_kernels USING (unit_id, w) WHERE c >= a AND c < e AND d >= a AND d < e GROUP BY unit_id, w, a, e, size
+  UNION ALL SELECT unit_id, w, 'l2', a, e, sum(smoothed * smoothed) - sum(smoothed) ** 2 / size FROM v_spans s JOIN v_smooths USING (unit_id, w) WHERE sequence_index >= 5 * a AND sequence_index < 5 * e GROUP BY unit_id, w, a, e, size)
+GROUP BY ALL
+"""
+# optimal partitioning with pruning: best costs and predecessors of every end, and the starts still alive
+VIEWS["v_partitions"] = """
+SELECT unit_id, w, cost_model, penalty, least, n, 0 AS k, [0.0::DOUBLE] AS f, [NULL::BIGINT] AS prev, []::BIGINT[] AS live
+FROM (SELECT DISTINCT unit_id, w, n FROM v_smooths), (VALUES ('rbf'), ('l2')) m(cost_model), (VALUES (1::DOUBLE), (3), (5), (8)) p(penalty), (VALUES (5), (10)) l(least)
+UNION ALL
+SELECT unit_id, w, cost_model, penalty, least, n, k + 1, list_append(f, list_min(vals)), list_append(prev, cand[list_position(vals, list_min(vals))]), list_filter(cand, lambda t: f[t + 1] + costs[t + 1] <= list_min(vals))
+FROM (SELECT *, list_transform(cand, lambda t: f[t + 1] + costs[t + 1] + penalty) AS vals FROM (
+  SELECT p.*, costs, CASE WHEN stop < least THEN []::BIGINT[] WHEN f[(stop - least) // 5 + 1] IS NOT NULL AND NOT list_contains(live, (stop - least) // 5) THEN list_append(live, (stop - least) // 5) ELSE live END AS cand
+  FROM (SELECT *, least(5 * (k + 1), n) AS stop FROM v_partitions) p JOIN v_costs c ON c.unit_id = p.unit_id AND c.w = p.w AND c.cost_model = p.cost_model AND c.e = p.k + 1))
+"""
+VIEWS["v_boundaries"] = """
+SELECT unit_id, w, cost_model, penalty, least, prev, prev[k + 1] AS cell FROM v_partitions WHERE k = (n + 4) // 5
+UNION ALL SELECT unit_id, w, cost_model, penalty, least, prev, prev[cell + 1] FROM v_boundaries WHERE cell > 0
+"""
 
-_PRE = "SELECT median(s.smoothed) FROM v_smooth s WHERE s.unit_id = c.unit_id AND s.sequence_index BETWEEN c.boundary - 5 AND c.boundary - 1"
+
+@register(
+    "h4_change_points",
+    "SELECT condition_id, unit_id, cost_model, penalty, CAST(least AS INTEGER) AS minimum_segment_size, 5 * cell AS boundary FROM v_boundaries JOIN v_units USING (unit_id) WHERE w = 7 AND cell > 0",
+)
+def change_points(spark, sf):
+    found = he.change_points(cut(health_rows(spark, sf)), UNIT, PARTITIONS)
+    return found.select(*UNIT, "cost_model", "penalty", "minimum_segment_size", "boundary")
 
 
 @register(
@@ -317,79 +360,99 @@ def parameter_grid(spark, sf):
     return he.with_parameters(units, he.parameter_grid(spark)).drop("jump", "minimum_effect_size")
 
 
-SMALL_GRID = {"cost_model": ["l2"], "penalty": [1000.0, 4000.0], "smoothing_window": [5, 7], "minimum_segment_size": [5], "persistence_window": [5, 10]}
-
-
 def sensitivity_rows(spark, sf):
-    """Onsets of every unit under a small grid; smoothing runs once per window, not once per setting."""
+    """Onsets of every unit under the whole grid; a series (unit and smoothing window) is smoothed and segmented once for all its settings."""
     base = he.centred(readings(spark, sf), UNIT, "horizontal")
-    for window in SMALL_GRID["smoothing_window"]:
+    windows = he.GRID["smoothing_window"]
+    for window in windows:
         base = he.smoothed(base, UNIT, "centered", window, name=f"smooth_{window}")
-    base = cut(base.select(*UNIT, "sequence_index", "total_acquisitions", "baseline_acquisitions", "elapsed_minutes", "rul_minutes", *[f"smooth_{w}" for w in SMALL_GRID["smoothing_window"]]))
-    settings = he.parameter_grid(spark, SMALL_GRID, effect=0.25)
-    rows = he.with_parameters(base, settings).withColumn("smoothed", F.when(F.col("smoothing_window") == 5, F.col("smooth_5")).otherwise(F.col("smooth_7")))
-    keys = [*UNIT, "parameter_id"]
-    return he.onsets(rows, he.change_points(rows, keys), keys)
+    series = F.explode(F.array(*[F.struct(F.lit(w).alias("smoothing_window"), F.col(f"smooth_{w}").alias("smoothed")) for w in windows])).alias("s")
+    rows = cut(base.select(*UNIT, "sequence_index", "total_acquisitions", "baseline_acquisitions", "elapsed_minutes", "rul_minutes", series).select("*", "s.*").drop("s"))
+    found = he.change_points(rows, [*UNIT, "smoothing_window"], PARTITIONS)
+    return he.onsets(rows, found, UNIT, settings=he.parameter_grid(spark))
 
 
 def sensitivity(spark, sf):
+    """The grid on training and validation units only."""
     plan = folds(spark, sf).where("subset <> 'test'").select("fold", "subset", "unit_id")
     return sensitivity_rows(spark, sf).join(plan, "unit_id")
 
 
-@register("h7_sensitivity")
-def sensitivity_run(spark, sf):
-    return sensitivity(spark, sf).select("fold", "subset", "unit_id", "parameter_id", "onset_status", "onset_index")
-
-
-def _toy_sensitivity(spark, sf):
-    """Grid outcomes taken from readings: event = setting, value > 40 = detected at that minute."""
-    setting = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
-    hit = F.col("horizontal") > 40
-    return readings(spark, sf).select(
-        (F.col("unit_id") % 5).cast("int").alias("fold"), "condition_id", "unit_id", setting.alias("parameter_id"), F.when(hit, "detected").otherwise("not_detected").alias("onset_status"),
-        F.when(hit, F.col("elapsed_minutes")).alias("onset_elapsed_minutes"),
-        F.when(hit, F.col("elapsed_minutes") / (F.col("total_acquisitions") - 1)).alias("life_fraction_at_onset"),
-        F.when(hit, F.col("horizontal") / 20).alias("robust_effect_size"),
-    )
-
-
-VIEWS["v_toy"] = """
-SELECT CAST(unit_id % 5 AS INTEGER) AS fold, condition_id, unit_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS parameter_id,
-       horizontal > 40 AS hit, CASE WHEN horizontal > 40 THEN elapsed_minutes END AS hit_at, CASE WHEN horizontal > 40 THEN elapsed_minutes / (total_acquisitions - 1) END AS life, CASE WHEN horizontal > 40 THEN horizontal / 20 END AS effect FROM v_readings
+VIEWS["v_grid"] = """
+SELECT (((c * 4 + p) * 3 + v) * 2 + m) * 2 + s AS parameter_id, cost_model, penalty, w, least, persistence
+FROM (VALUES (0, 'rbf'), (1, 'l2')) a(c, cost_model), (VALUES (0, 1::DOUBLE), (1, 3), (2, 5), (3, 8)) b(p, penalty), (VALUES (0, 5), (1, 7), (2, 11)) d(v, w), (VALUES (0, 5), (1, 10)) e(m, least), (VALUES (0, 5), (1, 10)) g(s, persistence)
+"""
+VIEWS["v_sides"] = """
+SELECT c.unit_id, c.w, c.boundary, c.persistence, median(smoothed) FILTER (sequence_index < c.boundary) AS pre, median(smoothed) FILTER (sequence_index >= c.boundary) AS post, list(smoothed) FILTER (sequence_index >= c.boundary) AS tail
+FROM (SELECT DISTINCT unit_id, w, 5 * cell AS boundary, persistence FROM v_boundaries, (VALUES (5), (10)) s(persistence) WHERE cell > 0) c
+JOIN v_smooths s ON s.unit_id = c.unit_id AND s.w = c.w AND s.sequence_index BETWEEN c.boundary - c.persistence AND c.boundary + c.persistence - 1 GROUP BY ALL
+"""
+VIEWS["v_sensitivity"] = """
+SELECT condition_id, unit_id, n, CAST(parameter_id AS BIGINT) AS parameter_id, onset IS NOT NULL AS hit, CAST(onset AS DOUBLE) AS hit_at, onset / (n - 1)::DOUBLE AS life, effect
+FROM (SELECT DISTINCT condition_id, unit_id, n FROM v_smooths) CROSS JOIN v_grid LEFT JOIN (
+  SELECT unit_id, parameter_id, min(boundary) AS onset, arg_min(effect, boundary) AS effect FROM (
+    SELECT h.unit_id, parameter_id, boundary, pre, tail, (post - pre) / scale AS effect
+    FROM (SELECT DISTINCT unit_id, w, n, b FROM v_smooths) h JOIN v_grid g USING (w)
+    JOIN (SELECT *, 5 * cell AS boundary FROM v_boundaries WHERE cell > 0) c USING (unit_id, w, cost_model, penalty, least)
+    JOIN v_sides USING (unit_id, w, boundary, persistence) JOIN v_scales USING (unit_id, w)
+    WHERE n >= greatest(2 * least, b + persistence) AND boundary >= greatest(b, persistence) AND n - boundary >= persistence)
+  WHERE effect >= 1 AND len(list_filter(tail, lambda x: x > pre)) / len(tail)::DOUBLE >= 0.7 GROUP BY 1, 2) USING (unit_id, parameter_id)
 """
 VIEWS["v_stable"] = """
 SELECT unit_id, m AS median_onset_minutes, iqr, life_iqr, rate, coalesce(avg(CAST(abs(hit_at - m) <= 10 AS INTEGER)) FILTER (hit), 0) AS agree, coalesce(avg(CAST(abs(life - lm) <= 0.05 AS INTEGER)) FILTER (hit), 0) AS life_agree FROM (
   SELECT *, median(hit_at) OVER w AS m, quantile_cont(hit_at, 0.75) OVER w - quantile_cont(hit_at, 0.25) OVER w AS iqr, quantile_cont(life, 0.75) OVER w - quantile_cont(life, 0.25) OVER w AS life_iqr, median(life) OVER w AS lm, avg(CAST(hit AS INTEGER)) OVER w AS rate
-  FROM v_toy WINDOW w AS (PARTITION BY unit_id)) GROUP BY 1, 2, 3, 4, 5
+  FROM v_sensitivity WINDOW w AS (PARTITION BY unit_id)) GROUP BY 1, 2, 3, 4, 5
+"""
+VIEWS["v_choice"] = """
+SELECT fold, parameter_id, score, row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) DESC, parameter_id) AS place FROM (
+  SELECT fold, parameter_id, 0.35 * avg(CAST(hit AS INTEGER)) + 0.25 * coalesce(avg(CAST(abs(hit_at - median_onset_minutes) <= 10 AS INTEGER)) FILTER (hit), 0) + 0.15 * coalesce(least(greatest(median(effect) FILTER (hit) / 5, 0), 1), 0)
+         + 0.15 * count(DISTINCT CASE WHEN hit THEN s.condition_id END) / 3 + 0.10 * (1 - coalesce(avg(CAST(life >= 0.95 AS INTEGER)) FILTER (hit), 1)) AS score
+  FROM v_sensitivity s JOIN v_stable USING (unit_id) JOIN v_folds f USING (unit_id) WHERE subset <> 'test' GROUP BY 1, 2)
 """
 
 
+@register(
+    "h7_sensitivity",
+    "SELECT fold, subset, unit_id, parameter_id, CASE WHEN hit THEN 'detected' ELSE 'not_detected' END AS onset_status, CAST(hit_at AS BIGINT) AS onset_index FROM v_sensitivity JOIN v_folds USING (unit_id) WHERE subset <> 'test'",
+)
+def sensitivity_run(spark, sf):
+    return sensitivity(spark, sf).select("fold", "subset", "unit_id", "parameter_id", "onset_status", "onset_index")
+
+
 @register(
     "h8_stability",
-    "SELECT unit_id, round(median_onset_minutes, 6) AS median_onset_minutes, round(iqr, 6) AS onset_iqr_minutes, round(life_iqr, 6) AS normalized_onset_iqr, round(rate, 6) AS detection_proportion, round(agree, 6) AS agreement_within_minutes, round(life_agree, 6) AS agreement_within_life_fraction FROM v_stable",
+    """SELECT fold, unit_id, round(median_onset_minutes, 6) AS median_onset_minutes, round(iqr, 6) AS onset_iqr_minutes, round(life_iqr, 6) AS normalized_onset_iqr, round(rate, 6) AS detection_proportion, round(agree, 6) AS agreement_within_minutes,
+              round(life_agree, 6) AS agreement_within_life_fraction FROM v_stable JOIN v_folds USING (unit_id) WHERE subset <> 'test'""",
 )
 def stability(spark, sf):
     names = ["median_onset_minutes", "onset_iqr_minutes", "normalized_onset_iqr", "detection_proportion", "agreement_within_minutes", "agreement_within_life_fraction"]
-    rows = he.stability(_toy_sensitivity(spark, sf), ["fold", *UNIT])
-    return rows.select("unit_id", *[r6(n).alias(n) for n in names]).distinct()
+    rows = he.stability(cut(sensitivity(spark, sf)), ["fold", *UNIT])
+    return rows.select("fold", "unit_id", *[r6(n).alias(n) for n in names]).distinct()
 
 
-@register(
-    "h9_choose_parameters",
-    """SELECT fold, CAST(parameter_id AS INTEGER) AS parameter_id, round(score, 6) AS selection_score, CAST(row_number() OVER (PARTITION BY fold ORDER BY round(score, 12) DESC, parameter_id) AS INTEGER) AS configuration_rank FROM (
-       SELECT fold, parameter_id, 0.35 * avg(CAST(hit AS INTEGER)) + 0.25 * coalesce(avg(CAST(abs(hit_at - median_onset_minutes) <= 10 AS INTEGER)) FILTER (hit), 0) + 0.15 * coalesce(least(greatest(median(effect) / 5, 0), 1), 0)
-              + 0.15 * count(DISTINCT CASE WHEN hit THEN condition_id END) / 3 + 0.10 * (1 - coalesce(avg(CAST(life >= 0.95 AS INTEGER)) FILTER (hit), 1)) AS score
-       FROM v_toy JOIN v_stable USING (unit_id) GROUP BY 1, 2)""",
-)
+def ranking(spark, sf, every):
+    """Settings by fold, best first, from the outcomes on training and validation units."""
+    plan = folds(spark, sf).where("subset <> 'test'").select("fold", "unit_id")
+    return he.choose(he.stability(cut(every.join(plan, "unit_id")), ["fold", *UNIT]), 3)
+
+
+@register("h9_choose_parameters", "SELECT fold, parameter_id, round(score, 6) AS selection_score, CAST(place AS INTEGER) AS configuration_rank FROM v_choice")
 def choose_parameters(spark, sf):
-    ranked = he.choose(he.stability(_toy_sensitivity(spark, sf), ["fold", *UNIT]), 3)
-    return ranked.select("fold", "parameter_id", r6("selection_score").alias("selection_score"), "configuration_rank")
+    return ranking(spark, sf, sensitivity_rows(spark, sf)).select("fold", "parameter_id", r6("selection_score").alias("selection_score"), "configuration_rank")
 
 
-@register("h10_apply_choice")
-def apply_choice(spark, sf):
+def chosen_onsets(spark, sf):
+    """The onset of every unit in every fold, under the setting chosen without the fold's test units."""
     every = cut(sensitivity_rows(spark, sf))  # one row per unit and setting, read twice below
-    plan = folds(spark, sf).select("fold", "subset", "unit_id")
-    chosen = he.choose(he.stability(every.join(plan.where("subset <> 'test'"), "unit_id"), ["fold", *UNIT]), 3).where("selected").select("fold", "parameter_id")
-    return every.join(chosen, "parameter_id").join(plan, ["fold", "unit_id"]).select("fold", "subset", "unit_id", "parameter_id", "onset_status", "onset_index")
+    chosen = ranking(spark, sf, every).where("selected").select("fold", "parameter_id")
+    return every.join(chosen, "parameter_id").join(folds(spark, sf).select("fold", "subset", "unit_id"), ["fold", "unit_id"])
+
+
+VIEWS["v_onsets"] = """
+SELECT fold, subset, f.condition_id, unit_id, f.n, parameter_id, hit, hit_at FROM v_choice JOIN v_sensitivity USING (parameter_id) JOIN v_folds f USING (fold, unit_id) WHERE place = 1
+"""
+
+
+@register("h10_apply_choice", "SELECT fold, subset, unit_id, parameter_id, CASE WHEN hit THEN 'detected' ELSE 'not_detected' END AS onset_status, CAST(hit_at AS BIGINT) AS onset_index FROM v_onsets")
+def apply_choice(spark, sf):
+    return chosen_onsets(spark, sf).select("fold", "subset", "unit_id", "parameter_id", "onset_status", "onset_index")
