@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
-Every span of `span` words has `span - k + 1` grams of `k` words; the one with the least hash (the last of equals) is its fingerprint. Equal
-spans choose the same gram at the same place, so every shared span of `span` words or more is met through a shared fingerprint. An item of
+Every span of `span` words has `span - k + 1` grams of `k` words; the least hash among them is its fingerprint. Equal
+spans choose equal grams, so every shared span of `span` words or more is met through a shared fingerprint. An item of
 fewer words is one span whose only gram is the span itself.
 
 1. `spans` of the items: (fingerprint, 128-bit digest of the whole span) with the items that hold it.
@@ -12,14 +12,14 @@ fewer words is one span whose only gram is the span itself.
 Both joins spread a key over `SALT` copies of the item side, so a passage that a third of all documents share does not meet in one task.
 
 Defined results: NULL and empty texts have no words and no hits; NULL items never occur. Rows that repeat an id stay rows of their own. Items
-that repeat an id count as one; a NULL id reads as the empty text. Very long texts are whole rows of their own Arrow batches. Ties of hashes
-go to the last gram. An empty table of items leaves every document clean; an empty table of documents gives an empty result. Other columns
+that repeat an id count as one; a NULL id reads as the empty text. Very long texts are whole rows of their own Arrow batches. Equal grams have
+equal hashes, so ties make no difference. An empty table of items leaves every document clean; an empty table of documents gives an empty result. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import arrow_map, cut
-from wearline.llm.words import Numbers, Sieve, folded_words, list_column, mixed
+from wearline.llm.words import Sieve, chunks, folded_words, list_column, mixed
 
 #: Words of a shared span and of a gram.
 SPAN, GRAM = 10, 5
@@ -37,21 +37,9 @@ SALT = 8
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-class Hashes:
-    """Hashes of grams of the words of some texts; words are hashed once per batch."""
-
-    def __init__(self):
-        self.numbers, self.halves = Numbers(), np.zeros((2, 0), dtype=np.uint64)
-
-    def words(self, text: str | None) -> np.ndarray:
-        """Two 64-bit hashes of every word of a text."""
-        ids = self.numbers.of(folded_words(text))
-        known = self.halves.shape[1]
-        if len(self.numbers) > known:
-            fresh = [xxhash.xxh3_128_intdigest(w) for w in list(self.numbers)[known:]]
-            both = np.array([[f & (2**64 - 1) for f in fresh], [f >> 64 for f in fresh]], dtype=np.uint64)
-            self.halves = np.concatenate([self.halves, both], axis=1)
-        return self.halves[:, ids]
+def hashed(words: Sequence[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of every word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=">u8").astype(np.uint64).reshape(-1, 2).T
 
 
 def grams(words: np.ndarray, length: int, step: int) -> np.ndarray:
@@ -66,22 +54,18 @@ def grams(words: np.ndarray, length: int, step: int) -> np.ndarray:
 
 
 def winnowed(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least of every `width` values in a row, the last of equals."""
-    n = len(values) - width + 1
-    best, place = values[:n].copy(), np.arange(n)
+    """The least of every `width` values in a row."""
+    n = max(0, len(values) - width + 1)
+    least = values[:n].copy()
     for j in range(1, width):
-        there = values[j : j + n]
-        less = there <= best
-        best[less] = there[less]
-        place[less] += np.flatnonzero(less) + j - place[less]
-    return place
+        np.minimum(least, values[j : j + n], out=least)
+    return least
 
 
 def fingerprinted(words: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The fingerprint of every span of `length` words."""
     gram = min(gram, length)
-    values = grams(words[0], gram, 0)
-    return values[winnowed(values, length - gram + 1)] if words.shape[1] >= length else np.zeros(0, dtype=np.uint64)
+    return winnowed(grams(words[0], gram, 0), length - gram + 1)
 
 
 def _digests(words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +83,13 @@ def spans(items: DataFrame, id_col: str, text_col: str, span: int, gram: int) ->
     """(item, length, mark, one, two): the spans of every item; `mark` is the fingerprint, `one` and `two` the digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, out = Hashes(), []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = hashes.words(text)
-                length = min(span, words.shape[1])
+        for ids, texts, known in chunks(batches, folded_words):
+            hashes, out = hashed(known), []
+            for item, text in zip(ids, texts, strict=True):
+                length = min(span, len(text))
                 if not length:
                     continue
+                words = hashes[:, text]
                 marks = fingerprinted(words, length, gram)
                 one, two = _digests(words, np.arange(len(marks)), length)
                 out.append((np.full(len(marks), item, dtype=object), np.full(len(marks), length), marks.view(np.int64), one, two))
@@ -120,39 +104,31 @@ def spans(items: DataFrame, id_col: str, text_col: str, span: int, gram: int) ->
 def candidates(docs: DataFrame, id_col: str, text_col: str, lengths: Iterable[int], gram: int, sieve: Sieve) -> DataFrame:
     """Every document (row, doc_id, n_words) with the different spans whose fingerprint passes the sieve and where they start."""
     lengths = sorted(lengths)
-
-    def met(words: np.ndarray) -> tuple[np.ndarray, ...]:
-        parts = []
-        for length in lengths:
-            marks = fingerprinted(words, length, gram)
-            starts = np.flatnonzero(sieve(marks))
-            if len(starts):
-                parts.append((np.full(len(starts), length, dtype=np.int32), marks[starts].view(np.int64), *_digests(words, starts, length), starts.astype(np.int32)))
-        if not parts:
-            return (np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int32))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, counts, out, starts = Hashes(), [], [], []
-            for text in batch.column(1).to_pylist():
-                words = hashes.words(text)
-                counts.append(words.shape[1])
-                length, mark, one, two, start = met(words)
-                order = np.lexsort((start, two, one, length))
-                length, mark, one, two, start = (c[order] for c in (length, mark, one, two, start))
-                fresh = np.ones(len(order), dtype=bool)
-                fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (length[1:] != length[:-1])
-                first = np.flatnonzero(fresh)
-                out.append((length[first], mark[first], one[first], two[first]))
-                starts += np.split(start, first[1:]) if len(first) else []
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            fields = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            fields.append(list_column(starts, pa.int32()))
-            offsets = np.concatenate([[0], np.cumsum([len(o[0]) for o in out])]).astype(np.int32)
-            met_spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["length", "mark", "one", "two", "starts"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), met_spans], names=["doc_id", "n_words", "spans"])
+        for ids, texts, known in chunks(batches, folded_words):
+            sizes = np.array([len(t) for t in texts])
+            heads = np.cumsum(sizes) - sizes
+            words = hashed(known)[:, np.concatenate([np.zeros(0, np.int32), *texts])]
+            text = np.repeat(np.arange(len(texts)), sizes)
+            parts = []
+            for length in lengths:
+                marks = fingerprinted(words, length, gram)
+                spots = np.flatnonzero(sieve(marks))
+                spots = spots[text[spots] == text[spots + length - 1]]
+                one, two = _digests(words, spots, length)
+                parts.append((text[spots], np.full(len(spots), length, dtype=np.int64), marks[spots].view(np.int64), one, two, spots - heads[text[spots]]))
+            doc, length, mark, one, two, start = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*parts, strict=True) if parts else [()] * 6))
+            order = np.lexsort((start, two, one, length, doc))
+            doc, length, mark, one, two, start = (c[order] for c in (doc, length, mark, one, two, start))
+            same = (doc[1:] == doc[:-1]) & (length[1:] == length[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            first = np.flatnonzero(np.append(True, ~same)) if len(doc) else np.zeros(0, np.int64)
+            fields = [pa.array(c[first], k) for c, k in zip((length, mark, one, two), kinds, strict=True)]
+            fields.append(list_column(np.split(start, first[1:]) if len(first) else [], pa.int32()))
+            offsets = np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32)
+            met = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["length", "mark", "one", "two", "starts"]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), met], names=["doc_id", "n_words", "spans"])
 
     schema = "doc_id long, n_words long, spans array<struct<length: int, mark: long, one: long, two: long, starts: array<int>>>"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), rows, schema).withColumn("row", F.monotonically_increasing_id())

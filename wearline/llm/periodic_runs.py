@@ -9,7 +9,7 @@ A run is a stretch of consecutive words with smallest period q and at least ``ma
    once, all periods are tried at the boundary: longest common extensions to both sides come from names of words sequences of 1, 2, 4, ... words.
 4. These runs are translated to every place the nonterminal is derived at; of one period, only maximal intervals stay.
 
-Work per word is bounded by the logarithm of its text's length; a task holds one chunk of `CHUNK` words (or one longer text) at a time.
+Work per word is bounded by the logarithm of its text's length; a task holds one chunk of about a million words (or one longer text) at a time.
 
 Defined results: NULL and empty texts have no words and no runs. Rows that repeat an id stay rows of their own. Equal runs cannot occur; runs are
 in order of start, then period. Very long texts are chunks of their own. An empty table gives an empty result. Other columns are ignored.
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import arrow_map
-from wearline.llm.words import Numbers, list_column, mixed, spaced_words
+from wearline.llm.words import chunks, list_column, mixed, spaced_words
 
 #: Fewest words and fewest periods of a run.
 LEAST, PERIODS = 24, 3
 #: A stretch of period q and length max(24, 3q) less q holds at least 16 starts of equal words, hence a gram of 8 on either side of any of them.
 GRAM = 8
-#: Words a grammar is built over at once, and pairs of node and period tried at once.
-CHUNK, TRIED = 1_000_000, 1_000_000
+#: Pairs of node and period tried at once.
+TRIED = 1_000_000
 
 
 def repeated_stretches(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,25 +254,11 @@ def collapsed(words: np.ndarray, found: np.ndarray) -> np.ndarray:
     return words[np.cumsum(change[:-1]) == 0]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[bytes]]]:
-    for batch in batches:
-        ids, docs, numbers, held = [], [], Numbers(), 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
-            docs.append(numbers.of(spaced_words(text.as_py())))
-            held += len(docs[-1])
-            if held >= CHUNK:
-                yield ids, docs, list(numbers)
-                ids, docs, numbers, held = [], [], Numbers(), 0
-        if ids:
-            yield ids, docs, list(numbers)
-
-
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, runs (start, length, period) and the collapsed text of every whole text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, known in _chunks(batches):
+        for ids, words, known in chunks(batches, spaced_words):
             found = runs(words)
             texts = [b" ".join(map(known.__getitem__, (collapsed(w, f) if len(f) else w).tolist())).decode("utf-8", "surrogatepass") for w, f in zip(words, found, strict=True)]
             parts = [list_column([f[:, j] for f in found], pa.int64()) for j in range(3)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,25 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+#: Words a task looks at together.
+CHUNK = 1_000_000
+
+
+def chunks(batches: Iterator[pa.RecordBatch], split: Callable[[str | None], list[bytes]], limit: int = CHUNK) -> Iterator[tuple[list, list[np.ndarray], list[bytes]]]:
+    """(ids, word numbers per text, the words) of rows (id, text): some texts of about `limit` words together, or one longer text."""
+    for batch in batches:
+        ids, docs, numbers, held = [], [], Numbers(), 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            docs.append(numbers.of(split(text.as_py())))
+            held += len(docs[-1])
+            if held >= limit:
+                yield ids, docs, list(numbers)
+                ids, docs, numbers, held = [], [], Numbers(), 0
+        if ids:
+            yield ids, docs, list(numbers)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Well-spread 64-bit values, one for one."""
     values = values ^ (values >> np.uint64(30))
