@@ -67,10 +67,10 @@ def effective_sample_size(df: DataFrame, scope: Sequence[str], weight: str = "sa
 
 
 def equal_counts(df: DataFrame, scope: Sequence[str], unit: str, key: str, seed: int = 42, split: bool | None = None) -> DataFrame:
-    """Every unit of a scope reduced to the smallest unit's row count, by a seeded hash order."""
+    """Every unit of a scope reduced to the smallest unit's row count, by a seeded order of MD5 hashes."""
     least = df.groupBy(*scope, unit).agg(F.count(F.lit(1)).alias("_n"))
     least = (least.groupBy(*scope) if scope else least.groupBy(F.lit(0).alias("_all"))).agg(F.min("_n").alias("_least"))
-    hashed = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = df.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(seed), F.col(key))))
     drawn = running(hashed, [*scope, unit], ["_draw", key], {"_nth": ("sum", F.lit(1).cast("bigint"))}, split)
     joined = drawn.join(least, list(scope)) if scope else drawn.withColumn("_all", F.lit(0)).join(least, "_all")
     return joined.where("_nth <= _least").select(*df.columns)

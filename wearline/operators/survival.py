@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.operators import cox
 from wearline.operators.rul import rank_candidates
 from wearline.operators.scale import average_ranks, index_units, percentiles, running, same_keys, trailing, with_totals
 from wearline.operators.scaling import moments_by_fold
@@ -125,14 +126,15 @@ def scenario_rows(cohorts: DataFrame, scenario: str) -> DataFrame:
 # feature screening -----------------------------------------------------------------------------------------
 
 
-def screen_features(long: DataFrame, key: str, near_constant: float = 0.999) -> DataFrame:
+def screen_features(long: DataFrame, key: str, near_constant: float = 0.999, by: Sequence[str] = ()) -> DataFrame:
     """Status per feature: invalid, constant, near constant, exact duplicate of an earlier name, or retained.
 
-    `long` has key, feature, value. Duplicates share an order-free fingerprint and are confirmed row by row.
+    `long` has `by`, key, feature, value. Duplicates share an order-free fingerprint and are confirmed row by row.
     """
-    v = F.col("value")
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    shape = counts.groupBy("feature").agg(
+    by, v = list(by), F.col("value")
+    named = [*by, "feature"]
+    counts = long.groupBy(*named, "value").agg(F.count(F.lit(1)).alias("n"))
+    shape = counts.groupBy(*named).agg(
         F.sum(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.col("n")).otherwise(0)).alias("invalid"),
         F.count(F.lit(1)).alias("distinct"), (F.max("n") / F.sum("n")).alias("top_share"),
     )
@@ -140,18 +142,18 @@ def screen_features(long: DataFrame, key: str, near_constant: float = 0.999) ->
         F.when(F.col("invalid") > 0, "invalid_value").when(F.col("distinct") <= 1, "constant")
         .when(F.col("top_share") >= near_constant, "near_constant").otherwise("retained")
     )
-    judged = shape.select("feature", status.alias("status"))
-    prints = long.join(judged.where("status = 'retained'").select("feature"), "feature", "left_semi").groupBy("feature").agg(
+    judged = shape.select(*named, status.alias("status"))
+    prints = long.join(judged.where("status = 'retained'").select(*named), named, "left_semi").groupBy(*named).agg(
         F.sum(F.xxhash64(key, "value").cast("decimal(38,0)")).alias("print"), F.count(F.lit(1)).alias("rows")
     )
-    twins = prints.alias("a").join(prints.alias("b"), ["print", "rows"]).where("b.feature < a.feature").groupBy(F.col("a.feature").alias("feature")).agg(F.min("b.feature").alias("related_feature"))
-    left = long.join(twins, "feature")
+    twins = prints.alias("a").join(prints.alias("b"), [*by, "print", "rows"]).where("b.feature < a.feature").groupBy(*by, F.col("a.feature").alias("feature")).agg(F.min("b.feature").alias("related_feature"))
+    left = long.join(twins, named)
     differing = (
-        left.join(long.select(key, F.col("feature").alias("related_feature"), F.col("value").alias("_other")), [key, "related_feature"])
-        .groupBy("feature").agg(F.count_if(~F.col("value").eqNullSafe(F.col("_other"))).alias("_differs"))
+        left.join(long.select(*by, key, F.col("feature").alias("related_feature"), F.col("value").alias("_other")), [*by, key, "related_feature"])
+        .groupBy(*named).agg(F.count_if(~F.col("value").eqNullSafe(F.col("_other"))).alias("_differs"))
     )
-    confirmed = twins.join(differing, "feature").where("_differs = 0").select("feature", "related_feature")
-    return judged.join(confirmed, "feature", "left").withColumn("status", F.when(F.col("related_feature").isNotNull(), "exact_duplicate").otherwise(F.col("status")))
+    confirmed = twins.join(differing, named).where("_differs = 0").select(*named, "related_feature")
+    return judged.join(confirmed, named, "left").withColumn("status", F.when(F.col("related_feature").isNotNull(), "exact_duplicate").otherwise(F.col("status")))
 
 
 def univariate_relevance(long: DataFrame, by: Sequence[str] = ("feature",), split: bool | None = None) -> DataFrame:
@@ -187,8 +189,11 @@ def prune_correlated(wide: DataFrame, features: Sequence[str], scores: dict[str,
     return result
 
 
-def evaluation_grid(train: DataFrame, scope: Sequence[str], points: int = GRID_POINTS, quantiles: Sequence[float] = GRID_QUANTILES, horizon: float | None = None, split: bool | None = None) -> DataFrame:
-    """Equally spaced evaluation times per scope: between event-time quantiles, or up to a fixed horizon."""
+def evaluation_grid(train: DataFrame, scope: Sequence[str], points: int = GRID_POINTS, quantiles: Sequence[float] = GRID_QUANTILES, horizon: float | None = None, split: bool | None = None, strict: bool = True) -> DataFrame:
+    """Equally spaced evaluation times per scope: between event-time quantiles, or up to a fixed horizon.
+
+    A scope without a supported interval is an error, or has no times if not `strict`.
+    """
     t = F.col("duration_minutes")
     if horizon is None:
         event = F.when(F.col("event_observed") == 1, t)
@@ -197,7 +202,7 @@ def evaluation_grid(train: DataFrame, scope: Sequence[str], points: int = GRID_P
     else:
         ends = train.groupBy(*scope).agg(F.greatest(F.min(F.when(t > 0, t)), F.lit(horizon / points)).alias("_lo")).withColumn("_hi", F.lit(float(horizon)))
     bad = F.raise_error(F.lit("no supported interval for an evaluation grid")).cast("double")
-    ends = ends.withColumn("_hi", F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(bad))
+    ends = ends.withColumn("_hi", F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(bad)) if strict else ends.where("_hi > _lo")
     spots = ends.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     return spots.select(*scope, "grid_index", (F.col("_lo") + F.col("grid_index") * (F.col("_hi") - F.col("_lo")) / (points - 1)).alias("evaluation_time"))
 
@@ -392,26 +397,44 @@ def ipcw_concordance(train: DataFrame, risks: DataFrame, taus: DataFrame, scope:
     return out.join(broken, list(by)).select(*by, F.when(F.col("_undefined") == 0, F.col("concordance")).alias("ipcw_c_index"))
 
 
-def unit_metrics(train: DataFrame, curves: DataFrame, grid: DataFrame, scope: Sequence[str], by: Sequence[str], split: bool | None = None) -> DataFrame:
-    """Brier, concordance and median-survival errors per tested unit; an unsupported unit keeps its reason."""
+def supported_scores(train: DataFrame, curves: DataFrame, grid: DataFrame, scope: Sequence[str], by: Sequence[str], split: bool | None = None) -> DataFrame:
+    """Brier scores at the supported times of every tested unit."""
+    return brier(train, curves, supported_grid(train, curves.where("grid_index = 0"), grid, scope, by), scope, by, split)
+
+
+#: Reasons of a unit without metrics, in the order they are looked for. Fixed values.
+UNSUPPORTED = ("fewer than two supported evaluation times", "durations beyond the training support", "no event among the landmarks", "no comparable pair of landmarks")
+
+
+def unit_metrics(train: DataFrame, curves: DataFrame, grid: DataFrame, scope: Sequence[str], by: Sequence[str], split: bool | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """Brier, concordance and median-survival errors per tested unit; an unsupported unit has its reason in place of the first two.
+
+    A unit with a landmark beyond the last training time is unsupported while the censoring curve there is above zero: the weights are unknown.
+    `scores` may pass written `supported_scores`.
+    """
     scope, by = list(scope), list(by)
     landmark = curves.where("grid_index = 0")
     support = supported_grid(train, landmark, grid, scope, by)
-    scores = integrated(brier(train, curves, support, scope, by, split), by)
+    scored = integrated(scores if scores is not None else brier(train, curves, support, scope, by, split), by)
     risks = curve_risk(curves, support, by)
     harrell = concordance(risks.withColumn("_one", F.lit(1.0)), by, "duration_minutes", "event_observed", "risk", "_one", split).select(
         *by, F.col("concordance").alias("harrell_c_index"), F.col("comparable").cast("bigint").alias("harrell_comparable_pairs")
     )
-    uno = ipcw_concordance(train, risks, scores.where("supported_grid_points >= 2"), scope, by, split)
-    medians = landmark.select(*by, "landmark_id", "duration_minutes").join(median_survival(curves, [*by, "landmark_id"]), [*by, "landmark_id"])
+    uno = ipcw_concordance(train, risks, scored.where("supported_grid_points >= 2"), scope, by, split)
+    medians = landmark.select(*by, "landmark_id", "duration_minutes", "event_observed").join(median_survival(curves, [*by, "landmark_id"]), [*by, "landmark_id"])
     error = F.col("median_survival") - F.col("duration_minutes")
     summary = medians.groupBy(*by).agg(
         F.count(F.lit(1)).alias("landmark_count"), F.avg(F.col("median_survival").isNotNull().cast("double")).alias("median_survival_coverage"),
         F.avg(F.abs(error)).alias("median_survival_mae"), F.sqrt(F.avg(error * error)).alias("median_survival_rmse"), F.avg(error).alias("median_survival_signed_error"),
+        F.max("duration_minutes").alias("_longest"), F.max("event_observed").alias("_events"),
     )
-    joined = summary.join(scores, by, "left").join(harrell, by, "left").join(uno, by, "left")
-    valid = F.coalesce(F.col("supported_grid_points") >= 2, F.lit(False))
-    return joined.withColumns({"valid": valid, "failure_reason": F.when(~valid, "fewer than two supported evaluation times")})
+    ends = train.groupBy(*scope).agg(F.max("duration_minutes").alias("_known")).join(censoring_curve(train, scope, split=split).groupBy(*scope).agg(F.min("survival").alias("_left")), scope)
+    joined = summary.join(ends, scope).join(scored, by, "left").join(harrell, by, "left").join(uno, by, "left")
+    checks = [F.coalesce(F.col("supported_grid_points") < 2, F.lit(True)), (F.col("_longest") > F.col("_known")) & (F.col("_left") > 0), F.col("_events") == 0, F.coalesce(F.col("harrell_comparable_pairs") == 0, F.lit(True))]
+    reason = F.coalesce(*[F.when(c, r) for c, r in zip(checks, UNSUPPORTED, strict=True)])
+    judged = joined.withColumn("failure_reason", reason).withColumn("valid", F.col("failure_reason").isNull())
+    measured = ["integrated_brier_score", "harrell_c_index", "harrell_comparable_pairs", "ipcw_c_index", "supported_grid_points", "grid_lower", "grid_upper"]
+    return judged.withColumns({m: F.when(F.col("valid"), F.col(m)) for m in measured}).drop("_longest", "_events", "_known", "_left")
 
 
 def rank_survival_candidates(records: DataFrame) -> DataFrame:
@@ -530,45 +553,17 @@ def _risk_sums(rows: DataFrame, fold: str, features: Sequence[str], second: bool
     return running(per_time.withColumn("_late", -F.col("time")), [fold], ["_late"], {n: ("sum", F.col(f"_{n}")) for n in cells}, split)
 
 
-def fit_cox(rows: DataFrame, features: Sequence[str], alpha: float, fold: str = "fold", steps: int = 25, tolerance: float = 1e-9, split: bool | None = None) -> DataFrame:
-    """Ridge-penalised Cox coefficients per fold (Breslow ties) by Newton steps.
-
-    Every step is one aggregation for all folds: rows collapse to distinct times, risk sets are running sums
-    over them, and only the gradient and Hessian reach the driver. `rows` should be written out beforehand.
-    """
-    spark, p = rows.sparkSession, len(features)
-    folds = [r[fold] for r in rows.select(fold).distinct().collect()]
-    beta = {f: np.zeros(p) for f in folds}
-    value, last = {f: -np.inf for f in folds}, dict(beta)
+def fit_cox(rows: DataFrame, features: Sequence[str], alpha: float, fold: str = "fold", steps: int = cox.STEPS) -> DataFrame:
+    """Ridge-penalised Cox coefficients per fold (Breslow ties); a fold that does not converge is an error."""
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    blocks = cox.packed(rows.withColumn("_vector", vector), [fold], "_vector")
+    folds = sorted(r[fold] for r in rows.select(fold).distinct().collect())
+    fits = cox.fit_many(blocks, [fold], [cox.Spec((f,), 0, tuple(range(len(features))), alpha) for f in folds], steps)
+    if failed := [f for f in fits if f.failure]:
+        raise ValueError(f"Cox model of fold {failed[0].spec.scope[0]}: {failed[0].failure}")
     kind = rows.schema[fold].dataType.simpleString()
-    for _ in range(steps):
-        weights = parameter_table(spark, [(f, b.tolist()) for f, b in beta.items()], f"{fold} {kind}, _beta array<double>")
-        sums = _risk_sums(rows.join(weights, fold), fold, features, True, split).where("events > 0")
-        n, s0 = F.col("events"), F.col("s0")
-        mean = [F.col(f"s1_{i}") / s0 for i in range(p)]
-        stats = sums.groupBy(fold).agg(
-            F.sum(F.col("eta_events") - n * F.ln(s0)).alias("ll"),
-            *[F.sum(F.col(f"x_events_{i}") - n * mean[i]).alias(f"g{i}") for i in range(p)],
-            *[F.sum(n * (F.col(f"s2_{i}_{j}") / s0 - mean[i] * mean[j])).alias(f"h{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        moved = 0.0
-        for r in stats.collect():  # folds x (p^2 + p + 1) numbers
-            f, b = r[fold], beta[r[fold]]
-            gradient = np.array([r[f"g{i}"] for i in range(p)]) - alpha * b
-            hessian = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(p)] for i in range(p)]) + alpha * np.eye(p)
-            step = np.linalg.solve(hessian, gradient)
-            # a step that lowers the penalised likelihood is halved from the last good point
-            now = r["ll"] - alpha / 2 * float(b @ b)
-            if now < value[f] - 1e-9:
-                step = -0.5 * (b - last[f])
-            else:
-                value[f], last[f] = now, b
-            beta[f] = b + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < tolerance:
-            break
-    table = [(f, name, float(b[i]), float(np.exp(b[i]))) for f, b in sorted(beta.items()) for i, name in enumerate(features)]
-    return parameter_table(spark, table, f"{fold} {kind}, feature string, standardized_coefficient double, hazard_ratio double")
+    table = [(f.spec.scope[0], name, float(b), float(np.exp(np.clip(b, -50, 50)))) for f in fits for name, b in zip(features, f.beta, strict=True)]
+    return parameter_table(rows.sparkSession, table, f"{fold} {kind}, feature string, standardized_coefficient double, hazard_ratio double")
 
 
 def _packed(coefficients: DataFrame, features: Sequence[str], fold: str) -> DataFrame:
@@ -604,7 +599,7 @@ def schoenfeld(rows: DataFrame, coefficients: DataFrame, features: Sequence[str]
 def proportional_hazards(residuals: DataFrame, permutations: int = 499, fold: str = "fold", seed: int = 1847, split: bool | None = None) -> DataFrame:
     """|Spearman| of residual and log time per feature, with permutation p per feature and for the maximum.
 
-    Units are paired with permuted times by hash order; the pairing is an equi-join on position.
+    Units are paired with permuted times in the order of MD5 hashes; the pairing is an equi-join on position.
     """
     by = [fold, "feature"]
     ranked = average_ranks(average_ranks(residuals, by, "residual", "_x", split), by, "log_event_time", "_y", split)
@@ -612,7 +607,7 @@ def proportional_hazards(residuals: DataFrame, permutations: int = 499, fold: st
     placed = index_units(ranked.select(*by, "unit_id", "_x"), by, ["unit_id"], split)
     runs = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_run")
     times = residuals.select(fold, "unit_id", "log_event_time").distinct()
-    shuffled = index_units(average_ranks(times, [fold], "log_event_time", "_y", split).select(fold, "unit_id", "_y", runs).withColumn("_h", F.xxhash64(F.lit(seed), "_run", "unit_id")), [fold, "_run"], ["_h", "unit_id"], split)
+    shuffled = index_units(average_ranks(times, [fold], "log_event_time", "_y", split).select(fold, "unit_id", "_y", runs).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "_run", "unit_id"))), [fold, "_run"], ["_h", "unit_id"], split)
     null = placed.join(shuffled.select(fold, "_run", "sequence_index", "_y"), [fold, "sequence_index"]).groupBy(*by, "_run").agg(F.abs(correlation("_x", "_y")).alias("_rho"))
     judged = null.join(observed, by).groupBy(*by, "absolute_spearman", "independent_units").agg(F.count_if(F.col("_rho") >= F.col("absolute_spearman") - 1e-12).alias("_ge"))
     top = observed.groupBy(fold).agg(F.max("absolute_spearman").alias("absolute_spearman"), F.max("independent_units").alias("independent_units"))

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from wearline.functions.rounding import r6
+from wearline.operators import detect as de
 from wearline.operators import folds as fo
 from wearline.operators import survival as su
+from wearline.operators import survival_loop as sl
 from wearline.operators.scale import unpivot
 from wearline.plans.catalog import VIEWS, register
 from wearline.plans.detection import primary
@@ -13,7 +15,8 @@ from wearline.plans.rul import predictions, rounded
 from wearline.session import cut
 from wearline.sources.tables import UNIT, readings
 
-STRIDE, FOLLOW_UP, POINTS = 5, 5, 9
+STRIDE, FOLLOW_UP, POINTS = 5, 5, su.GRID_POINTS
+ALPHA = 1.0
 COVARIATES = ["horizontal", "vertical"]
 
 
@@ -65,10 +68,10 @@ def onset_cohort(spark, sf):
 
 @register(
     "n3_fixed_horizon",
-    "SELECT 'fixed_horizon_' || h AS scenario, landmark_id, least(life, h)::DOUBLE AS duration_minutes, CAST(life <= h AS INTEGER) AS event_observed FROM v_marks_raw, (VALUES (30), (60)) t(h)",
+    "SELECT 'fixed_horizon_' || h AS scenario, landmark_id, least(life, h)::DOUBLE AS duration_minutes, CAST(life <= h AS INTEGER) AS event_observed FROM v_marks_raw, (VALUES (30), (60), (120), (240)) t(h)",
 )
 def fixed_horizon(spark, sf):
-    return su.fixed_horizon(marks(spark, sf), (30.0, 60.0)).select("scenario", "landmark_id", "duration_minutes", "event_observed")
+    return su.fixed_horizon(marks(spark, sf)).select("scenario", "landmark_id", "duration_minutes", "event_observed")
 
 
 VIEWS["v_rate"] = "SELECT fold, unnest([0.25::DOUBLE, 0.5, 0.75]) AS rate, unnest(quantile_cont(life, [0.75, 0.5, 0.25])) AS horizon FROM v_marks_raw WHERE subset = 'train' GROUP BY 1"
@@ -167,7 +170,17 @@ def kaplan_meier(spark, sf):
     return rounded(su.step_lookup(curve, times(spark, sf, rows), ["fold"], "evaluation_time"), ["fold", "grid_index"], ["survival"])
 
 
-@register("p1_balanced_baseline")
+VIEWS["v_even"] = """
+SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY fold, unit_id ORDER BY md5('42:' || landmark_id), landmark_id) AS nth FROM v_cohort WHERE subset = 'train') c
+JOIN (SELECT fold, min(n) AS least FROM (SELECT fold, unit_id, count(*) AS n FROM v_cohort WHERE subset = 'train' GROUP BY 1, 2) GROUP BY 1) USING (fold) WHERE nth <= least
+"""
+VIEWS["v_even_km"] = """
+SELECT fold, time, exp(sum(CASE WHEN d = n THEN -1e300 ELSE ln(1 - d / n::DOUBLE) END) OVER (PARTITION BY fold ORDER BY time)) AS survival
+FROM (SELECT fold, time, d, sum(c) OVER (PARTITION BY fold ORDER BY time DESC) AS n FROM (SELECT fold, t AS time, sum(e) AS d, count(*) AS c FROM v_even GROUP BY 1, 2))
+"""
+
+
+@register("p1_balanced_baseline", "SELECT p.fold, grid_index, round(coalesce(survival, 1), 6) AS survival FROM v_times p ASOF LEFT JOIN v_even_km k ON p.fold = k.fold AND p.tau >= k.time")
 def balanced_baseline(spark, sf):
     """The baseline model: Kaplan-Meier on equally many landmarks per training unit."""
     rows = cohort(spark, sf)
@@ -189,42 +202,117 @@ def kaplan_meier_by_condition(spark, sf):
 
 
 def cox_rows(spark, sf):
-    """Training and test landmarks with covariates on comparable scales, written once for the Newton steps."""
-    rows = cohort(spark, sf).withColumns({"horizontal": F.col("horizontal") / 50, "vertical": F.col("vertical") / 50})
-    return cut(rows.select("fold", "subset", "condition_id", "unit_id", "acquisition_number", "landmark_id", "landmark_weight", "duration_minutes", "event_observed", "true_time_to_failure_minutes", *COVARIATES))
+    """All landmarks with robustly scaled covariates, and the equal-count training sample that scales and fits; both written once."""
+    rows = cohort(spark, sf)
+    even = cut(fo.equal_counts(subset_of(rows, "train"), ["fold"], "unit_id", "landmark_id"))
+    scaled = sl.scaled_rows(rows, even, COVARIATES, ["fold"]).withColumns({c: F.get("x", F.lit(i)) for i, c in enumerate(COVARIATES)})
+    kept = ["fold", "subset", "condition_id", "unit_id", "acquisition_number", "landmark_id", "landmark_weight", "duration_minutes", "event_observed", "true_time_to_failure_minutes", "x", *COVARIATES]
+    rows = cut(scaled.select(*kept))
+    return rows, cut(rows.join(even.select("landmark_id"), "landmark_id", "left_semi"))
 
 
-def fitted_cox(spark, sf):
-    rows = cox_rows(spark, sf)
-    train = subset_of(rows, "train")
-    return rows, train, su.fit_cox(train, COVARIATES, 1.0)
+VIEWS["v_scales2"] = """
+SELECT fold, median(horizontal) AS hc, CASE WHEN quantile_cont(horizontal, 0.75) = quantile_cont(horizontal, 0.25) THEN 1 ELSE quantile_cont(horizontal, 0.75) - quantile_cont(horizontal, 0.25) END AS hs,
+       median(vertical) AS vc, CASE WHEN quantile_cont(vertical, 0.75) = quantile_cont(vertical, 0.25) THEN 1 ELSE quantile_cont(vertical, 0.75) - quantile_cont(vertical, 0.25) END AS vs FROM v_even GROUP BY 1
+"""
+VIEWS["v_scaled"] = "SELECT c.*, (horizontal - hc) / hs AS a, (vertical - vc) / vs AS b FROM v_cohort c JOIN v_scales2 USING (fold)"
+VIEWS["v_fit"] = "SELECT * FROM v_scaled SEMI JOIN v_even USING (landmark_id)"
+VIEWS["v_cox_0"] = "SELECT DISTINCT fold, alpha, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM v_fit, (VALUES (0.1::DOUBLE), (1.0), (10.0)) t(alpha)"
+for _k in range(1, 11):  # Newton steps over the risk sets of both covariates
+    VIEWS[f"v_cox_{_k}"] = f"""
+SELECT fold, alpha, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b1, b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b2 FROM (
+  SELECT fold, alpha, b1, b2, sum(e * (a - s1 / s0)) - alpha * b1 AS g1, sum(e * (b - s2 / s0)) - alpha * b2 AS g2, sum(e * (s11 / s0 - (s1 / s0) ** 2)) + alpha AS h11, sum(e * (s22 / s0 - (s2 / s0) ** 2)) + alpha AS h22, sum(e * (s12 / s0 - s1 * s2 / s0 ** 2)) AS h12 FROM (
+    SELECT *, sum(r) OVER w AS s0, sum(r * a) OVER w AS s1, sum(r * b) OVER w AS s2, sum(r * a * a) OVER w AS s11, sum(r * a * b) OVER w AS s12, sum(r * b * b) OVER w AS s22
+    FROM (SELECT f.fold, t, e, a, b, alpha, b1, b2, exp(b1 * a + b2 * b) AS r FROM v_fit f JOIN v_cox_{_k - 1} USING (fold)) WINDOW w AS (PARTITION BY fold, alpha ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  GROUP BY fold, alpha, b1, b2)
+"""
+VIEWS["v_risk_sets"] = """
+SELECT fold, t, e, a, b, unit_id, sum(exp(b1 * a + b2 * b)) OVER w AS s0, sum(a * exp(b1 * a + b2 * b)) OVER w AS s1, sum(b * exp(b1 * a + b2 * b)) OVER w AS s2
+FROM v_fit JOIN (SELECT * FROM v_cox_10 WHERE alpha = 1) USING (fold) WINDOW w AS (PARTITION BY fold ORDER BY t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+VIEWS["v_hazard"] = "SELECT fold, time, sum(d / s0) OVER (PARTITION BY fold ORDER BY time) AS h FROM (SELECT fold, t AS time, sum(e) AS d, any_value(s0) AS s0 FROM v_risk_sets GROUP BY 1, 2)"
+VIEWS["v_curves"] = """
+SELECT c.fold, unit_id, condition_id, landmark_id, acquisition_number, t, e, life, grid_index, tau, exp(-coalesce(h, 0) * exp(b1 * a + b2 * b)) AS s
+FROM (SELECT c.*, grid_index, tau FROM v_scaled c JOIN v_times USING (fold) WHERE subset = 'test') c JOIN (SELECT * FROM v_cox_10 WHERE alpha = 1) m USING (fold) ASOF LEFT JOIN v_hazard k ON c.fold = k.fold AND c.tau >= k.time
+"""
 
 
-@register("p3_cox_coefficients")
+@register(
+    "p3_cox_coefficients",
+    """SELECT fold, alpha, unnest(['horizontal', 'vertical']) AS feature, round(unnest([b1, b2]), 6) + 0.0 AS standardized_coefficient, round(exp(unnest([b1, b2])), 6) AS hazard_ratio FROM v_cox_10""",
+)
 def cox_coefficients(spark, sf):
-    return rounded(fitted_cox(spark, sf)[2], ["fold", "feature"], ["standardized_coefficient", "hazard_ratio"])
+    even = cox_rows(spark, sf)[1]
+    found = [su.fit_cox(even, COVARIATES, alpha).withColumn("alpha", F.lit(alpha)) for alpha in sl.ALPHAS]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), ["fold", "alpha", "feature"], ["standardized_coefficient", "hazard_ratio"])
+
+
+def cox_test_curves(spark, sf):
+    """All landmarks, evaluation times, the fitted sample with its coefficients, and the model's curves of the test landmarks."""
+    rows, even = cox_rows(spark, sf)
+    grid = cut(times(spark, sf, rows))
+    beta = su.fit_cox(even, COVARIATES, ALPHA)
+    hazard = su.baseline_hazard(even, beta, COVARIATES)
+    lines = su.cox_curves(subset_of(rows, "test").drop("x"), beta, hazard, grid, COVARIATES)
+    return rows, grid, even, beta, cut(lines.drop(*COVARIATES))
 
 
-@register("p4_cox_curves")
+@register("p4_cox_curves", "SELECT fold, landmark_id, grid_index, round(s, 6) AS survival FROM v_curves")
 def cox_curves(spark, sf):
-    rows, train, beta = fitted_cox(spark, sf)
-    hazard = su.baseline_hazard(train, beta, COVARIATES)
-    curves = su.cox_curves(subset_of(rows, "test"), beta, hazard, times(spark, sf, rows), COVARIATES)
-    return rounded(curves, ["fold", "landmark_id", "grid_index"], ["survival"])
+    return rounded(cox_test_curves(spark, sf)[4], ["fold", "landmark_id", "grid_index"], ["survival"])
+
+
+#: The smallest of the forest candidates.
+FOREST = {"numTrees": 100, "maxDepth": 5, "minInstancesPerNode": 10, "featureSubsetStrategy": "sqrt"}
 
 
 @register("p5_hazard_forest")
 def hazard_forest(spark, sf):
-    rows = cox_rows(spark, sf)
+    rows = cox_rows(spark, sf)[0]
     curves = None
     for fold in range(5):
         part = rows.where(F.col("fold") == fold)
         grid = times(spark, sf, part)
-        scored = su.hazard_forest(subset_of(part, "train"), subset_of(part, "test"), grid, COVARIATES, {"numTrees": 5, "maxDepth": 4, "minInstancesPerNode": 10})
+        scored = su.hazard_forest(subset_of(part, "train").drop("x"), subset_of(part, "test").drop("x"), grid, COVARIATES, FOREST)
         curves = scored if curves is None else curves.unionByName(scored)
     return rounded(curves, ["fold", "landmark_id", "grid_index"], ["survival"])
 
 
+#: Columns of the model tables that are known at the landmark.
+CONTEXT = ["time_since_causal_onset", "elapsed_minutes"]
+
+
+def loop_rows(spark, sf):
+    """Landmarks of all scenarios with the causal trend features of both channels, and the features' names."""
+    trends = readings(spark, sf)
+    before = set(trends.columns)
+    for channel in COVARIATES:
+        trends = de.trend_features(trends, UNIT, channel, 10, de.TREND_WINDOWS, strict_causal=True)
+    features = sorted(set(trends.columns) - before)
+    rows = sl.scenarios(su.landmarks(trends, onset_plan(spark, sf), STRIDE, FOLLOW_UP))
+    kept = ["scenario", "fold", "subset", "condition_id", "unit_id", "acquisition_number", "landmark_id", "landmark_weight", "duration_minutes", "event_observed", "event_type", *CONTEXT, *COVARIATES, *features]
+    return cut(rows.select(*kept)), [*COVARIATES, *features, "event_type"]
+
+
+def loop(spark, sf):
+    rows, features = loop_rows(spark, sf)
+    grid = cut(sl.evaluation_grids(subset_of(rows, "train")))
+    return sl.run(rows, features, CONTEXT, grid, sl.main_horizons(grid))
+
+
+@register("p7_candidate_loop")
+def candidate_loop(spark, sf):
+    names = ["validation_macro_ibs", "validation_main_horizon_brier", "validation_macro_ipcw_c_index"]
+    keys = ["scenario", "fold", "candidate_id", "model", "features", "alpha", "valid_validation_units", "valid", "failure_reason", "selection_rank", "selected"]
+    return rounded(loop(spark, sf)["candidates"], keys, names)
+
+
+@register("q5_frozen_test_metrics")
+def frozen_test_metrics(spark, sf):
+    names = ["integrated_brier_score", "harrell_c_index", "ipcw_c_index", "median_survival_coverage", "median_survival_mae", "median_survival_rmse", "median_survival_signed_error"]
+    return rounded(loop(spark, sf)["units"], ["scenario", "fold", "model", "condition_id", "unit_id", "landmark_count", "valid", "failure_reason"], names)
+
+
 @register(
     "p7_rank_survival_candidates",
     """SELECT fold, scenario, model, candidate_id, CAST(row_number() OVER (PARTITION BY fold, scenario, model ORDER BY ibs, brier, c DESC, n, candidate_id) AS INTEGER) AS selection_rank FROM (
@@ -240,14 +328,8 @@ def rank_survival_candidates(spark, sf):
     return su.rank_survival_candidates(records).select("fold", "scenario", "model", "candidate_id", "selection_rank")
 
 
-# a closed-form model, so the metric queries have an exact SQL twin
-VIEWS["v_curves"] = "SELECT c.fold, unit_id, condition_id, landmark_id, acquisition_number, t, e, life, grid_index, tau, exp(-tau / (20 + horizontal)) AS s FROM v_cohort c JOIN v_times USING (fold) WHERE subset = 'test'"
-
-
-def curves(spark, sf, rows=None):
-    rows = rows if rows is not None else cohort(spark, sf)
-    test = subset_of(rows, "test").select("fold", "condition_id", "unit_id", "acquisition_number", "landmark_id", "duration_minutes", "event_observed", "true_time_to_failure_minutes", "horizontal")
-    return test.join(times(spark, sf, rows), "fold").withColumn("survival", F.exp(-F.col("evaluation_time") / (20 + F.col("horizontal"))))
+def curves(spark, sf):
+    return cox_test_curves(spark, sf)[4]
 
 
 @register("p8_median_survival", "SELECT landmark_id, round(min(tau) FILTER (s <= 0.5), 6) AS median_survival FROM v_curves GROUP BY 1")
@@ -255,14 +337,20 @@ def median_survival(spark, sf):
     return rounded(su.median_survival(curves(spark, sf), ["landmark_id"]), ["landmark_id"], ["median_survival"])
 
 
-_HORIZON = """WITH w AS (SELECT landmark_id, tau, s, lag(tau) OVER o AS t0, lag(s) OVER o AS s0 FROM v_curves WINDOW o AS (PARTITION BY landmark_id ORDER BY grid_index)),
-       a AS (SELECT DISTINCT landmark_id, h FROM v_curves, (VALUES (10.0::DOUBLE), (20.0), (60.0)) v(h))
-       SELECT a.landmark_id, h AS horizon_minutes, round(s0 + (s - s0) / (tau - t0) * (h - t0), 6) AS survival_probability FROM a LEFT JOIN w ON w.landmark_id = a.landmark_id AND t0 < h AND tau >= h"""
+VIEWS["v_segments"] = "SELECT landmark_id, tau, s, lag(tau) OVER o AS t0, lag(s) OVER o AS s0 FROM v_curves WINDOW o AS (PARTITION BY landmark_id ORDER BY grid_index)"
+VIEWS["v_at_horizons"] = """
+SELECT a.*, s0 + (s - s0) / (tau - t0) * (h - t0) AS p FROM (SELECT fold, landmark_id, t, e, h FROM v_curves, (VALUES (30.0::DOUBLE), (60.0), (120.0), (240.0)) v(h) WHERE grid_index = 0) a
+LEFT JOIN v_segments w ON w.landmark_id = a.landmark_id AND t0 < h AND tau >= h
+"""
+
 
+def at_horizons(spark, sf):
+    return su.horizon_survival(curves(spark, sf), ["fold", "landmark_id", "duration_minutes", "event_observed"], su.HORIZONS)
 
-@register("p9_horizon_survival", _HORIZON)
+
+@register("p9_horizon_survival", "SELECT landmark_id, h AS horizon_minutes, round(p, 6) AS survival_probability FROM v_at_horizons")
 def horizon_survival(spark, sf):
-    return rounded(su.horizon_survival(curves(spark, sf), ["landmark_id"], (10.0, 20.0, 60.0)), ["landmark_id", "horizon_minutes"], ["survival_probability"])
+    return rounded(at_horizons(spark, sf), ["landmark_id", "horizon_minutes"], ["survival_probability"])
 
 
 @register("p10_curve_issues", "SELECT landmark_id, grid_index, 'survival_increases' AS code FROM (SELECT *, sin(tau) / 2 + 0.5 AS z, lag(sin(tau) / 2 + 0.5) OVER (PARTITION BY landmark_id ORDER BY grid_index) AS z0 FROM v_curves) WHERE z - z0 > 1e-10")
@@ -306,9 +394,7 @@ def supported_grid(spark, sf):
 
 
 def scored(spark, sf):
-    rows = cohort(spark, sf)
-    grid = times(spark, sf, rows)
-    lines = curves(spark, sf, rows)
+    rows, grid, _, _, lines = cox_test_curves(spark, sf)
     support = su.supported_grid(subset_of(rows, "train"), subset_of(rows, "test"), grid, ["fold"], ["fold", "unit_id"])
     return rows, grid, lines, support
 
@@ -359,27 +445,31 @@ def survival_units(spark, sf):
     return su.unit_metrics(subset_of(rows, "train"), lines, grid, ["fold"], ["fold", "condition_id", "unit_id"])
 
 
-VIEWS["v_landmark_medians"] = "SELECT fold, condition_id, unit_id, acquisition_number, landmark_id, any_value(t) AS t, any_value(life) AS life, min(tau) FILTER (s <= 0.5) AS med FROM v_curves GROUP BY 1, 2, 3, 4, 5"
+VIEWS["v_landmark_medians"] = "SELECT fold, condition_id, unit_id, acquisition_number, landmark_id, any_value(t) AS t, any_value(e) AS e, any_value(life) AS life, min(tau) FILTER (s <= 0.5) AS med FROM v_curves GROUP BY 1, 2, 3, 4, 5"
 
 
 @register(
     "q5_unit_survival_metrics",
-    """SELECT fold, unit_id, count(*) AS landmark_count, round(avg((med IS NOT NULL)::INTEGER), 6) AS median_survival_coverage, round(avg(abs(med - t)), 6) AS median_survival_mae, round(sqrt(avg((med - t) ** 2)), 6) AS median_survival_rmse,
-       round(avg(med - t), 6) + 0.0 AS median_survival_signed_error, any_value(round(ibs, 6)) AS integrated_brier_score, coalesce(any_value(points) >= 2, false) AS valid,
-       CASE WHEN NOT coalesce(any_value(points) >= 2, false) THEN 'fewer than two supported evaluation times' END AS failure_reason
-       FROM v_landmark_medians LEFT JOIN v_ibs USING (fold, unit_id) GROUP BY 1, 2""",
+    _UNO + ", one AS (SELECT fold, unit_id, t, e, x, 1.0::DOUBLE AS w FROM v_risk), h AS (" + _PAIRS.format(by="fold, unit_id", cols="a.fold, a.unit_id,", rows="one", on="a.fold = b.fold AND a.unit_id = b.unit_id")
+    + """), u AS (SELECT u.fold, u.unit_id, CASE WHEN NOT undefined THEN (coalesce(con, 0) + coalesce(tie, 0) / 2) / nullif(pairs, 0) END AS uno FROM (SELECT fold, unit_id, bool_or(undefined) AS undefined FROM r GROUP BY 1, 2) u LEFT JOIN p USING (fold, unit_id)),
+       m AS (SELECT fold, unit_id, count(*) AS landmark_count, avg((med IS NOT NULL)::INTEGER) AS coverage, avg(abs(med - t)) AS mae, sqrt(avg((med - t) ** 2)) AS rmse, avg(med - t) AS signed, max(t) AS longest, max(e) AS events FROM v_landmark_medians GROUP BY 1, 2),
+       j AS (SELECT m.*, ibs, uno, (coalesce(con, 0) + coalesce(tie, 0) / 2) / nullif(pairs, 0) AS harrell,
+               CASE WHEN coalesce(points, 0) < 2 THEN 'fewer than two supported evaluation times' WHEN longest > known AND rest > 0 THEN 'durations beyond the training support' WHEN events = 0 THEN 'no event among the landmarks'
+                    WHEN coalesce(pairs, 0) = 0 THEN 'no comparable pair of landmarks' END AS reason
+             FROM m JOIN (SELECT fold, max(t) AS known FROM v_cohort WHERE subset = 'train' GROUP BY 1) USING (fold) JOIN (SELECT fold, min(g) AS rest FROM v_censor GROUP BY 1) USING (fold) LEFT JOIN v_ibs USING (fold, unit_id) LEFT JOIN u USING (fold, unit_id) LEFT JOIN h USING (fold, unit_id))
+       SELECT fold, unit_id, landmark_count, round(coverage, 6) AS median_survival_coverage, round(mae, 6) AS median_survival_mae, round(rmse, 6) AS median_survival_rmse, round(signed, 6) + 0.0 AS median_survival_signed_error, reason IS NULL AS valid, reason AS failure_reason,
+              round(CASE WHEN reason IS NULL THEN ibs END, 6) AS integrated_brier_score, round(CASE WHEN reason IS NULL THEN harrell END, 6) AS harrell_c_index, round(CASE WHEN reason IS NULL THEN uno END, 6) AS ipcw_c_index FROM j""",
 )
 def unit_survival_metrics(spark, sf):
-    names = ["median_survival_coverage", "median_survival_mae", "median_survival_rmse", "median_survival_signed_error", "integrated_brier_score"]
+    names = ["median_survival_coverage", "median_survival_mae", "median_survival_rmse", "median_survival_signed_error", "integrated_brier_score", "harrell_c_index", "ipcw_c_index"]
     return rounded(survival_units(spark, sf), ["fold", "unit_id", "landmark_count"], names, ["valid", "failure_reason"])
 
 
 def failure_rows(spark, sf):
-    rows = subset_of(su.fixed_horizon(marks(spark, sf), (20.0, 40.0)), "test").withColumn("model", F.lit("reference"))
-    return rows.withColumn("failure_probability", F.round(1 - F.exp(-F.col("horizon_minutes") / (20 + F.floor(F.col("horizontal") / 10) * 10)), 9))
+    return at_horizons(spark, sf).withColumns({"model": F.lit("cox"), "failure_probability": F.round("failure_probability", 9)})
 
 
-_FAIL = """WITH r AS (SELECT fold, h, life, least(life, h) AS t, CAST(life <= h AS INTEGER) AS e, round(1 - exp(-h / (20 + floor(horizontal / 10) * 10)), 9) AS p FROM v_marks_raw, (VALUES (20.0::DOUBLE), (40.0)) v(h) WHERE subset = 'test'),
+_FAIL = """WITH r AS (SELECT fold, h, t, e, round(1 - p, 9) AS p FROM v_at_horizons WHERE p IS NOT NULL),
        q AS (SELECT fold, h, count(DISTINCT p) AS u, min(p) AS lo, max(p) AS hi, median(p) AS m, quantile_cont(p, 0.3333333333333333) AS a, quantile_cont(p, 0.6666666666666666) AS b FROM r GROUP BY 1, 2),
        k AS (SELECT r.*, CAST(CASE WHEN u = 1 THEN 0 WHEN u = 2 THEN (m > lo AND m < hi AND m < p)::INTEGER ELSE (a > lo AND a < hi AND a < p)::INTEGER + (b > lo AND b < hi AND b < p AND b <> a)::INTEGER END AS INTEGER) AS bin FROM r JOIN q USING (fold, h))"""
 
@@ -397,24 +487,24 @@ def calibration(spark, sf):
 @register(
     "q7_horizon_brier",
     """WITH g AS (SELECT fold, unit_id, min(tau) AS lo, max(tau) AS hi, median(step) AS sp FROM (SELECT *, tau - lag(tau) OVER (PARTITION BY fold, unit_id ORDER BY tau) AS step FROM v_brier) GROUP BY 1, 2),
-       n AS (SELECT fold, unit_id, h, arg_min(tau, (abs(tau - h), tau)) AS near, arg_min(score, (abs(tau - h), tau)) AS score FROM v_brier, (VALUES (10.0::DOUBLE), (30.0)) v(h) GROUP BY 1, 2, 3)
+       n AS (SELECT fold, unit_id, h, arg_min(tau, (abs(tau - h), tau)) AS near, arg_min(score, (abs(tau - h), tau)) AS score FROM v_brier, (VALUES (30.0::DOUBLE), (60.0), (120.0), (240.0)) v(h) GROUP BY 1, 2, 3)
        SELECT fold, unit_id, h AS horizon_minutes, h BETWEEN lo - coalesce(sp, 0) / 2 AND hi + coalesce(sp, 0) / 2 AS supported, CASE WHEN h BETWEEN lo - coalesce(sp, 0) / 2 AND hi + coalesce(sp, 0) / 2 THEN round(near, 6) END AS actual_evaluation_time,
               CASE WHEN h BETWEEN lo - coalesce(sp, 0) / 2 AND hi + coalesce(sp, 0) / 2 THEN round(score, 6) END AS brier_score FROM n JOIN g USING (fold, unit_id)""",
 )
 def horizon_brier(spark, sf):
     rows, _, lines, support = scored(spark, sf)
     scores = su.brier(subset_of(rows, "train"), lines, support, ["fold"], ["fold", "unit_id"])
-    out = su.horizon_brier(scores, ["fold", "unit_id"], (10.0, 30.0))
+    out = su.horizon_brier(scores, ["fold", "unit_id"], su.HORIZONS)
     return rounded(out, ["fold", "unit_id", "horizon_minutes", "supported"], ["actual_evaluation_time", "brier_score"])
 
 
 @register(
     "q8_coverage_summary",
-    """SELECT fold, scenario, count(*) AS landmarks, count(DISTINCT unit_id) AS units, round(avg(e), 6) AS event_rate FROM (SELECT fold, unit_id, 'fixed_horizon_' || h AS scenario, CAST(life <= h AS INTEGER) AS e FROM v_marks_raw, (VALUES (30), (60)) t(h) WHERE subset = 'test')
+    """SELECT fold, scenario, count(*) AS landmarks, count(DISTINCT unit_id) AS units, round(avg(e), 6) AS event_rate FROM (SELECT fold, unit_id, 'fixed_horizon_' || h AS scenario, CAST(life <= h AS INTEGER) AS e FROM v_marks_raw, (VALUES (30), (60), (120), (240)) t(h) WHERE subset = 'test')
        GROUP BY GROUPING SETS ((fold, scenario), (scenario), ())""",
 )
 def coverage_summary(spark, sf):
-    rows = subset_of(su.fixed_horizon(marks(spark, sf), (30.0, 60.0)), "test")
+    rows = subset_of(su.fixed_horizon(marks(spark, sf)), "test")
     sets = rows.groupingSets([[F.col("fold"), F.col("scenario")], [F.col("scenario")], []], "fold", "scenario")
     return sets.agg(F.count("*").alias("landmarks"), F.countDistinct("unit_id").alias("units"), r6(F.avg("event_observed")).alias("event_rate"))
 
@@ -432,10 +522,29 @@ def paired_survival(spark, sf):
     return rounded(out, ["scenario", "candidate", "reference", "paired_units"], ["mean_delta", "median_delta"], ["wins", "losses", "family_hypothesis_count"])
 
 
-@register("q10_proportional_hazards")
+VIEWS["v_residuals"] = """
+SELECT fold, unit_id, feature, avg(CASE feature WHEN 'horizontal' THEN a - s1 / s0 ELSE b - s2 / s0 END) AS residual, avg(ln(t)) AS log_time FROM v_risk_sets, (VALUES ('horizontal'), ('vertical')) f(feature) WHERE e = 1 AND t > 0 GROUP BY 1, 2, 3
+"""
+VIEWS["v_ph_ranks"] = """
+SELECT fold, unit_id, feature, rank() OVER (PARTITION BY fold, feature ORDER BY residual) + (count(*) OVER (PARTITION BY fold, feature, residual) - 1) / 2.0 AS x, rank() OVER (PARTITION BY fold, feature ORDER BY log_time) + (count(*) OVER (PARTITION BY fold, feature, log_time) - 1) / 2.0 AS y,
+       row_number() OVER (PARTITION BY fold, feature ORDER BY unit_id) AS place FROM v_residuals
+"""
+VIEWS["v_ph_null"] = """
+SELECT fold, feature, run, abs(corr(x, y)) AS rho FROM (SELECT fold, feature, place, x FROM v_ph_ranks) JOIN (
+  SELECT fold, run, y, row_number() OVER (PARTITION BY fold, run ORDER BY md5('1847:' || run || ':' || unit_id), unit_id) AS place FROM (SELECT fold, unit_id, y FROM v_ph_ranks WHERE feature = 'horizontal'), range(1, 500) t(run)) USING (fold, place) GROUP BY 1, 2, 3
+"""
+
+
+@register(
+    "q10_proportional_hazards",
+    """WITH o AS (SELECT fold, feature, abs(corr(x, y)) AS rho, count(*) AS units FROM v_ph_ranks GROUP BY 1, 2), g AS (SELECT fold, max(rho) AS rho, max(units) AS units FROM o GROUP BY 1),
+       b AS (SELECT o.fold, 'feature' AS scope, o.feature, o.rho, o.units, count(*) FILTER (n.rho >= o.rho - 1e-12) AS ge FROM o JOIN v_ph_null n USING (fold, feature) GROUP BY 1, 2, 3, 4, 5
+             UNION ALL SELECT g.fold, 'global', '__global__', g.rho, g.units, count(*) FILTER (n.rho >= g.rho - 1e-12) FROM g JOIN (SELECT fold, run, max(rho) AS rho FROM v_ph_null GROUP BY 1, 2) n USING (fold) GROUP BY 1, 2, 3, 4, 5)
+       SELECT fold, scope, feature, round(rho, 6) AS absolute_spearman, round((ge + 1) / 500.0, 6)::DOUBLE AS p_value, (ge + 1) / 500.0 < 0.05 AS evidence_against_ph, units AS independent_units FROM b""",
+)
 def proportional_hazards(spark, sf):
-    _, train, beta = fitted_cox(spark, sf)
-    out = su.proportional_hazards(cut(su.schoenfeld(train, beta, COVARIATES)), 99)
+    even = cox_rows(spark, sf)[1]
+    out = su.proportional_hazards(cut(su.schoenfeld(even, su.fit_cox(even, COVARIATES, ALPHA), COVARIATES)))
     return rounded(out, ["fold", "scope", "feature"], ["absolute_spearman", "p_value"], ["evidence_against_ph", "independent_units"])
 
 
