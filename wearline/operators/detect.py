@@ -32,25 +32,30 @@ def combine(a: Column, b: Column, how: str) -> Column:
     return F.greatest(a, b) if how == "maximum" else (a + b) / 2
 
 
-def ewma(df: DataFrame, unit: Sequence[str], value: str, span: int, name: str) -> DataFrame:
-    """Exponentially weighted mean with s_0 = x_0 and s_t = a x_t + (1 - a) s_{t-1}, a = 2 / (span + 1).
+def ewmas(df: DataFrame, unit: Sequence[str], value: str, spans: Mapping[str, int]) -> DataFrame:
+    """Exponentially weighted means with s_0 = x_0 and s_t = a x_t + (1 - a) s_{t-1}, a = 2 / (span + 1); one column per span.
 
     A weight older than `reach` rows is below double precision, so a segment with that much history in front
-    gives the recursion exactly; inside it the sum of growing weights is an ordinary running window.
+    gives the recursion exactly; inside it the sum of growing weights is an ordinary running window. All spans share the segments.
     """
-    alpha = 2.0 / (span + 1)
-    if alpha >= 1:
-        return df.withColumn(name, F.col(value).cast("double"))
-    growth = -math.log1p(-alpha)
-    reach, segment = math.ceil(42 / growth), max(1, math.floor(500 / growth))
-    spot = F.col("sequence_index") - (F.col("_segment") * segment - reach)
-    weight = F.when(F.col("sequence_index") == 0, 1.0).otherwise(alpha) * F.exp(growth * spot)
+    plain = {n: F.col(value).cast("double") for n, k in spans.items() if k <= 1}
+    rates = {n: -math.log1p(-2.0 / (k + 1)) for n, k in spans.items() if k > 1}
+    df = df.withColumns(plain) if plain else df
+    if not rates:
+        return df
+    reach = math.ceil(42 / min(rates.values()))
+    segment = max(1, math.floor(500 / max(rates.values())))
+    spot = F.col("sequence_index") - F.col("_segment") * segment
+
+    def decayed(growth: float, alpha: float):
+        weight = F.when(F.col("sequence_index") == 0, 1.0).otherwise(alpha) * F.exp(growth * spot)
+        return lambda w: F.sum(weight * F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.exp(-growth * spot)
 
-    def decayed(w: Window) -> Column:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        return F.sum(weight * F.col(value)).over(upto) * F.exp(-growth * spot)
+    return trailing(df, unit, reach, {n: decayed(g, 2.0 / (spans[n] + 1)) for n, g in rates.items()}, segment)
 
-    return trailing(df, unit, reach, {name: decayed}, segment)
+
+def ewma(df: DataFrame, unit: Sequence[str], value: str, span: int, name: str) -> DataFrame:
+    return ewmas(df, unit, value, {name: span})
 
 
 def causal_aggregate(df: DataFrame, unit: Sequence[str], value: str, window: int, method: str, name: str) -> DataFrame:
@@ -293,8 +298,7 @@ def trend_features(df: DataFrame, unit: Sequence[str], feature: str, baseline: i
         wanted[f"{prefix}_std"] = lambda w, k=k: F.coalesce(F.stddev_pop(feature).over(rows_back(w, k)), F.lit(0.0))
         wanted[f"{prefix}_slope"] = lambda w, k=k: F.coalesce(F.regr_slope(F.col(feature), F.col("sequence_index").cast("double")).over(rows_back(w, k)), F.lit(0.0))
     rows = trailing(df, unit, max(max(windows) - 1, 1), wanted)
-    for k in windows:
-        rows = ewma(rows, unit, feature, k, f"{feature}__w{k}_ewma")
+    rows = ewmas(rows, unit, feature, {f"{feature}__w{k}_ewma": k for k in windows})
     joined = rows.join(baseline_statistics(df, unit, feature, [baseline]), list(unit))
     known = F.col("sequence_index") >= baseline - 1 if strict_causal else F.lit(True)
     off = F.col(feature) - F.col("baseline_median")

@@ -28,16 +28,16 @@ BOOSTING_GRID = (
 )
 #: Experiments: inputs, model family and complexity order. Fixed values.
 EXPERIMENTS = (
-    ("condition_countdown", "context", "countdown", 0),
-    ("median_baseline", "none", "median", 0),
+    ("dummy_median", "none", "median", 0),
+    ("condition_lifetime_countdown", "context", "countdown", 0),
     ("time_only_ridge", "time", "ridge", 1),
-    ("selected_ridge", "selected", "ridge", 2),
-    ("selected_time_ridge", "selected+time", "ridge", 3),
-    ("all_ridge", "all", "ridge", 4),
-    ("selected_forest", "selected", "forest", 5),
-    ("selected_time_forest", "selected+time", "forest", 6),
-    ("selected_boosting", "selected", "boosting", 7),
-    ("selected_time_boosting", "selected+time", "boosting", 8),
+    ("selected_features_ridge", "selected", "ridge", 1),
+    ("selected_features_random_forest", "selected", "forest", 3),
+    ("selected_features_hist_gradient_boosting", "selected", "boosting", 2),
+    ("all_features_ridge", "all", "ridge", 1),
+    ("all_features_random_forest", "all", "forest", 3),
+    ("all_features_hist_gradient_boosting", "all", "boosting", 2),
+    ("selected_features_plus_time_ridge", "selected+time", "ridge", 1),
 )
 
 
@@ -88,13 +88,8 @@ def _products(features: int, scope: str):
     return products
 
 
-def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float], scope: str = "fold", weight: str | None = "sample_weight") -> DataFrame:
-    """Weighted ridge with a free intercept for every scope value and alpha, from one pass over the rows.
-
-    Tasks add up X'WX and X'Wy; only (features + 2)^2 numbers per scope reach the driver, where each alpha is
-    one small solve. Returns scope, candidate_id, alpha, intercept, coefficients.
-    """
-    spark = rows.sparkSession
+def _moments(rows: DataFrame, features: Sequence[str], target: str, scope: str, weight: str | None) -> dict[object, np.ndarray]:
+    """X'WX of (1, features, target) per scope value; tasks add it up and (features + 2)^2 numbers per scope reach the driver."""
     kind = rows.schema[scope].dataType.simpleString()
     prepared = rows.select(
         scope, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y"),
@@ -102,16 +97,36 @@ def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, alphas: Se
     )
     parts = prepared.mapInPandas(_products(len(features), scope), f"{scope} {kind}, m array<double>").select(scope, F.posexplode("m").alias("cell", "v"))
     summed = parts.groupBy(scope, "cell").agg(F.sum("v").alias("v")).groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("m"))
+    return {r[scope]: np.array([c["v"] for c in r["m"]]).reshape(len(features) + 2, -1) for r in summed.orderBy(scope).collect()}
+
+
+def ridge_many(rows: DataFrame, subsets: Mapping[str, Sequence[str]], target: str, alphas: Sequence[float], scope: str = "fold", weight: str | None = "sample_weight") -> tuple[DataFrame, list[str]]:
+    """Weighted ridge with a free intercept for every experiment (a named feature subset), scope value and alpha.
+
+    One pass over the rows serves all of them: every subset's normal equations are a part of one product matrix.
+    Returns (experiment, scope, candidate_id, alpha, intercept, coefficients) and the features the coefficients belong to; those
+    outside an experiment's subset are 0, so `ridge_predict` scores all experiments at once.
+    """
+    features = sorted({f for names in subsets.values() for f in names})
     fits = []
-    for r in summed.orderBy(scope).collect():
-        m = np.array([c["v"] for c in r["m"]]).reshape(len(features) + 2, -1)
+    for key, m in _moments(rows, features, target, scope, weight).items():
         total, mean_x, mean_y = m[0, 0], m[0, 1:-1] / m[0, 0], m[0, -1] / m[0, 0]
         xx = m[1:-1, 1:-1] - total * np.outer(mean_x, mean_x)
         xy = m[1:-1, -1] - total * mean_x * mean_y
-        for i, alpha in enumerate(alphas):
-            beta = np.linalg.solve(xx + alpha * np.eye(len(features)), xy)
-            fits.append((r[scope], i, float(alpha), float(mean_y - mean_x @ beta), beta.tolist()))
-    return parameter_table(spark, fits, f"{scope} {kind}, candidate_id int, alpha double, intercept double, coefficients array<double>")
+        for name, chosen in subsets.items():
+            at = [features.index(f) for f in chosen]
+            for i, alpha in enumerate(alphas):
+                beta = np.zeros(len(features))
+                beta[at] = np.linalg.solve(xx[np.ix_(at, at)] + alpha * np.eye(len(at)), xy[at])
+                fits.append((name, key, i, float(alpha), float(mean_y - mean_x @ beta), beta.tolist()))
+    kind = rows.schema[scope].dataType.simpleString()
+    return parameter_table(rows.sparkSession, fits, f"experiment string, {scope} {kind}, candidate_id int, alpha double, intercept double, coefficients array<double>"), features
+
+
+def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, alphas: Sequence[float], scope: str = "fold", weight: str | None = "sample_weight") -> DataFrame:
+    """`ridge_many` of a single subset: scope, candidate_id, alpha, intercept, coefficients in the order of `features`."""
+    fits, order = ridge_many(rows, {"": features}, target, alphas, scope, weight)
+    return fits.drop("experiment").withColumn("coefficients", F.array(*[F.get("coefficients", F.lit(order.index(f))) for f in features]))
 
 
 def ridge_predict(rows: DataFrame, fits: DataFrame, features: Sequence[str], scope: str = "fold") -> DataFrame:
@@ -157,7 +172,7 @@ def validation_records(scored: DataFrame, by: Sequence[str], truth: str = "rul_m
 def permuted_inputs(rows: DataFrame, features: Sequence[str], key: str, repeats: int, scope: str = "fold", seed: int = 42, split: bool | None = None) -> DataFrame:
     """Rows repeated per (feature, repeat) with that feature's values permuted inside the scope.
 
-    The permutation pairs the row order with a seeded hash order by an equi-join on position.
+    The permutation pairs the row order with a seeded order of MD5 hashes by an equi-join on position.
     """
     values = F.array(*[F.col(f).cast("double") for f in features])
     base = rows.withColumn("_x", values)
@@ -165,7 +180,7 @@ def permuted_inputs(rows: DataFrame, features: Sequence[str], key: str, repeats:
     many = base.select("*", F.inline(copies))
     groups = [scope, "feature", "repeat"]
     donors = index_units(
-        many.select(*groups, key, F.get("_x", F.col("_slot")).alias("_v")).withColumn("_h", F.xxhash64(F.lit(seed), "feature", "repeat", key)), groups, ["_h", key], split
+        many.select(*groups, key, F.get("_x", F.col("_slot")).alias("_v")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "feature", "repeat", key))), groups, ["_h", key], split
     ).select(*groups, "sequence_index", "_v")
     placed = index_units(many.withColumnRenamed("sequence_index", "_kept") if "sequence_index" in many.columns else many, groups, [key], split)
     swapped = F.array(*[F.when(F.col("_slot") == i, F.col("_v")).otherwise(F.get("_x", F.lit(i))) for i in range(len(features))])

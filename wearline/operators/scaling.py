@@ -57,6 +57,12 @@ def apply_scale(long: DataFrame, parameters: DataFrame, scope: Sequence[str]) ->
     return long.join(parameters, keys).withColumn("scaled", (F.col("value") - F.col("center")) / F.col("scale"))
 
 
+def transformed(long: DataFrame, parameters: DataFrame, scope: Sequence[str], keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Log-masked and scaled features, one column each, per key and scope: what the fitted preprocessing makes of any rows."""
+    scaled = apply_scale(long.withColumn("value", log_mask(F.col("feature"), F.col("value"))), parameters, scope)
+    return scaled.groupBy(*scope, *keys).agg(*[F.max(F.when(F.col("feature") == f, F.col("scaled"))).alias(f) for f in features])
+
+
 def yeo_johnson(value: Column, lam: Column) -> Column:
     positive = F.when(lam == 0, F.log1p(F.abs(value))).otherwise((F.pow(F.abs(value) + 1, lam) - 1) / F.when(lam == 0, 1.0).otherwise(lam))
     away = 2 - lam

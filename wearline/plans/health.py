@@ -218,11 +218,11 @@ def equal_counts(spark, sf):
 
 @register(
     "g16_even_picks",
-    """SELECT DISTINCT r.unit_id, r.sequence_index FROM v_readings r JOIN (SELECT unit_id, CAST(round_even(j * (n - 1) / greatest(least(n, 30) - 1, 1)::DOUBLE, 0) AS BIGINT) AS sequence_index
-       FROM v_units, range(30) t(j) WHERE j < least(n, 30)) p USING (unit_id, sequence_index)""",
+    """SELECT DISTINCT r.unit_id, r.sequence_index FROM v_readings r JOIN (SELECT unit_id, CAST(round_even(j * (n - 1) / greatest(least(n, 100) - 1, 1)::DOUBLE, 0) AS BIGINT) AS sequence_index
+       FROM v_units, range(100) t(j) WHERE j < least(n, 100)) p USING (unit_id, sequence_index)""",
 )
 def even_picks(spark, sf):
-    return fo.even_picks(readings(spark, sf), ["unit_id"], 30).select("unit_id", "sequence_index")
+    return fo.even_picks(readings(spark, sf), ["unit_id"]).select("unit_id", "sequence_index")
 
 
 @register(

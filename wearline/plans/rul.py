@@ -7,10 +7,11 @@ from wearline.operators import folds as fo
 from wearline.operators import manifest as mf
 from wearline.operators import metrics as me
 from wearline.operators import rul
+from wearline.operators import scaling as sc
 from wearline.operators import sequences as sq
 from wearline.operators.quality import coverage_issues
 from wearline.plans.catalog import VIEWS, register
-from wearline.plans.health import folds
+from wearline.plans.health import FEATURES, balanced, chosen_onsets, engineered, folds
 from wearline.session import cut, parameter_table
 from wearline.sources.tables import UNIT, readings
 
@@ -80,9 +81,9 @@ _GRIDS = {
 
 @register(
     "i1_experiment_matrix",
-    f"""WITH e(experiment, inputs, family, complexity_order) AS (VALUES ('condition_countdown', 'context', 'countdown', 0), ('median_baseline', 'none', 'median', 0), ('time_only_ridge', 'time', 'ridge', 1),
-            ('selected_ridge', 'selected', 'ridge', 2), ('selected_time_ridge', 'selected+time', 'ridge', 3), ('all_ridge', 'all', 'ridge', 4), ('selected_forest', 'selected', 'forest', 5),
-            ('selected_time_forest', 'selected+time', 'forest', 6), ('selected_boosting', 'selected', 'boosting', 7), ('selected_time_boosting', 'selected+time', 'boosting', 8)),
+    f"""WITH e(experiment, inputs, family, complexity_order) AS (VALUES ('dummy_median', 'none', 'median', 0), ('condition_lifetime_countdown', 'context', 'countdown', 0), ('time_only_ridge', 'time', 'ridge', 1), ('selected_features_ridge', 'selected', 'ridge', 1),
+            ('selected_features_random_forest', 'selected', 'forest', 3), ('selected_features_hist_gradient_boosting', 'selected', 'boosting', 2), ('all_features_ridge', 'all', 'ridge', 1), ('all_features_random_forest', 'all', 'forest', 3),
+            ('all_features_hist_gradient_boosting', 'all', 'boosting', 2), ('selected_features_plus_time_ridge', 'selected+time', 'ridge', 1)),
           g(family, candidate_id, parameters) AS (VALUES {', '.join(f"('{f}', {i}, '{c}')" for f, grid in _GRIDS.items() for i, c in enumerate(grid))}),
           n AS (SELECT fold, count(*) AS training_rows FROM v_readings JOIN v_folds USING (unit_id) WHERE subset = 'train' GROUP BY 1)
         SELECT experiment, inputs, family, complexity_order, candidate_id, parameters, fold, training_rows FROM e JOIN g USING (family), n""",
@@ -138,75 +139,139 @@ register("i5_random_forest")(_tree("forest", {"numTrees": 8, "maxDepth": 5, "min
 register("i6_boosted_trees")(_tree("boosting", {"stepSize": 0.1, "maxIter": 4, "maxDepth": 4, "minInstancesPerNode": 20}))
 
 
-@register(
-    "i7_experiment_transform",
-    """WITH p AS (SELECT fold, median(value) AS c, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS s FROM v_balanced WHERE feature = 'horizontal_energy' GROUP BY 1)
-       SELECT fold, unit_id, sequence_index, round((ln(1 + value) - c) / s, 6) + 0.0 AS horizontal_energy FROM v_engineered JOIN (SELECT fold, unit_id FROM v_folds WHERE subset = 'test') USING (unit_id) JOIN p USING (fold)
-       WHERE feature = 'horizontal_energy'""",
-)
-def experiment_transform(spark, sf):
-    from wearline.operators import scaling as sc
-    from wearline.plans.health import balanced, engineered
+def _masked(feature):
+    return f"(CASE WHEN feature IN ('horizontal_energy', 'vertical_rms') THEN ln(1 + value) ELSE value END - center) / scale) FILTER (feature = '{feature}')"
 
-    chosen = F.col("feature") == "horizontal_energy"
-    parameters = sc.robust_parameters(balanced(spark, sf).where(chosen), ["fold"])
-    test = engineered(spark, sf).where(chosen).join(folds(spark, sf).where("subset = 'test'").select("fold", "unit_id"), "unit_id")
-    scaled = sc.apply_scale(test.withColumn("value", sc.log_mask(F.col("feature"), F.col("value"))), parameters, ["fold"])
-    return scaled.select("fold", "unit_id", "sequence_index", r6("scaled").alias("horizontal_energy"))
 
+VIEWS["v_inputs"] = f"""
+SELECT fold, subset, unit_id, sequence_index, {', '.join(f"max({_masked(f)} AS {f}" for f in FEATURES)} FROM v_engineered JOIN v_robust USING (feature) JOIN (SELECT fold, subset, unit_id FROM v_folds) USING (fold, unit_id) GROUP BY ALL
+"""
 
-def ridge_selection(spark, sf):
-    """Fit every alpha per fold on training rows, score on validation rows, rank."""
-    fits = rul.ridge_fits(training(spark, sf), ["elapsed_minutes"], "rul_minutes", rul.RIDGE_ALPHAS)
-    scored = mf.prediction_diagnostics(rul.ridge_predict(by_subset(spark, sf, "validation"), fits, ["elapsed_minutes"]))
-    records = rul.validation_records(scored, ["fold", "candidate_id"])
-    ranked = rul.rank_candidates(
-        records.withColumns({"validation_macro_mae": F.round("validation_macro_mae", 9), "validation_macro_rmse": F.round("validation_macro_rmse", 9)}),
-        ["fold"], ["validation_macro_mae", "validation_macro_rmse", "candidate_id"],
-    )
-    return fits, ranked
+
+def inputs(spark, sf):
+    """Every reading in every fold with the features as that fold's training rows scale them."""
+    plan = folds(spark, sf).select("fold", "subset", "unit_id")
+    wide = sc.transformed(engineered(spark, sf), sc.robust_parameters(balanced(spark, sf), ["fold"]), ["fold"], [*UNIT, "sequence_index"], FEATURES)
+    return wide.join(plan, ["fold", "unit_id"])
 
 
+@register("i7_experiment_transform", f"SELECT fold, unit_id, sequence_index, {_r(*FEATURES)} FROM v_inputs WHERE subset = 'test'")
+def experiment_transform(spark, sf):
+    return rounded(inputs(spark, sf).where("subset = 'test'"), ["fold", "unit_id", "sequence_index"], FEATURES)
+
+
+#: The frozen selection and the inputs of the ridge experiments.
+SELECTED = ["horizontal_energy", "vertical_rms"]
+RIDGES = {"time_only_ridge": ["elapsed_minutes"], "selected_features_ridge": SELECTED, "all_features_ridge": FEATURES, "selected_features_plus_time_ridge": [*SELECTED, "elapsed_minutes"]}
+
+
+def _solved(source, features, alphas, name):
+    """SQL of the ridge coefficients b0, b1, ... of all folds and alphas by Gaussian elimination; b0 belongs to the first feature."""
+    p, y = len(features), "rul_minutes"
+    cell = lambda u, v: f"sum(sample_weight * {u} * {v}) - sum(sample_weight * {u}) * sum(sample_weight * {v}) / sum(sample_weight)"
+    moments = [f"{cell(features[i], features[j])} AS s{i}_{j}" for i in range(p) for j in range(i, p)] + [f"{cell(f, y)} AS s{i}_{p}" for i, f in enumerate(features)]
+    means = [f"sum(sample_weight * {f}) / sum(sample_weight) AS m{i}" for i, f in enumerate([*features, y])]
+    keep = ", ".join(f"m{i}" for i in range(p + 1))
+    sql = f"SELECT fold, {', '.join(moments + means)} FROM {source} GROUP BY fold"
+    start = [f"s{min(i, j)}_{max(i, j)}{' + alpha' if i == j else ''} AS a{i}_{j}" for i in range(p) for j in range(p)] + [f"s{i}_{p} AS a{i}_{p}" for i in range(p)]
+    sql = f"SELECT fold, alpha, {keep}, {', '.join(start)} FROM ({sql}), (VALUES {', '.join(f'({a}::DOUBLE)' for a in alphas)}) t(alpha)"
+    for k in range(p - 1):
+        cells = [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i > k else f"a{i}_{j}" for i in range(p) for j in range(p + 1)]
+        sql = f"SELECT fold, alpha, {keep}, {', '.join(cells)} FROM ({sql})"
+    for i in range(p - 1, -1, -1):
+        rest = "".join(f" - a{i}_{j} * b{j}" for j in range(i + 1, p))
+        sql = f"SELECT *, (a{i}_{p}{rest}) / a{i}_{i} AS b{i} FROM ({sql})"
+    return f"SELECT '{name}' AS experiment, fold, alpha, m{p}{''.join(f' - m{i} * b{i}' for i in range(p))} AS intercept, {', '.join(f'b{i}' for i in range(p))} FROM ({sql})"
+
+
+VIEWS["v_design"] = "SELECT i.*, elapsed_minutes, rul_minutes FROM v_inputs i JOIN v_readings USING (unit_id, sequence_index)"
+VIEWS["v_design_train"] = "SELECT d.*, weight AS sample_weight FROM v_design d JOIN v_weights USING (fold, unit_id) WHERE subset = 'train'"
+for _i, (_name, _features) in enumerate(RIDGES.items()):
+    VIEWS[f"v_ridge_{_i}"] = _solved("v_design_train", _features, [f"{a!r}" for a in rul.RIDGE_ALPHAS], _name)
+VIEWS["v_ridge_scored"] = " UNION ALL ".join(
+    f"SELECT experiment, d.fold, subset, unit_id, sequence_index, alpha, rul_minutes, greatest(intercept{''.join(f' + b{j} * {f}' for j, f in enumerate(features))}, 0) AS p FROM v_design d JOIN v_ridge_{i} USING (fold) WHERE subset <> 'train'"
+    for i, features in enumerate(RIDGES.values())
+)
 VIEWS["v_ridge_ranked"] = """
-SELECT fold, alpha, mae, rmse, CAST(row_number() OVER (PARTITION BY fold ORDER BY round(mae, 9), round(rmse, 9), alpha) AS INTEGER) AS selection_rank FROM (
-  SELECT fold, alpha, avg(mae) AS mae, avg(rmse) AS rmse FROM (
-    SELECT fold, alpha, unit_id, avg(abs(greatest(intercept + beta * elapsed_minutes, 0) - rul_minutes)) AS mae, sqrt(avg((greatest(intercept + beta * elapsed_minutes, 0) - rul_minutes) ** 2)) AS rmse
-    FROM v_readings JOIN (SELECT fold, unit_id FROM v_folds WHERE subset = 'validation') USING (unit_id) JOIN v_ridge USING (fold) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT experiment, fold, alpha, mae, rmse, CAST(row_number() OVER (PARTITION BY experiment, fold ORDER BY alpha) - 1 AS INTEGER) AS candidate_id, CAST(row_number() OVER (PARTITION BY experiment, fold ORDER BY round(mae, 9), round(rmse, 9), alpha) AS INTEGER) AS selection_rank FROM (
+  SELECT experiment, fold, alpha, avg(mae) AS mae, avg(rmse) AS rmse FROM (
+    SELECT experiment, fold, alpha, unit_id, avg(abs(p - rul_minutes)) AS mae, sqrt(avg((p - rul_minutes) ** 2)) AS rmse FROM v_ridge_scored WHERE subset = 'validation' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
 """
 
 
+def ridge_selection(spark, sf):
+    """All ridge experiments: every alpha fitted per fold on training rows, scored on validation rows, ranked."""
+    extra = readings(spark, sf).select("unit_id", "sequence_index", "elapsed_minutes", "rul_minutes", "total_acquisitions", "acquisition_number")
+    rows = cut(inputs(spark, sf).join(extra, ["unit_id", "sequence_index"]))
+    train = fo.balanced_weights(rows.where("subset = 'train'"), ["fold"])
+    fits, features = rul.ridge_many(train, RIDGES, "rul_minutes", rul.RIDGE_ALPHAS)
+    scored = mf.prediction_diagnostics(rul.ridge_predict(rows.where("subset = 'validation'"), fits, features))
+    records = rul.validation_records(scored, ["experiment", "fold", "candidate_id"])
+    ranked = rul.rank_candidates(
+        records.withColumns({"validation_macro_mae": F.round("validation_macro_mae", 9), "validation_macro_rmse": F.round("validation_macro_rmse", 9)}),
+        ["experiment", "fold"], ["validation_macro_mae", "validation_macro_rmse", "candidate_id"],
+    )
+    return rows, fits, features, ranked
+
+
 @register(
     "i8_select_refit_predict",
-    """SELECT fold, unit_id, round(avg(abs(greatest(intercept + beta * elapsed_minutes, 0) - rul_minutes)), 6) AS mae FROM v_test JOIN v_ridge USING (fold) JOIN (SELECT fold, alpha FROM v_ridge_ranked WHERE selection_rank = 1) USING (fold, alpha) GROUP BY 1, 2""",
+    """SELECT experiment, fold, unit_id, round(avg(abs(p - rul_minutes)), 6) AS mae FROM v_ridge_scored JOIN (SELECT experiment, fold, alpha FROM v_ridge_ranked WHERE selection_rank = 1) USING (experiment, fold, alpha) WHERE subset = 'test' GROUP BY 1, 2, 3
+       UNION ALL SELECT CASE model WHEN 'median' THEN 'dummy_median' ELSE 'condition_lifetime_countdown' END, fold, unit_id, round(avg(abs(greatest(p, 0) - rul_minutes)), 6) FROM v_predictions GROUP BY 1, 2, 3""",
 )
 def select_refit_predict(spark, sf):
-    fits, ranked = ridge_selection(spark, sf)
-    chosen = fits.join(ranked.where("selected").select("fold", "candidate_id"), ["fold", "candidate_id"])
-    test = mf.prediction_diagnostics(rul.ridge_predict(by_subset(spark, sf, "test"), chosen, ["elapsed_minutes"]))
-    return test.groupBy("fold", "unit_id").agg(r6(F.avg("absolute_error_minutes")).alias("mae"))
+    """Test error of the frozen winners of the ridge experiments next to both parameter-free ones."""
+    rows, fits, features, ranked = ridge_selection(spark, sf)
+    chosen = fits.join(ranked.where("selected").select("experiment", "fold", "candidate_id"), ["experiment", "fold", "candidate_id"])
+    test = mf.prediction_diagnostics(rul.ridge_predict(rows.where("subset = 'test'"), chosen, features)).select("experiment", "fold", "unit_id", "absolute_error_minutes")
+    name = F.when(F.col("model") == "median", "dummy_median").otherwise("condition_lifetime_countdown")
+    free = predictions(spark, sf).select(name.alias("experiment"), "fold", "unit_id", "absolute_error_minutes")
+    return test.unionByName(free).groupBy("experiment", "fold", "unit_id").agg(r6(F.avg("absolute_error_minutes")).alias("mae"))
 
 
 @register(
     "i9_rank_candidates",
-    "SELECT fold, CAST(row_number() OVER (PARTITION BY fold ORDER BY alpha) - 1 AS INTEGER) AS candidate_id, round(mae, 6) AS validation_macro_mae, round(rmse, 6) AS validation_macro_rmse, selection_rank, selection_rank = 1 AS selected FROM v_ridge_ranked",
+    "SELECT experiment, fold, candidate_id, round(mae, 6) AS validation_macro_mae, round(rmse, 6) AS validation_macro_rmse, selection_rank, selection_rank = 1 AS selected FROM v_ridge_ranked",
 )
 def rank_candidates(spark, sf):
-    return rounded(ridge_selection(spark, sf)[1], ["fold", "candidate_id"], ["validation_macro_mae", "validation_macro_rmse"], ["selection_rank", "selected"])
+    return rounded(ridge_selection(spark, sf)[3], ["experiment", "fold", "candidate_id"], ["validation_macro_mae", "validation_macro_rmse"], ["selection_rank", "selected"])
 
 
 def _linear(spark, sf, alphas=(1.0,)):
     return rul.ridge_fits(training(spark, sf), INPUTS, "rul_minutes", alphas)
 
 
-@register("i10_coefficients")
+VIEWS["v_linear"] = _solved("v_train", INPUTS, ["1.0"], "linear")
+
+
+@register(
+    "i10_coefficients",
+    """SELECT fold, unnest(['horizontal', 'vertical', 'elapsed_minutes']) AS feature, CAST(sign(unnest([b0, b1, b2])) AS INTEGER) AS sign, round(unnest([b0, b1, b2]), 6) + 0.0 AS coefficient, round(abs(unnest([b0, b1, b2])), 6) AS absolute_coefficient FROM v_linear""",
+)
 def coefficients(spark, sf):
     return rul.coefficient_table(_linear(spark, sf), INPUTS).select("fold", "feature", "sign", r6("coefficient").alias("coefficient"), r6("absolute_coefficient").alias("absolute_coefficient"))
 
 
+#: Permutations per feature. Fixed value.
+REPEATS = 5
+VIEWS["v_permuted"] = f"""
+SELECT t.fold, feature, repeat, unit_id, rul_minutes, CASE feature WHEN 'horizontal' THEN x ELSE horizontal END AS horizontal, CASE feature WHEN 'vertical' THEN x ELSE vertical END AS vertical, CASE feature WHEN 'elapsed_minutes' THEN x ELSE elapsed_minutes END AS elapsed_minutes
+FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY acquisition_number) AS place FROM v_test) t
+JOIN (SELECT fold, feature, repeat, CASE feature WHEN 'horizontal' THEN horizontal WHEN 'vertical' THEN vertical ELSE elapsed_minutes END AS x,
+             row_number() OVER (PARTITION BY fold, feature, repeat ORDER BY md5('42:' || feature || ':' || repeat || ':' || acquisition_number), acquisition_number) AS place
+      FROM v_test, (VALUES ('horizontal'), ('vertical'), ('elapsed_minutes')) f(feature), range({REPEATS}) r(repeat)) d ON d.fold = t.fold AND d.place = t.place
+"""
+VIEWS["v_importance"] = """
+SELECT fold, feature, avg(mae - base) AS gain, stddev_pop(mae - base) AS sd FROM (
+  SELECT fold, feature, repeat, avg(mae) AS mae FROM (SELECT fold, feature, repeat, unit_id, avg(abs(greatest(intercept + b0 * horizontal + b1 * vertical + b2 * elapsed_minutes, 0) - rul_minutes)) AS mae FROM v_permuted JOIN v_linear USING (fold) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+JOIN (SELECT fold, avg(mae) AS base FROM (SELECT fold, unit_id, avg(abs(greatest(intercept + b0 * horizontal + b1 * vertical + b2 * elapsed_minutes, 0) - rul_minutes)) AS mae FROM v_test JOIN v_linear USING (fold) GROUP BY 1, 2) GROUP BY 1) USING (fold) GROUP BY 1, 2
+"""
+
+
 def permutation(spark, sf):
     fits = _linear(spark, sf)
     test = by_subset(spark, sf, "test").select("fold", *UNIT, "acquisition_number", "rul_minutes", *INPUTS)
-    permuted = rul.permuted_inputs(test, INPUTS, "acquisition_number", 3)
+    permuted = rul.permuted_inputs(test, INPUTS, "acquisition_number", REPEATS)
     intact = mf.prediction_diagnostics(rul.ridge_predict(test, fits, INPUTS))
     moved = mf.prediction_diagnostics(rul.ridge_predict(permuted, fits, INPUTS))
     macro = lambda df, by: df.groupBy(*by, "unit_id").agg(F.avg("absolute_error_minutes").alias("mae")).groupBy(*by).agg(F.avg("mae").alias("mae"))
@@ -215,7 +280,7 @@ def permutation(spark, sf):
     return raised.groupBy("fold", "feature").agg(F.avg("increase").alias("importance_mean_macro_mae_increase"), F.stddev_pop("increase").alias("importance_std"))
 
 
-@register("i11_permutation_importance")
+@register("i11_permutation_importance", "SELECT fold, feature, round(gain, 6) + 0.0 AS importance_mean_macro_mae_increase, round(sd, 6) AS importance_std FROM v_importance")
 def permutation_importance(spark, sf):
     return rounded(permutation(spark, sf), ["fold", "feature"], ["importance_mean_macro_mae_increase", "importance_std"])
 
@@ -301,33 +366,29 @@ def model_comparison(spark, sf):
     return rounded(me.model_comparison(rows, units, me.fold_metrics(units)), ["experiment"], _COMPARED)
 
 
-VIEWS["v_toy_onsets"] = "SELECT fold, unit_id, CASE WHEN unit_id % 4 = 0 THEN 'not_detected' ELSE 'detected' END AS onset_status, CASE WHEN unit_id % 4 <> 0 THEN n // 2 END AS onset_index FROM v_folds WHERE subset = 'test'"
-
-
-def toy_onsets(spark, sf):
-    hit = F.col("unit_id") % 4 != 0
-    return folds(spark, sf).where("subset = 'test'").select(
-        "fold", "unit_id", F.when(hit, "detected").otherwise("not_detected").alias("onset_status"), F.when(hit, F.floor(F.col("acquisitions") / 2)).alias("onset_index")
-    )
+def test_onsets(spark, sf):
+    """The onset of every test unit under the setting its fold chose."""
+    return cut(chosen_onsets(spark, sf).where("subset = 'test'").select("fold", "unit_id", "onset_status", "onset_index"))
 
 
+VIEWS["v_test_onsets"] = "SELECT fold, unit_id, CASE WHEN hit THEN 'detected' ELSE 'not_detected' END AS onset_status, CAST(hit_at AS BIGINT) AS onset_index FROM v_onsets WHERE subset = 'test'"
 VIEWS["v_posthoc"] = """
 SELECT p.*, CASE WHEN (CASE WHEN total_acquisitions > 1 THEN sequence_index / (total_acquisitions - 1)::DOUBLE ELSE 0 END) < 0.33 THEN 'early' WHEN sequence_index / (total_acquisitions - 1)::DOUBLE < 0.66 THEN 'intermediate' ELSE 'late' END AS life_stage,
        CASE WHEN onset_status <> 'detected' THEN 'estimated onset not detected' WHEN sequence_index < onset_index THEN 'before estimated onset' ELSE 'after estimated onset' END AS estimated_onset_region
-FROM v_predictions p LEFT JOIN v_toy_onsets USING (fold, unit_id)
+FROM v_predictions p LEFT JOIN v_test_onsets USING (fold, unit_id)
 """
 
 
 @register("j8_posthoc_regions", "SELECT experiment, fold, unit_id, sequence_index, life_stage, estimated_onset_region FROM v_posthoc")
 def posthoc_regions(spark, sf):
-    out = me.annotate_posthoc(predictions(spark, sf), toy_onsets(spark, sf))
+    out = me.annotate_posthoc(predictions(spark, sf), test_onsets(spark, sf))
     return out.select("experiment", "fold", "unit_id", "sequence_index", "life_stage", "estimated_onset_region")
 
 
 for _name, _column in (("j9_life_stage_metrics", "life_stage"), ("j9_onset_region_metrics", "estimated_onset_region")):
 
     def _regional(spark, sf, column=_column):
-        out = me.grouped_metrics(me.annotate_posthoc(predictions(spark, sf), toy_onsets(spark, sf)), ["experiment", column])
+        out = me.grouped_metrics(me.annotate_posthoc(predictions(spark, sf), test_onsets(spark, sf)), ["experiment", column])
         return rounded(out, ["experiment", column], ["mae", "rmse", "signed_error"], ["acquisition_count", "unit_count"])
 
     register(
@@ -367,7 +428,7 @@ def support_matched(spark, sf):
 
 @register("j12_onset_coverage", "SELECT fold, unit_id, CAST(CASE WHEN unit_id % 3 = 0 THEN 0 ELSE 2 END AS BIGINT) AS onset_rows FROM v_folds WHERE subset = 'test' AND unit_id % 3 < 2")
 def onset_coverage(spark, sf):
-    onsets = toy_onsets(spark, sf).where("unit_id % 3 > 0")
+    onsets = test_onsets(spark, sf).where("unit_id % 3 > 0")
     return me.onset_coverage_issues(onsets.unionByName(onsets.where("unit_id % 3 = 1")), folds(spark, sf))
 
 
@@ -421,7 +482,7 @@ def sequence_context(spark, sf):
     )
 
 
-LENGTHS = (1, 5, 10)
+LENGTHS = (1, 5, 10, 20)
 
 
 def sequence_candidates(spark, sf, subset):

@@ -287,9 +287,9 @@ def loop_rows(spark, sf):
     trends = readings(spark, sf)
     before = set(trends.columns)
     for channel in COVARIATES:
-        trends = de.trend_features(trends, UNIT, channel, 10, de.TREND_WINDOWS, strict_causal=True)
+        trends = cut(de.trend_features(trends, UNIT, channel, 10, de.TREND_WINDOWS, strict_causal=True))
     features = sorted(set(trends.columns) - before)
-    rows = sl.scenarios(su.landmarks(trends, onset_plan(spark, sf), STRIDE, FOLLOW_UP))
+    rows = sl.scenarios(cut(su.landmarks(trends, cut(onset_plan(spark, sf)), STRIDE, FOLLOW_UP)))
     kept = ["scenario", "fold", "subset", "condition_id", "unit_id", "acquisition_number", "landmark_id", "landmark_weight", "duration_minutes", "event_observed", "event_type", *CONTEXT, *COVARIATES, *features]
     return cut(rows.select(*kept)), [*COVARIATES, *features, "event_type"]
 

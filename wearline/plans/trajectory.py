@@ -10,7 +10,7 @@ from wearline.plans.catalog import VIEWS, register
 from wearline.sources.tables import UNIT, readings
 
 CHANNELS = ["horizontal", "vertical"]
-GRID = 21
+GRID = 100
 
 
 def long_readings(spark, sf):
