@@ -31,7 +31,19 @@ def test_inspection_isolates_bad_files(spark, tree):
     assert (got["4"]["parse_error"], got["5"]["parse_error"], got["6"]["parse_error"]) == ("ragged_row", "blank_line", "non_numeric_value")
     assert (got["7"]["nan_count"], got["7"]["infinite_count"]) == (1, 2)
     assert (got["8"]["parse_error"], got["12"]["parse_error"]) == ("no_samples", "file_too_large")
-    assert "11" not in got  # Spark lists no empty files: the number is reported as missing instead
+    assert (got["11"]["parse_error"], got["11"]["file_size_bytes"], got["11"]["sample_count"]) == ("empty_file", 0, 0)
+    assert len(got) == 12
+
+
+def test_listing_walks_all_levels(spark, tmp_path):
+    for name in ("top.csv", "a/one.csv", "a/b/two.csv", "a/b/c/three.csv", "a/b/c/d/four.csv", "a/b/c/note.txt", "_hidden.csv"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * len(path.stem))
+    got = {r["path"].rsplit("/", 1)[1]: r["length"] for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert got == {"top.csv": 3, "one.csv": 3, "two.csv": 3, "three.csv": 5, "four.csv": 4}
+    same = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(str(tmp_path)).select("path")
+    assert {r["path"] for r in files.inventory(spark, f"file://{tmp_path}").collect()} == {r["path"] for r in same.collect()}
 
 
 def test_keys_and_signals(spark, tree):

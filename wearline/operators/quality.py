@@ -185,31 +185,54 @@ def manifest_issues(manifest: DataFrame, unit: Sequence[str], interval: float, t
     return expect(lagged, rules, unit).unionByName(paths)
 
 
+#: Bits of the filters that a later scan applies; what reaches the driver is never larger.
+FILTER_BITS = 20
+
+
+def _marks(values: DataFrame) -> bytearray:
+    """A filter with a bit for every value (a column of non-negative longs) modulo its size; tasks merge their bits first."""
+    place = F.col(values.columns[0]) % (1 << FILTER_BITS) + 1
+    marks = bytearray((1 << FILTER_BITS) // 8)
+    for row in values.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        at = (row["part"] - 1) * len(row["bits"])
+        marks[at : at + len(row["bits"])] = row["bits"]
+    return marks
+
+
+def _marked(marks: bytearray, value: Column) -> Column:
+    """Whether a filter may hold a value; false alarms only."""
+    place = value % (1 << FILTER_BITS)
+    byte = F.conv(F.hex(F.substring(F.lit(marks), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.expr("1") == (F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)))
+
+
 def duplicate_stages(content: DataFrame, key: str, body: str, size: str | None = None) -> dict[str, DataFrame]:
-    """Exact duplicates in three stages; each stage only keeps rows the next, dearer hash must see.
+    """Exact duplicates in three scans, each of which only hashes what the one before it left.
 
-    Returns the candidate tables ``sized``, ``boundary`` and ``full``. Every hash is taken once, in the
-    scan, and written without its content. Digest and row stay in long form: a group of copies may be any size, so its members
-    are never gathered.
+    1. Sizes are counted; sizes that repeat become a filter. 2. Rows that pass it get a digest of their two ends; digests that repeat become a
+    second filter. 3. Only rows that pass both are hashed in full. Filters are bitmaps of `FILTER_BITS`, so contents never enter an exchange;
+    an exact semi-join of the small digest rows follows each. Returns the tables ``sized``, ``boundary`` and ``full``, and ``hashed``, the rows
+    whose whole body was hashed. Digest and row stay in long form: a group of copies may be any size, so its members are never gathered.
     """
 
     def repeated(df: DataFrame, column: str) -> DataFrame:
         return df.join(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(column), column, "left_semi")
 
-    measured = content.select(key, body, (F.col(size) if size else F.octet_length(body)).alias("size_bytes"))
-    shared = measured.select(key, "size_bytes").groupBy("size_bytes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("size_bytes")
+    measured = content.select(key, body, (F.col(size) if size else F.octet_length(body)).cast("bigint").alias("size_bytes"))
+    shared = cut(measured.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND size_bytes IS NOT NULL").select("size_bytes"))
     edges = F.concat(
         F.col("size_bytes").cast("string"),
         F.substring(body, 1, BOUNDARY_CHARS),
         F.lit(BOUNDARY_TAG),
         F.expr(f"right({body}, {BOUNDARY_CHARS})"),
     )
-    # sizes and digests are taken where the rows are read, so that no exchange carries content
-    prints = measured.select(key, "size_bytes", F.sha2(edges, 256).alias("boundary_digest"), F.sha2(F.col(body), 256).alias("digest"))
-    sized = cut(prints.join(shared, "size_bytes", "left_semi"))
-    boundary = repeated(sized, "boundary_digest")
-    hashed = boundary.select(key, "size_bytes", "digest")
-    return {"sized": sized, "boundary": boundary, "full": repeated(hashed, "digest")}
+    candidates = measured.where(_marked(_marks(shared), F.col("size_bytes"))).withColumn("boundary_digest", F.sha2(edges, 256))
+    sized = cut(candidates.select(key, "size_bytes", "boundary_digest").join(shared, "size_bytes", "left_semi"))
+    ends = cut(sized.groupBy("boundary_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("boundary_digest"))
+    number = lambda c: F.conv(F.substring(c, 1, 12), 16, 10).cast("bigint")
+    met = candidates.where(_marked(_marks(ends.select(number("boundary_digest").alias("number"))), number("boundary_digest")))
+    hashed = cut(met.select(key, "size_bytes", "boundary_digest", F.sha2(F.col(body), 256).alias("digest")).join(ends, "boundary_digest", "left_semi"))
+    return {"sized": sized, "boundary": repeated(sized, "boundary_digest"), "hashed": hashed, "full": repeated(hashed.select(key, "size_bytes", "digest"), "digest")}
 
 
 def duplicate_content(content: DataFrame, key: str, body: str) -> DataFrame:
@@ -219,11 +242,11 @@ def duplicate_content(content: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def duplicate_counters(content: DataFrame, key: str, body: str) -> DataFrame:
-    """How many rows each stage had to look at, in one row."""
+    """How many sizes repeat, how many rows had their ends and their whole body hashed, and what was found, in one row."""
     stages = duplicate_stages(content, key, body)
     counted = [
         stages["sized"].agg(F.countDistinct("size_bytes").alias("size_groups"), F.count(F.lit(1)).alias("boundary_hashed")),
-        stages["boundary"].agg(F.count(F.lit(1)).alias("fully_hashed")),
+        stages["hashed"].agg(F.count(F.lit(1)).alias("fully_hashed")),
         stages["full"].agg(F.countDistinct("digest").alias("duplicate_groups"), F.count(F.lit(1)).alias("duplicate_rows")),
     ]
     merged = counted[0].unionByName(counted[1], allowMissingColumns=True).unionByName(counted[2], allowMissingColumns=True)

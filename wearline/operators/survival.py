@@ -602,6 +602,7 @@ def proportional_hazards(residuals: DataFrame, permutations: int = 499, fold: st
     Units are paired with permuted times in the order of MD5 hashes; the pairing is an equi-join on position.
     """
     by = [fold, "feature"]
+    residuals = residuals.withColumns({c: F.round(c, 9) for c in ("residual", "log_event_time")})  # closer values tie
     ranked = average_ranks(average_ranks(residuals, by, "residual", "_x", split), by, "log_event_time", "_y", split)
     observed = ranked.groupBy(*by).agg(F.abs(correlation("_x", "_y")).alias("absolute_spearman"), F.count(F.lit(1)).alias("independent_units"))
     placed = index_units(ranked.select(*by, "unit_id", "_x"), by, ["unit_id"], split)

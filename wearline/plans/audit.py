@@ -246,7 +246,7 @@ _COPIES = """WITH m AS (SELECT doc_id, octet_length(encode(text)) AS size_bytes,
        f AS (SELECT *, count(*) OVER (PARTITION BY digest) AS copies FROM c)"""
 
 
-@register("b12_duplicate_content", _COPIES + " SELECT digest, CAST(size_bytes AS INTEGER) AS size_bytes, copies, doc_id FROM f WHERE copies > 1")
+@register("b12_duplicate_content", _COPIES + " SELECT digest, CAST(size_bytes AS BIGINT) AS size_bytes, copies, doc_id FROM f WHERE copies > 1")
 def duplicate_content(spark, sf):
     return q.duplicate_content(table(spark, sf, "documents"), "doc_id", "text")
 

@@ -523,7 +523,7 @@ def paired_survival(spark, sf):
 
 
 VIEWS["v_residuals"] = """
-SELECT fold, unit_id, feature, avg(CASE feature WHEN 'horizontal' THEN a - s1 / s0 ELSE b - s2 / s0 END) AS residual, avg(ln(t)) AS log_time FROM v_risk_sets, (VALUES ('horizontal'), ('vertical')) f(feature) WHERE e = 1 AND t > 0 GROUP BY 1, 2, 3
+SELECT fold, unit_id, feature, round(avg(CASE feature WHEN 'horizontal' THEN a - s1 / s0 ELSE b - s2 / s0 END), 9) AS residual, round(avg(ln(t)), 9) AS log_time FROM v_risk_sets, (VALUES ('horizontal'), ('vertical')) f(feature) WHERE e = 1 AND t > 0 GROUP BY 1, 2, 3
 """
 VIEWS["v_ph_ranks"] = """
 SELECT fold, unit_id, feature, rank() OVER (PARTITION BY fold, feature ORDER BY residual) + (count(*) OVER (PARTITION BY fold, feature, residual) - 1) / 2.0 AS x, rank() OVER (PARTITION BY fold, feature ORDER BY log_time) + (count(*) OVER (PARTITION BY fold, feature, log_time) - 1) / 2.0 AS y,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wearline.sources.listing import listed
+
 #: Channel names, the size beyond which inspection reports a file unread, and the condition folder pattern of the raw dataset.
 CHANNELS = ("Horizontal_vibration_signals", "Vertical_vibration_signals")
 MAX_FILE_BYTES = 16 * 1024 * 1024
@@ -15,14 +17,8 @@ CONDITION_PATTERN = r"([0-9.]+)Hz([0-9.]+)kN"
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """Every file with its size and modification time; contents are never read.
-
-    Spark's file sources skip zero-byte files, so an empty acquisition is found as a missing number.
-    """
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-        .select("path", "length", "modificationTime")
-    )
+    """Every file with its size and modification time, empty ones included; contents are never read."""
+    return listed(spark, root, pattern)
 
 
 def file_number(stem: Column) -> Column:
