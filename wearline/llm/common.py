@@ -70,15 +70,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[dic
 class Memo(dict):
     """A bounded map from words to what a function makes of them.
 
-    A full map starts anew, but what was met since the last start is still taken from the older map.
+    A full map starts anew, but what was met since the last start is still taken from the older map. Texts of more than `longest` letters
+    are not remembered, so the map is bounded in bytes too.
     """
 
-    def __init__(self, function: Callable, size: int = 150_000):
+    def __init__(self, function: Callable, size: int = 150_000, longest: int | None = None):
         super().__init__()
-        self.function, self.size, self.older = function, size, {}
+        self.function, self.size, self.longest, self.older = function, size, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.function(key)
         if len(self) >= self.size:
+            self.older = {}  # frees the former one before the copy
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,13 @@ END_ID = 0
 CLASS_WIDTHS = (32, 64)
 #: Pieces of one length that one task ranks.
 BLOCK_PIECES = 1_000
-_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+_PLACES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every text."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, digests: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every text; with `digests` ids_crc32 in place of the ids."""
     path = path or default_path()
+    schema = pa.schema([*_PLACES, ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())])
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,10 +50,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 total = len(packed) // 4
                 first = total if total <= capacity else (total % capacity or capacity)
                 bounds = [0, *range(first, total + 1, capacity)] if total > capacity else [0, total]
-                rows += [(doc, i, a, b - a, packed[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PIECE, strict=True)], schema=_PIECE) if rows else pa.RecordBatch.from_pylist([], _PIECE)
+                rows += [(doc, i, a, b - a, crc32(packed[4 * a : 4 * b]) if digests else packed[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), cut_up, "doc_id long, piece int, start long, length long, ids binary")
+    return arrow_map(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), cut_up, "doc_id long, piece int, start long, length long, " + ("ids_crc32 long" if digests else "ids binary"))
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, steps: int) -> np.ndarray:

@@ -36,7 +36,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir)))
+    decoded = word_bpe.round_trip(documents(spark, sf_dir))
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -51,8 +51,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut_up = packing.pieces(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.placed(cut(cut_up))
+    return packing.placed(cut(packing.pieces(documents(spark, sf_dir), digests=True)))
 
 
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

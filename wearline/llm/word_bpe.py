@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import string
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from wearline.llm.byte_tokens import byte_symbols
 from wearline.llm.common import Memo, arrow_map, whole_text
@@ -35,7 +37,10 @@ from wearline.llm.common import Memo, arrow_map, whole_text
 WORD_BPE = "word_bpe_49k.json"
 _SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACES = regex.compile(f"[{_SPACE}]+")
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Longest word, with signs, that is remembered.
+_WORD_CHARS = 64
+#: Letters of a batch whose ids and texts are held at a time.
+_HELD_CHARS = 1_000_000
 #: Python's splitting also takes these for white space.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Stands for the end of a word behind its last symbol.
@@ -46,6 +51,54 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+class Letters:
+    """The vocabulary's words and lower case in the character tables of the tokenizers library.
+
+    Python's table is older and that of the `regex` package newer than the library's, so the few characters only the latter knows are
+    looked up in the library itself.
+    """
+
+    def __init__(self, path: str):
+        classes: dict[str, list[int]] = {"L": [], "N": []}
+        unknown = []
+        for code in range(sys.maxunicode + 1):
+            kind = unicodedata.category(chr(code))
+            if kind[0] in classes:
+                classes[kind[0]].append(code)
+            elif kind == "Cn":
+                unknown.append(chr(code))
+        library = Tokenizer.from_file(path)
+        lower: dict[int, str] = {}
+        for c in regex.findall(r"[\p{L}\p{N}]", "".join(unknown)):
+            small = library.normalizer.normalize_str(c)
+            if small != c:
+                lower[ord(c)] = small
+            if len(library.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1:
+                classes["L"].append(ord(c))
+            elif len(library.pre_tokenizer.pre_tokenize_str(c + c)) == 2:
+                classes["N"].append(ord(c))
+        letters, numerals = (_ranges(sorted(classes[c])) for c in "LN")
+        #: Contractions, runs of letters, single numerals, runs of other signs.
+        self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numerals}]|[^{_SPACE}{letters}{numerals}]+")
+        self.capitals = regex.compile(f"[{_ranges(sorted(lower))}]") if lower else None
+        self.small = lower
+
+    def lower(self, text: str) -> str:
+        text = text.lower()
+        return text.translate(self.small) if self.capitals is not None and self.capitals.search(text) else text
+
+
+def _ranges(codes: list[int]) -> str:
+    """Sorted code points as the inside of a character class."""
+    found: list[list[int]] = []
+    for code in codes:
+        if found and found[-1][1] == code - 1:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in found)
+
+
 class WordEncoder:
     """Encodes and decodes with a vocabulary whose words carry an end sign and whose pieces stand for bytes."""
 
@@ -70,8 +123,10 @@ class WordEncoder:
         self.automaton.make_automaton()
         self.parts = Memo(self._parts, 50_000)
         self.fits = Memo(self._fits, 200_000)
-        self.pieces = Memo(self._encode_piece, 150_000)
-        self.chunks = Memo(self._encode_chunk, 150_000)
+        self.pieces = Memo(self._encode_piece, 20_000, _WORD_CHARS)
+        self.chunks = Memo(self._encode_chunk, 150_000, _WORD_CHARS)
+        self.letters = Letters(path)
+        self.words = self.letters.words
 
     def _parts(self, number: int) -> tuple[str, ...]:
         """The symbols of a token: characters, the last one with the end sign."""
@@ -117,14 +172,16 @@ class WordEncoder:
     def _encode_chunk(self, chunk: str) -> bytes:
         """The ids of what stands between white space; letters with signs behind them are two words."""
         stem = chunk.rstrip(string.punctuation)
-        if stem.isalpha():
-            return self.pieces[stem] if stem is chunk else self.pieces[stem] + self.pieces[chunk[len(stem) :]]
-        return b"".join([self.pieces[piece] for piece in _WORDS.findall(chunk)])
+        if stem.isalpha():  # letters are remembered as chunks, other pieces apart
+            return self._encode_piece(stem) if len(stem) == len(chunk) else self.chunks[stem] + self.pieces[chunk[len(stem) :]]
+        return b"".join([self.chunks[piece] if piece.isalpha() else self.pieces[piece] for piece in self.words.findall(chunk)])
 
     def _encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case knows no final sigma here
-        text = text.lower()
+            text = self.letters.lower(text)
+        else:
+            text = text.lower()
         chunks = _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
         memo = self.chunks
         return b"".join([memo[c] for c in chunks])
@@ -158,6 +215,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col)), rows, "doc_id long, ids binary")
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, ids and the text decoded from them, `decode(encode(docs))` in one pass; a task holds the ids of some texts at a time."""
+    path = path or default_path()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, start, held, ids, texts = encoder(path), 0, 0, [], []
+            for i, text in enumerate(batch.column(1)):
+                whole = text.as_py()
+                ids.append(one.encode(whole))
+                texts.append(one.decode(ids[-1]))
+                held += len(whole)
+                if held >= _HELD_CHARS or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[start : i + 1], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                    start, held, ids, texts = i + 1, 0, [], []
+
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col)), rows, "doc_id long, ids binary, decoded string")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of `encode` with the decoded text."""
     path = path or default_path()
