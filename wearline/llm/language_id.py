@@ -44,7 +44,11 @@ class Model(NamedTuple):
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; numerals such as fractions or raised digits are none and part words."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join([c if c.isalpha() else " " for c in run]).split())]
 
 
 def grams(word: str, size: int) -> list[str]:
