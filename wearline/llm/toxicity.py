@@ -3,23 +3,25 @@
 1. The lexicon is learned from a bounded sample of labelled rows (`SAMPLE_LABELS`, chosen by a hash of the id): words, and stems that
    many words begin with, that far more toxic than clean documents hold than chance allows.
 2. The lexicon is a trie. A word matches a term exactly, begins with a stem, or is a misspelling: one edit or one swap of neighbours away
-   from a term, two from a term of `LONG_LETTERS` or more letters. The automaton's states are rows of edit distances, and branches of the
-   trie with no distance within the bound are left. Words are runs of letters; where none of a run's words is a hit, what stands between
+   from a term, two from a term of `LONG_LETTERS` or more letters. The automaton of these bounds, swaps included, is intersected with the
+   trie and made deterministic as words need it; a word leaves it after a few letters where no term is near. Words are runs of letters; where none of a run's words is a hit, what stands between
    spaces is tried as a whole, with its digits and signs. Words that clean documents of the sample hold are ordinary words and not misspellings.
 3. Each hit is weighed by its context window: inside quotation marks or after a word of speaking it counts as quoted, else as abuse.
 4. A logistic regression over a few numbers per document (abuse, quoted, misspelled hits and their rate) gives the score. It is fitted
    on a part of the sample that the lexicon for the fit was not learned from; the final lexicon then uses the whole sample.
 
 Labels are used for learning only. Defined results: NULL and empty texts score like texts without hits. A document labelled more than once
-is toxic if one label says so. Without toxic labels nothing is learned, and every score is 0. Rows pass through one by one.
+is toxic if one label says so. Without toxic labels nothing is learned, and every score is 0. Rows pass through one by one, and texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -62,76 +64,151 @@ class Lexicon(NamedTuple):
     ordinary: frozenset[str]
 
 
+class Automaton:
+    """The Levenshtein automaton of all words within a term's bound, intersected with the trie of the terms.
+
+    A position is a place in the trie, the edits so far, whether one of them was a swap, and the letter a swap still waits for. Terms of
+    `LONG_LETTERS` or more letters allow two edits, others one. Sets of positions become the states of a deterministic automaton when a word
+    first needs them; a word without a term near it ends in the empty state after a few letters. States are bounded and start anew when full.
+    """
+
+    STATES = 50_000
+
+    def __init__(self, terms: list[str]):
+        self.below: list[dict[str, int]] = [{}]
+        self.term: list[str | None] = [None]
+        self.most = [0]  # edits the most tolerant term at or below a place allows
+        for term in terms:
+            bound, at = self.bound(term), 0
+            self.most[0] = max(self.most[0], bound)
+            for letter in term:
+                if letter not in self.below[at]:
+                    self.below[at][letter] = len(self.below)
+                    self.below.append({})
+                    self.term.append(None)
+                    self.most.append(0)
+                at = self.below[at][letter]
+                self.most[at] = max(self.most[at], bound)
+            self.term[at] = term
+        self.letters = {letter for term in terms for letter in term}
+        self._clear()
+
+    @staticmethod
+    def bound(term: str) -> int:
+        return 2 if len(term) >= LONG_LETTERS else 1
+
+    def _clear(self) -> None:
+        self.numbers: dict[tuple, int] = {(): 0}
+        self.sets: list[tuple] = [()]
+        self.steps: list[dict[str, int]] = [{}]
+        self.ends: list[tuple | None] = [()]
+        self.start = self._number(self._closed({(0, False, ""): 0}))
+
+    def _closed(self, positions: dict[tuple, int]) -> tuple:
+        """With the places that letters missing from the word lead to; of equal places the one with the fewest edits."""
+        waiting = [k for k in positions if not k[2]]
+        while waiting:
+            place, swapped, _ = key = waiting.pop()
+            edits = positions[key] + 1
+            for child in self.below[place].values():
+                to = (child, swapped, "")
+                if edits <= self.most[child] and positions.get(to, 9) > edits:
+                    positions[to] = edits
+                    waiting.append(to)
+        return tuple(sorted((k, e) for k, e in positions.items() if not (k[1] and not k[2] and positions.get((k[0], False, ""), 9) <= e)))
+
+    def _number(self, found: tuple) -> int:
+        number = self.numbers.get(found)
+        if number is None:
+            number = self.numbers[found] = len(self.sets)
+            self.sets.append(found)
+            self.steps.append({})
+            self.ends.append(None)
+        return number
+
+    def _step(self, state: int, letter: str) -> int:
+        new: dict[tuple, int] = {}
+
+        def add(key: tuple, edits: int) -> None:
+            if edits <= self.most[key[0]] and new.get(key, 9) > edits:
+                new[key] = edits
+
+        for (place, swapped, awaited), edits in self.sets[state]:
+            if awaited:
+                if letter == awaited:
+                    add((place, swapped, ""), edits)
+                continue
+            below = self.below[place]
+            if letter in below:
+                add((below[letter], swapped, ""), edits)
+            if edits < self.most[place]:
+                add((place, swapped, ""), edits + 1)  # a letter too many
+                for other, child in below.items():
+                    if other != letter:
+                        add((child, swapped, ""), edits + 1)
+                        if letter in self.below[child]:
+                            add((self.below[child][letter], True, other), edits + 1)
+        return self._number(self._closed(new))
+
+    def near(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """The terms within one edit of a word, and those within their bound where swaps are edits too; both by name."""
+        if len(self.sets) > self.STATES:
+            self._clear()
+        state = self.start
+        for letter in word:
+            if letter not in self.letters:
+                letter = ""
+            following = self.steps[state].get(letter)
+            if following is None:
+                following = self._step(state, letter)
+                self.steps[state][letter] = following
+            state = following
+            if not state:
+                return (), ()
+        if self.ends[state] is None:
+            at = [(self.term[k[0]], k[1], e) for k, e in self.sets[state] if not k[2] and self.term[k[0]] is not None]
+            self.ends[state] = tuple(sorted({t for t, swapped, e in at if e <= 1 and not swapped})), tuple(sorted({t for t, _, e in at if e <= self.bound(t)}))
+        return self.ends[state]
+
+
 class Trie:
-    """The lexicon's words as nested dictionaries; '' marks the end of a term."""
+    """What the words of a text are to a lexicon."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.root: dict = {}
-        self.near: set[str] = set()
-        self.far: dict[str, tuple[str, ...]] = {}  # terms by their spellings less one or two letters
-        self.longest = 0
-        for term in lexicon.words:
-            if len(term) >= MASKED_LETTERS:
-                node = self.root
-                for letter in term:
-                    node = node.setdefault(letter, {})
-                node[""] = term
-                self.longest = max(self.longest, len(term))
-                self.near |= {term, *_shortened(term)}
-                for v in _twice_shortened(term) if len(term) >= LONG_LETTERS else {term, *_shortened(term)}:
-                    self.far[v] = (*self.far.get(v, ()), term)
-        self.classes = Memo(self._class)
-        self.kinds = Memo(self._kind)
-        self.parts = Memo(self._parts)
+        terms = [t for t in lexicon.words if len(t) >= MASKED_LETTERS]
+        self.longest = max(map(len, terms), default=0)
+        self.automaton = Automaton(terms)
+        self.classes = Memo(lambda word: self._judged(word)[0], 10_000, _CHUNK_CHARS)
+        self.kinds = Memo(lambda word: self._judged(word)[1], 100_000, _CHUNK_CHARS)
+        self.parts = Memo(self._parts, 120_000)
 
     def misspelled(self, word: str) -> str | None:
         """The first term (by name) within one edit of a word."""
-        found: list[str] = []
-        fewest = _fewest(word)
-
-        def walk(node: dict, row: list[int]) -> None:
-            if "" in node and row[-1] <= 1 and len(node[""]) >= fewest:
-                found.append(node[""])
-            for letter, below in node.items():
-                if letter:
-                    new = [row[0] + 1]
-                    for i, other in enumerate(word):
-                        new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (other != letter)))
-                    if min(new) <= 1:
-                        walk(below, new)
-
-        walk(self.root, list(range(len(word) + 1)))
-        return min(found, default=None)
+        return next((t for t in self.automaton.near(word)[0] if len(t) >= _fewest(word)), None)
 
     def slipped(self, word: str) -> str | None:
         """The first term (by name) within one edit or swap of neighbours of a word, or two for long terms."""
-        # a swap shares a spelling less one letter, two edits share one less two letters
-        terms = {t for v in self.far.keys() & _twice_shortened(word) for t in self.far[v]}
-        fewest = _fewest(word)
-        return min((t for t in terms if len(t) >= fewest and _within(word, t, 2 if len(t) >= LONG_LETTERS else 1)), default=None)
-
-    def _class(self, word: str) -> tuple[int, float]:
-        """(0 no hit, 1 word, 2 stem, 3 misspelled by one edit) and the weight of a word."""
-        lexicon = self.lexicon
+        return next((t for t in self.automaton.near(word)[1] if len(t) >= _fewest(word)), None)
+
+    def _judged(self, word: str) -> tuple[tuple[int, float], tuple[int, float]]:
+        """(0 no hit, 1 word, 2 stem, 3 misspelled) and the weight of a word: by one edit only, and where swapped neighbours and two
+        edits of a long term count as misspelled too."""
+        lexicon, found = self.lexicon, (0, 0.0)
         if word in lexicon.words:
-            return 1, lexicon.words[word]
-        for size in range(STEMS[1], STEMS[0] - 1, -1):
-            if len(word) > size and word[:size] in lexicon.stems:
-                return 2, lexicon.stems[word[:size]]
-        # only words that share a spelling less one letter with a term can be one edit away
-        if word not in lexicon.ordinary and (word in self.near or not self.near.isdisjoint(_shortened(word))):
-            if term := self.misspelled(word):
-                return 3, lexicon.words[term]
-        return 0, 0.0
-
-    def _kind(self, word: str) -> tuple[int, float]:
-        """The class of a word where swapped neighbours and two edits of a long term count as misspelled too."""
-        found = self.classes[word]
-        if found[0] or word in self.lexicon.ordinary or len(word) > self.longest + 2:
-            return found
+            found = 1, lexicon.words[word]
+        else:
+            for size in range(STEMS[1], STEMS[0] - 1, -1):
+                if len(word) > size and word[:size] in lexicon.stems:
+                    found = 2, lexicon.stems[word[:size]]
+                    break
+        if found[0] or word in lexicon.ordinary or len(word) > self.longest + 2:
+            return found, found
+        if term := self.misspelled(word):
+            found = 3, lexicon.words[term]
+            return found, found
         term = self.slipped(word)
-        return (3, self.lexicon.words[term]) if term else found
+        return found, (3, lexicon.words[term]) if term else found
 
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """The words of what stands between spaces; a whole with digits or signs where that is a misspelling and no word in it is a hit."""
@@ -172,38 +249,16 @@ class Trie:
         return inside or any(t in SPEAKING for t in before)
 
 
-def _shortened(word: str) -> list[str]:
-    return [word[:i] + word[i + 1 :] for i in range(len(word))]
-
-
-def _twice_shortened(word: str) -> set[str]:
-    """The word less none, one or two letters."""
-    places = range(len(word))
-    return {word, *_shortened(word), *[word[:i] + word[i + 1 : j] + word[j + 1 :] for i in places for j in places[i + 1 :]]}
+@lru_cache(maxsize=1)
+def _trie(packed: bytes) -> Trie:
+    """One trie per worker and lexicon, with what it remembers of words, for all tasks of the worker."""
+    return Trie(pickle.loads(packed))
 
 
 def _fewest(word: str) -> int:
     return FUZZY_LETTERS if word.isalpha() else MASKED_LETTERS
 
 
-def _within(word: str, term: str, most: int) -> bool:
-    """Whether single edits and swaps of neighbours, `most` at most, turn a word into a term."""
-    if abs(len(word) - len(term)) > most:
-        return False
-    before, row = [], list(range(len(word) + 1))
-    for j, letter in enumerate(term):
-        new = [j + 1]
-        for i, other in enumerate(word):
-            cost = min(new[i] + 1, row[i + 1] + 1, row[i] + (other != letter))
-            if i and j and word[i - 1] == letter and term[j - 1] == other:
-                cost = min(cost, before[i - 1] + 1)
-            new.append(cost)
-        if min(new) > most and min(row) >= most:  # a swap goes on from the row before
-            return False
-        before, row = row, new
-    return row[-1] <= most
-
-
 def _trimmed(chunk: str) -> str:
     """A chunk without what stands before its first and behind its last letter or digit."""
     kept = [i for i, c in enumerate(chunk) if c.isalnum()]
@@ -283,9 +338,10 @@ def _tail(n: int, least: int, share: float) -> float:
 
 def _ordinary(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     """Misspellings of a term that clean documents of the sample hold."""
+    packed = pickle.dumps(lexicon)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(lexicon)
+        trie = _trie(packed)
         for batch in batches:
             found = {w for t in batch.column(0).to_pylist() for w in {*trie.tokens(t)} if trie.kinds[w][0] == 3}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
@@ -295,9 +351,10 @@ def _ordinary(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
 
 def numbers(texts: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """The rows of `texts` with `x`, what the regression sees, in place of the text."""
+    packed = pickle.dumps(lexicon)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(lexicon)
+        trie = _trie(packed)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             kept = [i for i in range(batch.num_columns) if i != at]
