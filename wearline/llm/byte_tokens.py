@@ -65,7 +65,7 @@ class ByteEncoder:
     their own. All encoding is the library's.
     """
 
-    def __init__(self, path: str, size: int = 400_000):
+    def __init__(self, path: str, size: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)

@@ -126,26 +126,25 @@ def summary(scanned: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """`docs` with every live span overwritten by as many asterisks; examples and all other columns stay.
 
-    Spans travel to their text by (id, text hash); only documents with live spans change.
+    Rows are written once with a number by which spans travel to their text; only rows with live spans change.
     """
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), whole_text(text_col)))
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row")))
+    plain = rows.select("row", F.col(f"d.`{text_col}`").alias("text"), F.col(f"d.`{repository_col}`").alias("repository"), F.col(f"d.`{owner_col}`").alias("owner"))
     live = F.filter("spans", lambda s: s["live"])
-    scanned = scan(rows, "_key", text_col, repository_col, owner_col)
-    hits = scanned.select(F.col("doc_id").alias("_key"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_hits")).where(F.size("_hits") > 0).dropDuplicates(["_key"])
-    schema = docs.schema
+    scanned = scan(plain, "row", "text", "repository", "owner").select(F.col("doc_id").alias("row"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("hits"))
+    joined = rows.join(scanned.where(F.size("hits") > 0), "row", "left").select("d", "hits")
+    at = docs.columns.index(text_col)
 
     def overwrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "_hits"]
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            hits = batch.column(batch.schema.get_field_index("_hits")).to_pylist()
+            columns, hits = batch.column(0).flatten(), batch.column(1).to_pylist()
             if any(hits):
-                texts = columns[text_col].to_pylist()
+                texts = columns[at].to_pylist()
                 for i, places in enumerate(hits):
                     for place in places or ():
                         texts[i] = texts[i][: place["start"]] + "*" * (place["end"] - place["start"]) + texts[i][place["end"] :]
-                columns[text_col] = pa.array(texts, columns[text_col].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    joined = rows.join(hits, "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_hits")
-    return arrow_map(joined, overwrite, schema)
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return arrow_map(joined, overwrite, fields).toDF(*docs.columns)
