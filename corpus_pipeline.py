@@ -1,12 +1,15 @@
 """The corpus pipeline: toxicity, exact copies, near copies, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns a DataFrame; all but the last return the columns of `documents`.
+
+Defined results, for every stage: NULL texts count as empty, empty texts are clean, equal to each other and hold no secrets; NULL ids are ids like
+any other, and rows that repeat an id stay rows of their own until a copy of their text stands for them; extra columns, whatever their names, pass
+through unchanged; an empty table gives an empty result; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wearline.llm import exact_dedup, ngram_join, packing, secret_scan, toxicity
 from wearline.llm.common import cut
@@ -39,8 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their sequence and their place in it."""
     ship_package(spark)
-    cut_up = packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.placed(cut(cut_up))
+    return packing.placed(cut(packing.pieces(docs, digests=True)))
 
 
 STAGES = [
