@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import re
 import string
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from wearline.llm.common import Memo
+from wearline.llm.common import Memo, held
 
 BYTE_BPE = "byte_bpe_50k.json"
 _CUT = re.compile(r" (?=\S)")
@@ -129,6 +128,5 @@ class ByteEncoder:
         return [np.asarray(h.ids, dtype="<u4").tobytes() + b"".join(known) for h, known in zip(heads, ids)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
+    return held(("byte tokens", path), lambda: ByteEncoder(path))

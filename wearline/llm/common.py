@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wearline.session import cut, scratch, shared_folder
 
-__all__ = ["cut", "scratch", "shared_folder", "documents", "whole_text", "arrow_map", "runs", "word_hashes", "crc_bucket", "Memo"]
+__all__ = ["cut", "scratch", "shared_folder", "documents", "whole_text", "arrow_map", "runs", "word_hashes", "crc_bucket", "Memo", "held"]
 
 #: Bytes of one Arrow batch; very long texts then travel a few rows at a time.
 BATCH_BYTES = 16 * 1024 * 1024
@@ -92,9 +91,23 @@ class Memo(dict):
         return value
 
 
-@lru_cache(maxsize=1)
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What one operator keeps in a worker between its tasks, such as maps of known words; another operator's is let go first.
+
+    So a worker that serves many stages holds the maps of one operator at a time.
+    """
+    found = _held.get(key)
+    if found is None:
+        _held.clear()
+        found = _held[key] = make()
+    return found
+
+
 def _hashes() -> Memo:
-    return Memo(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+    return held(("word hashes",), lambda: Memo(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))))
 
 
 def word_hashes(words: Sequence[str]) -> np.ndarray:

@@ -21,7 +21,6 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearline.llm.common import Memo, arrow_map, crc_bucket, whole_text
+from wearline.llm.common import Memo, arrow_map, crc_bucket, held, whole_text
 
 SAMPLE_LABELS = 20_000
 THRESHOLD = 0.3
@@ -249,10 +248,9 @@ class Trie:
         return inside or any(t in SPEAKING for t in before)
 
 
-@lru_cache(maxsize=1)
 def _trie(packed: bytes) -> Trie:
     """One trie per worker and lexicon, with what it remembers of words, for all tasks of the worker."""
-    return Trie(pickle.loads(packed))
+    return held(("toxicity", packed), lambda: Trie(pickle.loads(packed)))
 
 
 def _fewest(word: str) -> int:
