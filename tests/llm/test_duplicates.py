@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from wearline.llm import components, exact_dedup, imatch, ngram_join
@@ -203,3 +204,22 @@ def test_likeness_follows_the_similarity_of_term_sets():
 def test_single_document_is_its_own_next(table):
     row = imatch.edited_fingerprints(table([(1, "one two three")]), np.zeros(0, np.uint64)).first()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"one two" + b"one tw").hexdigest()
+
+
+def test_one_null_id_spreads_over_ranges_of_the_hash(table):
+    rows = [(None, f"text {i} of no id") for i in range(60)] + [(5, f"text {i} of five") for i in range(60)] + [(i, f"row {i}") for i in range(10, 40)]
+    keyed = table(rows).select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    keyed = keyed.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash")))
+    sizes = [r["count"] for r in keyed.groupBy(imatch._range_of(F.col("key"), imatch._cuts(keyed, 16)).alias("b")).count().collect()]
+    assert sum(sizes) == 150 and max(sizes) <= 30
+    got = imatch.edited_fingerprints(table(rows), np.zeros(0, np.uint64)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted((d is not None, d or 0) for d, _ in rows)
+    ordered = sorted(keyed.collect(), key=lambda r: tuple(r.key))
+    make = imatch.Fingerprinter(np.zeros(0, np.uint64))
+    want = sorted((make(a.text), imatch.likeness(make(a.text), make(b.text))) for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert sorted((r.fingerprint, r.near_next) for r in got) == want
+
+
+def test_a_band_beyond_the_limit_is_an_error(table):
+    with pytest.raises(ValueError, match="least"):
+        imatch.lexicon(table([(i, "some words here") for i in range(4)]), least=0.1, most=1.0, limit=2)
