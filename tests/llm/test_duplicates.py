@@ -223,3 +223,19 @@ def test_one_null_id_spreads_over_ranges_of_the_hash(table):
 def test_a_band_beyond_the_limit_is_an_error(table):
     with pytest.raises(ValueError, match="least"):
         imatch.lexicon(table([(i, "some words here") for i in range(4)]), least=0.1, most=1.0, limit=2)
+
+
+def test_rows_of_one_null_id_fetch_their_own_text_only(table):
+    r = random.Random(8)
+    text = lambda: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    pairs = [text() for _ in range(25)]
+    rows = [(None, " ".join(w)) for w in pairs] + [(None, " ".join([*w[:-1], "edited"])) for w in pairs] + [(None, " ".join(pairs[0]))] * 40 + [(3, " ".join(text())), (None, None)]
+    docs = table(rows)
+    contents = ngram_join.signatures(docs).groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("t"), F.max("sig").alias("sig")).select("content", "t.*", "sig").where("sig IS NOT NULL")
+    prefix = ngram_join.prefix_length()
+    wanted = ngram_join.requests(ngram_join.groups(contents, prefix), contents, prefix, 0.8)
+    fetched = ngram_join.with_texts(wanted, docs).collect()
+    assert len(fetched) == wanted.count() >= 50  # linear: neither the 90 rows of one id nor the 40 copies multiply
+    assert all(ngram_join.content_of(ngram_join.words(x.text)) == bytes(x.content) for x in fetched)
+    got = [(x.n_links, x.n_copies) for x in ngram_join.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted([(1, 41)] * 41 + [(1, 1)] * 49 + [(0, 1)] * 2)

@@ -7,7 +7,7 @@
 3. Contents below one prefix form a group; large groups are cut into blocks, and pairs of blocks are tasks of bounded size, so that no
    task and no row holds a group and no partner is left out. A pair is taken in the first tree in which it meets, and only if
    its signatures agree within `MARGIN` standard errors of the threshold.
-4. Only contents with such a pair fetch their texts. A task computes the exact Jaccard similarity of its pairs and emits, per content, the
+4. Only contents with such a pair fetch their texts, by id and digest of the text, so NULL or repeated ids cost nothing more. A task computes the exact Jaccard similarity of its pairs and emits, per content, the
    number of links and, per group, the links that connect it: never all pairs.
 5. Linked contents form classes (connected components). Documents get the class of their content.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.common import arrow_map, cut, runs, whole_text, word_hashes
@@ -80,7 +80,7 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table (doc_id, content, sig) of all rows; `content` is a digest of the words, `sig` NULL without words."""
+    """The written table (doc_id, text_hash, content, sig) of all rows; `content` is a digest of the words, `sig` NULL without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +89,15 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 found = words(text)
                 contents.append(content_of(found))
                 sigs.append(signature(shingles(found)).tobytes() if found else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "content", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(contents, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "content", "sig"])
 
-    return cut(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), rows, "doc_id long, content binary, sig binary"))
+    return cut(arrow_map(_texts(docs, id_col, text_col), rows, "doc_id long, text_hash binary, content binary, sig binary"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and text_hash of every row; id and hash name a text, however many rows share an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("text_hash"))
 
 
 def content_of(found: list[str]) -> bytes:
@@ -101,12 +107,12 @@ def content_of(found: list[str]) -> bytes:
 def groups(contents: DataFrame, prefix: int, block: int = BLOCK) -> DataFrame:
     """(tree, path, lo, hi, block, content) of every content that shares a path; a large group becomes pairs of blocks."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    paths = contents.select("content", "doc_id", "sig", tree).select("content", "doc_id", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * prefix})").alias("path"))
+    paths = contents.select("content", "doc_id", "text_hash", "sig", tree).select("content", "doc_id", "text_hash", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * prefix})").alias("path"))
     sizes = paths.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
     shared = paths.join(sizes, ["tree", "path"]).select("*", parts.alias("parts")).withColumn("block", F.pmod(F.xxhash64("content"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return shared.select("tree", "path", "block", "content", "doc_id", other).select("tree", "path", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "content", "doc_id")
+    return shared.select("tree", "path", "block", "content", "doc_id", "text_hash", other).select("tree", "path", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "content", "doc_id", "text_hash")
 
 
 _KEYS = ("tree", "path", "lo", "hi")
@@ -169,15 +175,29 @@ def requests(grouped: DataFrame, contents: DataFrame, prefix: int, threshold: fl
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([run[f.name][i] for i in rows], f.type) for f in _REQUEST], schema=_REQUEST)
 
-    rows = grouped.join(contents.select("content", "sig"), "content").select(*_KEYS, "block", "content", "doc_id", "sig")
+    rows = grouped.join(contents.select("content", "sig"), "content").select(*_KEYS, "block", "content", "doc_id", "text_hash", "sig")
     return arrow_map(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "content"), wanted, _REQUEST_DDL)
 
 
-_REQUEST = pa.schema([("tree", pa.int32()), ("path", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("content", pa.binary()), ("doc_id", pa.int64()), ("sig", pa.binary())])
-_REQUEST_DDL = "tree int, path binary, lo int, hi int, block int, content binary, doc_id long, sig binary"
+_REQUEST = pa.schema([("tree", pa.int32()), ("path", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("content", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.binary()), ("sig", pa.binary())])
+_REQUEST_DDL = "tree int, path binary, lo int, hi int, block int, content binary, doc_id long, text_hash binary, sig binary"
 _LINK = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
+def _spot(doc_id: str) -> list[Column]:
+    """An id as columns that are never NULL, so that rows without id spread by their text and one shuffle serves grouping and join."""
+    return [F.col(doc_id).isNotNull().alias("there"), F.coalesce(doc_id, F.lit(0)).alias("id")]
+
+
+_SPOT = ["there", "id", "text_hash"]
+
+
+def with_texts(wanted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The wanted rows with their texts: one row each, whatever number of rows repeats a text or shares its id."""
+    texts = _texts(docs, id_col, text_col).select(*_spot("doc_id"), "text_hash", "text").groupBy(*_SPOT).agg(F.first("text").alias("text"))
+    return wanted.select("*", *_spot("doc_id")).join(texts, _SPOT).select(*_KEYS, "block", "content", "sig", "text")
+
+
 def links(wanted: DataFrame, docs: DataFrame, prefix: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written table (a, b, n): rows without b give a content's number of links in one group, the others connect a group."""
 
@@ -187,8 +207,7 @@ def links(wanted: DataFrame, docs: DataFrame, prefix: int, threshold: float, id_
             for content, text, sig, block in zip(run["content"], run["text"], run["sig"], run["block"], strict=True):
                 if content not in seen:
                     found = words(text)
-                    if content_of(found) == content:  # rows that share an id may hold another text
-                        seen[content] = (shingles(found), sig, block)
+                    seen[content] = (shingles(found), sig, block)
             if len(seen) < 2:
                 continue
             names = list(seen)
@@ -212,8 +231,7 @@ def links(wanted: DataFrame, docs: DataFrame, prefix: int, threshold: float, id_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LINK, strict=True)], schema=_LINK)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    rows = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select(*_KEYS, "block", "content", "sig", "text")
+    rows = with_texts(wanted, docs, id_col, text_col)
     return cut(arrow_map(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "content"), verified, "a binary, b binary, n long"))
 
 
@@ -221,14 +239,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of `docs`: doc_id, class_id, n_links, n_copies (rows with the same words) and first (whether it is the class's smallest id)."""
     prefix = prefix_length(threshold, recall)
     rows = signatures(docs, id_col, text_col)
-    contents = cut(rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.max("sig").alias("sig")))
+    contents = cut(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("text"), F.count(F.lit(1)).alias("n_copies"), F.max("sig").alias("sig")).select("content", F.col("least").alias("class_id"), "text.*", "n_copies", "sig"))
     with_words = contents.where("sig IS NOT NULL")
     wanted = cut(requests(groups(with_words, prefix, block), with_words, prefix, threshold))
     found = links(wanted, docs, prefix, threshold, id_col, text_col)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("content")).agg(F.sum("n").alias("n_links"))
     joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "content")
-    classes = contents.select("content", "doc_id", "n_copies").join(joined, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    names = classes.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    classes = contents.select("content", F.col("class_id").alias("least"), "n_copies").join(joined, "content", "left").withColumn("component", F.coalesce("component", "content"))
+    names = classes.groupBy("component").agg(F.min("least").alias("class_id"))
     known = classes.join(names, "component").join(counts, "content", "left").select("content", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.select("doc_id", "content").join(known, "content").select("doc_id", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first"))
 
