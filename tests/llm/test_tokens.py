@@ -131,3 +131,17 @@ def test_digests_match_spark(spark, table):
 
     row = word_bpe.encode(table([(1, "some words")])).select("ids", F.sha2("ids", 256).alias("s"), F.crc32("ids").alias("c")).first()
     assert row.s == hashlib.sha256(bytes(row.ids)).hexdigest() and row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_token_files_of_one_null_id_are_written_by_several_tasks(spark, table, byte_bpe, tmp_path):
+    rows = [(None, f"{i:03d} text of no id") for i in range(200)] + [(i, f"row {i}") for i in range(20)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny ranges would be merged again
+    try:
+        shards = token_files.write(table(rows), str(tmp_path / "nulls"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(s["docs"] for s in shards) <= 110 and sum(s["docs"] for s in shards) == 220
+    got = sorted(token_files.read(spark, str(tmp_path / "nulls")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 200 + list(range(20))
+    texts = [t for _, t in rows[:200]] + [t for _, t in rows[200:]]
+    assert [r.n_tokens for r in got] == [len(byte_bpe.encode(t, add_special_tokens=False).ids) + 1 for t in texts]

@@ -45,6 +45,10 @@ def _mapped(files: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
     return np.frombuffer(files.open_input_file(path).read_buffer(), dtype=dtype)
 
 
+#: Letters of a text that divide the rows of one id between tasks.
+RANGE_LETTERS = 64
+
+
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> list[dict]:
     """Writes the data set and returns its manifest's shards."""
     path = path or default_path()
@@ -82,7 +86,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         yield pa.RecordBatch.from_pydict({"shard": [f"{context.partitionId():06d}"], "docs": [sum(len(x) for x in lengths)], "tokens": [int(total)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are divided by the first letters of their texts, which keeps the order
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, RANGE_LETTERS)).sortWithinPartitions("doc_id", "text")
     reports = sorted(arrow_map(ordered, shard, "shard string, docs long, tokens long").collect())  # one row per shard
     shards, doc_base, token_base = [], 0, 0
     for r in reports:
