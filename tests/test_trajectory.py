@@ -43,6 +43,24 @@ def test_trendability_counts_pairs_in_blocks(spark, block):
         assert got[scope]["trendability"] == pytest.approx(np.median(pairs), abs=1e-9)
 
 
+@pytest.mark.parametrize("most", [2, 8192])
+def test_blocks_of_units_share_their_scopes(spark, most):
+    rng = np.random.default_rng(2)
+    series = {i: np.cumsum(rng.normal(size=30)) for i in range(12)}
+    grid = tr.resample(long(spark, series), 15)
+    scopes = {"all": range(12), "even": range(0, 12, 2), "third": range(0, 12, 3)}
+    members = spark.createDataFrame([(i, s) for s, units in scopes.items() for i in units], "unit_id long, scope string")
+    blocks = tr.unit_blocks(members, most).toPandas()
+    assert blocks.groupby("block")["scopes"].agg(lambda x: len(set(map(tuple, x)))).eq(1).all()
+    assert blocks["block"].nunique() == (6 if most == 2 else 4) and blocks["unit_id"].is_unique
+    got = {r["scope"]: r for r in tr.trendability(grid, members, 3, most).collect()}
+    v = {i: np.interp(np.linspace(0, 1, 15), np.linspace(0, 1, len(x)), x) for i, x in series.items()}
+    for scope, units in scopes.items():
+        pairs = [abs(np.corrcoef(v[a], v[b])[0, 1]) for a, b in itertools.combinations(units, 2)]
+        assert got[scope]["trendability_valid_pairs"] == len(pairs)
+        assert got[scope]["trendability"] == pytest.approx(np.median(pairs), abs=1e-9)
+
+
 def test_constant_endpoints_and_ranking_ties(spark):
     rows = long(spark, {0: [2] * 10, 1: [2] * 12})
     members = spark.createDataFrame([(0, "all"), (1, "all")], "unit_id long, scope string")

@@ -5,7 +5,7 @@ Tables are long: condition_id, unit_id, sequence_index, total_acquisitions, feat
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,15 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.operators.scale import average_ranks, percentiles, running, trailing, with_totals
-from wearline.session import cut
+from wearline.session import cut, parameter_table
 
 SERIES = ["condition_id", "unit_id", "feature"]
 #: Components of the composite feature score, equally weighted by default. Fixed values.
 METRICS = ("monotonicity", "trendability", "prognosability", "spearman_abs", "stability")
-#: Units per block of the pair product; a block pair never holds more than two of these.
+#: Scopes up to this many units are one small matrix product each.
 BLOCK_UNITS = 512
-BINS = 4096
-LEVELS = 4
+#: Units per block of the pair product beyond that; a block pair holds no more than two of these.
+PAIR_UNITS = 8192
+#: Rows of a block that are multiplied at once.
+STRIP = 512
+#: Bins of each pass of the median search over correlations.
+BINS = (4096, 65_536, 65_536)
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:
@@ -94,7 +98,7 @@ def scopes(units: DataFrame, folds: DataFrame | None = None) -> DataFrame:
 
 
 def _vectors(grid: DataFrame) -> DataFrame:
-    """Unit-length centred vectors of the resampled series, constant ones left out."""
+    """Unit-length centred vectors of the resampled series, NULL for constant ones."""
     # a series has a fixed number of grid points, so the gathered arrays are bounded
     gathered = grid.groupBy("unit_id", "feature").agg(
         F.array_sort(F.collect_list(F.struct("grid", "value"))).alias("_v"),
@@ -102,103 +106,139 @@ def _vectors(grid: DataFrame) -> DataFrame:
         F.stddev_pop("value").alias("_sd"),
         F.count(F.lit(1)).alias("_n"),
     )
-    return gathered.where("_sd > 0").select(
-        "unit_id", "feature", F.transform("_v", lambda z: (z["value"] - F.col("_mean")) / (F.col("_sd") * F.sqrt("_n"))).alias("vector")
-    )
-
-
-def _block_values(pdf: pd.DataFrame, low: int, high: int) -> np.ndarray:
-    """Absolute correlations of the unit pairs one block pair is responsible for."""
-    left = np.stack(pdf.loc[pdf["block"] == low, "vector"].to_numpy())
-    if low == high:
-        gram = np.abs(left @ left.T)
-        return np.minimum(gram[np.triu_indices(len(left), 1)], 1.0)
-    if not (pdf["block"] == high).any():
-        return np.empty(0)
-    right = np.stack(pdf.loc[pdf["block"] == high, "vector"].to_numpy())
-    return np.minimum(np.abs(left @ right.T).ravel(), 1.0)
+    centred = F.transform("_v", lambda z: (z["value"] - F.col("_mean")) / (F.col("_sd") * F.sqrt("_n")))
+    return gathered.select("unit_id", "feature", F.when(F.col("_sd") > 0, centred).alias("vector"))
 
 
 def _block_median(pdf: pd.DataFrame) -> pd.DataFrame:
-    values = _block_values(pdf.assign(block=0), 0, 0)
+    left = np.stack(pdf["vector"].to_numpy())
+    values = np.minimum(np.abs(left @ left.T)[np.triu_indices(len(left), 1)], 1.0)
     first = pdf.iloc[0]
     middle = float(np.median(values)) if len(values) else 0.0
     return pd.DataFrame({"scope": [first["scope"]], "feature": [first["feature"]], "trendability": [middle], "trendability_valid_pairs": [len(values)]})
 
 
-def _bin_counter(width: float):
-    step = width / BINS
+def _strips(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Absolute correlations between two blocks (inside `left` where `right` is None, each pair once), a strip of rows at a time."""
+    for at in range(0, len(left), STRIP):
+        strip = left[at : at + STRIP]
+        if right is not None:
+            yield np.minimum(np.abs(strip @ right.T).ravel(), 1.0)
+            continue
+        gram = np.abs(strip @ left[at:].T)
+        yield np.minimum(gram[np.triu_indices(len(strip), 1, gram.shape[1])], 1.0)
+
+
+def _bin_counter(members: Mapping[int, Mapping[str, int]], bases: Mapping[tuple[str, str], Sequence[float]], width: float, bins: int):
+    """Counts of a block pair's correlations in the `bins` bins of every base its common scopes ask for.
+
+    `members` has, per block, the scopes its units belong to and how often, `bases` the lower ends per scope and feature.
+    """
+    step = width / bins
 
     def count_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        values = _block_values(pdf, int(first["low"]), int(first["high"]))
+        feature, low, high = pdf["feature"].iloc[0], int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+        common = {s: (members[low][s], members[high][s]) for s in members[low].keys() & members[high].keys() if (s, feature) in bases}
+        wanted = sorted({base for s in common for base in bases[s, feature]})
+        tally = {base: np.zeros(bins, dtype=np.int64) for base in wanted}
+        own = {base: np.zeros(bins, dtype=np.int64) for base in wanted}
+        mask = np.zeros(BINS[0], dtype=bool)
+        mask[np.minimum([int(base * BINS[0]) for base in wanted], BINS[0] - 1).astype(int) if wanted else []] = True
+
+        def add(values: np.ndarray, to: dict[float, np.ndarray]) -> None:
+            if np.isnan(values).any():
+                values = values[~np.isnan(values)]
+            if width < 1.0:
+                values = values[mask[np.minimum((values * BINS[0]).astype(np.int32), BINS[0] - 1)]]
+            for base in wanted:
+                inside = values if width >= 1.0 else values[(values >= base) & ((values < base + width) | (base + width >= 1.0))]
+                to[base] += np.bincount(np.minimum(((inside - base) / step).astype(np.int64), bins - 1), minlength=bins)
+
+        parts = {int(b): np.stack(v.to_numpy()) for b, v in pdf.groupby("block")["vector"]}
+        if wanted and low in parts and high in parts:
+            for values in _strips(parts[low], None if low == high else parts[high]):
+                add(values, tally)
+            if low == high and any(a > 1 for a, _ in common.values()):  # a unit listed twice meets itself
+                add(np.minimum(np.einsum("ij,ij->i", parts[low], parts[low]), 1.0), own)
         found = []
-        for base in first["bases"]:
-            inside = values[(values >= base) & ((values < base + width) | (base + width >= 1.0))]
-            bins, counts = np.unique(np.minimum((inside - base) / step, BINS - 1).astype(np.int64), return_counts=True)
-            found.append(pd.DataFrame({"scope": first["scope"], "feature": first["feature"], "base": base, "bin": bins, "n": counts}))
-        return pd.concat(found, ignore_index=True)
+        for scope, (a, b) in common.items():
+            for base in bases[scope, feature]:
+                n = tally[base] * (a * b) + own[base] * (a * (a - 1) // 2)
+                at = np.flatnonzero(n)
+                found.append(pd.DataFrame({"scope": scope, "feature": feature, "base": base, "bin": at, "n": n[at]}))
+        empty = pd.DataFrame({"scope": pd.Series(dtype=str), "feature": pd.Series(dtype=str), "base": pd.Series(dtype=float), "bin": pd.Series(dtype=int), "n": pd.Series(dtype=int)})
+        return pd.concat(found, ignore_index=True) if found else empty
 
     return count_bins
 
 
-def trendability(grid: DataFrame, members: DataFrame, block_units: int = BLOCK_UNITS) -> DataFrame:
+def unit_blocks(members: DataFrame, pair_units: int = PAIR_UNITS) -> DataFrame:
+    """Units in blocks of at most `pair_units` that belong to the same scopes: unit_id, scopes, block.
+
+    A pair of blocks then lies in certain scopes as a whole, so its product serves all of them.
+    """
+    placed = members.where("unit_id IS NOT NULL").groupBy("unit_id").agg(F.sort_array(F.collect_list("scope")).alias("scopes")).withColumn("_key", F.array_join("scopes", "\n"))
+    nth = running(placed, ["_key"], ["unit_id"], {"_nth": ("sum", F.lit(1).cast("bigint"))})
+    sized = cut(with_totals(nth, ["_key"], {"_units": F.count(F.lit(1))}).withColumn("_part", F.pmod(F.col("_nth"), F.ceil(F.col("_units") / pair_units))))
+    # one row per block
+    numbered = sized.select("_key", "_part").distinct().withColumn("block", F.row_number().over(Window.orderBy("_key", "_part")))
+    return sized.join(F.broadcast(numbered), ["_key", "_part"]).select("unit_id", "scopes", "block")
+
+
+def trendability(grid: DataFrame, members: DataFrame, block_units: int = BLOCK_UNITS, pair_units: int = PAIR_UNITS) -> DataFrame:
     """Median absolute correlation over all unit pairs of each scope, and the number of pairs.
 
-    Units form blocks and block pairs are multiplied as matrices; pairs are only counted into bins, never
-    emitted. Each level keeps the bin that holds the median, so four levels resolve it to 4096**-4.
+    Scopes of up to `block_units` units are one matrix product each. Beyond that units of the same scopes form blocks (`unit_blocks`), and each
+    pair of blocks is multiplied once for all scopes; pairs are only counted into bins, never emitted. Each pass keeps the bin that holds the
+    median, so three of them resolve it to 2**-44. Work grows with the square of the units, memory does not.
     """
-    keys = ["scope", "feature"]
-    vectors = _vectors(grid).join(members, "unit_id")
-    everyone = grid.select("unit_id", "feature").distinct().join(members, "unit_id").select(*keys).distinct()
+    keys, spark = ["scope", "feature"], grid.sparkSession
+    vectors = cut(_vectors(grid))
+    everyone = vectors.select("unit_id", "feature").join(members, "unit_id").select(*keys).distinct()
+    vectors = vectors.where("vector IS NOT NULL")
     largest = members.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= block_units:
         # every scope is a single block: its pairs fit one small matrix product
-        found = vectors.select(*keys, "vector").groupBy(*keys).applyInPandas(_block_median, "scope string, feature string, trendability double, trendability_valid_pairs bigint")
+        found = vectors.join(members, "unit_id").select(*keys, "vector").groupBy(*keys).applyInPandas(_block_median, "scope string, feature string, trendability double, trendability_valid_pairs bigint")
         return everyone.join(found, keys, "left").fillna(0, ["trendability", "trendability_valid_pairs"])
-    vectors = cut(vectors)
-    placed = running(vectors.select("scope", "feature", "unit_id"), ["scope", "feature"], ["unit_id"], {"_nth": ("sum", F.lit(1).cast("bigint"))})
-    blocked = with_totals(
-        placed.withColumn("block", F.floor((F.col("_nth") - 1) / block_units)), ["scope", "feature"], {"_last": F.max("block"), "_units": F.count(F.lit(1))}
+    placed = cut(vectors.join(unit_blocks(members, pair_units), "unit_id"))
+    inside: dict[int, dict[str, int]] = {}
+    sizes: dict[tuple[str, str], int] = {}
+    for r in placed.groupBy("block", "scopes", "feature").count().collect():  # one row per block and feature
+        inside[r["block"]] = {s: r["scopes"].count(s) for s in r["scopes"]}
+        for scope, times in inside[r["block"]].items():
+            sizes[scope, r["feature"]] = sizes.get((scope, r["feature"]), 0) + times * r["count"]
+    pairs = {k: n * (n - 1) // 2 for k, n in sizes.items() if n > 1}
+    # the one or two middle ranks of every scope and feature: rank, base, pairs below the base
+    state = {k: [(rank, 0.0, 0) for rank in sorted({(n - 1) // 2, n // 2})] for k, n in pairs.items()}
+    others = F.array(*[F.lit(b) for b in sorted(inside)]) if inside else F.array().cast("array<int>")
+    sent = placed.select("feature", "block", "vector", F.explode(others).alias("_other")).select(
+        "feature", "block", "vector", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")
     )
-    sent = (
-        blocked.join(vectors, ["scope", "feature", "unit_id"])
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
-        .select("scope", "feature", "block", "vector", "_units", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
-        # a member of a diagonal pair is sent once
-        .where("low <> high OR low = block")
-    )
-    pairs = blocked.groupBy("scope", "feature").agg((F.max("_units") * (F.max("_units") - 1) / 2).cast("bigint").alias("pairs"))
-    halves = pairs.where("pairs > 0").select(
-        "scope", "feature", "pairs",
-        F.explode(F.array(F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2))).alias("rank"),
-    ).distinct().withColumns({"base": F.lit(0.0), "before": F.lit(0).cast("bigint")})
-
+    tasks = max(1, min(2000, len(inside) * (len(inside) + 1)))  # a small block pair may take long
     width = 1.0
-    for _ in range(LEVELS):
-        step = width / BINS
-        bases = halves.groupBy("scope", "feature").agg(F.collect_set("base").alias("bases"))  # one or two per group
+    for bins in BINS:
+        step = width / bins
+        bases = {k: sorted({base for _, base, _ in v}) for k, v in state.items()}
+        wanted = [(*k, i, int(rank - before), base) for k, v in state.items() for i, (rank, base, before) in enumerate(v)]
         counts = (
-            sent.join(bases, ["scope", "feature"])
-            .groupBy("scope", "feature", "low", "high")
-            .applyInPandas(_bin_counter(width), "scope string, feature string, base double, bin bigint, n bigint")
+            sent.repartition(tasks, "feature", "low", "high").groupBy("feature", "low", "high")
+            .applyInPandas(_bin_counter(inside, bases, width, bins), "scope string, feature string, base double, bin bigint, n bigint")
             .groupBy("scope", "feature", "base", "bin")
             .agg(F.sum("n").alias("n"))
         )
-        # at most BINS rows per base
-        upto = F.sum("n").over(Window.partitionBy("scope", "feature", "base").orderBy("bin"))
-        halves = (
-            halves.join(counts.withColumn("_upto", upto), ["scope", "feature", "base"])
-            .where((F.col("before") + F.col("_upto") > F.col("rank")) & (F.col("before") + F.col("_upto") - F.col("n") <= F.col("rank")))
-            .select(
-                "scope", "feature", "pairs", "rank",
-                (F.col("base") + F.col("bin") * F.lit(step)).alias("base"),
-                (F.col("before") + F.col("_upto") - F.col("n")).alias("before"),
-            )
-        )
+        # at most `bins` rows per base
+        upto = counts.withColumn("_upto", F.sum("n").over(Window.partitionBy("scope", "feature", "base").orderBy("bin")))
+        asked = parameter_table(spark, wanted, "scope string, feature string, which int, rest bigint, base double")
+        met = upto.join(F.broadcast(asked), ["scope", "feature", "base"]).where("_upto > rest AND _upto - n <= rest")
+        state_, state = state, {}
+        for r in met.select("scope", "feature", "which", "bin", (F.col("_upto") - F.col("n")).alias("less")).collect():  # at most two per scope and feature
+            rank, base, before = state_[r["scope"], r["feature"]][r["which"]]
+            state.setdefault((r["scope"], r["feature"]), []).append((rank, base + r["bin"] * step, before + r["less"]))
         width = step
-    found = halves.groupBy("scope", "feature").agg(F.avg("base").alias("trendability"), F.max("pairs").alias("trendability_valid_pairs"))
-    return everyone.join(found, ["scope", "feature"], "left").fillna(0, ["trendability", "trendability_valid_pairs"])
+    rows = [(*k, float(np.mean([base for _, base, _ in v])), pairs[k]) for k, v in state.items()]
+    found = parameter_table(spark, rows, "scope string, feature string, trendability double, trendability_valid_pairs bigint")
+    return everyone.join(found, keys, "left").fillna(0, ["trendability", "trendability_valid_pairs"])
 
 
 def endpoint_medians(long: DataFrame, first: float = 0.1, last: float = 0.1, split: bool | None = None) -> DataFrame:
