@@ -54,7 +54,7 @@ def robust_parameters(rows: DataFrame, scope: Sequence[str], split: bool | None
 def apply_scale(long: DataFrame, parameters: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Scaled values in long form; rows repeat per scope where `long` has no scope column."""
     keys = [c for c in [*scope, "feature"] if c in long.columns]
-    return long.join(parameters, keys).withColumn("scaled", (F.col("value") - F.col("center")) / F.col("scale"))
+    return long.join(F.broadcast(parameters), keys).withColumn("scaled", (F.col("value") - F.col("center")) / F.col("scale"))
 
 
 def transformed(long: DataFrame, parameters: DataFrame, scope: Sequence[str], keys: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wearline.functions.rounding import settle_halves
+from wearline.session import measured_joins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = query
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            measured_joins(spark)
+            return query(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(settle_halves(sql))
         return query

@@ -47,6 +47,20 @@ def fits_one_task(df: DataFrame) -> bool:
     return source_bytes(df) <= limit
 
 
+def measured_joins(spark: SparkSession) -> None:
+    """Let only adaptive execution choose broadcasts, by the bytes it has measured, never the planner by file sizes.
+
+    A written table is many times smaller in Parquet than in memory, so a size read off its files sends far more through the driver
+    than the limit says. The limit itself stays the session's.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(static)
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and limit != "-1":
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, limit)
+        spark.conf.set(static, "-1")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only local mode may fall back to a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -89,7 +103,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A few fitted numbers as a local relation, whose exact size the optimizer knows."""
+    """A few fitted numbers as a local relation, broadcast where rows are joined to them."""
     kind = T.StructType.fromDDL(schema)
     columns = {f.name: [r[i] for r in rows] for i, f in enumerate(kind.fields)}
-    return spark.createDataFrame(pa.table(columns), schema=kind)
+    return spark.createDataFrame(pa.table(columns), schema=kind).hint("broadcast")
