@@ -68,3 +68,22 @@ def test_support(spark):
     assert st.harmony_issues(data).count() == 0
     codes = {r["code"] for r in st.harmony_issues(data.unionByName(data.limit(1).withColumn("rul_minutes", F.lit(9.0)))).collect()}
     assert codes == {"duplicate_key", "truth_mismatch"}
+
+
+def test_bootstrap_emits_no_row_per_draw_and_equals_the_joined_draws(spark, monkeypatch):
+    rows = [(f, c, u, e, float(u * 7 % 5) + (e == "b") * (u % 3) - 1.5, None if u == 4 and e == "a" else float(u % 4)) for f, c, u in [(0, 1, 1), (1, 1, 1), (0, 1, 2), (0, 2, 4), (0, 2, 5), (0, 2, 6), (0, 2, None)] for e in "ab" if u is not None]
+    units = spark.createDataFrame(rows + [(0, 2, None, "a", 1.0, 1.0)], "fold int, condition_id long, unit_id long, experiment string, mae double, rmse double")
+    table = units.where("experiment = 'a'").withColumn("delta_mae", F.col("rmse") - 1.5)
+
+    def both(make):
+        whole = sorted(map(tuple, make(True).collect()))
+        with monkeypatch.context() as m:  # the packed plan asks for no draws
+            m.setattr(st, "resample_units", None)
+            packed = sorted(map(tuple, make(False).collect()))
+        assert len(whole) == len(packed)
+        for a, b in zip(whole, packed):
+            assert a == pytest.approx(b)
+
+    both(lambda split: st.bootstrap_difference(table, 150, split=split))
+    both(lambda split: st.bootstrap_ranks(units, 150, split=split))
+    both(lambda split: st.bootstrap_metrics(units, ["mae", "rmse"], 150, split=split))

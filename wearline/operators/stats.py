@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from wearline.operators.scale import average_ranks, index_units, percentiles, running, with_totals
 from wearline.operators.trajectory import correlation
+from wearline.session import cut
 
 KEY = ["fold", "condition_id", "unit_id", "acquisition_number"]
 
@@ -117,22 +119,115 @@ def resample_units(units: DataFrame, strata: Sequence[str], replicates: int, see
     return drawn.join(placed.select(*strata, "sequence_index", key), [*strata, "sequence_index"]).select("replicate", *strata, key)
 
 
+#: Rows (units times models) up to which a task holds the whole unit table and draws its replicates itself.
+DRAWN_ROWS = 4_000_000
+#: Tasks the replicates are dealt to.
+DRAW_TASKS = 128
+
+
+def _replicated(rows: DataFrame, strata: Sequence[str], replicates: int, seed: int, key: str, summarise: Callable[[pd.DataFrame], Callable[[np.ndarray], list[tuple]]], schema: str, split: bool | None) -> DataFrame:
+    """The draws of `resample_units`, summed up per replicate without a row per draw.
+
+    Replicates are dealt to tasks, each of which gets the (small) unit table, works out the slots' picks and so how often every row is drawn.
+    `summarise` takes that table once and then the counts of every replicate.
+    """
+    distinct = rows.select(*strata, key).distinct()
+    placed = with_totals(index_units(distinct, strata, [key], split), strata, {"_n": F.count(F.lit(1))}, split)
+    table = rows.join(placed.withColumnsRenamed({"sequence_index": "_at"}), [*strata, key]).withColumn("_label", F.concat_ws("|", *strata))
+    dealt = table.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(DRAW_TASKS - 1)))).repartition(DRAW_TASKS, "_task")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        measure, task, out = summarise(pdf), int(pdf["_task"].iloc[0]), []
+        strata_rows = [(label, int(part["_n"].iloc[0]), part.index.to_numpy(), part["_at"].to_numpy()) for label, part in pdf.reset_index(drop=True).groupby("_label")]
+        slots = [b"%d" % i for i in range(max(n for _, n, _, _ in strata_rows))]
+        for replicate in range(task, replicates, DRAW_TASKS):
+            times = np.zeros(len(pdf), dtype=np.int64)
+            for label, n, spots, at in strata_rows:
+                head = f"{seed}|{replicate}|{label}|".encode()
+                digests = b"".join([hashlib.md5(head + slot, usedforsecurity=False).digest() for slot in slots[:n]])
+                picks = (np.frombuffer(digests, dtype=">u8")[::2] >> 16).astype(np.int64) % n  # the first 48 of 128 bits
+                times[spots] = np.bincount(picks, minlength=n)[at]
+            if times.any():
+                out += [(replicate, *r) for r in measure(times)]
+        return pd.DataFrame(out, columns=names)
+
+    return dealt.groupBy("_task").applyInPandas(draw, schema)
+
+
+def _packs(rows: DataFrame, split: bool | None) -> bool:
+    return not split and rows.count() <= DRAWN_ROWS
+
+
+def _difference_summary(pdf: pd.DataFrame) -> Callable[[np.ndarray], list[tuple]]:
+    known = pdf["_known"].to_numpy()
+    d = pdf["delta_mae"].to_numpy(float)[known]
+    order = np.argsort(d, kind="stable")  # NaN comes last, as in Spark
+    ordered, below = d[order], (d < 0).astype(float)
+
+    def measure(times: np.ndarray) -> list[tuple]:
+        drawn = times[known]
+        upto = np.cumsum(drawn[order])
+        if not len(upto) or not upto[-1]:
+            return [(None, None, None)]
+        total, hit = int(upto[-1]), drawn > 0
+        low, high = (ordered[np.searchsorted(upto, k, side="right")] for k in ((total - 1) // 2, total // 2))
+        return [(float((low + high) / 2), float(drawn[hit] @ d[hit]) / total, float(drawn @ below) / total)]
+
+    return measure
+
+
+def _model_means(metrics: Sequence[str]):
+    def summarise(pdf: pd.DataFrame) -> Callable[[np.ndarray], list[tuple]]:
+        parts = [
+            (None if pd.isna(name) else name, part.index.to_numpy(), [(part[f"_known_{m}"].to_numpy(), part[m].to_numpy(float)) for m in metrics])
+            for name, part in pdf.reset_index(drop=True).groupby("experiment", dropna=False)
+        ]
+
+        def mean(drawn: np.ndarray, known: np.ndarray, values: np.ndarray) -> float | None:
+            hit = known & (drawn > 0)
+            n = int(drawn[hit].sum())
+            return float(drawn[hit] @ values[hit]) / n if n else None
+
+        def measure(times: np.ndarray) -> list[tuple]:
+            drawn = [(name, times[spots], columns) for name, spots, columns in parts]
+            return [(name, *[mean(t, *c) for c in columns]) for name, t, columns in drawn if t.any()]
+
+        return measure
+
+    return summarise
+
+
+def _replicate_means(units: DataFrame, metrics: Sequence[str], replicates: int, seed: int, split: bool | None) -> DataFrame:
+    """Mean of every metric per replicate and model."""
+    rows = units.select("condition_id", "unit_id", "experiment", *[F.col(m).cast("double").alias(m) for m in metrics])
+    if not _packs(units, split):
+        draws = resample_units(units, ["condition_id"], replicates, seed, split=split)
+        return draws.join(rows, ["condition_id", "unit_id"]).groupBy("replicate", "experiment").agg(*[F.avg(m).alias(m) for m in metrics])
+    known = rows.select("*", *[F.col(m).isNotNull().alias(f"_known_{m}") for m in metrics])
+    schema = f"replicate int, experiment {units.schema['experiment'].dataType.simpleString()}, " + ", ".join(f"{m} double" for m in metrics)
+    return _replicated(known, ["condition_id"], replicates, seed, "unit_id", _model_means(metrics), schema, split)
+
+
 def bootstrap_difference(table: DataFrame, replicates: int = REPLICATES, seed: int = 42, confidence: float = 0.95, strata: Sequence[str] = ("condition_id",), split: bool | None = None) -> DataFrame:
     """Percentile intervals of the mean, median and win rate of the paired differences."""
     base = table if strata else table.withColumn("_one", F.lit(0))
     strata = list(strata) or ["_one"]
-    draws = resample_units(base, strata, replicates, seed, split=split).join(base.select(*strata, "unit_id", "delta_mae"), [*strata, "unit_id"])
     d = F.col("delta_mae")
-    stats = percentiles(draws, ["replicate"], {"median": (d, 0.5)}, {"mean": F.avg(d), "win": F.avg((d < 0).cast("double"))}, split)
+    if _packs(base, split):
+        known = base.select(*strata, "unit_id", d.cast("double").alias("delta_mae"), d.isNotNull().alias("_known"))
+        stats = _replicated(known, strata, replicates, seed, "unit_id", _difference_summary, "replicate int, median double, mean double, win double", split)
+    else:
+        draws = resample_units(base, strata, replicates, seed, split=split).join(base.select(*strata, "unit_id", "delta_mae"), [*strata, "unit_id"])
+        stats = percentiles(draws, ["replicate"], {"median": (d, 0.5)}, {"mean": F.avg(d), "win": F.avg((d < 0).cast("double"))}, split)
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     wanted = {f"{s}_ci_{side}": (F.col(s), p) for s in ("mean", "median", "win") for side, p in (("lower", low), ("upper", high))}
-    return percentiles(stats, [], wanted, {"effective_replicates": F.count("mean"), "failed_replicates": F.count_if(F.col("mean").isNull())}, split)
+    return percentiles(cut(stats), [], wanted, {"effective_replicates": F.count("mean"), "failed_replicates": F.count_if(F.col("mean").isNull())}, split)
 
 
 def bootstrap_ranks(units: DataFrame, replicates: int = REPLICATES, seed: int = 42, split: bool | None = None) -> DataFrame:
     """Share of replicates in which each model has the smallest mean error; ties go to the first name."""
-    draws = resample_units(units, ["condition_id"], replicates, seed, split=split)
-    scores = draws.join(units.select("condition_id", "unit_id", "experiment", "mae"), ["condition_id", "unit_id"]).groupBy("replicate", "experiment").agg(F.round(F.avg("mae"), 9).alias("score"))
+    scores = _replicate_means(units, ["mae"], replicates, seed, split).select("replicate", "experiment", F.round("mae", 9).alias("score"))
     best = scores.groupBy("replicate").agg(F.min_by("experiment", F.struct("score", "experiment")).alias("experiment"))
     firsts = best.groupBy("experiment").agg((F.count(F.lit(1)) / replicates).alias("_p"))
     return units.select("experiment").distinct().join(firsts, "experiment", "left").select("experiment", F.coalesce("_p", F.lit(0.0)).alias("bootstrap_rank_first_probability"))
@@ -140,9 +235,7 @@ def bootstrap_ranks(units: DataFrame, replicates: int = REPLICATES, seed: int =
 
 def bootstrap_metrics(units: DataFrame, metrics: Sequence[str], replicates: int = REPLICATES, seed: int = 42, confidence: float = 0.95, split: bool | None = None) -> DataFrame:
     """Percentile intervals of each model's mean errors; a failed replicate is NULL and counted."""
-    draws = resample_units(units, ["condition_id"], replicates, seed, split=split)
-    joined = draws.join(units.select("condition_id", "unit_id", "experiment", *metrics), ["condition_id", "unit_id"])
-    means = joined.groupBy("experiment", "replicate").agg(*[F.avg(m).alias(m) for m in metrics])
+    means = cut(_replicate_means(units, metrics, replicates, seed, split))
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     wanted = {f"{m}_ci_{side}": (F.col(m), p) for m in metrics for side, p in (("lower", low), ("upper", high))}
     failed = {f"{m}_failed_replicates": F.count_if(F.col(m).isNull()) for m in metrics}
