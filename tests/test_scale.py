@@ -91,3 +91,45 @@ def test_percentiles_of_long_expressions_stay_apart(hot):
     row = sc.percentiles(df, [], {"a": (one, 0.9), "b": (two, 0.9)}, split=True).first()
     same = sc.percentiles(df, [], {"a": (one, 0.9), "b": (two, 0.9)}, split=False).first()
     assert (row["a"], row["b"]) == (same["a"], same["b"])
+
+
+def test_the_largest_group_decides_beyond_small_sources(spark, hot, monkeypatch):
+    from wearline.session import TASK_BYTES_KEY
+
+    df, unit = hot
+    most, before = int(np.bincount(unit).max()), spark.conf.get(TASK_BYTES_KEY)
+    total = lambda: sc.running(df, ["unit"], ["at"], {"s": ("sum", F.col("v"))})
+    middle = lambda: sc.percentiles(df, ["unit"], {"a": (F.col("v"), 0.25), "b": (F.col("v"), 0.5), "c": (-F.col("v"), 0.5)})
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    want = rows(total()), rows(middle())
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(sc, "cut", None)  # the plans that split groups write blocks
+            spark.conf.set(TASK_BYTES_KEY, str(most * 64))
+            assert (rows(total()), rows(middle())) == want
+        spark.conf.set(TASK_BYTES_KEY, str((most - 1) * 64))
+        with monkeypatch.context() as m:
+            m.setattr(sc, "cut", None)
+            for make in (total, middle):
+                with pytest.raises(TypeError):
+                    make()
+        assert (rows(total()), rows(middle())) == want
+    finally:
+        spark.conf.set(TASK_BYTES_KEY, before)
+
+
+def test_groups_that_grew_beyond_a_task_are_split(spark, monkeypatch, tmp_path):
+    from wearline.session import TASK_BYTES_KEY
+
+    before = spark.conf.get(TASK_BYTES_KEY)
+    spark.range(50).write.parquet(f"{tmp_path}/few")
+    size = sum(f.stat().st_size for f in (tmp_path / "few").glob("*.parquet"))
+    grown = spark.read.parquet(f"{tmp_path}/few").select((F.col("id") % 2).alias("g"), F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("v"))
+    plans = []
+    monkeypatch.setattr(sc, "running", lambda *a, _run=sc.running, **k: plans.append(1) or _run(*a, **k))
+    try:
+        spark.conf.set(TASK_BYTES_KEY, str(size * 2))  # the source fits one task, its 50,000 rows a group do not
+        got = sc.percentiles(grown, ["g"], {"m": (F.col("v"), 0.5)}, grown=True).collect()
+        assert plans and {r["m"] for r in got} == {1000.5}
+    finally:
+        spark.conf.set(TASK_BYTES_KEY, before)
