@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wearline.operators import health as he
 
@@ -109,3 +110,26 @@ def test_median_gap_by_digits(spark):
         tiles = spark.createDataFrame(rows, "unit_id string, later bigint, earlier bigint, rows bigint, rows_before bigint, a array<double>, b array<double>")
         gaps = ((x[:, None] - x[None, :]) ** 2)[np.triu_indices(len(x), 1)]
         assert he._median_gaps(tiles, ["unit_id"]).first()["middle"] == np.median(gaps)
+
+
+def test_yeo_johnson_repeats_no_row_per_candidate(spark, monkeypatch):
+    from wearline.operators import scaling as sc
+
+    rng = np.random.default_rng(3)
+    values = {"skewed": np.exp(rng.normal(size=500)), "signed": rng.normal(size=400), "big": 1e6 + rng.uniform(size=300), "same": np.ones(20), "none": [None] * 3}
+    rows = [(f, None if v is None else float(v)) for f, list_ in values.items() for v in list_] + [("signed", None), (None, 1.0)]
+    long = spark.createDataFrame(rows, "feature string, value double").repartition(6)
+    best = sc.yeo_johnson_lambdas(long)
+    assert "Explode" not in best._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["feature"]: (r["lambda"], r["log_likelihood"]) for r in best.collect()}
+    assert got.keys() == {"skewed", "signed", "big"}  # without spread there is no fit
+    for feature, (lam, likelihood) in got.items():
+        x = np.array([v for v in values[feature]], dtype=float)
+        n = len(x) + (feature == "signed")
+
+        def fit(at):
+            moved = spark.createDataFrame([(float(v),) for v in x], "v double").select(sc.yeo_johnson(F.col("v"), F.lit(float(at))).alias("m")).agg(F.var_pop("m")).first()[0]
+            return -n / 2 * np.log(moved) + (at - 1) * np.sum(np.sign(x) * np.log1p(np.abs(x)))
+
+        assert likelihood == pytest.approx(fit(lam), rel=1e-6)
+        assert all(fit(lam) >= fit(lam + d) - 1e-6 * abs(likelihood) for d in (-0.05, 0.05))

@@ -9,13 +9,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.operators.folds import UNIT
 from wearline.operators.scale import average_ranks, percentiles
 from wearline.operators.trajectory import correlation, resample
-from wearline.session import parameter_table
+from wearline.session import cut, parameter_table
 
 #: Name parts of heavy-tailed features. Fixed values.
 LOG_TOKENS = (
@@ -71,24 +71,70 @@ def yeo_johnson(value: Column, lam: Column) -> Column:
     return F.when(value >= 0, positive).otherwise(negative)
 
 
+def _moved(logs: np.ndarray, lam: float) -> np.ndarray:
+    """The transform of numbers that are not negative, from their log1p."""
+    return logs if lam == 0 else (np.exp(lam * logs) - 1) / lam
+
+
+def _candidate_moments(candidates: dict[str, Sequence[float]]):
+    """One task's rows (feature, value) to the rows, known values, mean, squared deviations and log-Jacobian of every candidate."""
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, jacobian, found = {}, {}, {}
+        for pdf in batches:
+            for feature, part in pdf.groupby("feature"):
+                if feature not in candidates:
+                    continue
+                rows[feature] = rows.get(feature, 0) + len(part)
+                x = part["value"].to_numpy(float)[part["known"].to_numpy(bool)]
+                if not len(x):
+                    continue
+                above, logs = x >= 0, np.log1p(np.abs(x))
+                jacobian[feature] = jacobian.get(feature, 0.0) + logs[above].sum() - logs[~above].sum()
+                n = len(x)
+                if x.min() == x.max():  # equal values have no spread, not even that of rounding
+                    above, logs = above[:1], logs[:1]
+                up, down = logs[above], logs[~above]
+                for lam in candidates[feature]:
+                    moved = np.concatenate([_moved(up, lam), -_moved(down, 2 - lam)])
+                    mean = moved.mean()
+                    square = np.square(moved - mean).sum()
+                    if (feature, lam) not in found:
+                        found[feature, lam] = (n, mean, square)
+                        continue
+                    n0, mean0, square0 = found[feature, lam]
+                    gap, both = mean - mean0, n0 + n
+                    found[feature, lam] = (both, mean0 + gap * n / both, square0 + square + gap * gap * n0 * n / both)
+        out = [(f, lam, rows[f], *found.get((f, lam), (0, 0.0, 0.0)), jacobian.get(f, 0.0)) for f in rows for lam in candidates[f]]
+        yield pd.DataFrame(out, columns=["feature", "candidate", "n", "known", "mean", "square", "jacobian"])
+
+    return moments
+
+
 def yeo_johnson_lambdas(long: DataFrame, low: float = -3.0, high: float = 3.0, points: int = 61, rounds: int = 2) -> DataFrame:
     """Most likely lambda per feature by a candidate grid, refined around the best one.
 
-    Every candidate is one partial aggregate per feature, so each round is a single pass.
+    Each round is a single pass: tasks add up the moments of all candidates of their rows, so no row is repeated per candidate and no
+    exchange carries rows. The few candidates per feature go through the driver.
     """
     best = long.select("feature").distinct().withColumn("lambda", F.lit((low + high) / 2))
+    rows = long.select("feature", F.col("value").cast("double").alias("value"), F.col("value").isNotNull().alias("known"))
     half = (high - low) / 2
     for _ in range(rounds):
         step = 2 * half / (points - 1)
-        offsets = F.array(*[F.col("lambda") + F.lit(k * step - half) for k in range(points)])
-        grid = best.select("feature", F.explode(offsets).alias("candidate"))
-        tried = long.join(grid, "feature").withColumn("candidate", F.round("candidate", 9))
-        moved = yeo_johnson(F.col("value"), F.col("candidate"))
-        fit = tried.groupBy("feature", "candidate").agg(
-            F.var_pop(moved).alias("var"), F.count(F.lit(1)).alias("n"), F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("jacobian")
+        offsets = F.array(*[F.round(F.col("lambda") + F.lit(k * step - half), 9) for k in range(points)])
+        candidates = {r["feature"]: r["offsets"] for r in best.where("feature IS NOT NULL").select("feature", offsets.alias("offsets")).collect()}
+        parts = rows.mapInPandas(_candidate_moments(candidates), "feature string, candidate double, n bigint, known bigint, mean double, square double, jacobian double")
+        w = Window.partitionBy("feature", "candidate")  # one row per task
+        off = F.col("mean") - F.col("_centre")
+        own = F.when(F.col("known") > 0, F.col("mean"))
+        centre = F.when(F.min(own).over(w) == F.max(own).over(w), F.max(own).over(w)).otherwise(F.try_divide(F.sum(F.col("known") * own).over(w), F.sum("known").over(w)))
+        fit = parts.withColumn("_centre", centre).groupBy("feature", "candidate").agg(
+            F.try_divide(F.sum(F.when(F.col("known") > 0, F.col("square") + F.col("known") * off * off)), F.sum("known")).alias("var"),
+            F.sum("n").alias("n"), F.sum("jacobian").alias("jacobian"),
         ).where("var > 0")
         likelihood = -F.col("n") / 2 * F.ln("var") + (F.col("candidate") - 1) * F.col("jacobian")
-        best = fit.groupBy("feature").agg(F.max_by("candidate", F.struct(likelihood, -F.abs("candidate"))).alias("lambda"), F.max(likelihood).alias("log_likelihood"))
+        best = cut(fit.groupBy("feature").agg(F.max_by("candidate", F.struct(likelihood, -F.abs("candidate"))).alias("lambda"), F.max(likelihood).alias("log_likelihood")))
         half = step
     return best
 
