@@ -133,3 +133,17 @@ def test_yeo_johnson_repeats_no_row_per_candidate(spark, monkeypatch):
 
         assert likelihood == pytest.approx(fit(lam), rel=1e-6)
         assert all(fit(lam) >= fit(lam + d) - 1e-6 * abs(likelihood) for d in (-0.05, 0.05))
+
+
+def test_stability_takes_no_join(spark):
+    rows = [(0, 1, 1, p, "detected" if p % 3 else "not_detected", float(p), p / 40) for p in range(12)] + [(0, 1, 2, p, "not_detected", None, None) for p in range(4)]
+    df = spark.createDataFrame(rows, "fold int, condition_id bigint, unit_id bigint, parameter_id bigint, onset_status string, onset_elapsed_minutes double, life_fraction_at_onset double")
+    keys = ["fold", "condition_id", "unit_id"]
+    one, two = (he.stability(df, keys, minutes=3.0, split=s) for s in (False, True))
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    at = np.array([p for p in range(12) if p % 3], dtype=float)
+    row = one.where("unit_id = 1").first()
+    assert (row["median_onset_minutes"], row["detection_proportion"]) == (np.median(at), pytest.approx(8 / 12))
+    assert row["onset_iqr_minutes"] == pytest.approx(np.subtract(*np.quantile(at, [0.75, 0.25])))
+    assert row["agreement_within_minutes"] == pytest.approx(np.mean(np.abs(at - np.median(at)) <= 3.0))

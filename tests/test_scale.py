@@ -133,3 +133,15 @@ def test_groups_that_grew_beyond_a_task_are_split(spark, monkeypatch, tmp_path):
         assert plans and {r["m"] for r in got} == {1000.5}
     finally:
         spark.conf.set(TASK_BYTES_KEY, before)
+
+
+def test_group_percentiles_on_every_row_need_no_join(spark, hot):
+    df, _ = hot
+    one = sc.with_percentiles(df, ["unit"], {"m": (F.col("v"), 0.5), "q": (F.col("v"), 0.25)}, split=False)
+    two = sc.with_percentiles(df, ["unit"], {"m": (F.col("v"), 0.5), "q": (F.col("v"), 0.25)}, split=True)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(one) and "Join" in plan(two)
+    assert np.allclose(sorted(map(tuple, one.collect())), sorted(map(tuple, two.collect())))
+    lost = spark.createDataFrame([(None, 1.0), (1, 2.0), (1, 4.0)], "unit bigint, v double")
+    for split in (False, True):  # rows without a key drop out of both
+        assert [tuple(r) for r in sc.with_percentiles(lost, ["unit"], {"m": (F.col("v"), 0.5)}, split).orderBy("v").collect()] == [(1, 2.0, 3.0), (1, 4.0, 3.0)]

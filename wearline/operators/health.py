@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wearline.operators.scale import percentiles, rolling_median, rows_back, same_keys, trailing
+from wearline.operators.scale import percentiles, rolling_median, rows_back, same_keys, trailing, with_percentiles, with_totals
 from wearline.session import cut
 
 #: Change-point grid. Fixed values.
@@ -53,18 +53,16 @@ def centred(df: DataFrame, unit: Sequence[str], value: str, fraction: float = 0.
     b = baseline_rows(F.col("total_acquisitions"), fraction, least)
     checked = F.when(b < F.col("total_acquisitions"), b).otherwise(F.raise_error(F.lit("no rows left after the baseline")).cast("bigint"))
     base = df.withColumn("baseline_acquisitions", checked)
-    middle = percentiles(
-        base, unit, {"baseline_center": (F.when(F.col("sequence_index") < F.col("baseline_acquisitions"), F.col(value)), 0.5)}, split=split
-    )
-    return base.join(middle, list(unit)).withColumn("centered", F.col(value) - F.col("baseline_center"))
+    first = F.when(F.col("sequence_index") < F.col("baseline_acquisitions"), F.col(value))
+    middle = with_percentiles(base, unit, {"baseline_center": (first, 0.5)}, split)
+    return middle.withColumn("centered", F.col(value) - F.col("baseline_center"))
 
 
 def robust_scale(df: DataFrame, unit: Sequence[str], value: Column, split: bool | None = None) -> DataFrame:
     """1.4826 * MAD of the non-NULL values, the standard deviation if that is zero, at least epsilon."""
     rows = df.select(*unit, value.alias("_v"))
-    middle = percentiles(rows, unit, {"_mid": (F.col("_v"), 0.5)}, split=split)
     spread = percentiles(
-        rows.join(middle, list(unit)), unit, {"_mad": (F.abs(F.col("_v") - F.col("_mid")), 0.5)}, {"_sd": F.stddev_pop("_v")}, split
+        with_percentiles(rows, unit, {"_mid": (F.col("_v"), 0.5)}, split), unit, {"_mad": (F.abs(F.col("_v") - F.col("_mid")), 0.5)}, {"_sd": F.stddev_pop("_v")}, split
     )
     mad = F.lit(1.4826) * F.col("_mad")
     return spread.select(*unit, F.greatest(F.when(mad == 0, F.col("_sd")).otherwise(mad), F.lit(EPSILON)).alias("robust_scale"))
@@ -492,21 +490,23 @@ def stability(sensitivity: DataFrame, keys: Sequence[str], minutes: float = 10.0
     keys = list(keys)
     hit = F.col("onset_status") == "detected"
     at, share = F.when(hit, F.col("onset_elapsed_minutes")), F.when(hit, F.col("life_fraction_at_onset"))
-    spread = percentiles(
+    spread = with_percentiles(
         sensitivity, keys,
-        {"median_onset_minutes": (at, 0.5), "_q25": (at, 0.25), "_q75": (at, 0.75), "_life": (share, 0.5), "_l25": (share, 0.25), "_l75": (share, 0.75)},
-        {"detection_proportion": F.avg(hit.cast("double"))}, split,
+        {"median_onset_minutes": (at, 0.5), "_q25": (at, 0.25), "_q75": (at, 0.75), "_life": (share, 0.5), "_l25": (share, 0.25), "_l75": (share, 0.75)}, split,
     )
-    joined = sensitivity.join(spread, keys)
-    agreed = joined.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.when(hit, (F.abs(F.col("onset_elapsed_minutes") - F.col("median_onset_minutes")) <= minutes).cast("double"))), F.lit(0.0)).alias("agreement_within_minutes"),
-        F.coalesce(F.avg(F.when(hit, (F.abs(F.col("life_fraction_at_onset") - F.col("_life")) <= life).cast("double"))), F.lit(0.0)).alias("agreement_within_life_fraction"),
-    )
-    summary = spread.join(agreed, keys).select(
-        *keys, "median_onset_minutes", (F.col("_q75") - F.col("_q25")).alias("onset_iqr_minutes"), (F.col("_l75") - F.col("_l25")).alias("normalized_onset_iqr"),
-        "detection_proportion", "agreement_within_minutes", "agreement_within_life_fraction",
+
+    def agreed(value: str, middle: str, most: float) -> Column:
+        return F.avg(F.when(hit, (F.abs(F.col(value) - F.col(middle)) <= most).cast("double")))
+
+    rated = {
+        "detection_proportion": F.avg(hit.cast("double")),
+        "agreement_within_minutes": agreed("onset_elapsed_minutes", "median_onset_minutes", minutes),
+        "agreement_within_life_fraction": agreed("life_fraction_at_onset", "_life", life),
+    }
+    return with_totals(spread, keys, rated, split).select(
+        *sensitivity.columns, "median_onset_minutes", (F.col("_q75") - F.col("_q25")).alias("onset_iqr_minutes"), (F.col("_l75") - F.col("_l25")).alias("normalized_onset_iqr"),
+        "detection_proportion", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in rated if c.startswith("agreement")],
     )
-    return sensitivity.join(summary, keys)
 
 
 def choose(sensitivity: DataFrame, conditions: int, minutes: float = 10.0, late: float = 0.95, split: bool | None = None) -> DataFrame:

@@ -148,6 +148,18 @@ def percentiles(
     return result.select(*keys, *aggregates, *wanted)
 
 
+def with_percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]], split: bool | None = None) -> DataFrame:
+    """Add exact interpolated percentiles of its group to every row; rows with a NULL among `keys` are dropped, as an equi-join would.
+
+    Small groups take one window and no join, so nothing of the size of the groups is broadcast through the driver.
+    """
+    if not _is_small(df, keys, split):
+        return df.join(percentiles(df, keys, wanted, split=True), list(keys))
+    w = Window.partitionBy(*keys)
+    known = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    return known.select("*", *[F.percentile(value, F.lit(float(p))).over(w).alias(name) for name, (value, p) in wanted.items()])
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str, split: bool | None = None) -> DataFrame:
     """Add the 1-based average rank of `value` inside its group (ties share their mean position; NULLs come first and tie)."""
     if _is_small(df, keys, split):
