@@ -145,3 +145,24 @@ def test_group_percentiles_on_every_row_need_no_join(spark, hot):
     lost = spark.createDataFrame([(None, 1.0), (1, 2.0), (1, 4.0)], "unit bigint, v double")
     for split in (False, True):  # rows without a key drop out of both
         assert [tuple(r) for r in sc.with_percentiles(lost, ["unit"], {"m": (F.col("v"), 0.5)}, split).orderBy("v").collect()] == [(1, 2.0, 3.0), (1, 4.0, 3.0)]
+
+
+def test_large_groups_count_only_values_near_a_percentile(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = {
+        1: rng.normal(size=4000).tolist(), 2: [7.0] * 50, 3: (10.0 ** rng.uniform(-9, 9, 3000)).tolist(), 4: [1.0, float("inf"), 2.0, 3.0], 5: [None, None], 6: [1.0, None, 2.0],
+        None: rng.integers(0, 4, 900).astype(float).tolist(), 8: [float("nan"), 1.0, 2.0], 9: [-1.7e308, 0.5, 1.7e308],
+    }
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g bigint, v double").repartition(5)
+    wanted = {f"p{i}": (F.col("v"), p) for i, p in enumerate((0.0, 0.25, 0.5, 0.9, 1.0))}
+    rows = lambda **k: {r["g"]: tuple(r) for r in sc.percentiles(df, ["g"], wanted, **k).collect()}
+    seen = []
+    monkeypatch.setattr(sc, "running", lambda counts, *a, _run=sc.running, **k: seen.append(counts.count()) or _run(counts, *a, **k))
+    want = rows(split=True)
+    near = rows(split=True, grown=True)
+    assert seen[1] < seen[0] / 2
+    assert near.keys() == want.keys() == groups.keys()
+    for g, row in near.items():
+        assert repr(row) == repr(want[g])
+    few = sc.percentiles(df.where("g IN (1, 3)"), ["g"], wanted, split=False).collect()
+    assert all(tuple(r) == pytest.approx(near[r["g"]]) for r in few)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from wearline.session import cut, fits_one_task, task_rows
 
 SEGMENT_ROWS = 65_536
+#: Bins per group in which large groups are counted before the values of a few bins are, and the most groups that takes place for.
+BINS, BINNED_GROUPS = 1024, 10_000
 #: Share of a task's bytes below which sources are small even if the rows made of them are many more.
 TINY = 1 / 16
 
@@ -96,6 +98,28 @@ def with_totals(
     return same_keys(rows, grouped, spots, "left").select(*df.columns, *totals)
 
 
+def _near_ranks(values: DataFrame, spots: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The rows (`spots`, `_x`) whose values share a bin with a wanted percentile, with the number of rows `_skipped` below that `_bin`.
+
+    Bins are equal steps between a group's least and largest value and rise with it, so the result is exact whatever the distribution; a
+    group whose ends are not finite is one bin.
+    """
+    ends = values.groupBy(*spots).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    share = F.try_divide(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_low"))
+    finite = F.abs(F.col("_high") - F.col("_low")) < float("inf")
+    binned = same_keys(values, F.broadcast(ends), spots).select(
+        *spots, "_x", F.coalesce(F.when(finite, F.floor(share * BINS)), F.lit(0).cast("bigint")).alias("_bin")
+    )
+    w = Window.partitionBy(*spots)
+    counted = binned.groupBy(*spots, "_bin").agg(F.count(F.lit(1)).alias("_n")).select(
+        *spots, "_bin", "_n", F.sum("_n").over(w.orderBy("_bin")).alias("_end"), F.sum("_n").over(w).alias("_size")
+    )
+    spot = lambda p: F.lit(p) * (F.col("_size") - 1)
+    asked = any_of([(F.col("_end") > F.floor(spot(p))) & (F.col("_end") - F.col("_n") <= F.ceil(spot(p))) for p in probs])
+    bins = counted.where(asked).select(*spots, "_bin", (F.col("_end") - F.col("_n")).alias("_skipped"), "_size")
+    return same_keys(binned, F.broadcast(bins), [*spots, "_bin"])
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -106,7 +130,8 @@ def percentiles(
 ) -> DataFrame:
     """Exact interpolated percentiles per group, plus ordinary `aggregates` of the same rows.
 
-    `grown` says that the rows may be far more than the sources have: beyond tiny sources they are written once and their groups counted.
+    `grown` says that the rows may be far more than the sources have: beyond tiny sources they are written once and their groups counted. Large
+    ones are then counted in bins, and only the values of the bins that hold a wanted percentile one by one.
 
     The split plan counts equal values first and reads each percentile off the running counts, so no
     task holds a group's values. A group with only NULLs keeps its row and gets NULL.
@@ -117,9 +142,12 @@ def percentiles(
     for name, (value, p) in wanted.items():  # a long expression's text may be shortened, so it is not a key
         text = str(value)
         values.setdefault(name if "more fields" in text or len(text) > 500 else text, (value, {}))[1][name] = p
+    binned = grown and bool(split)
     if grown and split is None and not fits_one_task(df, TINY):
         df = cut(df)
-        split = not _groups_fit(df, keys)
+        groups, largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.count("_n"), F.max("_n")).first()
+        split = (largest or 0) > task_rows(df.sparkSession)
+        binned = groups <= BINNED_GROUPS
     if _is_small(df, keys, split):
         # one buffer per value, whatever the number of its percentiles
         lists = [F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias(f"_p{i}") for i, (v, probs) in enumerate(values.values())]
@@ -129,9 +157,15 @@ def percentiles(
     rows = df if keys else df.withColumn("_all", F.lit(0))
     result = rows.groupBy(*spots).agg(*plain, F.count(F.lit(1)).alias("_rows"))
     for value, probs in values.values():
-        counts = rows.select(*spots, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*spots, "_x").agg(F.count(F.lit(1)).alias("_n"))
-        ranked = running(counts, spots, ["_x"], {"_upto": ("sum", F.col("_n"))}, split=True)
-        placed = same_keys(ranked, ranked.groupBy(*spots).agg(F.max("_upto").alias("_size")), spots)
+        known = rows.select(*spots, value.cast("double").alias("_x")).where("_x IS NOT NULL")
+        if binned:
+            inside = [*spots, "_bin", "_skipped", "_size"]
+            counts = _near_ranks(known, spots, list(probs.values())).groupBy(*inside, "_x").agg(F.count(F.lit(1)).alias("_n"))
+            placed = running(counts, inside, ["_x"], {"_upto": ("sum", F.col("_n"))}, split=True).withColumn("_upto", F.col("_upto") + F.col("_skipped"))
+        else:
+            counts = known.groupBy(*spots, "_x").agg(F.count(F.lit(1)).alias("_n"))
+            ranked = running(counts, spots, ["_x"], {"_upto": ("sum", F.col("_n"))}, split=True)
+            placed = same_keys(ranked, ranked.groupBy(*spots).agg(F.max("_upto").alias("_size")), spots)
         picks = []
         for name, p in probs.items():
             spot = F.lit(p) * (F.col("_size") - 1)

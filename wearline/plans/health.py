@@ -131,15 +131,14 @@ def fit_scope(spark, sf):
 
 
 def scaled_balanced(spark, sf):
+    """The scaled rows of every fold's training units, written once: a fit reads them several times."""
     rows = balanced(spark, sf)
     scaled = sc.apply_scale(rows, sc.robust_parameters(rows, ["fold"]), ["fold"])
-    return sc.wide_rows(scaled, ["fold", *UNIT, "grid"], FEATURES)
+    return cut(sc.wide_rows(scaled, ["fold", *UNIT, "grid"], FEATURES))
 
 
 def fitted(spark, sf):
-    rows = balanced(spark, sf)
-    parameters = sc.robust_parameters(rows, ["fold"])
-    return parameters, sc.fit_pca(sc.wide_rows(sc.apply_scale(rows, parameters, ["fold"]), ["fold", *UNIT, "grid"], FEATURES), FEATURES, 3)
+    return sc.fit_pca(scaled_balanced(spark, sf), FEATURES, 3)
 
 
 VIEWS["v_xy"] = """
@@ -169,7 +168,7 @@ def pca_variance(spark, sf):
 
 @register("g11_pca_orientation")
 def pca_orientation(spark, sf):
-    return fitted(spark, sf)[1].where("component = 0").select("fold", "orientation", r6("explained").alias("explained"))
+    return fitted(spark, sf).where("component = 0").select("fold", "orientation", r6("explained").alias("explained"))
 
 
 @register(
