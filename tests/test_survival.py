@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wearline.operators import survival as su
+from wearline.session import TASK_BYTES_KEY
 
 
 def cohort(spark, n=90, seed=4):
@@ -87,3 +88,57 @@ def test_censoring_of_cohorts(spark):
     rows = su.fixed_horizon(marks, (60.0,)).orderBy("unit_id").collect()
     assert [r["duration_minutes"] for r in rows] == [10, 60, 20, 60, 30, 60] and [r["event_observed"] for r in rows] == [1, 0, 1, 0, 1, 0]
     assert su.rate_horizons(marks, (0.5,)).first()["administrative_horizon_minutes"] == pytest.approx(65.0)
+
+
+def odd_pairs(spark):
+    """Groups of several sizes with NULL keys, times, events, risks and weights, NaN risks and times, and many ties."""
+    draw = np.random.default_rng(5)
+    pick = lambda values: values[draw.integers(len(values))]
+    rows = [
+        (pick(["a", "b", "c", None]), pick([1, 2, 2, 2]), pick([1.0, 2.0, 3.0, 4.0, float("nan"), None]), pick([0, 1, 1, None]), pick([0.5, -0.5, 0.0, -0.0, 1e9, float("nan"), None]), pick([1.0, 0.25, None]))
+        for _ in range(300)
+    ]
+    return spark.createDataFrame(rows, "g string, h int, t double, e int, x double, w double")
+
+
+def test_concordance_in_tasks_equals_a_row_per_digit(spark, monkeypatch):
+    rows = odd_pairs(spark)
+    names = ["g", "h", "concordant", "tied_risk", "comparable", "concordance"]
+    found = {}
+    for mark, split, most in (("digits", True, 200_000), ("tasks", False, 200_000), ("small tasks", False, 7)):
+        monkeypatch.setattr(su, "COUNTED_ROWS", most)
+        got = su.concordance(rows.repartition(3), ["g", "h"], "t", "e", "x", "w", split).select(*names).collect()
+        found[mark] = sorted((tuple(r) for r in got), key=lambda r: (str(r[0]), r[1]))
+    for mark in ("tasks", "small tasks"):
+        assert [r[:2] for r in found[mark]] == [r[:2] for r in found["digits"]]
+        for a, b in zip(found[mark], found["digits"], strict=True):
+            assert a[2:5] == pytest.approx(b[2:5]) and (a[5] is None) == (b[5] is None) and (a[5] is None or a[5] == pytest.approx(b[5]))
+
+
+def test_concordance_of_groups_that_fit_makes_no_row_per_digit(spark):
+    counted = su.concordance(odd_pairs(spark), ["g", "h"], "t", "e", "x", "w", False)
+    assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_brier_reads_censoring_values_off_a_small_table(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    rows = [("train", u, float(draw.integers(1, 30)), int(draw.random() < 0.7)) for u in range(80)] + [("test", u, float(draw.integers(1, 30)), int(draw.random() < 0.7)) for u in range(40)]
+    table = spark.createDataFrame(rows, "subset string, landmark_id int, duration_minutes double, event_observed int").selectExpr("'f' AS fold", "landmark_id % 4 AS unit_id", "*")
+    train, test = table.where("subset = 'train'"), table.where("subset = 'test'")
+    grid = spark.range(6).selectExpr("'f' AS fold", "int(id) AS grid_index", "4.0D + 3 * id AS evaluation_time")
+    lines = test.join(grid, "fold").withColumn("survival", F.exp(-F.col("evaluation_time") / (10 + F.col("landmark_id") % 7)))
+    lines.write.parquet(f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    support = su.supported_grid(train, test, grid, ["fold"], ["fold", "unit_id"])
+    plain = su.brier(train, lines, support, ["fold"], ["fold", "unit_id"])
+    before = spark.conf.get(TASK_BYTES_KEY)
+    try:
+        spark.conf.set(TASK_BYTES_KEY, "1024")
+        looked = su.brier(train, lines, support, ["fold"], ["fold", "unit_id"])
+        plan = looked._jdf.queryExecution().optimizedPlan().toString()
+        got = {tuple(r)[:3]: r["brier_score"] for r in looked.collect()}
+    finally:
+        spark.conf.set(TASK_BYTES_KEY, before)
+    assert plan.count("strategy=broadcast") == 2  # own times and evaluation times
+    want = {tuple(r)[:3]: r["brier_score"] for r in plain.collect()}
+    assert got.keys() == want.keys() and len(got) > 10 and all(got[k] == pytest.approx(want[k]) for k in want)
