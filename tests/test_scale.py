@@ -166,3 +166,17 @@ def test_large_groups_count_only_values_near_a_percentile(spark, monkeypatch):
         assert repr(row) == repr(want[g])
     few = sc.percentiles(df.where("g IN (1, 3)"), ["g"], wanted, split=False).collect()
     assert all(tuple(r) == pytest.approx(near[r["g"]]) for r in few)
+
+
+def test_ranks_of_a_well_packed_table_count_its_rows(spark):
+    from wearline.session import TASK_BYTES_KEY, cut
+
+    packed = cut(spark.range(2000).select(F.lit(0).alias("g"), (F.col("id") % 2).alias("v")))
+    whole = spark.conf.get(TASK_BYTES_KEY)
+    try:
+        spark.conf.set(TASK_BYTES_KEY, str(64 * 100))  # the files have fewer bytes, the group more rows
+        ranked = sc.average_ranks(packed, ["g"], "v", "r")
+    finally:
+        spark.conf.set(TASK_BYTES_KEY, whole)
+    assert "rank(v" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in ranked.select("v", "r").collect()} == {(0, 500.5), (1, 1500.5)}

@@ -200,8 +200,12 @@ def with_percentiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tu
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str, split: bool | None = None) -> DataFrame:
-    """Add the 1-based average rank of `value` inside its group (ties share their mean position; NULLs come first and tie)."""
-    if _is_small(df, keys, split):
+    """Add the 1-based average rank of `value` inside its group (ties share their mean position; NULLs come first and tie).
+
+    Beyond tiny sources groups are counted, as the bytes of a written table say little about its rows.
+    """
+    small = not split if split is not None else fits_one_task(df, TINY) or groups_fit(df, keys)
+    if small:
         below = F.rank().over(Window.partitionBy(*keys).orderBy(value))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         return df.withColumn(rank, below + (ties - 1) / 2.0)
