@@ -11,9 +11,11 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wearline.operators.scale import index_units, percentiles, running
-from wearline.session import parameter_table
+from wearline.operators.scale import TINY, index_units, percentiles, running, same_keys, settled
+from wearline.session import fits_one_task, parameter_table
 
+#: Rows of a scope per hash range of a permutation.
+RANGE_ROWS = 65_536
 #: Candidate grids. Fixed values.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 FOREST_GRID = (
@@ -70,7 +72,7 @@ def countdown(rows: DataFrame, lifetimes: DataFrame, scope: Sequence[str] = ("fo
 
 def weighted_median(rows: DataFrame, scope: Sequence[str], value: str, weight: str = "sample_weight", split: bool | None = None) -> DataFrame:
     """First value whose cumulative weight reaches half of the total, per scope."""
-    tallied = rows.groupBy(*scope, value).agg(F.sum(weight).alias("_w"))
+    tallied = settled(rows.groupBy(*scope, value).agg(F.sum(weight).alias("_w")))
     summed = running(tallied, scope, [value], {"_upto": ("sum", F.col("_w"))}, split)
     totals = tallied.groupBy(*scope).agg(F.sum("_w").alias("_total"))
     reached = F.col("_upto") >= F.col("_total") / 2 * (1 - 1e-12)
@@ -172,21 +174,39 @@ def validation_records(scored: DataFrame, by: Sequence[str], truth: str = "rul_m
 def permuted_inputs(rows: DataFrame, features: Sequence[str], key: str, repeats: int, scope: str = "fold", seed: int = 42, split: bool | None = None) -> DataFrame:
     """Rows repeated per (feature, repeat) with that feature's values permuted inside the scope.
 
-    The permutation pairs the row order with a seeded order of MD5 hashes by an equi-join on position.
+    The permutation pairs the row order with a seeded order of MD5 hashes by an equi-join on position. Only keys and values are repeated
+    before it. Hashes are even whatever the keys, so equal ranges of them, counted once, carry the positions of a large scope over.
     """
     values = F.array(*[F.col(f).cast("double") for f in features])
-    base = rows.withColumn("_x", values)
-    copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("_slot"), F.lit(r).alias("repeat")) for i, f in enumerate(features) for r in range(repeats)])
-    many = base.select("*", F.inline(copies))
-    groups = [scope, "feature", "repeat"]
-    donors = index_units(
-        many.select(*groups, key, F.get("_x", F.col("_slot")).alias("_v")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "feature", "repeat", key))), groups, ["_h", key], split
-    ).select(*groups, "sequence_index", "_v")
-    placed = index_units(many.withColumnRenamed("sequence_index", "_kept") if "sequence_index" in many.columns else many, groups, [key], split)
-    swapped = F.array(*[F.when(F.col("_slot") == i, F.col("_v")).otherwise(F.get("_x", F.lit(i))) for i in range(len(features))])
-    joined = placed.join(donors, [*groups, "sequence_index"]).withColumn("_y", swapped)
     kept = [c for c in rows.columns if c not in features and c != "sequence_index"]
-    return joined.select(*kept, "feature", "repeat", *[F.get("_y", F.lit(i)).alias(f) for i, f in enumerate(features)])
+    base = settled(rows.select(*kept, values.alias("_x")))
+    copies = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("_slot"), F.lit(r).alias("repeat")) for i, f in enumerate(features) for r in range(repeats)])
+    many = base.select(scope, key, "_x", F.inline(copies)).select(scope, "feature", "_slot", "repeat", key, F.get("_x", F.col("_slot")).alias("_v"))
+    groups = [scope, "feature", "_slot", "repeat"]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "feature", "repeat", key))
+    ranges = _hash_ranges(base, scope, split)
+    if ranges == 1:
+        donors = index_units(many.withColumn("_h", digest), groups, ["_h", key], split=False)
+    else:
+        spots = [*groups, "_range"]
+        start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+        dealt = many.withColumn("_range", F.floor(start * ranges / 2**32))
+        earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = dealt.groupBy(*spots).agg(F.count(F.lit(1)).alias("_n")).select(*spots, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skipped"))
+        # the hash is worked out again behind the shuffle instead of being sent
+        placed = index_units(dealt.repartition(*spots).withColumn("_h", digest), spots, ["_h", key], split=False).drop("_h")
+        donors = same_keys(placed, F.broadcast(carried), spots).withColumn("sequence_index", F.col("sequence_index") + F.col("_skipped"))
+    swapped = [F.when(F.col("_slot") == i, F.col("_v")).otherwise(F.get("_x", F.lit(i))).alias(f) for i, f in enumerate(features)]
+    joined = index_units(base, [scope], [key], split).join(donors.select(*groups, "sequence_index", "_v"), [scope, "sequence_index"])
+    return joined.select(*kept, "feature", "repeat", *swapped)
+
+
+def _hash_ranges(rows: DataFrame, scope: str, split: bool | None) -> int:
+    """Into how many hash ranges of about `RANGE_ROWS` rows the largest scope falls; one for tiny sources."""
+    if split is None and fits_one_task(rows, TINY) or split is False:
+        return 1
+    largest = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return max(1, -(-largest // RANGE_ROWS))
 
 
 def importance_summary(coefficients: DataFrame, permutation: DataFrame) -> DataFrame:
