@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearline.operators.scale import running, with_totals
+from wearline.operators.scale import running, settled, with_totals
 
 UNIT = ["condition_id", "unit_id"]
 
@@ -54,12 +54,17 @@ def fold_manifest(folds: DataFrame) -> DataFrame:
     return folds.groupBy("fold", "subset", "condition_id").agg(F.count(F.lit(1)).alias("units"), F.sum("acquisitions").alias("acquisitions"))
 
 
-def balanced_weights(df: DataFrame, scope: Sequence[str], unit: str = "unit_id", split: bool | None = None) -> DataFrame:
-    """Inverse unit-frequency weights: equal total per unit and mean 1 inside each scope."""
-    per_unit = df.groupBy(*scope, unit).agg(F.count(F.lit(1)).alias("_rows"))
+def unit_weights(df: DataFrame, scope: Sequence[str], unit: str = "unit_id", split: bool | None = None) -> DataFrame:
+    """The weight of every unit's rows: equal total per unit and mean 1 inside each scope."""
+    per_unit = settled(df.groupBy(*scope, unit).agg(F.count(F.lit(1)).alias("_rows")))
     sized = with_totals(per_unit, scope, {"_all": F.sum("_rows"), "_units": F.count(F.lit(1))}, split)
     weight = F.col("_all") / (F.col("_units") * F.col("_rows"))
-    return df.join(sized.select(*scope, unit, weight.alias("sample_weight")), [*scope, unit])
+    return sized.select(*scope, unit, weight.alias("sample_weight"))
+
+
+def balanced_weights(df: DataFrame, scope: Sequence[str], unit: str = "unit_id", split: bool | None = None) -> DataFrame:
+    """Inverse unit-frequency weights: equal total per unit and mean 1 inside each scope."""
+    return df.join(unit_weights(df, scope, unit, split), [*scope, unit])
 
 
 def effective_sample_size(df: DataFrame, scope: Sequence[str], weight: str = "sample_weight") -> DataFrame:

@@ -29,6 +29,11 @@ def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
     return most > 0 and (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= most
 
 
+def groups_small(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the sources are small, or every group is."""
+    return fits_one_task(df) or groups_fit(df, keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written once unless their sources are tiny: for rows that are read again, be it to count their groups."""
     return df if fits_one_task(df, TINY) else cut(df)
@@ -36,9 +41,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def _is_small(df: DataFrame, keys: Sequence[str], split: bool | None) -> bool:
     """Whether the one-task plan serves: the sources are small, or every group is."""
-    if split is not None:
-        return not split
-    return fits_one_task(df) or groups_fit(df, keys)
+    return groups_small(df, keys) if split is None else not split
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -10,6 +10,7 @@ from wearline.operators import rul
 from wearline.operators import scaling as sc
 from wearline.operators import sequences as sq
 from wearline.operators.quality import coverage_issues
+from wearline.operators.scale import settled
 from wearline.plans.catalog import VIEWS, register
 from wearline.plans.health import FEATURES, balanced, chosen_onsets, engineered, folds
 from wearline.session import cut, parameter_table
@@ -18,19 +19,32 @@ from wearline.sources.tables import UNIT, readings
 INPUTS = ["horizontal", "vertical", "elapsed_minutes"]
 
 
-def by_subset(spark, sf, subset):
-    plan = folds(spark, sf).where(F.col("subset") == subset).select("fold", "subset", "unit_id")
-    return readings(spark, sf).join(plan, "unit_id")
+SUBSETS = ("train", "validation", "test")
 
 
-def training(spark, sf):
-    return fo.balanced_weights(by_subset(spark, sf, "train"), ["fold"])
+def planned(spark, sf):
+    """Readings, each once, with the folds that train, validate or test on their unit; written once, as every subset is taken from them."""
+    taken = [F.collect_list(F.when(F.col("subset") == s, F.col("fold"))).alias(f"_{s}") for s in SUBSETS]
+    return settled(readings(spark, sf).join(folds(spark, sf).groupBy("unit_id").agg(*taken), "unit_id"))
 
 
-def predictions(spark, sf):
-    """Test predictions of the two parameter-free baselines."""
-    train, test = training(spark, sf), by_subset(spark, sf, "test")
-    count = rul.countdown(test, rul.countdown_lifetimes(train)).withColumns({"experiment": F.lit("condition_countdown"), "model": F.lit("countdown")})
+def by_subset(spark, sf, subset, rows=None):
+    """Readings, or `rows` made of the planned ones, repeated per fold that has their unit in `subset`."""
+    rows = planned(spark, sf) if rows is None else rows
+    kept = [c for c in rows.columns if c not in {f"_{s}" for s in SUBSETS}]
+    return rows.select(*kept, F.explode(f"_{subset}").alias("fold"), F.lit(subset).alias("subset"))
+
+
+def training(spark, sf, rows=None):
+    return fo.balanced_weights(by_subset(spark, sf, "train", rows), ["fold"])
+
+
+def predictions(spark, sf, rows=None, lifetimes=None):
+    """Test predictions of the two parameter-free baselines, from the planned readings and countdown lifetimes where they are at hand."""
+    rows = planned(spark, sf) if rows is None else rows
+    train, test = training(spark, sf, rows), by_subset(spark, sf, "test", rows)
+    lifetimes = settled(rul.countdown_lifetimes(by_subset(spark, sf, "train", rows))) if lifetimes is None else lifetimes
+    count = rul.countdown(test, lifetimes).withColumns({"experiment": F.lit("condition_countdown"), "model": F.lit("countdown")})
     middle = test.join(rul.weighted_median(train, ["fold"], "rul_minutes"), "fold").withColumns(
         {"prediction_raw_minutes": F.col("weighted_median"), "experiment": F.lit("median_baseline"), "model": F.lit("median")}
     )
@@ -105,8 +119,9 @@ def weighted_median(spark, sf):
     "SELECT fold, unit_id, sequence_index, greatest(0, lifetime_minutes - elapsed_minutes) AS prediction_raw_minutes FROM v_test JOIN v_life USING (fold, condition_id)",
 )
 def condition_countdown(spark, sf):
-    life = rul.countdown_lifetimes(by_subset(spark, sf, "train"))
-    return rul.countdown(by_subset(spark, sf, "test"), life).select("fold", "unit_id", "sequence_index", "prediction_raw_minutes")
+    rows = planned(spark, sf)
+    life = rul.countdown_lifetimes(by_subset(spark, sf, "train", rows))
+    return rul.countdown(by_subset(spark, sf, "test", rows), life).select("fold", "unit_id", "sequence_index", "prediction_raw_minutes")
 
 
 VIEWS["v_ridge"] = """
@@ -125,7 +140,8 @@ def ridge_time_only(spark, sf):
 
 def _tree(family, parameters):
     def query(spark, sf):
-        train, test, scored = cut(training(spark, sf)), cut(by_subset(spark, sf, "test")), None
+        rows = planned(spark, sf)
+        train, test, scored = cut(training(spark, sf, rows)), cut(by_subset(spark, sf, "test", rows)), None
         for fold in range(5):  # one distributed fit per fold
             part = rul.tree_predictions(train.where(F.col("fold") == fold), test.where(F.col("fold") == fold), INPUTS, "rul_minutes", family, parameters)
             scored = part if scored is None else scored.unionByName(part)
@@ -237,8 +253,8 @@ def rank_candidates(spark, sf):
     return rounded(ridge_selection(spark, sf)[3], ["experiment", "fold", "candidate_id"], ["validation_macro_mae", "validation_macro_rmse"], ["selection_rank", "selected"])
 
 
-def _linear(spark, sf, alphas=(1.0,)):
-    return rul.ridge_fits(training(spark, sf), INPUTS, "rul_minutes", alphas)
+def _linear(spark, sf, alphas=(1.0,), rows=None):
+    return rul.ridge_fits(training(spark, sf, rows), INPUTS, "rul_minutes", alphas)
 
 
 VIEWS["v_linear"] = _solved("v_train", INPUTS, ["1.0"], "linear")
@@ -269,8 +285,9 @@ JOIN (SELECT fold, avg(mae) AS base FROM (SELECT fold, unit_id, avg(abs(greatest
 
 
 def permutation(spark, sf):
-    fits = _linear(spark, sf)
-    test = by_subset(spark, sf, "test").select("fold", *UNIT, "acquisition_number", "rul_minutes", *INPUTS)
+    rows = planned(spark, sf)
+    fits = _linear(spark, sf, rows=rows)
+    test = by_subset(spark, sf, "test", rows).select("fold", *UNIT, "acquisition_number", "rul_minutes", *INPUTS)
     permuted = rul.permuted_inputs(test, INPUTS, "acquisition_number", REPEATS)
     intact = mf.prediction_diagnostics(rul.ridge_predict(test, fits, INPUTS))
     moved = mf.prediction_diagnostics(rul.ridge_predict(permuted, fits, INPUTS))
@@ -402,11 +419,12 @@ for _name, _column in (("j9_life_stage_metrics", "life_stage"), ("j9_onset_regio
     f"""SELECT u.fold, u.condition_id, u.unit_id, lifetime_minutes, training_units, u.life AS true_lifetime_minutes, lifetime_minutes - u.life AS lifetime_error_minutes, {_r('mae')} FROM v_unit_metrics u JOIN v_life USING (fold, condition_id) WHERE experiment = 'condition_countdown'""",
 )
 def countdown_lifetimes(spark, sf):
-    life = rul.countdown_lifetimes(by_subset(spark, sf, "train"))
+    rows = planned(spark, sf)
+    life = settled(rul.countdown_lifetimes(by_subset(spark, sf, "train", rows)))
     if not coverage_issues(life, life, ["fold", "condition_id"]).where("code = 'duplicate_key'").isEmpty():
         raise ValueError("lifetimes are not unique per fold and condition")
-    units = me.unit_metrics(predictions(spark, sf).where("experiment = 'condition_countdown'"))
-    truth = by_subset(spark, sf, "test").groupBy("fold", *UNIT).agg(F.max("rul_minutes").alias("true_lifetime_minutes"))
+    units = me.unit_metrics(predictions(spark, sf, rows, life).where("experiment = 'condition_countdown'"))
+    truth = by_subset(spark, sf, "test", rows).groupBy("fold", *UNIT).agg(F.max("rul_minutes").alias("true_lifetime_minutes"))
     out = units.join(truth, ["fold", *UNIT]).join(life, ["fold", "condition_id"])
     return out.withColumn("lifetime_error_minutes", F.col("lifetime_minutes") - F.col("true_lifetime_minutes")).select(
         "fold", *UNIT, "lifetime_minutes", "training_units", "true_lifetime_minutes", "lifetime_error_minutes", r6("mae").alias("mae")
@@ -420,8 +438,9 @@ def countdown_lifetimes(spark, sf):
         JOIN (SELECT length, experiment, avg(mae) AS macro_mae FROM (SELECT length, experiment, fold, unit_id, {_METRICS} FROM m GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) USING (length, experiment)""",
 )
 def support_matched(spark, sf):
-    rows = predictions(spark, sf)
-    held = by_subset(spark, sf, "test").select("fold", "unit_id", "acquisition_number", "sequence_index", F.explode(F.array(F.lit(5), F.lit(20))).alias("k"))
+    every = planned(spark, sf)
+    rows = predictions(spark, sf, every)
+    held = by_subset(spark, sf, "test", every).select("fold", "unit_id", "acquisition_number", "sequence_index", F.explode(F.array(F.lit(5), F.lit(20))).alias("k"))
     candidates = held.where("sequence_index >= k - 1").withColumn("experiment", F.concat(F.lit("sequence_"), F.col("k").cast("string")))
     return rounded(me.support_matched(rows, candidates), ["candidate_experiment", "experiment"], ["mae", "macro_mae"], ["acquisition_count"])
 
@@ -474,8 +493,9 @@ def sequence_coverage(spark, sf):
 def sequence_context(spark, sf):
     from wearline.operators.scaling import weighted_target
 
-    rows = sq.build_sequences(by_subset(spark, sf, "test"), ["fold", *UNIT], ["horizontal"], 3)
-    target = weighted_target(training(spark, sf), ["fold"], "rul_minutes")
+    every = planned(spark, sf)
+    rows = sq.build_sequences(by_subset(spark, sf, "test", every), ["fold", *UNIT], ["horizontal"], 3)
+    target = weighted_target(training(spark, sf, every), ["fold"], "rul_minutes")
     last = F.element_at("steps", -1)["horizontal"]
     return rows.join(target, "fold").select(
         "fold", "unit_id", "sequence_index", "elapsed_minutes", r6(last).alias("last_horizontal"), r6((F.col("rul_minutes") - F.col("center")) / F.col("scale")).alias("scaled_target")
@@ -486,18 +506,25 @@ LENGTHS = (1, 5, 10, 20)
 
 
 def sequence_candidates(spark, sf, subset):
-    """Lag-matrix ridge per window length: train on training windows, score the subset's windows."""
-    scored = None
+    """Lag-matrix ridge per window length: train on training windows, score the subset's windows.
+
+    Folds take whole units, so a window is built once for all of them. Weights join the readings in front of their windows, so that no
+    exchange carries a wide row.
+    """
+    rows, scored = planned(spark, sf).select(*UNIT, "sequence_index", "rul_minutes", "horizontal", "vertical", *[f"_{s}" for s in SUBSETS]), None
     for length in LENGTHS:
         names = [f"{f}_lag{length - 1 - k}" for k in range(length) for f in ("horizontal", "vertical")]
 
         def matrix(rows, extra=(), length=length):
-            windows = sq.build_sequences(rows, ["fold", *UNIT], ["horizontal", "vertical"], length)
-            return windows.select("fold", "subset", *UNIT, "sequence_index", "rul_minutes", *extra, *sq.flat_features("steps", ["horizontal", "vertical"], length))
+            windows = sq.build_sequences(rows.select(*UNIT, "sequence_index", "rul_minutes", "horizontal", "vertical", *extra), UNIT, ["horizontal", "vertical"], length)
+            return windows.select(*UNIT, "sequence_index", "rul_minutes", *extra, *sq.flat_features("steps", ["horizontal", "vertical"], length))
 
-        train = fo.balanced_weights(matrix(by_subset(spark, sf, "train")), ["fold"])
+        weights = fo.unit_weights(by_subset(spark, sf, "train", matrix(rows, ["_train"])), ["fold"])
+        weighted = weights.groupBy("unit_id").agg(F.collect_list(F.struct("fold", "sample_weight")).alias("_weighted"))
+        train = matrix(rows.join(weighted, "unit_id"), ["_weighted"]).select("*", F.inline("_weighted")).drop("_weighted")
         fits = rul.ridge_fits(train, names, "rul_minutes", (1.0,))
-        part = mf.prediction_diagnostics(rul.ridge_predict(matrix(by_subset(spark, sf, subset)), fits, names)).select(
+        held = by_subset(spark, sf, subset, matrix(rows, [f"_{subset}"]))
+        part = mf.prediction_diagnostics(rul.ridge_predict(held, fits, names)).select(
             "fold", "subset", *UNIT, "rul_minutes", "prediction_non_negative_minutes", F.lit(length).alias("sequence_length"), F.lit(2 * length + 1).alias("parameter_count")
         )
         scored = part if scored is None else scored.unionByName(part)
@@ -526,7 +553,8 @@ def occlusion(spark, sf):
     """Macro-MAE increase when one feature is silenced in every step of the test windows."""
     features, length = ["horizontal", "vertical"], 3
     names = [f"{f}_lag{length - 1 - k}" for k in range(length) for f in features]
-    windows = lambda subset: sq.build_sequences(by_subset(spark, sf, subset), ["fold", *UNIT], features, length)
+    every = planned(spark, sf)
+    windows = lambda subset: sq.build_sequences(by_subset(spark, sf, subset, every), ["fold", *UNIT], features, length)
     flat = sq.flat_features("steps", features, length)
     train = fo.balanced_weights(windows("train").select("fold", *UNIT, "rul_minutes", *flat), ["fold"])
     fits = rul.ridge_fits(train, names, "rul_minutes", (1.0,))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.operators.manifest import add_life_targets
-from wearline.operators.scale import index_units
+from wearline.operators.scale import groups_small, index_units
 
 UNIT = ["condition_id", "unit_id"]
 
@@ -30,7 +30,9 @@ def raw_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 def readings(spark: SparkSession, folder: str, split: bool | None = None) -> DataFrame:
     """Ordered trajectories with elapsed and remaining minutes (one nominal minute per acquisition)."""
-    ordered = index_units(raw_readings(spark, folder), UNIT, ["ts", "acquisition_number"], split)
+    raw = raw_readings(spark, folder)
+    split = not groups_small(raw, UNIT) if split is None else split  # units are counted once for both steps
+    ordered = index_units(raw, UNIT, ["ts", "acquisition_number"], split)
     return add_life_targets(ordered, UNIT, interval=1.0, split=split)
 
 
