@@ -19,8 +19,8 @@ FROM v_predictions WHERE experiment = 'condition_countdown' OR sequence_index >=
 """
 
 
-def harmony(spark, sf):
-    rows = predictions(spark, sf)
+def harmony(spark, sf, rows=None):
+    rows = predictions(spark, sf) if rows is None else rows
     other = rows.where(F.col("experiment") == MEDIAN).where("sequence_index >= 4").withColumn("window_length", F.lit(5))
     return st.harmonise([rows.where(F.col("experiment") == COUNTDOWN), other], [COUNTDOWN, MEDIAN])
 
@@ -76,9 +76,9 @@ FROM (SELECT * FROM v_unit_metrics WHERE experiment = 'condition_countdown') c J
 """
 
 
-def units(spark, sf):
+def units(spark, sf, rows=None):
     """Unit metrics, one row per unit and model; written once because the tests read them several times."""
-    return cut(me.unit_metrics(predictions(spark, sf)))
+    return cut(me.unit_metrics(predictions(spark, sf) if rows is None else rows))
 
 
 def differences(spark, sf):
@@ -205,8 +205,9 @@ def holm(spark, sf):
        LEFT JOIN (SELECT unit_id, count(*) FILTER (sequence_index >= 4) AS count_4 FROM v_readings GROUP BY 1) USING (unit_id)""",
 )
 def enriched_units(spark, sf):
-    every = units(spark, sf)
-    out = st.enrich_units(every, {"median": st.paired_differences(every, COUNTDOWN, MEDIAN)}, st.support_manifest(harmony(spark, sf), COUNTDOWN, MEDIAN))
+    rows = predictions(spark, sf)
+    every = units(spark, sf, rows)
+    out = st.enrich_units(every, {"median": st.paired_differences(every, COUNTDOWN, MEDIAN)}, st.support_manifest(harmony(spark, sf, rows), COUNTDOWN, MEDIAN))
     return rounded(out, ["experiment", "fold", "unit_id"], ["mae", "delta_mae_vs_median"], ["matched_count"])
 
 
