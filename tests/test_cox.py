@@ -75,3 +75,30 @@ def test_failures_are_named(spark):
     assert fits[0].failure is not None and fits[1].failure == "no rows to fit" and fits[2].failure is None
     with pytest.raises(ValueError, match="did not converge"):
         su.fit_cox(frame.select("fold", "duration_minutes", "event_observed", F.get("x", F.lit(0)).alias("u")), ["u"], 1.0, steps=1)
+
+
+def test_metrics_of_curve_arrays_equal_those_of_a_row_per_grid_time(spark):
+    draw = np.random.default_rng(11)
+    rows = [(s, "train", None, f"t{i}", float(draw.integers(1, 40)), int(draw.random() < 0.7)) for s in ("a", "b") for i in range(60)]
+    rows += [(s, "test", i % 6 or None, f"u{i}", float(draw.integers(1, 45)), int(draw.random() < 0.6)) for s in ("a", "b") for i in range(70)]
+    rows += [("a", "test", 7, "single", 12.0, 1), ("b", "test", 8, "long", 90.0, 1), ("b", "test", 8, "early", 3.0, 1)]
+    table = spark.createDataFrame(rows, "scenario string, subset string, unit_id int, landmark_id string, duration_minutes double, event_observed int")
+    train, test = table.where("subset = 'train'"), table.where("subset = 'test'")
+    grid = spark.createDataFrame([(s, i, 4.0 + step * i) for s, n, step in (("a", 9, 3.0), ("b", 6, 4.5)) for i in range(n)], "scenario string, grid_index int, evaluation_time double")
+    lines = test.join(grid, "scenario").withColumn("survival", F.exp(-F.col("evaluation_time") / (5 + F.abs(F.hash("landmark_id")) % 9 * 4)))
+    keys = ["scenario", "unit_id", "landmark_id", "duration_minutes", "event_observed"]
+    arrays = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("grid_index", "survival"))), lambda p: p["survival"]).alias("survival"))
+    horizons = spark.createDataFrame([("a", 11.0), ("b", 1.0)], "scenario string, main_horizon double")
+    scope, by = ["scenario"], ["scenario", "unit_id"]
+    want = {tuple(r[k] for k in by): r.asDict() for r in su.unit_metrics(train, lines, grid, scope, by).collect()}
+    got = {tuple(r[k] for k in by): r.asDict() for r in su.array_unit_metrics(train, arrays, grid, scope, by, horizons).collect()}
+    assert got.keys() == want.keys() and {r["valid"] for r in want.values()} == {True, False} and len({r["failure_reason"] for r in want.values()}) > 2
+    for key, row in want.items():
+        for name, value in row.items():
+            assert got[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (key, name)
+    scores = {}
+    for r in su.supported_scores(train, lines, grid, scope, by).join(horizons, "scenario").collect():
+        scores.setdefault((r["scenario"], r["unit_id"]), []).append((abs(r["evaluation_time"] - r["main_horizon"]), r["evaluation_time"], r["brier_score"]))
+    assert scores and all(got[k]["_near"] == pytest.approx(min(v)[2]) for k, v in scores.items())
+    plan = su.array_unit_metrics(train, arrays, grid, scope, by)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
