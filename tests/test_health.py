@@ -147,3 +147,37 @@ def test_stability_takes_no_join(spark):
     assert (row["median_onset_minutes"], row["detection_proportion"]) == (np.median(at), pytest.approx(8 / 12))
     assert row["onset_iqr_minutes"] == pytest.approx(np.subtract(*np.quantile(at, [0.75, 0.25])))
     assert row["agreement_within_minutes"] == pytest.approx(np.mean(np.abs(at - np.median(at)) <= 3.0))
+
+
+def test_windows_of_boundaries_come_from_packed_stretches(spark, monkeypatch):
+    """Medians on both sides equal those over single rows, also where a window spans stretches, values are NULL or NaN, and a series has no key."""
+    monkeypatch.setattr(he, "STRETCH", 8, raising=False)
+    draw = np.random.default_rng(3)
+    odd = lambda: [None, float("nan"), 1.0, 1.0][draw.integers(4)] if draw.random() < 0.2 else float(draw.normal())
+    data = {u: [odd() for _ in range(n)] for u, n in ((1, 37), (2, 9), (3, 64), (None, 20))}
+    rows = spark.createDataFrame([(u, i, v, float(i), float(-i)) for u, x in data.items() for i, v in enumerate(x)], "unit_id int, sequence_index bigint, smoothed double, elapsed_minutes double, rul_minutes double")
+    spots = [(u, c, p) for u, x in data.items() for c in range(0, len(x) + 30, 5) for p in (3, 5)]
+    frame = spark.createDataFrame(spots, "unit_id int, boundary bigint, persistence_window int")
+    packed = he._sides(rows, frame, ["unit_id"], "smoothed", 5)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "percentile" not in plan
+    got = {(r["unit_id"], r["boundary"], r["persistence_window"]): r for r in packed.collect()}
+    offsets = frame.select("*", F.explode(F.sequence(-F.col("persistence_window"), F.col("persistence_window") - 1)).alias("_at")).withColumn("sequence_index", F.col("boundary") + F.col("_at"))
+    single = offsets.join(rows, ["unit_id", "sequence_index"]).groupBy("unit_id", "boundary", "persistence_window").agg(
+        F.percentile(F.when(F.col("_at") < 0, F.col("smoothed")), F.lit(0.5)).alias("pre"), F.percentile(F.when(F.col("_at") >= 0, F.col("smoothed")), F.lit(0.5)).alias("post"),
+        F.sort_array(F.collect_list(F.when(F.col("_at") >= 0, F.col("smoothed")))).alias("later"), F.max(F.when(F.col("_at") == 0, F.col("elapsed_minutes"))).alias("elapsed"),
+    ).collect()
+    assert len(single) == len(got) > 30
+    for r in single:
+        found = got[r["unit_id"], r["boundary"], r["persistence_window"]]
+        assert repr((found["pre_change_median"], found["post_change_median"])) == repr((r["pre"], r["post"]))
+        assert repr(sorted(found["_post"], key=lambda v: (v != v, v))) == repr(r["later"]) and found["elapsed_minutes"] == r["elapsed"]
+
+
+def test_median_of_a_few_columns_skips_nulls(spark):
+    from wearline.operators.scale import middle
+
+    nan = float("nan")
+    cases = [((None, None, None), None), ((3.0, None, 1.0), 2.0), ((None, 5.0, None), 5.0), ((2.0, 9.0, 4.0), 4.0), ((nan, 1.0, 2.0), 2.0), ((nan, None, 1.0), nan), ((nan, None, None), nan)]
+    rows = spark.createDataFrame([c for c, _ in cases], "a double, b double, c double").select(middle([F.col("a"), F.col("b"), F.col("c")]).alias("m"))
+    assert repr([r["m"] for r in rows.collect()]) == repr([m for _, m in cases])

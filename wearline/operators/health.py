@@ -27,6 +27,8 @@ PERSISTENT_SHARE = 0.7
 EPSILON = float(np.finfo(float).eps)
 #: Cells (of `jump` rows) of a block; the kernel cost compares a series block by block, a tile for every pair of blocks.
 TILE_CELLS = 128
+#: Rows of one series that are packed for the windows of the boundaries among them, and rows whose series a task segments.
+STRETCH, SEGMENTED_ROWS = 256, 100_000
 #: Bits of a squared distance that one pass of the median search fixes.
 DIGIT = 16
 
@@ -356,6 +358,11 @@ def _tile_sums(batches: Iterator[pa.RecordBatch], width: int, jump: int) -> Iter
         yield pa.RecordBatch.from_arrays([*batch.columns[: width + 3], pa.array(sums, pa.binary())], names=[*batch.schema.names[: width + 3], "sums"])
 
 
+def _dealt(df: DataFrame, tasks: int, keys: Sequence[str]) -> DataFrame:
+    """Rows of whole series, in that many tasks if they are more than one: adaptive execution would merge them by their few bytes."""
+    return df.repartition(tasks, *keys) if tasks > 1 else df.repartition(*keys)
+
+
 def change_points(rows: DataFrame, keys: Sequence[str], settings: Sequence[tuple[str, float, int]], value: str = "smoothed", jump: int = 5, tile_cells: int = TILE_CELLS) -> DataFrame:
     """Segment boundaries of every series (`keys`) under every (cost_model, penalty, minimum_segment_size) of `settings`.
 
@@ -368,16 +375,17 @@ def change_points(rows: DataFrame, keys: Sequence[str], settings: Sequence[tuple
     ddl = f"{_ddl(rows, keys)}, cost_model string, penalty double, minimum_segment_size int, boundary bigint"
     schema = pa.schema([*[(k, to_arrow_type(rows.schema[k].dataType)) for k in keys], ("cost_model", pa.string()), ("penalty", pa.float64()), ("minimum_segment_size", pa.int32()), ("boundary", pa.int64())])
     width, x = len(keys), F.col(value)
+    tasks = -(-rows.count() // SEGMENTED_ROWS)
     parts = []
     if level := [s for s in settings if s[0] == "l2"]:
         cells = rows.groupBy(*keys, F.floor(F.col("sequence_index") / jump).alias("_block")).agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"))
-        ordered = cells.repartition(*keys).sortWithinPartitions(*keys, "_block")
+        ordered = _dealt(cells, tasks, keys).sortWithinPartitions(*keys, "_block")
         parts.append(ordered.mapInArrow(lambda batches: _level_partitions(batches, width, level, jump, schema), ddl))
     if kernel := [s for s in settings if s[0] == "rbf"]:
         packed = F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", x.cast("double").alias("x")))), lambda r: r["x"])  # tile_cells * jump rows at most
         blocks = cut(rows.groupBy(*keys, F.floor(F.col("sequence_index") / (jump * tile_cells)).alias("later")).agg(packed.alias("b")))
         sized = same_keys(blocks, blocks.groupBy(*keys).agg(F.max("later").alias("_last")), keys)
-        parts.append(sized.where("_last = 0").select(*keys, "b").mapInArrow(lambda batches: _short_kernel_partitions(batches, width, kernel, jump, schema), ddl))
+        parts.append(_dealt(sized.where("_last = 0").select(*keys, "b"), tasks, keys).mapInArrow(lambda batches: _short_kernel_partitions(batches, width, kernel, jump, schema), ddl))
         if not blocks.where("later > 0").isEmpty():
             long = sized.where("_last > 0")
             earlier = long.select(*keys, F.col("later").alias("earlier"), F.col("b").alias("a"), F.size("b").cast("bigint").alias("rows_before"))
@@ -395,6 +403,33 @@ EARLY = ("inside_initial_calibration_interval", "insufficient_pre_change_window"
 LATE = ("minimum_effect_size", "persistence")
 
 
+def _half(values: Column) -> Column:
+    """Median of an array without NULLs, NULL if it is empty."""
+    n = F.size(values)
+    at = lambda spot: F.get(F.sort_array(values), F.when(n > 0, spot.cast("int")))
+    return 0.5 * at((n - 1) / 2) + 0.5 * at(n / 2)
+
+
+def _sides(rows: DataFrame, spots: DataFrame, series: Sequence[str], value: str, reach: int) -> DataFrame:
+    """Per spot (series, boundary, persistence_window) the medians of the values on both sides, the later ones and the minutes at the boundary.
+
+    Rows are packed by stretches of `STRETCH` indexes that repeat the `reach` rows on both sides, so a spot meets one packed row and no spot is
+    repeated per row of its windows.
+    """
+    i, c, p = F.col("sequence_index"), F.col("boundary"), F.col("persistence_window")
+    stretch = lambda at: F.floor(at / STRETCH)
+    near = F.explode(F.sequence(F.greatest(stretch(i - F.lit(reach) + 1), F.lit(0).cast("bigint")), stretch(i + F.lit(reach)))).alias("_stretch")
+    packed = rows.select(*series, near, F.struct(i.alias("i"), F.col(value).alias("v"), "elapsed_minutes", "rul_minutes").alias("_row")).groupBy(*series, "_stretch").agg(F.collect_list("_row").alias("_rows"))
+    met = spots.withColumn("_stretch", stretch(c)).join(packed, [*series, "_stretch"])
+    known = lambda later: F.transform(F.filter("_near", lambda r: ((r["i"] >= c) if later else (r["i"] < c)) & r["v"].isNotNull()), lambda r: r["v"])
+    inside = met.select(*series, "boundary", "persistence_window", F.filter("_rows", lambda r: (r["i"] >= c - p) & (r["i"] < c + p)).alias("_near")).where(F.size("_near") > 0)
+    halves = inside.select(*series, "boundary", "persistence_window", "_near", known(False).alias("_pre"), known(True).alias("_post"))
+    here = lambda name: F.array_max(F.transform(F.filter("_near", lambda r: r["i"] == c), lambda r: r[name])).alias(name)
+    return halves.select(
+        *series, "boundary", "persistence_window", _half(F.col("_pre")).alias("pre_change_median"), _half(F.col("_post")).alias("post_change_median"), "_post", here("elapsed_minutes"), here("rul_minutes")
+    )
+
+
 def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: str = "smoothed", split: bool | None = None, settings: DataFrame | None = None) -> DataFrame:
     """First boundary that is a persistent upward shift, else `not_detected` with the reasons.
 
@@ -431,18 +466,9 @@ def onsets(rows: DataFrame, boundaries: DataFrame, keys: Sequence[str], value: s
     if settings is not None:
         judged = cut(judged)
     spot = [*series, "boundary", "persistence_window"]
-    offsets = judged.where(F.size("early_reasons") == 0).select(*spot).distinct().select(
-        *spot, F.explode(F.sequence((-p).cast("bigint"), (p - 1).cast("bigint"))).alias("_at")
-    ).withColumn("sequence_index", c + F.col("_at"))
-    near = offsets.join(rows.select(*series, "sequence_index", "elapsed_minutes", "rul_minutes", F.col(value).alias("_v")), [*series, "sequence_index"])
-    here = F.col("_at") == 0
-    # a window holds at most persistence_window rows per side
-    sides = near.groupBy(*spot).agg(
-        F.percentile(F.when(F.col("_at") < 0, F.col("_v")), F.lit(0.5)).alias("pre_change_median"),
-        F.percentile(F.when(F.col("_at") >= 0, F.col("_v")), F.lit(0.5)).alias("post_change_median"),
-        F.collect_list(F.when(F.col("_at") >= 0, F.col("_v"))).alias("_post"),
-        *[F.max(F.when(here, F.col(c))).alias(c) for c in ("elapsed_minutes", "rul_minutes")],
-    )
+    spots = judged.where(F.size("early_reasons") == 0).select(*spot).distinct()
+    reach = heads.agg(F.max("persistence_window")).first()[0] or 0
+    sides = _sides(rows, spots, series, value, reach)
     scale = robust_scale(rows.where("sequence_index < baseline_acquisitions"), series, F.col(value), split)
     share = F.size(F.filter("_post", lambda v: v > F.col("pre_change_median"))) / F.size("_post")
     effect = F.try_divide(F.col("post_change_median") - F.col("pre_change_median"), F.col("robust_scale"))
