@@ -77,3 +77,16 @@ def test_folds_split_units_completely(spark):
     assert plan.groupBy("fold", "subset").count().where("subset = 'train'").first()["count"] == 9
     broken = plan.where("NOT (unit_id = 10 AND subset = 'test')")
     assert {r["code"] for r in fo.fold_issues(broken).where("path = '1/10'").collect()} == {"not_tested_once"}
+
+
+def test_no_vector_is_sent_per_pair_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    series = {i: np.cumsum(rng.normal(size=30)) for i in range(9)}
+    grid = tr.resample(long(spark, series), 15)
+    members = spark.createDataFrame([(i, "all") for i in series], "unit_id long, scope string")
+    frame, sent = type(grid), []
+    mapped = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, *a, **k: sent.append((self.columns, self.count())) or mapped(self, *a, **k))
+    got = tr.trendability(grid, members, 3, 2).first()
+    assert got["trendability_valid_pairs"] == 36
+    assert sent == [(["feature", "low", "high"], 15)] * 3  # five blocks, one row per pair and pass

@@ -9,11 +9,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearline.operators.scale import average_ranks, percentiles, running, trailing, with_totals
-from wearline.session import cut, parameter_table
+from wearline.session import cut, parameter_table, scratch
 
 SERIES = ["condition_id", "unit_id", "feature"]
 #: Components of the composite feature score, equally weighted by default. Fixed values.
@@ -129,15 +131,22 @@ def _strips(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
         yield np.minimum(gram[np.triu_indices(len(strip), 1, gram.shape[1])], 1.0)
 
 
-def _bin_counter(members: Mapping[int, Mapping[str, int]], bases: Mapping[tuple[str, str], Sequence[float]], width: float, bins: int):
-    """Counts of a block pair's correlations in the `bins` bins of every base its common scopes ask for.
+def _stored(folder: str, feature: int, block: int) -> np.ndarray:
+    """The vectors of a feature in a block, read from the shared folder."""
+    files, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    column = pq.read_table(f"{root}/_feature={feature}/block={block}", columns=["vector"], filesystem=files, partitioning=None).column("vector")
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-    `members` has, per block, the scopes its units belong to and how often, `bases` the lower ends per scope and feature.
+
+def _bin_counter(folder: str, stored: Mapping[str, tuple[int, frozenset[int]]], members: Mapping[int, Mapping[str, int]], bases: Mapping[tuple[str, str], Sequence[float]], width: float, bins: int):
+    """Counts of block pairs' correlations (feature, low, high) in the `bins` bins of every base their common scopes ask for.
+
+    Only the names of a pair come as a row; its vectors are read from `folder`, where `stored` has each feature's number and blocks. `members` has, per
+    block, the scopes its units belong to and how often, `bases` the lower ends per scope and feature.
     """
     step = width / bins
 
-    def count_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        feature, low, high = pdf["feature"].iloc[0], int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+    def count_bins(feature: str, low: int, high: int) -> pd.DataFrame:
         common = {s: (members[low][s], members[high][s]) for s in members[low].keys() & members[high].keys() if (s, feature) in bases}
         wanted = sorted({base for s in common for base in bases[s, feature]})
         tally = {base: np.zeros(bins, dtype=np.int64) for base in wanted}
@@ -154,8 +163,9 @@ def _bin_counter(members: Mapping[int, Mapping[str, int]], bases: Mapping[tuple[
                 inside = values if width >= 1.0 else values[(values >= base) & ((values < base + width) | (base + width >= 1.0))]
                 to[base] += np.bincount(np.minimum(((inside - base) / step).astype(np.int64), bins - 1), minlength=bins)
 
-        parts = {int(b): np.stack(v.to_numpy()) for b, v in pdf.groupby("block")["vector"]}
-        if wanted and low in parts and high in parts:
+        number, blocks = stored[feature]
+        if wanted and low in blocks and high in blocks:
+            parts = {b: _stored(folder, number, b) for b in {low, high}}
             for values in _strips(parts[low], None if low == high else parts[high]):
                 add(values, tally)
             if low == high and any(a > 1 for a, _ in common.values()):  # a unit listed twice meets itself
@@ -169,7 +179,12 @@ def _bin_counter(members: Mapping[int, Mapping[str, int]], bases: Mapping[tuple[
         empty = pd.DataFrame({"scope": pd.Series(dtype=str), "feature": pd.Series(dtype=str), "base": pd.Series(dtype=float), "bin": pd.Series(dtype=int), "n": pd.Series(dtype=int)})
         return pd.concat(found, ignore_index=True) if found else empty
 
-    return count_bins
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for feature, low, high in zip(pdf["feature"], pdf["low"], pdf["high"], strict=True):
+                yield count_bins(feature, int(low), int(high))
+
+    return counted
 
 
 def unit_blocks(members: DataFrame, pair_units: int = PAIR_UNITS) -> DataFrame:
@@ -189,7 +204,8 @@ def trendability(grid: DataFrame, members: DataFrame, block_units: int = BLOCK_U
     """Median absolute correlation over all unit pairs of each scope, and the number of pairs.
 
     Scopes of up to `block_units` units are one matrix product each. Beyond that units of the same scopes form blocks (`unit_blocks`), and each
-    pair of blocks is multiplied once for all scopes; pairs are only counted into bins, never emitted. Each pass keeps the bin that holds the
+    pair of blocks is multiplied once for all scopes; pairs are only counted into bins, never emitted. Blocks are written once, and a task reads the two it
+    multiplies, so no vector is sent per pair. Each pass keeps the bin that holds the
     median, so three of them resolve it to 2**-44. Work grows with the square of the units, memory does not.
     """
     keys, spark = ["scope", "feature"], grid.sparkSession
@@ -201,20 +217,28 @@ def trendability(grid: DataFrame, members: DataFrame, block_units: int = BLOCK_U
         # every scope is a single block: its pairs fit one small matrix product
         found = vectors.join(members, "unit_id").select(*keys, "vector").groupBy(*keys).applyInPandas(_block_median, "scope string, feature string, trendability double, trendability_valid_pairs bigint")
         return everyone.join(found, keys, "left").fillna(0, ["trendability", "trendability_valid_pairs"])
-    placed = cut(vectors.join(unit_blocks(members, pair_units), "unit_id"))
+    names = sorted(r["feature"] for r in vectors.select("feature").distinct().collect() if r["feature"] is not None)
+    numbered = parameter_table(spark, [(f, i) for i, f in enumerate(names)], "feature string, _feature int")
+    placed = vectors.join(unit_blocks(members, pair_units), "unit_id").join(numbered, "feature").select("feature", "scopes", "vector", "_feature", "block")
+    folder = scratch(spark, "blocks")
+    placed.repartition("_feature", "block").write.partitionBy("_feature", "block").parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
     inside: dict[int, dict[str, int]] = {}
     sizes: dict[tuple[str, str], int] = {}
+    held: dict[str, set[int]] = {}
     for r in placed.groupBy("block", "scopes", "feature").count().collect():  # one row per block and feature
         inside[r["block"]] = {s: r["scopes"].count(s) for s in r["scopes"]}
+        held.setdefault(r["feature"], set()).add(r["block"])
         for scope, times in inside[r["block"]].items():
             sizes[scope, r["feature"]] = sizes.get((scope, r["feature"]), 0) + times * r["count"]
+    stored = {f: (i, frozenset(held[f])) for i, f in enumerate(names) if f in held}
     pairs = {k: n * (n - 1) // 2 for k, n in sizes.items() if n > 1}
     # the one or two middle ranks of every scope and feature: rank, base, pairs below the base
     state = {k: [(rank, 0.0, 0) for rank in sorted({(n - 1) // 2, n // 2})] for k, n in pairs.items()}
-    others = F.array(*[F.lit(b) for b in sorted(inside)]) if inside else F.array().cast("array<int>")
-    sent = placed.select("feature", "block", "vector", F.explode(others).alias("_other")).select(
-        "feature", "block", "vector", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")
-    )
+    blocks = F.array(*[F.lit(b) for b in sorted(inside)]) if inside else F.array().cast("array<int>")
+    asked_pairs = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in stored]).cast("array<string>")).alias("feature"), blocks.alias("_blocks")).select(
+        "feature", "_blocks", F.explode("_blocks").alias("low")
+    ).select("feature", "low", F.explode(F.filter("_blocks", lambda b: b >= F.col("low"))).alias("high"))
     tasks = max(1, min(2000, len(inside) * (len(inside) + 1)))  # a small block pair may take long
     width = 1.0
     for bins in BINS:
@@ -222,8 +246,8 @@ def trendability(grid: DataFrame, members: DataFrame, block_units: int = BLOCK_U
         bases = {k: sorted({base for _, base, _ in v}) for k, v in state.items()}
         wanted = [(*k, i, int(rank - before), base) for k, v in state.items() for i, (rank, base, before) in enumerate(v)]
         counts = (
-            sent.repartition(tasks, "feature", "low", "high").groupBy("feature", "low", "high")
-            .applyInPandas(_bin_counter(inside, bases, width, bins), "scope string, feature string, base double, bin bigint, n bigint")
+            asked_pairs.repartition(tasks)
+            .mapInPandas(_bin_counter(folder, stored, inside, bases, width, bins), "scope string, feature string, base double, bin bigint, n bigint")
             .groupBy("scope", "feature", "base", "bin")
             .agg(F.sum("n").alias("n"))
         )
