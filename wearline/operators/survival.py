@@ -816,12 +816,15 @@ def proportional_hazards(residuals: DataFrame, permutations: int = 499, fold: st
 # discrete-time forest --------------------------------------------------------------------------------------
 
 
-def person_periods(rows: DataFrame, grid: DataFrame, fold: str = "fold") -> DataFrame:
-    """One row per landmark and grid interval it entered, labelled 1 where its event falls inside."""
+def person_periods(rows: DataFrame, grid: DataFrame, fold: str = "fold", kept: bool = False) -> DataFrame:
+    """One row per landmark and grid interval it entered, labelled 1 where its event falls inside.
+
+    With `kept` the rows stay in their partitions: the intervals, a few per fold, are broadcast.
+    """
     t = F.col("evaluation_time")
     points = grid.withColumn("sequence_index", F.col("grid_index").cast("bigint"))
     spans = trailing(points, [fold], 1, {"_from": lambda w: F.coalesce(F.lag(t).over(w), F.lit(0.0))}).drop("sequence_index")
-    joined = rows.join(F.broadcast(spans), fold).where(F.col("duration_minutes") > F.col("_from"))
+    joined = rows.join(F.broadcast(spans) if kept else spans, fold).where(F.col("duration_minutes") > F.col("_from"))
     hit = (F.col("event_observed") == 1) & (F.col("duration_minutes") <= t)
     return joined.withColumn("label", hit.cast("double")).drop("_from")
 
@@ -830,23 +833,20 @@ def person_periods(rows: DataFrame, grid: DataFrame, fold: str = "fold") -> Data
 PERIOD_ROWS = 50_000
 
 
-def _spread(rows: DataFrame, points: int, keys: Sequence[str]) -> DataFrame:
-    """`rows` dealt by `keys` to as many tasks as `points` rows made of each ask for; unchanged where one task does."""
-    tasks = -(-rows.count() * points // PERIOD_ROWS)
-    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys) if tasks > 1 else rows
-
-
 def hazard_forest(train: DataFrame, score: DataFrame, grid: DataFrame, features: Sequence[str], parameters: dict, fold: str = "fold", seed: int = 42) -> DataFrame:
     """Survival curves from a weighted forest of interval hazards: the running product of 1 - hazard.
 
-    MLlib takes the partitions of the rows as its tasks, and adaptive execution would merge them by their few bytes, so larger tables are dealt out first.
+    MLlib takes the partitions of the rows as its tasks, and adaptive execution would merge them by their few bytes, so rows beyond one task are
+    dealt out first.
     """
-    inputs = [*features, "evaluation_time"]
+    inputs, keys = [*features, "evaluation_time"], [fold, "landmark_id"]
     assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
     points = grid.groupBy(fold).count().agg(F.max("count")).first()[0] or 0
-    periods = person_periods(_spread(train, points, [fold, "landmark_id"]), grid, fold)
-    model = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="landmark_weight", seed=seed, **parameters).fit(assembler.transform(periods.select(*inputs, "label", "landmark_weight")))
-    asked = assembler.transform(_spread(score, points, [fold, "landmark_id"]).join(F.broadcast(grid), fold))
+    tasks, asked_tasks = (-(-rows.count() * points // PERIOD_ROWS) for rows in (train, score))
+    dealt = train.repartition(tasks, *keys).sortWithinPartitions(*keys) if tasks > 1 else train
+    periods = person_periods(dealt, grid, fold, kept=tasks > 1)
+    model = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="landmark_weight", seed=seed, **parameters).fit(assembler.transform(periods))
+    asked = assembler.transform(score.repartition(asked_tasks, *keys).join(F.broadcast(grid), fold) if asked_tasks > 1 else score.join(grid, fold))
     hazard = vector_to_array("probability")[1]
     scored = model.transform(asked).withColumn("_log", F.log1p(-F.least(hazard, F.lit(1 - 1e-12)))).drop("_x", "rawPrediction", "probability", "prediction")
     # a landmark has one row per grid time, a fixed number
